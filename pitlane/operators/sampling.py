@@ -69,21 +69,16 @@ def hash_sample(df: DataFrame, n: int, seed: int = 42, key: str = "row_key") ->
     return pre.orderBy("_h", key).limit(n).drop("_h")
 
 
-def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k, salts: int = 64,
-                    key: str = "row_key") -> DataFrame:
-    """Exact top-k rows per group, safe for hot groups.
+def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
+    """Exact top-k rows per group (column `rank_in_group`, 1-based), safe for hot groups.
 
-    Phase 1 ranks inside (group, salt) sub-groups, where the salt is a hash of the
-    row key, and keeps k rows of each; phase 2 ranks the at most k*salts survivors
-    of each group. `k` is an int or a column (per-group k).
+    `row_number() <= k` with a literal k lets Catalyst insert a partial
+    WindowGroupLimit before the shuffle: every map task forwards at most k rows
+    per group, so a group holding a third of the table costs k rows per task,
+    not a third of the table in one task.
     """
-    kcol = F.lit(k) if isinstance(k, int) else k
-    salted = df.withColumn("_salt", F.abs(F.xxhash64(F.col(key))) % salts)
-    w1 = Window.partitionBy(*groups, "_salt").orderBy(*order)
-    pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kcol)
-    w2 = Window.partitionBy(*groups).orderBy(*order)
-    return (pre.withColumn("rank_in_group", F.row_number().over(w2)).filter(F.col("rank_in_group") <= kcol)
-            .drop("_salt", "_r1"))
+    w = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn("rank_in_group", F.row_number().over(w)).filter(F.col("rank_in_group") <= F.lit(int(k)))
 
 
 def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = 42, key: str = "row_key",
@@ -91,8 +86,7 @@ def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = 42, key: str
     """At most `cap` rows keeping class shares.
 
     Default: one hash threshold cap/rows for every class (map-only, expected size
-    cap). exact=True: per class the round(cap*share) smallest hashes (two-phase
-    salted top-k, so a dominant class does not land in one task).
+    cap). exact=True: per class the round(cap*share) smallest hashes.
     """
     total = scalar(df, F.count(F.lit(1)))
     if not exact:
@@ -101,7 +95,8 @@ def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = 42, key: str
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     quota = counts.withColumn(
         "_k", F.least(F.col("_n"), F.round(F.lit(float(cap)) * F.col("_n") / total.cast("double")).cast("int")))
-    with_k = join_dim(df, quota.select(label, "_k"), label, "inner")  # one row per class
-    picked = top_k_per_group(with_k.withColumn("_h", hash_rank(key, seed)), [label],
-                             [F.col("_h"), F.col(key)], F.col("_k"), key=key)
-    return picked.drop("_h", "_k", "rank_in_group")
+    # every class quota is <= cap: take the top `cap` per class (partial limit before the
+    # shuffle), then cut each class to its own quota
+    top = top_k_per_group(df.withColumn("_h", hash_rank(key, seed)), [label], [F.col("_h"), F.col(key)], cap)
+    with_k = join_dim(top, quota.select(label, "_k"), label, "inner")  # one row per class
+    return with_k.filter(F.col("rank_in_group") <= F.col("_k")).drop("_h", "_k", "rank_in_group")

@@ -161,3 +161,353 @@ def q_avg_duration_by_compound(spark, sf):
 def q_avg_risk_by_lap(spark, sf):
     """A10."""
     return DB.avg_risk_by_lap(scored(spark, sf))
+
+
+# --------------------------------------------------------------------------- encodings
+
+@query("race_median", with_ctes(["clean"], f"SELECT race, {r('median(lap_time_s)', 6)} AS laptime_baseline "
+                                           "FROM clean GROUP BY race"))
+def q_race_median(spark, sf):
+    """A02 (the null race is its own group here; it gets no baseline in race_baseline)."""
+    m = CL.race_medians(cleaned(spark, sf))
+    return m.select("race", rh("laptime_baseline", 6).alias("laptime_baseline"))
+
+
+@query("race_baseline", with_ctes(["enc"], f"SELECT row_key, {r('laptime_baseline', 6)} AS laptime_baseline, "
+                                           f"{r('laptime_normalized', 6)} AS laptime_normalized FROM enc"))
+def q_race_baseline(spark, sf):
+    """J02 + F10."""
+    out = CL.attach_race_baseline(cleaned(spark, sf))
+    return out.select("row_key", rh("laptime_baseline", 6).alias("laptime_baseline"),
+                      rh("laptime_normalized", 6).alias("laptime_normalized"))
+
+
+@query("race_encode", with_ctes(["enc"], "SELECT row_key, coalesce(race, 'nan') AS race_text, race_encoded FROM enc"))
+def q_race_encode(spark, sf):
+    """Zero-based alphabetical race code; missing race encodes the text 'nan'."""
+    out = CL.attach_race_code(cleaned(spark, sf))
+    return out.select("row_key", CL.race_text().alias("race_text"), "race_encoded")
+
+
+@query("year_offset", with_ctes(["enc"], "SELECT row_key, year, year_encoded FROM enc"))
+def q_year_offset(spark, sf):
+    """A04 + F11."""
+    return CL.attach_year_offset(cleaned(spark, sf)).select("row_key", "year", "year_encoded")
+
+
+@query("compound_encode", with_ctes(
+    ["laps"], "SELECT row_key, compound, CAST(CASE compound WHEN 'SOFT' THEN 0 WHEN 'MEDIUM' THEN 1 "
+              "WHEN 'HARD' THEN 2 WHEN 'INTERMEDIATE' THEN 3 WHEN 'WET' THEN 4 ELSE 1 END AS DOUBLE) "
+              "AS compound_encoded FROM laps"))
+def q_compound_encode(spark, sf):
+    """Literal map with default."""
+    from pitlane.functions.lookup import compound_code
+    return laps(spark, sf).select("row_key", "compound", compound_code().alias("compound_encoded"))
+
+
+@query("row_accounting", with_ctes(
+    ["clean"],
+    "SELECT n_raw, n_clean, n_complete, n_raw - n_clean AS n_removed FROM "
+    "(SELECT (SELECT count(*) FROM laps) AS n_raw, (SELECT count(*) FROM clean) AS n_clean, "
+    "(SELECT count(*) FROM clean WHERE position_change IS NOT NULL AND prev_tyre_life IS NOT NULL "
+    "AND pit_stop IS NOT NULL AND race IS NOT NULL) AS n_complete)"))
+def q_row_accounting(spark, sf):
+    """Raw, clean, complete-feature and removed row counts."""
+    return CL.row_accounting(laps(spark, sf)).select("n_raw", "n_clean", "n_complete", "n_removed")
+
+
+# --------------------------------------------------------------------------- critical-event rule
+
+def _event_frame(spark, sf):
+    from pitlane.functions.risk import critical_event
+    from pitlane.operators.dims import scalar
+    s = scored(spark, sf)
+    q = scalar(s, F.percentile("lap_time_delta", [0.05, 0.95]))
+    return s.withColumn("evento_critico", critical_event("lap_time_delta", "ers_risk", q[0], q[1]))
+
+
+EVENT_CTE = ("ev AS (SELECT status.*, CASE WHEN (lap_time_delta > p95 OR lap_time_delta < p5) "
+             "AND ers_risk > 7e0 THEN 1 ELSE 0 END AS evento_critico FROM status, "
+             "(SELECT quantile_cont(lap_time_delta, 0.05) AS p5, quantile_cont(lap_time_delta, 0.95) AS p95 "
+             "FROM status) q)")
+
+
+@query("delta_percentiles", with_ctes(["status"], f"SELECT {r('quantile_cont(lap_time_delta, 0.05)', 9)} AS p5, "
+                                                  f"{r('quantile_cont(lap_time_delta, 0.95)', 9)} AS p95 FROM status"))
+def q_delta_percentiles(spark, sf):
+    """Exact linear-interpolated 5th/95th percentiles."""
+    s = scored(spark, sf).agg(F.percentile("lap_time_delta", [0.05, 0.95]).alias("q"))
+    return s.select(rh(F.col("q")[0], 9).alias("p5"), rh(F.col("q")[1], 9).alias("p95"))
+
+
+@query("critical_event", with_ctes(["status"], "SELECT row_key, evento_critico FROM ev", [EVENT_CTE]))
+def q_critical_event(spark, sf):
+    """F19 with A05 + J03."""
+    return _event_frame(spark, sf).select("row_key", "evento_critico")
+
+
+@query("class_balance", with_ctes(
+    ["status"], f"SELECT CAST(sum(evento_critico) AS BIGINT) AS n_critical, "
+                f"CAST(count(*) - sum(evento_critico) AS BIGINT) AS n_normal, "
+                f"{r('avg(evento_critico) * 100e0', 2)} AS critical_pct FROM ev", [EVENT_CTE]))
+def q_class_balance(spark, sf):
+    """A13."""
+    e = _event_frame(spark, sf)
+    return e.agg(F.sum("evento_critico").cast("bigint").alias("n_critical"),
+                 (F.count(F.lit(1)) - F.sum("evento_critico")).cast("bigint").alias("n_normal"),
+                 rh(F.avg("evento_critico") * 100.0, 2).alias("critical_pct"))
+
+
+@query("class_weights", with_ctes(
+    ["status"], f"SELECT evento_critico AS label, n, {r('tot / (k * n)', 9)} AS weight FROM "
+                "(SELECT evento_critico, count(*) AS n FROM ev GROUP BY evento_critico) c, "
+                "(SELECT count(*) * 1e0 AS tot, count(DISTINCT evento_critico) * 1e0 AS k FROM ev) t",
+    [EVENT_CTE]))
+def q_class_weights(spark, sf):
+    """ML10: balanced weight n / (classes * count)."""
+    from pitlane.plans.models import class_weights
+    w = class_weights(_event_frame(spark, sf), "evento_critico")
+    return w.select(F.col("evento_critico").alias("label"), "n", rh("weight", 9).alias("weight"))
+
+
+# --------------------------------------------------------------------------- lap feed
+
+def _telemetry(spark, sf):
+    from pitlane.sources.telemetry import telemetry_from_testdata
+    return telemetry_from_testdata(spark, sf)
+
+
+FEED_SQL = [
+    "ver AS (SELECT * FROM laps WHERE driver = 'VER')",
+    "pick AS (SELECT coalesce((SELECT min(race) FROM ver WHERE coalesce(regexp_matches(race, '(?i)Monaco'), false)), "
+    "(SELECT race FROM (SELECT race, count(*) AS n FROM ver WHERE race IS NOT NULL GROUP BY race) "
+    "ORDER BY n DESC, race LIMIT 1)) AS race_name)",
+    "feed AS (SELECT ver.*, pick.race_name FROM ver, pick WHERE ver.race = pick.race_name)",
+]
+_FIRST_COLS = [c for c in LAP_COLS if c != "lap_number"] + ["race_name"]
+FIRST_SQL = ("fpl AS (SELECT lap_number, " + ", ".join(
+    f"min_by({c}, printf('%04d|%s', year, row_key)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in _FIRST_COLS)
+    + " FROM feed GROUP BY lap_number)")
+TEL_SQL = ("tel AS (SELECT lap_number, avg(speed_fl) AS speed_fl, avg(speed_st) AS speed_st FROM telemetry "
+           "WHERE team = 'Red Bull Racing' AND driver = 'VER' GROUP BY lap_number)")
+FEEDT_SQL = "feedt AS (SELECT fpl.*, tel.speed_fl, tel.speed_st FROM fpl LEFT JOIN tel USING (lap_number))"
+
+
+def live_duration_sql(ntl="normalized_tyre_life", prog="race_progress", delta="lap_time_delta", life="tyre_life"):
+    lf = f"(CASE WHEN {life} IS NULL OR {life} = 0 THEN 1e0 ELSE {life} END)"
+    rr = (f"{ntl} * 0.35e0 + {prog} * 0.3e0 + greatest(0e0, -coalesce({delta}, 0e0)) * 0.2e0 "
+          f"+ {lf} / 40e0 * 0.15e0")
+    d = f"greatest(1.5e0, least(7.5e0, round_even((2e0 + ({rr}) * 4.5e0) * 100e0, 0) / 100e0))"
+    return f"(CASE WHEN {ntl} IS NULL OR {prog} IS NULL OR {life} IS NULL THEN 7.5e0 ELSE {d} END)"
+
+
+def live_status_sql(d):
+    return (f"(CASE WHEN {d} >= 2e0 AND {d} <= 4e0 THEN 'NORMAL' WHEN {d} > 4e0 AND {d} <= 5.5e0 THEN 'ALERTA' "
+            "ELSE 'CRÍTICO' END)")
+
+
+def _feed(spark, sf, with_telemetry=True):
+    from pitlane.operators import feed as FD
+    return FD.build_feed(laps(spark, sf), _telemetry(spark, sf) if with_telemetry else None)
+
+
+@query("telemetry_scan", with_ctes(["telemetry"], "SELECT team, driver, lap_number, speed_fl, speed_st FROM telemetry"))
+def q_telemetry_scan(spark, sf):
+    """Telemetry rows with the fixed schema."""
+    return _telemetry(spark, sf)
+
+
+@query("driver_laps", with_ctes(["laps"], f"SELECT {LAP_COLS_SQL} FROM laps WHERE driver = 'VER'"))
+def q_driver_laps(spark, sf):
+    """P05."""
+    from pitlane.operators.feed import driver_laps
+    return driver_laps(laps(spark, sf)).select(*LAP_COLS)
+
+
+@query("race_pattern", with_ctes(["laps"], f"SELECT {LAP_COLS_SQL} FROM laps WHERE driver = 'VER' "
+                                           "AND coalesce(regexp_matches(race, '(?i)Monaco'), false)"))
+def q_race_pattern(spark, sf):
+    """P06 on the driver's laps."""
+    from pitlane.operators.feed import driver_laps, race_matches
+    d = driver_laps(laps(spark, sf))
+    return d.filter(race_matches(d)).select(*LAP_COLS)
+
+
+@query("mode_race", with_ctes(["laps"], "SELECT race, n FROM (SELECT race, count(*) AS n FROM laps "
+                                        "WHERE driver = 'VER' AND race IS NOT NULL GROUP BY race) "
+                                        "ORDER BY n DESC, race LIMIT 1"))
+def q_mode_race(spark, sf):
+    """Most frequent race of the driver (top-1 is the feature; ties alphabetical)."""
+    from pitlane.operators.feed import driver_laps, race_counts
+    return race_counts(driver_laps(laps(spark, sf))).orderBy(F.desc("n"), "race").limit(1)
+
+
+@query("feed_laps", with_ctes(["laps"], f"SELECT {LAP_COLS_SQL}, race_name FROM feed", FEED_SQL))
+def q_feed_laps(spark, sf):
+    """The chosen race of the driver (pattern match, else the most frequent race)."""
+    from pitlane.operators.feed import feed_laps
+    return feed_laps(laps(spark, sf)).select(*LAP_COLS, "race_name")
+
+
+@query("first_per_lap", with_ctes(["laps"], "SELECT * FROM fpl", FEED_SQL + [FIRST_SQL]))
+def q_first_per_lap(spark, sf):
+    """First non-null value per column and lap, in (year, row key) order."""
+    from pitlane.operators.feed import feed_laps, first_per_lap
+    return first_per_lap(feed_laps(laps(spark, sf)).select(*LAP_COLS, "race_name"))
+
+
+@query("telemetry_by_lap", with_ctes(["telemetry"], f"SELECT lap_number, {r('speed_fl', 6)} AS speed_fl, "
+                                                    f"{r('speed_st', 6)} AS speed_st FROM tel", [TEL_SQL]))
+def q_telemetry_by_lap(spark, sf):
+    """P08 + A06."""
+    from pitlane.operators.feed import telemetry_by_lap
+    t = telemetry_by_lap(_telemetry(spark, sf))
+    return t.select("lap_number", rh("speed_fl", 6).alias("speed_fl"), rh("speed_st", 6).alias("speed_st"))
+
+
+@query("feed_with_telemetry", with_ctes(
+    ["laps", "telemetry"], f"SELECT lap_number, row_key, position, {r('speed_fl', 6)} AS speed_fl, "
+                           f"{r('speed_st', 6)} AS speed_st FROM feedt", FEED_SQL + [FIRST_SQL, TEL_SQL, FEEDT_SQL]))
+def q_feed_with_telemetry(spark, sf):
+    """Feed laps left-joined with per-lap telemetry means on lap number."""
+    f = _feed(spark, sf)
+    return f.select("lap_number", "row_key", "position", rh("speed_fl", 6).alias("speed_fl"),
+                    rh("speed_st", 6).alias("speed_st"))
+
+
+@query("feed_payload", with_ctes(
+    ["laps", "telemetry"],
+    "SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS lap_index, lap_number, count(*) OVER wa AS total_laps, "
+    "coalesce(position, 1) AS position, coalesce(compound, 'MEDIUM') AS compound, "
+    f"{live_status_sql(live_duration_sql())} AS ers_status, {live_duration_sql()} AS superclipping_duration, "
+    "row_number() OVER w = count(*) OVER wa AS is_last FROM feedt "
+    "WINDOW w AS (PARTITION BY driver, race_name ORDER BY lap_number), wa AS (PARTITION BY driver, race_name)",
+    FEED_SQL + [FIRST_SQL, TEL_SQL, FEEDT_SQL]))
+def q_feed_payload(spark, sf):
+    """W02 + P10 + A15 + F05/F06: the ordered lap payloads of the feed."""
+    from pitlane.operators.feed import feed_payload
+    return feed_payload(_feed(spark, sf)).withColumn("lap_index", F.col("lap_index").cast("int"))
+
+
+def _speed_sql():
+    return ("(CASE WHEN speed_fl IS NOT NULL AND speed_fl <> 0 THEN speed_fl "
+            "WHEN speed_st IS NOT NULL AND speed_st <> 0 THEN speed_st ELSE 280e0 END)")
+
+
+def _car_state_sql():
+    s = _speed_sql()
+    thr = f"greatest(0e0, least(100e0, 55e0 + ({s} - 200e0) * 0.25e0))"
+    brk = f"greatest(0e0, least(100e0, 100e0 - {thr} * 0.8e0))"
+    prog = "(CASE WHEN race_progress IS NULL OR race_progress = 0 THEN 0.5e0 ELSE race_progress END)"
+    soc = f"greatest(30e0, 85e0 - {prog} * 40e0)"
+
+    def rd(x):
+        return f"round_even(({x}) * 10e0, 0) / 10e0"
+    return (f"SELECT lap_number, {rd(s)} AS velocidad_kmh, {rd(soc)} AS soc_bateria, {rd(thr)} AS throttle_pct, "
+            f"{rd(brk)} AS brake_pressure, {rd(f'280e0 + {thr} * 0.8e0')} AS mguk_kw, "
+            f"CASE WHEN {s} > 250e0 THEN 'STRAIGHT MODE' ELSE 'CORNER MODE' END AS aero_mode, "
+            f"{rd('38e0 + tyre_life * 0.4e0')} AS temp_bateria FROM feedt")
+
+
+@query("car_state", with_ctes(["laps", "telemetry"], _car_state_sql(), FEED_SQL + [FIRST_SQL, TEL_SQL, FEEDT_SQL]))
+def q_car_state(spark, sf):
+    """F12 over the feed with telemetry speeds."""
+    from pitlane.operators.feed import car_state
+    return car_state(_feed(spark, sf))
+
+
+@query("superclip_row", with_ctes(["laps"], f"SELECT row_key, {live_duration_sql()} AS superclipping_duration, "
+                                            f"{live_status_sql(live_duration_sql())} AS ers_status FROM laps"))
+def q_superclip_row(spark, sf):
+    """F05 + F06 on every lap."""
+    from pitlane.functions.risk import live_duration, live_status
+    return (laps(spark, sf).select("row_key", live_duration().alias("superclipping_duration"))
+            .withColumn("ers_status", live_status("superclipping_duration")))
+
+
+def _live_risk_sql():
+    raw = ("normalized_tyre_life * 2e0 + race_progress * 1.5e0 - "
+           "coalesce(greatest(-5e0, least(5e0, lap_time_delta)), 5e0)")
+    v = f"greatest(0e0, least(10e0, ({raw}) * 0.65e0 + 2.5e0))"
+    return (f"CASE WHEN normalized_tyre_life IS NULL OR race_progress IS NULL THEN 10e0 "
+            f"ELSE round_even(({v}) * 100e0, 0) / 100e0 END")
+
+
+@query("live_risk", with_ctes(["laps"], f"SELECT row_key, {_live_risk_sql()} AS live_risk FROM laps"))
+def q_live_risk(spark, sf):
+    """F07 on every lap."""
+    from pitlane.functions.risk import live_risk
+    return laps(spark, sf).select("row_key", live_risk().alias("live_risk"))
+
+
+@query("laptime_vs_constant", with_ctes(
+    ["laps"], "SELECT row_key, round_even(((CASE WHEN lap_time_s = 0 THEN 78e0 ELSE lap_time_s END) - 78e0) "
+              "* 10000e0, 0) / 10000e0 AS laptime_normalized_live FROM laps"))
+def q_laptime_vs_constant(spark, sf):
+    """F08."""
+    from pitlane.functions.risk import laptime_vs_constant
+    return laps(spark, sf).select("row_key", laptime_vs_constant().alias("laptime_normalized_live"))
+
+
+@query("status_color", with_ctes(
+    ["status"], "SELECT row_key, ers_status, CASE ers_status WHEN 'NORMAL' THEN '#00ff88' "
+                "WHEN 'ALERTA' THEN '#ffcc00' WHEN 'CRÍTICO' THEN '#cc0000' ELSE '#cc0000' END AS color FROM status"))
+def q_status_color(spark, sf):
+    """F16."""
+    from pitlane.functions.lookup import status_color
+    return scored(spark, sf).select("row_key", "ers_status", status_color().alias("color"))
+
+
+@query("race_gaps", with_ctes(
+    ["laps"], "SELECT row_key, CAST(lap_number % 3 + 1 AS INTEGER) AS sector, "
+              "round_even((0.5e0 + lap_time_delta * 0.1e0) * 1000e0, 0) / 1000e0 AS gap_ahead, "
+              "round_even((0.8e0 + abs(position_change) * 0.05e0) * 1000e0, 0) / 1000e0 AS gap_behind FROM laps"))
+def q_race_gaps(spark, sf):
+    """F13 on every lap."""
+    from pitlane.functions.carstate import race_gap_columns
+    cols = race_gap_columns()
+    return laps(spark, sf).select("row_key", *[v.alias(k) for k, v in cols.items()])
+
+
+@query("tyre_wear", with_ctes(
+    ["laps"], "SELECT row_key, b AS wear_fl, greatest(5, b - 4) AS wear_fr, least(95, b + 6) AS wear_rl, "
+              "least(95, b + 5) AS wear_rr FROM (SELECT row_key, "
+              "least(95, greatest(5, CAST(trunc(CAST(trunc(tyre_life) AS INTEGER) * 2.5e0) AS INTEGER))) AS b "
+              "FROM laps)"))
+def q_tyre_wear(spark, sf):
+    """F15 on every lap (flat columns; the nested form is tyre_wear_struct)."""
+    from pitlane.functions.carstate import tyre_wear_columns
+    cols = tyre_wear_columns()
+    return laps(spark, sf).select("row_key", *[v.alias(k) for k, v in cols.items()])
+
+
+@query("leaderboard", with_ctes(
+    ["clean"], f"SELECT race, year, lap_number, slot, position, driver, {r('gap_s', 6)} AS gap_s, highlight FROM "
+               "(SELECT race, year, lap_number, CAST(slot AS INTEGER) AS slot, position, driver, "
+               "lap_time_s - first_value(lap_time_s) OVER (PARTITION BY race, year, lap_number ORDER BY slot) AS gap_s, "
+               "driver = 'VER' AS highlight FROM (SELECT *, row_number() OVER (PARTITION BY race, year, lap_number "
+               "ORDER BY position, row_key) AS slot FROM clean) WHERE slot <= 5)"))
+def q_leaderboard(spark, sf):
+    """Top 5 positions per (race, year, lap) with the gap to the leader."""
+    from pitlane.operators.feed import leaderboard
+    b = leaderboard(cleaned(spark, sf))
+    return b.select("race", "year", "lap_number", "slot", "position", "driver", rh("gap_s", 6).alias("gap_s"),
+                    "highlight")
+
+
+@query("trailing_history", with_ctes(
+    ["laps"], f"SELECT race, year, driver, lap_number, count(*) OVER w AS n_hist, "
+              f"{r('sum(lap_time_s) OVER w', 6)} AS sum_lap_time, {r('coalesce(sum(tyre_life) OVER w, 0e0)', 6)} "
+              "AS sum_tyre_life FROM (SELECT race, year, driver, lap_number, "
+              "min_by(lap_time_s, row_key) FILTER (WHERE lap_time_s IS NOT NULL) AS lap_time_s, "
+              "min_by(tyre_life, row_key) FILTER (WHERE tyre_life IS NOT NULL) AS tyre_life "
+              "FROM laps GROUP BY race, year, driver, lap_number) "
+              "WINDOW w AS (PARTITION BY race, year, driver ORDER BY lap_number ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
+def q_trailing_history(spark, sf):
+    """Trailing 20 laps per (race, year, driver), compared as length and sums of the arrays."""
+    from pitlane.operators.feed import trailing_history
+    h = trailing_history(laps(spark, sf))
+    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["v"], F.lit(0.0)))
+    return h.select("race", "year", "driver", "lap_number", F.size("lap_time_history").cast("bigint").alias("n_hist"),
+                    rh(add(F.col("lap_time_history")), 6).alias("sum_lap_time"),
+                    rh(add(F.col("tyre_life_history")), 6).alias("sum_tyre_life"))
