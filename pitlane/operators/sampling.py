@@ -81,7 +81,10 @@ def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k: in
     return df.withColumn("rank_in_group", F.row_number().over(w)).filter(F.col("rank_in_group") <= F.lit(int(k)))
 
 
-def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = 42, key: str = "row_key",
+CAP_SEED = 4242  # independent of the split seed, so the cap is not correlated with the split
+
+
+def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = CAP_SEED, key: str = "row_key",
                    exact: bool = False) -> DataFrame:
     """At most `cap` rows keeping class shares.
 

@@ -511,3 +511,265 @@ def q_trailing_history(spark, sf):
     return h.select("race", "year", "driver", "lap_number", F.size("lap_time_history").cast("bigint").alias("n_hist"),
                     rh(add(F.col("lap_time_history")), 6).alias("sum_lap_time"),
                     rh(add(F.col("tyre_life_history")), 6).alias("sum_tyre_life"))
+
+
+# --------------------------------------------------------------------------- samples and splits
+
+from pitlane.operators import sampling as SM  # noqa: E402
+from pitlane.operators.sampling import hash_sql  # noqa: E402
+from pitlane.schemas import REGRESSION_FEATURES, REGRESSION_TARGET  # noqa: E402
+
+H = hash_sql()
+
+
+def _sample_sql(src: str, n: int) -> str:
+    """Same as hash_sample: the n smallest hashes after the count-sized prefilter (which keeps them all)."""
+    return f"(SELECT * FROM {src} ORDER BY {H}, row_key LIMIT {n})"
+
+
+DASH_COLS_SQL = ("row_key, CAST(trunc(lap_number) AS INTEGER) AS lap, "
+                 "round_even(lap_time_s * 1000e0, 0) / 1000e0 AS laptime_s, "
+                 "CAST(trunc(tyre_life) AS INTEGER) AS tyre_life, CAST(trunc(position) AS INTEGER) AS position, "
+                 "compound, round_even(ers_risk * 100e0, 0) / 100e0 AS ers_risk, coalesce(ers_status, 'nan') AS ers_status, "
+                 "round_even(superclipping_duration * 100e0, 0) / 100e0 AS superclipping_duration, "
+                 "round_even(race_progress * 1000e0, 0) / 1000e0 AS race_progress, "
+                 "round_even(lap_time_delta * 1000e0, 0) / 1000e0 AS lap_delta")
+
+
+@query("dashboard_sample", with_ctes(["status"], f"SELECT {DASH_COLS_SQL} FROM {_sample_sql('status', 200)}"))
+def q_dashboard_sample(spark, sf):
+    """T04 + F25: 200-row reproducible sample, dashboard formatting."""
+    return DB.dashboard_sample(scored(spark, sf))
+
+
+@query("hash_sample", with_ctes(["status"], "SELECT row_key, cumulative_degradation, tyre_life, lap_time_s "
+                                            f"FROM {_sample_sql('status', 20000)}"))
+def q_hash_sample(spark, sf):
+    """20,000-row sample (exact top-n by hash after a count-sized map-side prefilter)."""
+    s = SM.hash_sample(scored(spark, sf), 20000)
+    return s.select("row_key", "cumulative_degradation", "tyre_life", "lap_time_s")
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in REGRESSION_FEATURES + [REGRESSION_TARGET])
+MATRIX_CTE = f"mx AS (SELECT * FROM enc WHERE {_COMPLETE})"
+
+
+def _matrix(spark, sf) -> DataFrame:
+    return prepared(spark, sf).na.drop(subset=REGRESSION_FEATURES + [REGRESSION_TARGET])
+
+
+@query("hash_split", with_ctes(["enc"], f"SELECT row_key, {H} < 858993459 AS is_test FROM mx", [MATRIX_CTE]))
+def q_hash_split(spark, sf):
+    """80/20 split of the complete regression rows by hash threshold (map-only)."""
+    return SM.mark_split(_matrix(spark, sf)).select("row_key", "is_test")
+
+
+@query("stratified_split", with_ctes(["status"], f"SELECT row_key, evento_critico, {H} < 858993459 AS is_test FROM ev",
+                                     [EVENT_CTE]))
+def q_stratified_split(spark, sf):
+    """The hash ignores the label, so both classes split 80/20."""
+    return SM.mark_split(_event_frame(spark, sf)).select("row_key", "evento_critico", "is_test")
+
+
+@query("stratified_cap", with_ctes(
+    ["status"], f"SELECT row_key, evento_critico FROM tr WHERE {hash_sql(seed=SM.CAP_SEED)} < "
+                "least(1e0, 15000e0 / (SELECT count(*) FROM tr)) "
+                "* 4294967296e0", [EVENT_CTE, f"tr AS (SELECT * FROM ev WHERE {H} >= 858993459)"]))
+def q_stratified_cap(spark, sf):
+    """Cap the training part at 15,000 rows keeping class shares (one hash threshold)."""
+    train, _ = SM.stratified_split(_event_frame(spark, sf), "evento_critico")
+    return SM.stratified_cap(train, "evento_critico", 15000).select("row_key", "evento_critico")
+
+
+@query("model_matrix_regression", with_ctes(
+    ["enc"], "SELECT row_key, " + ", ".join(c for c in REGRESSION_FEATURES) +
+    f", {r(REGRESSION_TARGET, 9)} AS {REGRESSION_TARGET} FROM mx", [MATRIX_CTE]))
+def q_model_matrix_regression(spark, sf):
+    """The 12 features and the target on complete rows, with the row key kept."""
+    m = _matrix(spark, sf)
+    return m.select("row_key", *REGRESSION_FEATURES, rh(REGRESSION_TARGET, 9).alias(REGRESSION_TARGET))
+
+
+_STD_FEATS = ["cumulative_degradation", "tyre_life", "laptime_normalized"]
+
+
+@query("standardize", with_ctes(
+    ["enc"], "SELECT row_key, " + ", ".join(
+        f"{r(f'({c} - (SELECT avg({c}) FROM cm)) / (SELECT stddev_pop({c}) FROM cm)', 6)} AS z_{c}"
+        for c in _STD_FEATS) + " FROM cm",
+    ["cm AS (SELECT * FROM enc WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _STD_FEATS) + ")"]))
+def q_standardize(spark, sf):
+    """ML01: (x - mean) / population std of the clustering features (complete rows)."""
+    from pitlane.operators.dims import scalar
+    m = prepared(spark, sf).na.drop(subset=_STD_FEATS)
+    cols = [rh((F.col(c) - scalar(m, F.avg(c))) / scalar(m, F.stddev_pop(c)), 6).alias(f"z_{c}") for c in _STD_FEATS]
+    return m.select("row_key", *cols)
+
+
+# --------------------------------------------------------------------------- profiles, evaluation
+
+PROFILE_SQL = ("prof AS (SELECT compound AS grp, round_even(avg(compound_encoded) * 1e3, 0) / 1e3 AS compound_encoded_mean, "
+               "round_even(avg(tyre_life) * 1e2, 0) / 1e2 AS tyre_life_mean, "
+               "round_even(avg(laptime_normalized) * 1e4, 0) / 1e4 AS laptime_normalized_mean, "
+               "round_even(avg(cumulative_degradation) * 1e3, 0) / 1e3 AS cumulative_degradation_mean, "
+               "count(*) AS count FROM enc WHERE cumulative_degradation IS NOT NULL AND tyre_life IS NOT NULL "
+               "AND laptime_normalized IS NOT NULL GROUP BY compound)")
+
+
+def _profiles(spark, sf):
+    from pitlane.plans.clusters import cluster_frame, cluster_profiles
+    return cluster_profiles(cluster_frame(prepared(spark, sf)).withColumnRenamed("compound", "grp"), "grp")
+
+
+@query("group_profile", with_ctes(["enc"], "SELECT * FROM prof", [PROFILE_SQL]))
+def q_group_profile(spark, sf):
+    """A12 over a fixed grouping (compound) so that it has an oracle; the same operator profiles clusters."""
+    return _profiles(spark, sf)
+
+
+def _cluster_label_sql():
+    nm = ("coalesce(CASE CAST(round_even(compound_encoded_mean, 0) AS INTEGER) WHEN 0 THEN 'SOFT' WHEN 1 THEN 'MEDIUM' "
+          "WHEN 2 THEN 'HARD' WHEN 3 THEN 'INTER' WHEN 4 THEN 'WET' END, 'MIXED')")
+    return ("SELECT grp, CASE WHEN cumulative_degradation_mean > 15 AND tyre_life_mean > 25 "
+            f"THEN 'Degradación alta (' || {nm} || ')' "
+            f"WHEN laptime_normalized_mean < -0.5 THEN 'Ritmo competitivo (' || {nm} || ')' "
+            f"WHEN tyre_life_mean < 10 THEN 'Stint temprano (' || {nm} || ')' "
+            f"WHEN cumulative_degradation_mean > 8 THEN 'Desgaste moderado (' || {nm} || ')' "
+            f"ELSE 'Stint estable (' || {nm} || ')' END AS cluster_label FROM prof")
+
+
+@query("profile_label", with_ctes(["enc"], _cluster_label_sql(), [PROFILE_SQL]))
+def q_profile_label(spark, sf):
+    """F17 on the profiles."""
+    from pitlane.plans.clusters import profile_labels
+    return profile_labels(_profiles(spark, sf), "grp")
+
+
+# fixed linear rule used as the predictor where a query must be reproducible in SQL
+RULE_SQL = "(0.3e0 * cumulative_degradation + 0.05e0 * tyre_life - 1e0)"
+
+
+def rule_prediction():
+    return F.lit(0.3) * F.col("cumulative_degradation") + F.lit(0.05) * F.col("tyre_life") - F.lit(1.0)
+
+
+TEST_SQL = f"te AS (SELECT *, {RULE_SQL} AS predicted FROM mx WHERE {H} < 858993459)"
+
+
+def _test_rows(spark, sf):
+    _, test = SM.hash_split(_matrix(spark, sf))
+    return test.withColumn("predicted", rule_prediction())
+
+
+@query("regression_metrics", with_ctes(
+    ["enc"], f"SELECT {r('avg(abs(laptime_normalized - predicted))', 4)} AS mae, "
+             f"{r('avg((laptime_normalized - predicted) * (laptime_normalized - predicted))', 4)} AS mse, "
+             f"{r('1e0 - sum((laptime_normalized - predicted) * (laptime_normalized - predicted)) / sum((laptime_normalized - (SELECT avg(laptime_normalized) FROM te)) * (laptime_normalized - (SELECT avg(laptime_normalized) FROM te)))', 4)} AS r2, "
+             "count(*) AS n FROM te", [MATRIX_CTE, TEST_SQL]))
+def q_regression_metrics(spark, sf):
+    """E01 + F26 on the test split (a fixed linear rule is the predictor)."""
+    from pitlane.operators.evaluate import regression_metrics
+    m = regression_metrics(_test_rows(spark, sf), REGRESSION_TARGET, "predicted")
+    return m.select(rh("mae", 4).alias("mae"), rh("mse", 4).alias("mse"), rh("r2", 4).alias("r2"), "n")
+
+
+RESULTS_SQL = (f"SELECT row_key, {r('laptime_normalized', 9)} AS real, {r('predicted', 9)} AS predicted, "
+               "lap_time_s AS laptime_s, tyre_life, position, compound, ers_status, superclipping_duration, "
+               "coalesce(race, 'Unknown') AS race, lap_number AS lap, race_progress FROM te")
+
+
+def _results(spark, sf):
+    from pitlane.sinks.results import results_projection
+    res = results_projection(_test_rows(spark, sf), REGRESSION_TARGET, "predicted")
+    return res.withColumn("real", rh("real", 9)).withColumn("predicted", rh("predicted", 9))
+
+
+@query("results_projection", with_ctes(["enc"], RESULTS_SQL, [MATRIX_CTE, TEST_SQL]))
+def q_results_projection(spark, sf):
+    """11 result columns of the test rows."""
+    return _results(spark, sf)
+
+
+@query("results_head50", with_ctes(["enc"], f"SELECT * FROM ({RESULTS_SQL}) ORDER BY row_key LIMIT 50",
+                                   [MATRIX_CTE, TEST_SQL]))
+def q_results_head50(spark, sf):
+    """First 50 result rows in key order."""
+    from pitlane.sinks.results import results_head
+    return results_head(_results(spark, sf))
+
+
+def _labels(spark, sf):
+    ensure_checkpoint_dir(spark)
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+REPORT_SQL = [
+    "lc AS (SELECT label, CAST(sum(sup) AS BIGINT) AS support, sum(prd) AS predicted, sum(tp) AS tp FROM ("
+    "SELECT CAST(quality AS VARCHAR) AS label, 1 AS sup, 0 AS prd, CASE WHEN quality = toxic THEN 1 ELSE 0 END AS tp "
+    "FROM labels UNION ALL SELECT CAST(toxic AS VARCHAR), 0, 1, 0 FROM labels) GROUP BY label)",
+    "per AS (SELECT label, coalesce(tp / nullif(predicted * 1e0, 0e0), 0e0) AS precision, "
+    "coalesce(tp / nullif(support * 1e0, 0e0), 0e0) AS recall, support FROM lc)",
+    "per2 AS (SELECT *, coalesce(2e0 * precision * recall / nullif(precision + recall, 0e0), 0e0) AS f1 FROM per)",
+    "rep AS (SELECT label, precision, recall, f1, support FROM per2 "
+    "UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per2 "
+    "UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), "
+    "sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per2 "
+    "UNION ALL SELECT 'accuracy', NULL, NULL, avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END), count(*) FROM labels)",
+]
+
+
+@query("classification_report", "WITH " + ",\n".join(REPORT_SQL) +
+       f"\nSELECT label, {r('precision', 6)} AS precision, {r('recall', 6)} AS recall, {r('f1', 6)} AS f1, "
+       "support FROM rep")
+def q_classification_report(spark, sf):
+    """E02 + E03 over labels: quality is the truth, toxic the prediction."""
+    from pitlane.operators.evaluate import classification_report
+    rep = classification_report(_labels(spark, sf), "quality", "toxic")
+    return rep.select("label", rh("precision", 6).alias("precision"), rh("recall", 6).alias("recall"),
+                      rh("f1", 6).alias("f1"), F.col("support").cast("bigint").alias("support"))
+
+
+@query("confusion_matrix",
+       "WITH lab AS (SELECT DISTINCT CAST(quality AS VARCHAR) AS l FROM labels UNION "
+       "SELECT DISTINCT CAST(toxic AS VARCHAR) FROM labels), "
+       "cnt AS (SELECT CAST(quality AS VARCHAR) AS truth, CAST(toxic AS VARCHAR) AS predicted, count(*) AS n "
+       "FROM labels GROUP BY ALL) "
+       "SELECT a.l AS truth, b.l AS predicted, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n FROM lab a CROSS JOIN lab b "
+       "LEFT JOIN cnt ON cnt.truth = a.l AND cnt.predicted = b.l")
+def q_confusion_matrix(spark, sf):
+    """All label pairs, zero-filled."""
+    from pitlane.operators.evaluate import confusion_matrix
+    return confusion_matrix(_labels(spark, sf), "quality", "toxic")
+
+
+EMB_HASH = hash_sql("CAST(vec_id AS VARCHAR)")
+SIL_SQL = (
+    f"WITH s AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, "
+    f"embedding[3]::DOUBLE AS x2 FROM embeddings ORDER BY {EMB_HASH}, CAST(vec_id AS VARCHAR) LIMIT 20000), "
+    "pr AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, "
+    "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS d "
+    "FROM s a JOIN s b ON a.vec_id <> b.vec_id), "
+    "pm AS (SELECT i, li, lj, avg(d) AS md FROM pr GROUP BY i, li, lj), "
+    "ab AS (SELECT i, max(CASE WHEN li = lj THEN md END) AS a, min(CASE WHEN li <> lj THEN md END) AS b FROM pm GROUP BY i), "
+    "sv AS (SELECT s.vec_id, CASE WHEN ab.a IS NULL OR greatest(ab.a, ab.b) = 0 THEN 0e0 "
+    "ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END AS sil FROM s LEFT JOIN ab ON s.vec_id = ab.i) "
+    f"SELECT {r('avg(sil)', 6)} AS silhouette, count(*) AS n_points FROM sv")
+
+
+@query("silhouette_small", SIL_SQL)
+def q_silhouette_small(spark, sf):
+    """Exact Euclidean silhouette of the embedding labels on the first three dimensions (<=20k sample)."""
+    from pitlane.operators.evaluate import silhouette
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    pts = emb.select(F.col("vec_id").cast("string").alias("row_key"), "label",
+                     *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
+    s = silhouette(pts, ["x0", "x1", "x2"], ["label"], max_points=20000)
+    n = SM.hash_sample(pts, 20000).agg(F.count(F.lit(1)).alias("n_points"))
+    return s.select(rh("label", 6).alias("silhouette")).join(n)  # two one-row frames
+
+
+@query("scalar_columns", "SELECT vec_id, label FROM embeddings")
+def q_scalar_columns(spark, sf):
+    """Keep only scalar columns (decided from the schema)."""
+    from pitlane.sources.telemetry import scalar_columns
+    return scalar_columns(spark.read.parquet(f"{sf}/embeddings.parquet"))

@@ -25,9 +25,12 @@ def read_telemetry_csv(spark: SparkSession, path: str | None) -> DataFrame:
     return _numeric_nan_to_null(raw.select([F.col(h).alias(n) for h, n, _ in S.TELEMETRY_COLUMNS]))
 
 
-def telemetry_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry rows derived from the events table (FIXTURES.md section 2.2)."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+def telemetry_from_testdata(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
+    """Telemetry rows derived from the events table (FIXTURES.md section 2.2).
+
+    with_time=True also keeps the sample id and time (event_id, ts) for live-style consumers.
+    """
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     u10 = F.col("user_id") % 10
     u20 = F.col("user_id") % 20
     return ev.select(
@@ -37,6 +40,7 @@ def telemetry_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(180.0) + F.col("value")).alias("speed_fl"),
         F.when(F.col("event_type") == "error", F.lit(None).cast("double"))
          .otherwise(F.lit(200.0) + F.col("value") / 2.0).alias("speed_st"),
+        *([F.col("event_id").alias("sample_id"), F.col("ts")] if with_time else []),
     )
 
 
@@ -47,7 +51,8 @@ telemetry AS (
     CASE WHEN user_id % 20 = 1 THEN 'VER' ELSE 'D' || CAST(user_id % 20 AS VARCHAR) END AS driver,
     CAST(event_id % 60 + 1 AS INTEGER) AS lap_number,
     180e0 + value AS speed_fl,
-    CASE WHEN event_type = 'error' THEN NULL ELSE 200e0 + value / 2e0 END AS speed_st
+    CASE WHEN event_type = 'error' THEN NULL ELSE 200e0 + value / 2e0 END AS speed_st,
+    event_id AS sample_id, ts
   FROM events
 )"""
 
