@@ -773,3 +773,109 @@ def q_scalar_columns(spark, sf):
     """Keep only scalar columns (decided from the schema)."""
     from pitlane.sources.telemetry import scalar_columns
     return scalar_columns(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+# --------------------------------------------------------------------------- history tables
+
+ISO_SQL = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+def _events(spark, sf):
+    ensure_checkpoint_dir(spark)
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+@query("recent_events", "SELECT event_id, " + ISO_SQL.format(c="ts") + " AS ts, user_id, event_type, value "
+       "FROM events ORDER BY events.ts DESC NULLS LAST, event_id LIMIT 10")
+def q_recent_events(spark, sf):
+    """Ten newest events (TakeOrderedAndProject), timestamps as ISO text."""
+    from pitlane.sinks.history import iso_text
+    ev = _events(spark, sf)
+    top = ev.orderBy(F.col("ts").desc_nulls_last(), "event_id").limit(10)
+    return top.select("event_id", iso_text("ts").alias("ts"), "user_id", "event_type", "value")
+
+
+@query("recent_alerts",
+       "SELECT id, severity, title, description, " + ISO_SQL.format(c="ts") + " AS timestamp FROM "
+       "(SELECT md5('event#' || CAST(event_id AS VARCHAR)) AS id, 'CRÍTICO' AS severity, "
+       "'EVENT ' || upper(event_type) AS title, coalesce(props, '') AS description, ts FROM events "
+       "WHERE event_type = 'error') ORDER BY ts DESC NULLS LAST, id LIMIT 10")
+def q_recent_alerts(spark, sf):
+    """K07 + S07: alert history built from error events, ten newest."""
+    from pitlane.sinks.history import alert_rows_from_events, recent
+    return recent(alert_rows_from_events(_events(spark, sf)))
+
+
+def _pred_sql():
+    s = _speed_sql()
+    thr = f"greatest(0e0, least(100e0, 55e0 + ({s} - 200e0) * 0.25e0))"
+    prog = "(CASE WHEN race_progress IS NULL OR race_progress = 0 THEN 0.5e0 ELSE race_progress END)"
+
+    def rd(x):
+        return f"round_even(({x}) * 10e0, 0) / 10e0"
+    return (
+        "SELECT id, predicted_laptime, status, velocidad, soc_bateria, mguk_kw, throttle_pct, aero_mode, temp_bateria, "
+        + ISO_SQL.format(c="ts") + " AS timestamp FROM ("
+        f"SELECT md5('sample#' || CAST(sample_id AS VARCHAR)) AS id, {live_duration_sql()} AS predicted_laptime, "
+        f"{live_status_sql(live_duration_sql())} AS status, {rd(s)} AS velocidad, "
+        f"{rd(f'greatest(30e0, 85e0 - {prog} * 40e0)')} AS soc_bateria, {rd(f'280e0 + {thr} * 0.8e0')} AS mguk_kw, "
+        f"{rd(thr)} AS throttle_pct, CASE WHEN {s} > 250e0 THEN 'STRAIGHT MODE' ELSE 'CORNER MODE' END AS aero_mode, "
+        f"{rd('38e0 + tyre_life * 0.4e0')} AS temp_bateria, ts FROM "
+        "(SELECT t.speed_fl, t.speed_st, t.sample_id, t.ts, f.race_progress, f.tyre_life, f.normalized_tyre_life, "
+        "f.lap_time_delta FROM telemetry t JOIN fpl f USING (lap_number) "
+        "WHERE t.team = 'Red Bull Racing' AND t.driver = 'VER')) ORDER BY timestamp DESC, id LIMIT 10")
+
+
+@query("recent_predictions", with_ctes(["laps", "telemetry"], _pred_sql(), FEED_SQL + [FIRST_SQL]))
+def q_recent_predictions(spark, sf):
+    """K06 + S07: one superclipping prediction per telemetry sample of the feed; ten newest."""
+    from pitlane.operators import feed as FD
+    from pitlane.sinks.history import prediction_rows, recent
+    from pitlane.sources.telemetry import telemetry_from_testdata
+    feed = FD.build_feed(laps(spark, sf), None)
+    samples = telemetry_from_testdata(spark, sf, with_time=True).filter(
+        (F.col("team") == "Red Bull Racing") & (F.col("driver") == "VER"))
+    return recent(prediction_rows(feed, samples))
+
+
+# --------------------------------------------------------------------------- registry and long metrics
+
+def _reg_sql():
+    reg = ORACLE["regression_metrics"]
+    rep = "WITH " + ",\n".join(REPORT_SQL) + "\n"
+    return (
+        f"SELECT 'regression' AS model, 'local' AS source, 'r2' AS metric_name, {r('r2', 4)} AS metric FROM ({reg}) "
+        f"UNION ALL SELECT 'decision_tree', 'local', 'accuracy', {r('f1', 4)} FROM ({rep} SELECT f1 FROM rep "
+        "WHERE label = 'accuracy') "
+        f"UNION ALL SELECT 'kmeans', 'local', 'silhouette_score', {r('silhouette', 4)} FROM ({SIL_SQL}) "
+        f"UNION ALL SELECT 'svm', 'local', 'best_recall', {r('recall', 4)} FROM ({rep} SELECT recall FROM rep "
+        "WHERE label = '1')")
+
+
+@query("registry_union", _reg_sql())
+def q_registry_union(spark, sf):
+    """One provenance row per model family, each from its own metric document."""
+    from pitlane.plans.registry import provenance_union
+    docs = {
+        "regression": q_regression_metrics(spark, sf).select(F.col("r2")),
+        "decision_tree": q_classification_report(spark, sf).filter(F.col("label") == "accuracy")
+                                                              .select(F.col("f1").alias("accuracy")),
+        "kmeans": q_silhouette_small(spark, sf).select(F.col("silhouette").alias("silhouette_score")),
+        "svm": q_classification_report(spark, sf).filter(F.col("label") == "1")
+                                                   .select(F.col("recall").alias("best_recall")),
+    }
+    u = provenance_union(docs)
+    return u.select("model", "source", "metric_name", rh("metric", 4).alias("metric"))
+
+
+@query("metrics_long",
+       "WITH " + ",\n".join(REPORT_SQL) + "\nSELECT 'local' AS run_id, 'metric' AS kind, "
+       "CASE WHEN label = 'accuracy' THEN 'dt_accuracy' ELSE 'dt_f1_' || replace(replace(label, ' ', '_'), 'Í', 'I') END "
+       f"AS name, {r('f1', 6)} AS value FROM rep UNION ALL "
+       "SELECT 'local', 'param', 'n_rows', CAST(count(*) AS DOUBLE) FROM labels")
+def q_metrics_long(spark, sf):
+    """K14 + F20: metrics and parameters flattened to (run, kind, name, value) rows."""
+    from pitlane.plans.registry import metrics_long
+    rep = q_classification_report(spark, sf)
+    n = _labels(spark, sf).agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
+    return metrics_long(rep, n, run_id="local")

@@ -77,7 +77,8 @@ def recent(df: DataFrame, k: int = C.RECENT_LIMIT, ts: str = "timestamp") -> Dat
     orderBy + limit plans as TakeOrderedAndProject: each task keeps k rows.
     """
     top = df.orderBy(F.col(ts).desc_nulls_last(), F.col("id")).limit(k)
-    cols = [iso_text(c).alias(c.lower()) if c == ts else F.col(c).alias(c.lower()) for c in df.columns]
+    cols = [iso_text(c).alias(c.lower()) if c == ts else F.col(c).alias(c.lower())
+            for c in df.columns if c not in ("event_date", "batch_id")]
     return top.select(*cols)
 
 
