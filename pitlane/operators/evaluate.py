@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,15 +14,22 @@ from pyspark.sql import types as T
 from pitlane.operators.dims import scalar
 from pitlane.operators.sampling import hash_sample
 
+# The silhouette block function runs in Python workers; ship this module's code by
+# value so workers do not need the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """MAE, MSE and R^2 in one aggregate (the mean of y is a scalar subquery)."""
-    ybar = scalar(df, F.avg(y))
+    """MAE, MSE and R^2 in one aggregate pass.
+
+    The total sum of squares is n * var_pop(y): Spark's central-moment aggregate
+    is numerically stable and needs no second pass for the mean.
+    """
     e = F.col(y) - F.col(p)
     return df.agg(
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"),
-        (F.lit(1.0) - F.sum(e * e) / F.sum((F.col(y) - ybar) * (F.col(y) - ybar))).alias("r2"),
+        (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
         F.count(F.lit(1)).alias("n"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -42,16 +43,29 @@ def cluster_frame(prepared: DataFrame) -> DataFrame:
     return prepared.na.drop(subset=S.CLUSTER_FEATURES + ["compound_encoded"])
 
 
+def _fit_one(data: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
+    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
+                initMode="k-means||")
+    return km.fit(data)
+
+
+def _fit_many(data: DataFrame, ks: list[int], n_init: int, seed: int, max_iter: int,
+              parallelism: int = 8) -> dict[int, KMeansModel]:
+    """ML05 for several k: every (k, start) fit is its own Spark job; jobs run concurrently
+    (like a parameter search), and per k the start with the lowest training cost wins."""
+    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(lambda t: (t[0], _fit_one(data, t[0], t[1], max_iter)), tasks))
+    best: dict[int, KMeansModel] = {}
+    for k, m in fitted:  # in task order, so a cost tie keeps the earlier start
+        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = m
+    return best
+
+
 def _fit_best(data: DataFrame, k: int, n_init: int, seed: int, max_iter: int) -> KMeansModel:
     """ML05: best of n_init k-means runs (lowest training cost)."""
-    best = None
-    for i in range(n_init):
-        km = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
-                    initMode="k-means||")
-        m = km.fit(data)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+    return _fit_many(data, [k], n_init, seed, max_iter)[k]
 
 
 def relabel_by_centre(model: KMeansModel) -> dict[int, int]:
@@ -82,15 +96,19 @@ def assign(model: KMeansModel, mapping: dict[int, int], scaled: DataFrame) -> Da
 
 
 def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int = C.KMEANS_SWEEP_SAMPLE,
-                 n_init: int = 10, seed: int = 42, max_iter: int = 50):
+                 n_init: int = 10, seed: int = 42, max_iter: int = 20):
     """ML06: per k, the best-of-n fit on a hash sample; inertia (E06) and Euclidean silhouette.
 
-    The silhouette distances are computed once for all k (seven labelings at once).
+    The sample is bounded (sample_size rows), so it is kept in two partitions:
+    the fits are then dominated by per-iteration scheduling, which the
+    concurrent fits of _fit_many amortise. The silhouette distances are computed
+    once for all k (seven labelings at once).
     """
-    sample = hash_sample(scaled, sample_size).persist()
+    sample = hash_sample(scaled, sample_size).coalesce(2).persist()
     inertias, labelled = {}, sample
+    models = _fit_many(sample, list(k_range), n_init, seed, max_iter)
     for k in k_range:
-        m = _fit_best(sample, k, n_init, seed, max_iter)
+        m = models[k]
         inertias[k] = float(m.summary.trainingCost)
         labelled = m.transform(labelled).withColumnRenamed("cluster", f"k{k}")
     arr = labelled.withColumn("_v", vector_to_array("features"))
@@ -109,7 +127,7 @@ def choose_k(silhouettes: dict[int, float]) -> int:
 
 
 def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample_size: int = C.KMEANS_SWEEP_SAMPLE,
-                   k_range=C.KMEANS_K_RANGE, max_iter: int = 50, with_pca: bool = True) -> ClusterResult:
+                   k_range=C.KMEANS_K_RANGE, max_iter: int = 20, with_pca: bool = True) -> ClusterResult:
     data = cluster_frame(prepared)
     scaler = Standardizer.fit(data, S.CLUSTER_FEATURES)
     scaled = scaler.transform(data).persist()

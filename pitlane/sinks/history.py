@@ -131,6 +131,9 @@ def prediction_rows(feed: DataFrame, samples: DataFrame) -> DataFrame:
 
 def telemetry_rows(laps: DataFrame, ts: Column | None = None) -> DataFrame:
     """Lap rows for telemetry_data (nothing wrote this table in the analysed system)."""
+    for c in ("speed_fl", "speed_st"):
+        if c not in laps.columns:
+            laps = laps.withColumn(c, F.lit(None).cast("double"))
     s = laps.withColumn("speed_kmh", speed())
     st = car_state_columns()
     payload = s.select(
