@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlane import schemas as S
 from pitlane.functions import lookup, risk
-from pitlane.operators.dims import join_dim, scalar
+from pitlane.operators.dims import checked_dim, scalar
 
 
 def median_of(c, exact: bool = True) -> Column:
@@ -57,45 +57,62 @@ def race_medians(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.groupBy("race").agg(median_of("lap_time_s", exact).alias("laptime_baseline"))
 
 
-def attach_race_baseline(df: DataFrame, exact: bool = True) -> DataFrame:
-    """J02 + F10: attach the race median; a null race finds no match so its baseline stays null."""
-    dim = race_medians(df, exact).filter(F.col("race").isNotNull())
-    out = join_dim(df, dim, "race", "left")
-    return out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
-
-
 def race_text(c="race") -> Column:
     """Race as text for encoding; missing is the text 'nan'."""
     return F.coalesce(F.col(c), F.lit("nan"))
 
 
-def race_codes(df: DataFrame) -> DataFrame:
-    """W01 dimension: zero-based alphabetical code per distinct race text.
+def race_dimension(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """One small dimension for J02 and W01: per race its median lap time and its code.
 
-    The window has no partition key on purpose: it runs over the distinct race
-    dimension (tens of rows), never over laps.
+    A02 groups the rows by race (partial aggregation, so a hot race is never
+    collected in one task); the zero-based alphabetical code of the race text
+    is a row number over this dimension (tens of rows), so the window without a
+    partition key never sees lap rows. The null race keeps no baseline (a null
+    key finds no group in the reference either) but gets the code of 'nan'.
     """
-    d = df.select(race_text().alias("race_text")).distinct()
-    return d.withColumn("race_encoded", (F.row_number().over(Window.orderBy("race_text")) - 1).cast("int"))
+    g = race_medians(rows, exact)
+    g = g.withColumn("laptime_baseline", F.when(F.col("race").isNotNull(), F.col("laptime_baseline")))
+    g = g.withColumn("race_text", race_text())
+    return g.withColumn("race_encoded", (F.dense_rank().over(Window.orderBy("race_text")) - 1).cast("int"))
+
+
+def _join_race_dim(df: DataFrame, dim: DataFrame, cols: list[str]) -> DataFrame:
+    d = checked_dim(dim.select(F.col("race").alias("_dim_race"), *cols))
+    return df.join(d, df["race"].eqNullSafe(d["_dim_race"]), "left").drop("_dim_race")
+
+
+def attach_race_baseline(df: DataFrame, exact: bool = True) -> DataFrame:
+    """J02 + F10: attach the race median; a null race gets no baseline."""
+    out = _join_race_dim(df, race_dimension(df, exact), ["laptime_baseline"])
+    return out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
+
+
+def race_codes(df: DataFrame) -> DataFrame:
+    """W01 dimension: zero-based alphabetical code per distinct race text."""
+    return race_dimension(df).select("race_text", "race_encoded").distinct()
 
 
 def attach_race_code(df: DataFrame) -> DataFrame:
-    out = df.withColumn("race_text", race_text())
-    return join_dim(out, race_codes(df), "race_text", "left").drop("race_text")
+    return _join_race_dim(df, race_dimension(df), ["race_encoded"])
 
 
-def attach_year_offset(df: DataFrame) -> DataFrame:
-    """year - min(year) over all rows (scalar subquery)."""
-    y0 = scalar(df, F.min(F.col("year").cast("int")))
+def year_offset_base(rows: DataFrame) -> Column:
+    return scalar(rows, F.min(F.col("year").cast("int")))
+
+
+def attach_year_offset(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """year - min(year) over all rows (scalar subquery over `rows`, default `df`)."""
+    y0 = year_offset_base(rows if rows is not None else df)
     return df.withColumn("year_encoded", (F.col("year").cast("int") - y0).cast("int"))
 
 
-def encode(df: DataFrame, exact: bool = True) -> DataFrame:
-    """F09, J02/F10, W01, F11 on cleaned rows."""
-    out = df.withColumn("compound_encoded", lookup.compound_code())
-    out = attach_race_baseline(out, exact)
-    out = attach_race_code(out)
-    return attach_year_offset(out)
+def encode(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """F09, J02/F10, W01, F11 on cleaned rows: one dimension join, one merged scalar subquery."""
+    out = rows.withColumn("compound_encoded", lookup.compound_code())
+    out = _join_race_dim(out, race_dimension(rows, exact), ["laptime_baseline", "race_encoded"])
+    out = out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
+    return attach_year_offset(out, rows)
 
 
 def ers_bounds(df: DataFrame) -> tuple[Column, Column]:
@@ -118,11 +135,14 @@ def dashboard_fields(df: DataFrame, bounds: tuple | None = None) -> DataFrame:
 
 
 def prepare(laps: DataFrame, exact: bool = True, encode_features: bool = True) -> DataFrame:
-    """Full training frame: clean rows, encodings and dashboard fields."""
+    """Full training frame: clean rows, encodings and dashboard fields.
+
+    Every global statistic (year offset, risk bounds) is a scalar subquery over
+    the same cleaned rows, so Catalyst merges them into one aggregate job.
+    """
     rows = clean_rows(laps, exact)
-    if encode_features:
-        rows = encode(rows, exact)
-    return dashboard_fields(rows)
+    out = encode(rows, exact) if encode_features else rows
+    return dashboard_fields(out, ers_bounds(rows))
 
 
 def row_accounting(laps: DataFrame, exact: bool = True) -> DataFrame:

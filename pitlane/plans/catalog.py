@@ -18,7 +18,7 @@ from pitlane.operators import clean as CL
 from pitlane.operators import dashboards as DB
 from pitlane.plans.oracle_sql import r, with_ctes
 from pitlane.session import ensure_checkpoint_dir
-from pitlane.sources.laps import laps_from_testdata
+from pitlane.sources.laps import testdata_lap_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,8 +34,9 @@ def query(name: str, sql: str | None = None):
 
 
 def laps(spark: SparkSession, sf: str) -> DataFrame:
+    """The lap table of the input folder (derived once, stored partitioned by year)."""
     ensure_checkpoint_dir(spark)
-    return laps_from_testdata(spark, sf)
+    return testdata_lap_table(spark, sf)
 
 
 def cleaned(spark, sf) -> DataFrame:
