@@ -119,6 +119,15 @@ def _fit_kernel(kernel: str, train: DataFrame, scaler: Standardizer, n_train: in
     return shell
 
 
+def pick_kernel(recalls: list[tuple[str, float]]) -> str:
+    """Highest recall; a tie goes to the kernel tried later (>= comparison)."""
+    best, best_recall = None, -1.0
+    for name, rec in recalls:
+        if rec >= best_recall:
+            best, best_recall = name, rec
+    return best
+
+
 def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float = 1.0, n_components: int = 64,
                  seed: int = 42, max_iter: int = 100) -> SafetyResult:
     """ML08-ML11: both kernels, recall on the test split, the later kernel wins a recall tie."""
@@ -132,7 +141,7 @@ def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float
     n_train = train.count()
     scaler = Standardizer.fit(train, S.SAFETY_FEATURES)
     rff = FourierMap.draw(len(S.SAFETY_FEATURES), n_components, seed=seed)
-    results, models, best_name, best_recall, best_scored = {}, {}, None, -1.0, None
+    results, models, preds, recalls = {}, {}, {}, []
     for kernel in ("linear", "rbf"):
         m = _fit_kernel(kernel, train, scaler, n_train, c, rff if kernel == "rbf" else None, max_iter)
         pred = m.predict(test)
@@ -140,9 +149,10 @@ def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float
         pos = rep.get("1", {"precision": 0.0, "recall": 0.0, "f1": 0.0})
         results[kernel] = {"accuracy": round(rep["accuracy"]["f1"], 4), "precision": round(pos["precision"], 4),
                            "recall": round(pos["recall"], 4), "f1": round(pos["f1"], 4)}
-        models[kernel] = m
-        if pos["recall"] >= best_recall:  # ties go to the later kernel
-            best_name, best_recall, best_scored = kernel, pos["recall"], pred
+        models[kernel], preds[kernel] = m, pred
+        recalls.append((kernel, pos["recall"]))
+    best_name = pick_kernel(recalls)
+    best_recall, best_scored = dict(recalls)[best_name], preds[best_name]
     bal = marked.agg(F.sum(S.SAFETY_TARGET).alias("pos"), F.count(F.lit(1)).alias("n"),
                      F.sum(F.col("is_test").cast("int")).alias("n_test")).first()
     train.unpersist()

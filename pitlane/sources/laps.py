@@ -43,11 +43,22 @@ def read_laps_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_laps_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Laps stored as Parquet with internal names (e.g. partitioned by year)."""
+    """Laps from foreign Parquet with internal names: normalised on read (null rules, row key)."""
     df = spark.read.parquet(path)
     return normalize_laps(df)
 
 
+def write_lap_table(laps: DataFrame, path: str) -> None:
+    """Store laps normalised, partitioned by year: reads then need no per-row rules and keep pushdown."""
+    normalize_laps(laps).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_lap_table(spark: SparkSession, path: str) -> DataFrame:
+    """A lap table written by write_lap_table: fixed schema, no expressions on read, so driver,
+    race and lap filters reach the Parquet reader and year filters prune partitions."""
+    return spark.read.schema(S.LAPS).parquet(path)
+
+
 def normalize_laps(df: DataFrame) -> DataFrame:
     """Apply the null rules and attach a row key when the source has none."""
     names = [n for _, n, _ in S.LAP_COLUMNS]
@@ -178,6 +189,6 @@ def testdata_lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if path is None:
         tag = hashlib.md5("|".join(key).encode()).hexdigest()[:16]
         path = scratch_path(spark, f"laps-{tag}")
-        laps_from_testdata(spark, sf_dir).write.mode("overwrite").partitionBy("year").parquet(path)
+        write_lap_table(laps_from_testdata(spark, sf_dir), path)
         _LAP_TABLES[key] = path
-    return normalize_laps(spark.read.schema(S.LAPS).parquet(path))
+    return read_lap_table(spark, path)
