@@ -10,10 +10,27 @@ from pitlane.functions import lookup, risk
 from pitlane.operators.dims import checked_dim, scalar
 
 
-def median_of(c, exact: bool = True) -> Column:
-    """Interpolated median. `exact=False` uses a bounded-memory sketch for huge distinct counts."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.median(col) if exact else F.percentile_approx(col, 0.5, 10000).cast("double")
+def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Linear-interpolated quantiles of `c` (per `keys` group), as column `q` (a double, or an array for a list).
+
+    Exact mode is two-stage: a distributed count per (keys, value) -- partial
+    aggregation combines hot values map-side and the shuffle spreads values over
+    all tasks -- and then the frequency-weighted percentile over the distinct
+    values only. The last step therefore holds one entry per distinct value,
+    never one per row nor one per (task, value). exact=False uses the
+    bounded-memory sketch (percentile_approx) for unbounded value domains.
+    """
+    keys = list(keys or [])
+    if not exact:
+        return df.groupBy(*keys).agg(F.percentile_approx(c, qs, 10000).alias("q"))
+    hist = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_freq"))
+    return hist.groupBy(*keys).agg(F.percentile(F.col(c), qs, F.col("_freq")).alias("q"))
+
+
+def global_quantile(df: DataFrame, c: str, qs, exact: bool = True) -> Column:
+    """Scalar-subquery form of `quantiles` over all rows."""
+    return quantiles(df, c, qs, exact=exact).select(F.col("q").cast("double") if not isinstance(qs, list)
+                                                    else F.col("q")).scalar()
 
 
 def drop_incomplete(laps: DataFrame, subset=None) -> DataFrame:
@@ -23,13 +40,13 @@ def drop_incomplete(laps: DataFrame, subset=None) -> DataFrame:
 
 def laptime_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     """Global median and sample standard deviation of the lap time (one row)."""
-    return df.agg(median_of("lap_time_s", exact).alias("median_s"),
-                  F.stddev_samp("lap_time_s").alias("std_s"))
+    return df.agg(F.stddev_samp("lap_time_s").alias("std_s")).select(
+        global_quantile(df, "lap_time_s", 0.5, exact).alias("median_s"), "std_s")
 
 
 def trim_threshold(df: DataFrame, exact: bool = True) -> Column:
-    """median + 2*stddev_samp of the lap time as a scalar subquery over `df`."""
-    return scalar(df, median_of("lap_time_s", exact) + F.lit(2.0) * F.stddev_samp("lap_time_s"))
+    """median + 2*stddev_samp of the lap time (two scalar subqueries over `df`)."""
+    return global_quantile(df, "lap_time_s", 0.5, exact) + F.lit(2.0) * scalar(df, F.stddev_samp("lap_time_s"))
 
 
 def trim_outliers(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -53,8 +70,13 @@ def clean_rows(laps: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def race_medians(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Median lap time per race; races pooled across years; the null race is its own group."""
-    return df.groupBy("race").agg(median_of("lap_time_s", exact).alias("laptime_baseline"))
+    """Median lap time per race; races pooled across years; the null race is its own group.
+
+    Two-stage (see `quantiles`): a race holding a third of all laps still sends
+    only its distinct lap times to the final step.
+    """
+    return quantiles(df, "lap_time_s", 0.5, ["race"], exact).select(
+        "race", F.col("q").cast("double").alias("laptime_baseline"))
 
 
 def race_text(c="race") -> Column:

@@ -79,9 +79,9 @@ def q_clean_dropna(spark, sf):
 def q_laptime_stats(spark, sf):
     """A01 over the complete rows."""
     p01 = CL.drop_incomplete(laps(spark, sf))
-    return p01.agg(rh(F.median("lap_time_s"), 6).alias("median_s"),
-                   rh(F.stddev_samp("lap_time_s"), 6).alias("std_s"),
-                   F.count(F.lit(1)).alias("n"))
+    st = CL.laptime_stats(p01)
+    return st.select(rh("median_s", 6).alias("median_s"), rh("std_s", 6).alias("std_s"),
+                     p01.select(F.count(F.lit(1))).scalar().alias("n"))
 
 
 @query("clean_outlier_trim", with_ctes(["trimmed"], f"SELECT {LAP_COLS_SQL} FROM trimmed"))
@@ -223,7 +223,7 @@ def _event_frame(spark, sf):
     from pitlane.functions.risk import critical_event
     from pitlane.operators.dims import scalar
     s = scored(spark, sf)
-    q = scalar(s, F.percentile("lap_time_delta", [0.05, 0.95]))
+    q = CL.global_quantile(s, "lap_time_delta", [0.05, 0.95])
     return s.withColumn("evento_critico", critical_event("lap_time_delta", "ers_risk", q[0], q[1]))
 
 
@@ -237,7 +237,7 @@ EVENT_CTE = ("ev AS (SELECT status.*, CASE WHEN (lap_time_delta > p95 OR lap_tim
                                                   f"{r('quantile_cont(lap_time_delta, 0.95)', 9)} AS p95 FROM status"))
 def q_delta_percentiles(spark, sf):
     """Exact linear-interpolated 5th/95th percentiles."""
-    s = scored(spark, sf).agg(F.percentile("lap_time_delta", [0.05, 0.95]).alias("q"))
+    s = CL.quantiles(scored(spark, sf), "lap_time_delta", [0.05, 0.95])
     return s.select(rh(F.col("q")[0], 9).alias("p5"), rh(F.col("q")[1], 9).alias("p95"))
 
 

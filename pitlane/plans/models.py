@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.operators.dims import join_dim
+from pitlane.operators.dims import join_dim, scalar
 
 
 @dataclass
@@ -54,17 +54,11 @@ class Standardizer:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """ML10: balanced weight n_total / (n_classes * n_class) per class (one row per class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(_all())
-    k = F.count(F.lit(1)).over(_all())
+    total = scalar(counts, F.sum("n"))
+    k = scalar(counts, F.count(F.lit(1)))
     return counts.select(label, "n", (total.cast("double") / (k * F.col("n"))).alias("weight"))
 
 
-def _all():
-    from pyspark.sql import Window
-    # over the per-class count table (a handful of rows), never over data rows
-    return Window.partitionBy()
-
-
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
     return join_dim(df, w, label, "left")

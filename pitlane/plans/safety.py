@@ -32,7 +32,8 @@ CALIBRATION_SEED = 777
 
 def with_event_label(scored: DataFrame) -> DataFrame:
     """F19 with A05 percentiles as one scalar subquery."""
-    q = scalar(scored, F.percentile("lap_time_delta", [C.EVENT_LOW_Q, C.EVENT_HIGH_Q]))
+    from pitlane.operators.clean import global_quantile
+    q = global_quantile(scored, "lap_time_delta", [C.EVENT_LOW_Q, C.EVENT_HIGH_Q])
     return scored.withColumn(S.SAFETY_TARGET, critical_event("lap_time_delta", "ers_risk", q[0], q[1]))
 
 
