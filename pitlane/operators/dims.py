@@ -6,16 +6,18 @@ several subqueries over the same input into one job. Nothing is broadcast
 whose size is not bounded.
 
 Dimensions derived from the data (per-race medians, race codes, class counts)
-are materialised in the shared checkpoint folder, counted, and broadcast only
+are written as Parquet tables in the shared checkpoint folder, counted, and broadcast only
 when the count is under a bound; above it the join stays a shuffle join.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlane.session import ensure_checkpoint_dir
+from pitlane.session import scratch_path
 
 # Rows a dimension may have and still be broadcast (a few MB at most for the
 # narrow dimensions used here).
@@ -28,9 +30,16 @@ def scalar(df: DataFrame, expr: Column) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a small intermediate result to the shared checkpoint folder and cut lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result as a Parquet table in the shared checkpoint folder and read it back.
+
+    One job computes and writes it (an RDD checkpoint would compute it twice);
+    the read-back cuts lineage, survives executor loss, and gives the planner
+    the real file size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"dim-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checked_dim(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
