@@ -157,6 +157,13 @@ def silhouette(df: DataFrame, features: list[str], label_cols: list[str], key: s
     return per_point.agg(*[F.avg(f"s{j}").alias(c) for j, c in enumerate(label_cols)])
 
 
+def real_vs_predicted(df: DataFrame, real: str, pred: str, key: str = "row_key", n: int = 60):
+    """The first n (real, predicted) pairs in key order and the diagonal's min/max (as tables)."""
+    head = df.select(key, F.col(real).alias("real"), F.col(pred).alias("predicted")).orderBy(key).limit(n)
+    diag = df.agg(F.least(F.min(real), F.min(pred)).alias("lo"), F.greatest(F.max(real), F.max(pred)).alias("hi"))
+    return head, diag
+
+
 def best_by(df: DataFrame, score: str, tiebreak: str, prefer_larger_tiebreak: bool) -> DataFrame:
     """The row with the highest score; ties by the tie-break column (smallest or largest)."""
     tb = F.col(tiebreak) if prefer_larger_tiebreak else -F.col(tiebreak)

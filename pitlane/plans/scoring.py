@@ -33,12 +33,29 @@ class ScoringContext:
     race_medians: DataFrame  # race -> laptime_baseline (one row per race)
 
 
+def _require(model, what: str):
+    if model is None:
+        raise RuntimeError(f"{what} model not loaded; train it first (the other scorers still work)")
+
+
+def demo_lap_frame(spark) -> DataFrame:
+    """The defaulted one-row lap used when no lap is available for scoring."""
+    d = dict(C.DEMO_LAP)
+    return spark.createDataFrame([(
+        "demo", d["lap_number"], d["normalized_tyre_life"], d["race_progress"], d["lap_time_delta"],
+        d["tyre_life"], d["compound"], d["lap_time_s"], d["cumulative_degradation"], d["race"])],
+        "row_key string, lap_number int, normalized_tyre_life double, race_progress double, "
+        "lap_time_delta double, tyre_life double, compound string, lap_time_s double, "
+        "cumulative_degradation double, race string")
+
+
 def _with_compound(df: DataFrame) -> DataFrame:
     return df if "compound_encoded" in df.columns else df.withColumn("compound_encoded", lookup.compound_code())
 
 
 def score_risk_class(ctx: ScoringContext, laps: DataFrame) -> DataFrame:
     """ML12: ERS class, three probabilities and colour per lap (rows with complete features)."""
+    _require(ctx.tree_model, "risk classification")
     x = _with_compound(laps).na.drop(subset=S.TREE_FEATURES)
     out = predict_status(ctx.tree_model, ctx.tree_classes, x)
     return out.select("row_key", F.col("predicted_status").alias("ers_status_predicted"), "prob_normal",
@@ -55,6 +72,7 @@ def _laptime_normalized(ctx: ScoringContext, laps: DataFrame, mode: str) -> Data
 
 def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "train") -> DataFrame:
     """ML13: cluster id, label, interpretation sentence and the cluster's profile means."""
+    _require(ctx.clusters, "cluster")
     c = ctx.clusters
     x = _laptime_normalized(ctx, laps, mode).na.drop(subset=S.CLUSTER_FEATURES)
     a = assign(c.model, c.mapping, c.scaler.transform(x)).drop("features")
@@ -73,6 +91,7 @@ def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "train") ->
 
 def score_safety(ctx: ScoringContext, laps: DataFrame, mode: str = "train") -> DataFrame:
     """ML14: critical flag from the SVM and the calibrated probability (they may disagree)."""
+    _require(ctx.safety, "safety")
     if mode == "live" or "ers_risk" not in laps.columns:
         if mode == "live":
             x = laps.withColumn("ers_risk", risk.live_risk())

@@ -104,3 +104,26 @@ def test_dashboard_stream_matches_batch(spark, run, sf_small, tmp_path):
     batch = CL.dashboard_fields(rows, run.ers_bounds).filter(F.col("ers_status").isNotNull()).groupBy(
         "ers_status").count().collect()
     assert got == {r["ers_status"]: r["count"] for r in batch}
+
+
+def test_context_save_load_and_missing_model(spark, run, sf_small, tmp_path):
+    import shutil
+
+    from pitlane.plans.persist import load_context, save_context
+    from pitlane.plans.scoring import demo_lap_frame, score_clusters, score_risk_class, score_safety
+
+    p = str(tmp_path / "ctx")
+    save_context(run.context, p)
+    loaded = load_context(spark, p)
+    assert loaded.missing == {}
+    demo = demo_lap_frame(spark)
+    a = score_safety(run.context, demo).collect()
+    b = score_safety(loaded.context, demo).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    assert score_clusters(loaded.context, demo).count() == 1
+    shutil.rmtree(tmp_path / "ctx" / "tree")
+    partial = load_context(spark, p)
+    assert "risk_class" in partial.missing
+    with pytest.raises(RuntimeError):
+        score_risk_class(partial.context, demo)
+    assert score_safety(partial.context, demo).count() == 1

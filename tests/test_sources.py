@@ -66,3 +66,57 @@ def test_init_tables(spark, tmp_path):
     H.init_tables(spark, base)
     for t in S.HISTORY_TABLES:
         assert H.read_table(spark, base, t).count() == 0
+
+
+def test_scalar_export_reports_rows(spark, tmp_path):
+    from pitlane.sinks.results import export_scalar_csv
+
+    df = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b")], "a int, v array<double>, s string")
+    info = export_scalar_csv(df, str(tmp_path / "out"))
+    assert info == {"rows": 2, "columns": ["a", "s"]}
+
+
+def test_provenance_precedence(spark):
+    from pitlane.plans.registry import provenance_union, resolve_provenance
+
+    docs = {"regression": spark.createDataFrame([(0.5,)], "r2 double"),
+            "svm": spark.createDataFrame([(1.0, "cloud")], "best_recall double, source string")}
+    u = {r["model"]: r for r in provenance_union(docs).collect()}
+    assert u["regression"]["metric"] == 0.5 and u["regression"]["source"] == "local"
+    assert u["svm"]["metric"] == 1.0 and u["svm"]["source"] == "cloud"
+    cand = spark.createDataFrame(
+        [("regression", "legacy", None, 0.1, None, 2), ("regression", "local", None, 0.5, None, 1),
+         ("svm", "consolidated", None, 0.9, "r1", 0)],
+        "model string, source string, trained_at timestamp, metric double, run_id string, priority int")
+    best = {r["model"]: r["source"] for r in resolve_provenance(cand).collect()}
+    assert best == {"regression": "local", "svm": "consolidated"}
+
+
+def test_text_helpers(spark):
+    from pitlane.functions.carstate import gap_text, interpretation, lap_event_log
+
+    df = spark.createDataFrame([(0.5, -0.0001, 42, "Stint estable (HARD)", 15.29, None)],
+                               "g double, h double, lap int, lab string, t double, d double")
+    r = df.select(gap_text("g", "+").alias("a"), gap_text("h", "-").alias("b"), lap_event_log("lap").alias("log"),
+                  interpretation("lap", "lab", "t", "d").alias("txt")).first()
+    assert r["a"] == "+0.5s" and r["b"] == "-0.001s"
+    assert r["log"][0]["time"] == "LAP 42" and len(r["log"]) == 3
+    assert r["txt"].startswith("Vuelta 42: perfil 'Stint estable (HARD)'") and "15.29" in r["txt"] and "N/A" in r["txt"]
+
+
+def test_real_vs_predicted(spark):
+    from pitlane.operators.evaluate import real_vs_predicted
+
+    df = spark.range(100).selectExpr("cast(id as string) as row_key", "id * 1.0 as y", "id * 2.0 as p")
+    head, diag = real_vs_predicted(df, "y", "p")
+    assert head.count() == 60
+    d = diag.first()
+    assert d["lo"] == 0.0 and d["hi"] == 198.0
+
+
+def test_or_default(spark):
+    from pitlane.functions.numeric import or_default
+
+    vals = [r[0] for r in spark.createDataFrame([(0.0,), (None,), (2.0,)], "x double").select(
+        or_default("x", 1.0)).collect()]
+    assert vals == [1.0, 1.0, 2.0]
