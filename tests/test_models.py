@@ -127,3 +127,26 @@ def test_context_save_load_and_missing_model(spark, run, sf_small, tmp_path):
     with pytest.raises(RuntimeError):
         score_risk_class(partial.context, demo)
     assert score_safety(partial.context, demo).count() == 1
+
+
+def test_save_run_writes_documents_and_models(spark, run, tmp_path):
+    from pitlane.plans.train_all import save_run
+    from pitlane.sinks.results import read_json_document
+
+    out = str(tmp_path / "run")
+    reg = save_run(run, out)
+    assert set(reg) == {"regression", "decision_tree", "kmeans", "svm"}
+    assert all(v["run_id"] == run.run_id and v["trained_at"] for v in reg.values())
+    doc = read_json_document(spark, f"{out}/ml/metrics_svm")
+    assert doc["best_kernel"] == run.safety.metrics["best_kernel"] and doc["run_id"] == run.run_id
+    dash = read_json_document(spark, f"{out}/data/dashboard")
+    assert set(dash) == {"telemetry_history", "ers_distribution", "avg_superclipping_by_compound",
+                         "avg_ers_risk_by_lap"}
+    assert 0 < len(dash["telemetry_history"]) <= 200
+    laps_sorted = [r["lap"] for r in dash["telemetry_history"]]
+    assert laps_sorted == sorted(laps_sorted)
+    assert set(dash["ers_distribution"]) == {"NORMAL", "ALERTA", "CRÍTICO"}
+    res = spark.read.option("header", True).csv(f"{out}/data/results")
+    from pitlane.sinks.results import RESULT_COLUMNS
+    assert set(RESULT_COLUMNS) <= set(res.columns)
+    assert res.count() == run.regression.metrics["n_test"]

@@ -171,3 +171,14 @@ def test_stratified_cap_exact(spark):
     out = SM.stratified_cap(df, "y", 500, exact=True)
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 450, 1: 50}
+
+
+def test_empty_driver_selection_is_an_error(spark):
+    import pytest
+
+    from pitlane.sources.laps import require_rows
+
+    df = _laps(spark, [_lap(1)])
+    with pytest.raises(ValueError):
+        require_rows(FD.driver_laps(df, "NOBODY"), "driver NOBODY")
+    assert require_rows(FD.driver_laps(df, "VER"), "driver VER").count() == 1
