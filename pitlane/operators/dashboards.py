@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +71,3 @@ def dashboard_document(df: DataFrame, n: int = C.DASHBOARD_SAMPLE) -> dict:
         "avg_superclipping_by_compound": by_comp,
         "avg_ers_risk_by_lap": by_lap,
     }
-
-
-def write_dashboard_document(doc: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=2, ensure_ascii=False)
