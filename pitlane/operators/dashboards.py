@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlane import constants as C
 from pitlane.functions.numeric import round_even, trunc_int
-from pitlane.operators.sampling import hash_rank
+from pitlane.operators.sampling import hash_sample
 
 
 def status_levels(spark) -> DataFrame:
@@ -36,10 +36,10 @@ def avg_risk_by_lap(df: DataFrame) -> DataFrame:
 def dashboard_sample(df: DataFrame, n: int = C.DASHBOARD_SAMPLE, seed: int = 42) -> DataFrame:
     """T04 + F25: reproducible sample of min(n, rows) rows, formatted for the dashboard.
 
-    Distributed top-k on a seeded hash of the row key (TakeOrderedAndProject):
-    every task keeps n rows, the driver merges at most tasks*n rows.
+    The n smallest seeded hashes of the row key (`hash_sample`: a count-sized
+    map-side prefilter, then a top-n over the few survivors).
     """
-    picked = df.withColumn("_h", hash_rank("row_key", seed)).orderBy("_h", "row_key").limit(n)
+    picked = hash_sample(df, n, seed)
     return picked.select(
         "row_key",
         trunc_int("lap_number").alias("lap"),
