@@ -220,11 +220,9 @@ def q_row_accounting(spark, sf):
 # --------------------------------------------------------------------------- critical-event rule
 
 def _event_frame(spark, sf):
-    from pitlane.functions.risk import critical_event
-    from pitlane.operators.dims import scalar
-    s = scored(spark, sf)
-    q = CL.global_quantile(s, "lap_time_delta", [0.05, 0.95])
-    return s.withColumn("evento_critico", critical_event("lap_time_delta", "ers_risk", q[0], q[1]))
+    """Scored laps with the F19 label (the same operator the SVM family trains on)."""
+    from pitlane.plans.safety import with_event_label
+    return with_event_label(scored(spark, sf))
 
 
 EVENT_CTE = ("ev AS (SELECT status.*, CASE WHEN (lap_time_delta > p95 OR lap_time_delta < p5) "

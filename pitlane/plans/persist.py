@@ -7,7 +7,6 @@ only its own scorer, and the reason is reported.
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, field
 

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions.risk import critical_event
-from pitlane.operators.dims import scalar
 from pitlane.operators.evaluate import classification_report
 from pitlane.operators.sampling import hash_rank, mark_split, stratified_cap
 from pitlane.plans.models import Standardizer, with_class_weight
