@@ -124,9 +124,15 @@ def year_offset_base(rows: DataFrame) -> Column:
 
 
 def attach_year_offset(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """year - min(year) over all rows (scalar subquery over `rows`, default `df`)."""
+    """year - min(year) over all rows (scalar subquery over `rows`, default `df`).
+
+    A missing year after cleaning is an error (the integer cast of the analysed
+    pipeline fails on it); it is raised inside the job, without an extra pass.
+    """
     y0 = year_offset_base(rows if rows is not None else df)
-    return df.withColumn("year_encoded", (F.col("year").cast("int") - y0).cast("int"))
+    offset = (F.col("year").cast("int") - y0).cast("int")
+    return df.withColumn("year_encoded", F.when(F.col("year").isNull(), F.raise_error(
+        F.lit("missing year after cleaning")).cast("int")).otherwise(offset))
 
 
 def encode(rows: DataFrame, exact: bool = True) -> DataFrame:

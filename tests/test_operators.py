@@ -182,3 +182,11 @@ def test_empty_driver_selection_is_an_error(spark):
     with pytest.raises(ValueError):
         require_rows(FD.driver_laps(df, "NOBODY"), "driver NOBODY")
     assert require_rows(FD.driver_laps(df, "VER"), "driver VER").count() == 1
+
+
+def test_missing_year_is_an_error(spark):
+    import pytest
+
+    df = _laps(spark, [_lap(1, year=None), _lap(2)])
+    with pytest.raises(Exception, match="missing year"):
+        CL.attach_year_offset(df).collect()
