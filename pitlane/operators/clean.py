@@ -10,7 +10,17 @@ from pitlane.functions import lookup, risk
 from pitlane.operators.dims import checked_dim, scalar
 
 
-def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None, exact: bool = True) -> DataFrame:
+EXACT_CONF = "pitlane.quantiles.exact"
+
+
+def _exact(df: DataFrame, exact: bool | None) -> bool:
+    """Explicit argument, else the session setting pitlane.quantiles.exact (default true)."""
+    if exact is not None:
+        return exact
+    return str(df.sparkSession.conf.get(EXACT_CONF, "true")).lower() != "false"
+
+
+def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None, exact: bool | None = None) -> DataFrame:
     """Linear-interpolated quantiles of `c` (per `keys` group), as column `q` (a double, or an array for a list).
 
     Exact mode is two-stage: a distributed count per (keys, value) -- partial
@@ -21,13 +31,13 @@ def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None, exact: b
     bounded-memory sketch (percentile_approx) for unbounded value domains.
     """
     keys = list(keys or [])
-    if not exact:
+    if not _exact(df, exact):
         return df.groupBy(*keys).agg(F.percentile_approx(c, qs, 10000).alias("q"))
     hist = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_freq"))
     return hist.groupBy(*keys).agg(F.percentile(F.col(c), qs, F.col("_freq")).alias("q"))
 
 
-def global_quantile(df: DataFrame, c: str, qs, exact: bool = True) -> Column:
+def global_quantile(df: DataFrame, c: str, qs, exact: bool | None = None) -> Column:
     """Scalar-subquery form of `quantiles` over all rows."""
     return quantiles(df, c, qs, exact=exact).select(F.col("q").cast("double") if not isinstance(qs, list)
                                                     else F.col("q")).scalar()
@@ -38,18 +48,18 @@ def drop_incomplete(laps: DataFrame, subset=None) -> DataFrame:
     return laps.na.drop(subset=list(subset or S.CLEAN_KEYS))
 
 
-def laptime_stats(df: DataFrame, exact: bool = True) -> DataFrame:
+def laptime_stats(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Global median and sample standard deviation of the lap time (one row)."""
     return df.agg(F.stddev_samp("lap_time_s").alias("std_s")).select(
         global_quantile(df, "lap_time_s", 0.5, exact).alias("median_s"), "std_s")
 
 
-def trim_threshold(df: DataFrame, exact: bool = True) -> Column:
+def trim_threshold(df: DataFrame, exact: bool | None = None) -> Column:
     """median + 2*stddev_samp of the lap time (two scalar subqueries over `df`)."""
     return global_quantile(df, "lap_time_s", 0.5, exact) + F.lit(2.0) * scalar(df, F.stddev_samp("lap_time_s"))
 
 
-def trim_outliers(df: DataFrame, exact: bool = True) -> DataFrame:
+def trim_outliers(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Keep lap_time < median + 2*std (strict, upper side only). One row -> no std -> nothing kept."""
     return df.filter(F.col("lap_time_s") < trim_threshold(df, exact))
 
@@ -64,12 +74,12 @@ def positive_laptime(df: DataFrame) -> DataFrame:
     return df.filter(F.col("lap_time_s") > 0)
 
 
-def clean_rows(laps: DataFrame, exact: bool = True) -> DataFrame:
+def clean_rows(laps: DataFrame, exact: bool | None = None) -> DataFrame:
     """P01 -> P02 (statistics after P01) -> P03 -> P04."""
     return positive_laptime(position_range(trim_outliers(drop_incomplete(laps), exact)))
 
 
-def race_medians(df: DataFrame, exact: bool = True) -> DataFrame:
+def race_medians(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """Median lap time per race; races pooled across years; the null race is its own group.
 
     Two-stage (see `quantiles`): a race holding a third of all laps still sends
@@ -84,7 +94,7 @@ def race_text(c="race") -> Column:
     return F.coalesce(F.col(c), F.lit("nan"))
 
 
-def race_dimension(rows: DataFrame, exact: bool = True) -> DataFrame:
+def race_dimension(rows: DataFrame, exact: bool | None = None) -> DataFrame:
     """One small dimension for J02 and W01: per race its median lap time and its code.
 
     A02 groups the rows by race (partial aggregation, so a hot race is never
@@ -104,7 +114,7 @@ def _join_race_dim(df: DataFrame, dim: DataFrame, cols: list[str]) -> DataFrame:
     return df.join(d, df["race"].eqNullSafe(d["_dim_race"]), "left").drop("_dim_race")
 
 
-def attach_race_baseline(df: DataFrame, exact: bool = True) -> DataFrame:
+def attach_race_baseline(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """J02 + F10: attach the race median; a null race gets no baseline."""
     out = _join_race_dim(df, race_dimension(df, exact), ["laptime_baseline"])
     return out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
@@ -135,7 +145,7 @@ def attach_year_offset(df: DataFrame, rows: DataFrame | None = None) -> DataFram
         F.lit("missing year after cleaning")).cast("int")).otherwise(offset))
 
 
-def encode(rows: DataFrame, exact: bool = True) -> DataFrame:
+def encode(rows: DataFrame, exact: bool | None = None) -> DataFrame:
     """F09, J02/F10, W01, F11 on cleaned rows: one dimension join, one merged scalar subquery."""
     out = rows.withColumn("compound_encoded", lookup.compound_code())
     out = _join_race_dim(out, race_dimension(rows, exact), ["laptime_baseline", "race_encoded"])
@@ -162,7 +172,7 @@ def dashboard_fields(df: DataFrame, bounds: tuple | None = None) -> DataFrame:
     return out.withColumn("superclipping_duration", risk.superclip_duration("ers_risk"))
 
 
-def prepare(laps: DataFrame, exact: bool = True, encode_features: bool = True) -> DataFrame:
+def prepare(laps: DataFrame, exact: bool | None = None, encode_features: bool = True) -> DataFrame:
     """Full training frame: clean rows, encodings and dashboard fields.
 
     Every global statistic (year offset, risk bounds) is a scalar subquery over
@@ -173,7 +183,7 @@ def prepare(laps: DataFrame, exact: bool = True, encode_features: bool = True) -
     return dashboard_fields(out, ers_bounds(rows))
 
 
-def row_accounting(laps: DataFrame, exact: bool = True) -> DataFrame:
+def row_accounting(laps: DataFrame, exact: bool | None = None) -> DataFrame:
     """Raw, kept, removed and complete-regression-row counts in one row."""
     raw = laps.agg(F.count(F.lit(1)).alias("n_raw"))
     kept = clean_rows(laps, exact)

@@ -42,7 +42,7 @@ class TrainingRun:
     ers_bounds: tuple[float, float]
 
 
-def materialize_prepared(laps: DataFrame, run_id: str, exact: bool = True) -> DataFrame:
+def materialize_prepared(laps: DataFrame, run_id: str, exact: bool | None = None) -> DataFrame:
     """Clean + encode + dashboard fields, written once to the shared folder and read back."""
     spark = laps.sparkSession
     path = scratch_path(spark, f"prepared-{run_id}")

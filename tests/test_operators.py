@@ -190,3 +190,16 @@ def test_missing_year_is_an_error(spark):
     df = _laps(spark, [_lap(1, year=None), _lap(2)])
     with pytest.raises(Exception, match="missing year"):
         CL.attach_year_offset(df).collect()
+
+
+def test_quantile_mode_switch(spark):
+    df = spark.range(1, 1002).select(F.col("id").cast("double").alias("lap_time_s"))
+    exact = CL.laptime_stats(df, exact=True).first()["median_s"]
+    assert exact == 501.0
+    spark.conf.set(CL.EXACT_CONF, "false")
+    try:
+        approx = CL.laptime_stats(df).first()["median_s"]
+    finally:
+        spark.conf.unset(CL.EXACT_CONF)
+    assert abs(approx - 501.0) <= 1.0
+    assert CL.laptime_stats(df).first()["median_s"] == 501.0
