@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pitlane.plans.catalog import laps, query
+from pitlane.plans.catalog import laps, live_duration_sql, live_status_sql, query
+from pitlane.plans.oracle_sql import with_ctes
 from pitlane.plans.model_queries import training_run
 from pitlane.session import scratch_path
 from pitlane.sinks import history as H
@@ -30,7 +31,10 @@ def q_stream_score(spark, sf):
     return H.read_table(spark, f"{base}/history", "safety_events")
 
 
-@query("stream_feed")
+@query("stream_feed", with_ctes(
+    ["laps"], "SELECT row_key, driver, race, year, lap_number, position, compound, "
+              f"{live_duration_sql()} AS superclipping_duration, {live_status_sql(live_duration_sql())} AS ers_status "
+              "FROM laps"))
 def q_stream_feed(spark, sf):
     """Live per-lap duration and status over arriving lap files (append mode, Parquet sink)."""
     base = _staged(spark, sf, "stream-feed")
@@ -41,13 +45,23 @@ def q_stream_feed(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("stream_dashboard")
+@query("stream_dashboard", with_ctes(
+    ["bounds"], "SELECT ers_status, count(*) AS n FROM (SELECT CASE "
+                "WHEN r > -0.01e0 AND r <= 3e0 THEN 'NORMAL' WHEN r > 3e0 AND r <= 6e0 THEN 'ALERTA' "
+                "WHEN r > 6e0 AND r <= 10.01e0 THEN 'CRÍTICO' END AS ers_status FROM "
+                "(SELECT (normalized_tyre_life * 2e0 + race_progress * 1.5e0 - greatest(-5e0, least(5e0, "
+                "lap_time_delta)) - lo) / nullif(hi - lo, 0e0) * 10e0 AS r FROM laps, bounds)) "
+                "WHERE ers_status IS NOT NULL GROUP BY ers_status"))
 def q_stream_dashboard(spark, sf):
-    """Status counts maintained incrementally (complete mode) with the run's fixed risk bounds."""
-    run = training_run(spark, sf)
+    """Status counts over arriving laps, maintained incrementally (complete mode) with the fixed risk
+    bounds of the training run (min/max of the raw risk over the cleaned laps)."""
+    from pitlane.functions.risk import ers_raw
+    from pitlane.plans.catalog import cleaned
+    # the fixed bounds a training run saves: min/max of the raw risk over the cleaned laps (one row)
+    b = cleaned(spark, sf).agg(F.min(ers_raw()).alias("lo"), F.max(ers_raw()).alias("hi")).first()
     base = _staged(spark, sf, "stream-dash")
     src = LS.lap_stream(spark, f"{base}/in", max_files_per_trigger=1)
-    agg = LS.dashboard_stream(src, run.ers_bounds)["ers_distribution"]
+    agg = LS.dashboard_stream(src, (float(b["lo"]), float(b["hi"])))["ers_distribution"]
     out = {}
 
     def keep(df, bid):
