@@ -150,3 +150,16 @@ def test_save_run_writes_documents_and_models(spark, run, tmp_path):
     from pitlane.sinks.results import RESULT_COLUMNS
     assert set(RESULT_COLUMNS) <= set(res.columns)
     assert res.count() == run.regression.metrics["n_test"]
+
+
+def test_live_mode_scoring_uses_row_local_definitions(spark, run):
+    from pitlane.plans.scoring import demo_lap_frame, score_clusters, score_safety
+
+    demo = demo_lap_frame(spark)
+    live = score_safety(run.context, demo, mode="live").first()
+    assert live["ers_risk"] == round(min(10.0, max(0.0, (0.65 * 2 + 0.54 * 1.5 - 0.12) * 0.65 + 2.5)), 2)
+    trained = score_safety(run.context, demo).first()
+    lo, hi = run.ers_bounds
+    raw = 0.65 * 2 + 0.54 * 1.5 - 0.12
+    assert abs(trained["ers_risk"] - (raw - lo) / (hi - lo) * 10) < 1e-9
+    assert score_clusters(run.context, demo, mode="live").count() == 1

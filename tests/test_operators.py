@@ -203,3 +203,9 @@ def test_quantile_mode_switch(spark):
         spark.conf.unset(CL.EXACT_CONF)
     assert abs(approx - 501.0) <= 1.0
     assert CL.laptime_stats(df).first()["median_s"] == 501.0
+
+
+def test_leaderboard_nested(spark):
+    rows = [_lap(i, lap_number=1, position=p, lap_time_s=80.0 + p, driver=f"D{p}") for i, p in enumerate([3, 1, 2])]
+    nested = FD.leaderboard_nested(FD.leaderboard(_laps(spark, rows))).first()
+    assert [e["position"] for e in nested["leaderboard"]] == [1, 2, 3]
