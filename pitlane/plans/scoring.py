@@ -8,7 +8,7 @@ row-local approximations (78 s reference lap, live risk formula).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions import lookup, risk
 from pitlane.functions.carstate import interpretation
-from pitlane.operators.dims import join_dim
+from pitlane.operators.dims import checked_dim
 from pitlane.plans.clusters import ClusterResult, assign
 from pitlane.plans.safety import SvmModel
 from pitlane.plans.tree import predict_status
@@ -31,6 +31,14 @@ class ScoringContext:
     safety: SvmModel
     ers_bounds: tuple[float, float]
     race_medians: DataFrame  # race -> laptime_baseline (one row per race)
+    _dims: dict = field(default_factory=dict, repr=False)
+
+    def dim(self, name: str, build) -> DataFrame:
+        """A small dimension materialised (and size-checked) once per context, reused by every
+        batch and micro-batch that is scored with it."""
+        if name not in self._dims:
+            self._dims[name] = checked_dim(build())
+        return self._dims[name]
 
 
 def _require(model, what: str):
@@ -66,7 +74,8 @@ def score_risk_class(ctx: ScoringContext, laps: DataFrame) -> DataFrame:
 def _laptime_normalized(ctx: ScoringContext, laps: DataFrame, mode: str) -> DataFrame:
     if mode == "live":
         return laps.withColumn("laptime_normalized", risk.laptime_vs_constant())
-    j = join_dim(laps.drop("laptime_baseline", "laptime_normalized"), ctx.race_medians, "race", "left")
+    med = ctx.dim("race_medians", lambda: ctx.race_medians)
+    j = laps.drop("laptime_baseline", "laptime_normalized").join(med, "race", "left")
     return j.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
 
 
@@ -76,10 +85,10 @@ def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "train") ->
     c = ctx.clusters
     x = _laptime_normalized(ctx, laps, mode).na.drop(subset=S.CLUSTER_FEATURES)
     a = assign(c.model, c.mapping, c.scaler.transform(x)).drop("features")
-    prof = c.profiles.join(c.labels, "cluster").select(
+    prof = ctx.dim("cluster_profiles", lambda: c.profiles.join(c.labels, "cluster").select(
         "cluster", "cluster_label", F.col("tyre_life_mean").alias("p_tyre_life_mean"),
-        F.col("cumulative_degradation_mean").alias("p_deg_mean"))
-    j = join_dim(a, prof, "cluster", "left")  # k rows
+        F.col("cumulative_degradation_mean").alias("p_deg_mean")))
+    j = a.join(prof, "cluster", "left")  # k rows
     return j.select(
         "row_key", F.col("cluster").alias("cluster_id"),
         F.coalesce(F.col("cluster_label"), F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
