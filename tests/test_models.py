@@ -163,3 +163,18 @@ def test_live_mode_scoring_uses_row_local_definitions(spark, run):
     raw = 0.65 * 2 + 0.54 * 1.5 - 0.12
     assert abs(trained["ers_risk"] - (raw - lo) / (hi - lo) * 10) < 1e-9
     assert score_clusters(run.context, demo, mode="live").count() == 1
+
+
+def test_batch_score_job_is_rerunnable(spark, run, sf_small, tmp_path):
+    from pitlane.plans.catalog import laps
+    from pitlane.plans.persist import save_context
+    from pitlane.plans.score_job import score_laps
+    from pitlane.sinks import history as H
+
+    ctx_dir, hist = str(tmp_path / "ctx"), str(tmp_path / "hist")
+    save_context(run.context, ctx_dir)
+    lp = laps(spark, sf_small)
+    score_laps(spark, ctx_dir, lp, hist, "r1")
+    n1 = H.read_table(spark, hist, "classification_results").count()
+    score_laps(spark, ctx_dir, lp, hist, "r1")  # rerun of the same run replaces its rows
+    assert H.read_table(spark, hist, "classification_results").count() == n1 > 0
