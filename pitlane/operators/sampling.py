@@ -45,6 +45,58 @@ def mark_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: s
     return df.withColumn("is_test", hash_rank(key, seed) < cut)
 
 
+def kth_hash_threshold(df: DataFrame, k: int, seed: int = 42, key: str = "row_key") -> tuple[int, str | None]:
+    """Exact k-th smallest (hash, key) pair without a global sort (radix select on the 32-bit hash).
+
+    Pass 1 counts rows per high 16 bits, pass 2 per low 16 bits inside the one
+    high bucket that holds rank k: both are map-side aggregates whose results
+    have at most 65,536 rows. Rows sharing the final hash value (rare 32-bit
+    collisions) are ordered by key. Returns (t, key_t): a row is among the k
+    smallest when hash < t or (hash == t and key <= key_t).
+    """
+    if k <= 0:
+        return -1, None
+    h = _hashed(df, seed, key)
+    hi = sorted((r[0], r[1]) for r in h.groupBy((F.col("_h") / 65536).cast("bigint").alias("b"))
+                .agg(F.count(F.lit(1)).alias("n")).collect())
+    seen = 0
+    for b, n in hi:
+        if seen + n >= k:
+            break
+        seen += n
+    else:
+        return int(HASH_SPACE), None  # fewer than k rows: everything is selected
+    lo = sorted((r[0], r[1]) for r in h.filter((F.col("_h") / 65536).cast("bigint") == b)
+                .groupBy((F.col("_h") % 65536).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect())
+    for v, n in lo:
+        if seen + n >= k:
+            break
+        seen += n
+    t = int(b) * 65536 + int(v)
+    keys = [r[0] for r in h.filter(F.col("_h") == t).select("_k").orderBy("_k").limit(k - seen).collect()]
+    return t, keys[-1]
+
+
+def _hashed(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """(hash, key) of every row, written once to the shared folder so the selection passes do not
+    recompute the input."""
+    from pitlane.operators.dims import materialize
+    if "_h" in df.columns and "_k" in df.columns:
+        return df
+    return materialize(df.select(hash_rank(key, seed).alias("_h"), F.col(key).alias("_k")))
+
+
+def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """T07 exact mode: `is_test` marks exactly ceil(test_fraction * n) rows (the smallest hashes)."""
+    hashed = _hashed(df, seed, key)
+    n = hashed.count()
+    k = math.ceil(test_fraction * n - 1e-9)
+    t, kt = kth_hash_threshold(hashed, k, seed, key)
+    h = hash_rank(key, seed)
+    cond = (h < F.lit(t)) | ((h == F.lit(t)) & (F.col(key) <= F.lit(kt))) if kt is not None else (h < F.lit(t))
+    return df.withColumn("is_test", cond)
+
+
 def stratified_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42,
                      key: str = "row_key") -> tuple[DataFrame, DataFrame]:
     """The hash does not look at the label, so each class is split in the same proportion."""

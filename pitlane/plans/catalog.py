@@ -563,6 +563,14 @@ def q_hash_split(spark, sf):
     return SM.mark_split(_matrix(spark, sf)).select("row_key", "is_test")
 
 
+@query("exact_split", with_ctes(
+    ["enc"], f"SELECT row_key, row_number() OVER (ORDER BY {H}, row_key) <= "
+             "CAST(ceil(0.2e0 * (SELECT count(*) FROM mx)) AS BIGINT) AS is_test FROM mx", [MATRIX_CTE]))
+def q_exact_split(spark, sf):
+    """T07 exact mode: test part of exactly ceil(0.2 n) rows, found by radix selection (no global sort)."""
+    return SM.exact_split(_matrix(spark, sf)).select("row_key", "is_test")
+
+
 @query("stratified_split", with_ctes(["status"], f"SELECT row_key, evento_critico, {H} < 858993459 AS is_test FROM ev",
                                      [EVENT_CTE]))
 def q_stratified_split(spark, sf):

@@ -209,3 +209,13 @@ def test_leaderboard_nested(spark):
     rows = [_lap(i, lap_number=1, position=p, lap_time_s=80.0 + p, driver=f"D{p}") for i, p in enumerate([3, 1, 2])]
     nested = FD.leaderboard_nested(FD.leaderboard(_laps(spark, rows))).first()
     assert [e["position"] for e in nested["leaderboard"]] == [1, 2, 3]
+
+
+def test_exact_split_size(spark):
+    import math
+
+    df = spark.range(1237).select(F.col("id").cast("string").alias("row_key"))
+    out = SM.exact_split(df)
+    assert out.filter("is_test").count() == math.ceil(0.2 * 1237)
+    small = spark.range(3).select(F.col("id").cast("string").alias("row_key"))
+    assert SM.exact_split(small).filter("is_test").count() == 1
