@@ -588,6 +588,19 @@ def q_stratified_cap(spark, sf):
     return SM.stratified_cap(train, "evento_critico", 15000).select("row_key", "evento_critico")
 
 
+@query("stratified_cap_exact", with_ctes(
+    ["status"], "SELECT row_key, evento_critico FROM (SELECT tr.row_key, tr.evento_critico, row_number() OVER "
+                f"(PARTITION BY tr.evento_critico ORDER BY {hash_sql('tr.row_key', SM.CAP_SEED)}, tr.row_key) AS rn, "
+                "q.quota FROM tr JOIN (SELECT evento_critico, least(count(*), CAST(round(15000e0 * count(*) / "
+                "(SELECT count(*) FROM tr)) AS BIGINT)) AS quota FROM tr GROUP BY evento_critico) q "
+                "ON tr.evento_critico = q.evento_critico) WHERE rn <= quota",
+    [EVENT_CTE, f"tr AS (SELECT * FROM ev WHERE {H} >= 858993459)"]))
+def q_stratified_cap_exact(spark, sf):
+    """T06 exact mode: per class exactly round(15000 * share) rows with the smallest hashes."""
+    train, _ = SM.stratified_split(_event_frame(spark, sf), "evento_critico")
+    return SM.stratified_cap(train, "evento_critico", 15000, exact=True).select("row_key", "evento_critico")
+
+
 @query("model_matrix_regression", with_ctes(
     ["enc"], "SELECT row_key, " + ", ".join(c for c in REGRESSION_FEATURES) +
     f", {r(REGRESSION_TARGET, 9)} AS {REGRESSION_TARGET} FROM mx", [MATRIX_CTE]))
