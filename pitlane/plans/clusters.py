@@ -1,4 +1,5 @@
-"""Stint clustering: k sweep, best-of-n k-means, profiles, labels, PCA (ML05-ML07, A12, F17, E05, E06, T05, T10)."""
+"""Stint clustering: k sweep, best-of-n k-means, Lloyd refinement on all rows, profiles, labels, PCA
+(ML05-ML07, A12, F17, E05, E06, T05, T10)."""
 
 from __future__ import annotations
 
@@ -63,22 +64,56 @@ def _fit_many(data: DataFrame, ks: list[int], n_init: int, seed: int, max_iter:
     return best
 
 
-def _fit_best(data: DataFrame, k: int, n_init: int, seed: int, max_iter: int) -> KMeansModel:
-    """ML05: best of n_init k-means runs (lowest training cost)."""
-    return _fit_many(data, [k], n_init, seed, max_iter)[k]
-
-
-def relabel_by_centre(model: KMeansModel) -> dict[int, int]:
-    """Stable cluster ids: order centres lexicographically."""
-    centres = [tuple(c.tolist()) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    return {old: new for new, old in enumerate(order)}
+@dataclass
+class Centroids:
+    """A fitted k-means model as plain centres; assignment is a column expression (argmin of squared
+    Euclidean distance), so it runs in whole-stage codegen in batch and streaming plans alike."""
+
+    centres: list[list[float]]
+
+    def distances(self, features: str = "features"):
+        v = vector_to_array(features)
+        return [sum((v[j] - F.lit(float(c[j]))) * (v[j] - F.lit(float(c[j]))) for j in range(len(c)))
+                for c in self.centres]
+
+    def transform(self, df: DataFrame, features: str = "features", out: str = "cluster") -> DataFrame:
+        d = self.distances(features)
+        best = F.array_min(F.array(*[F.struct(dk.alias("d"), F.lit(k).alias("k")) for k, dk in enumerate(d)]))
+        return df.withColumn(out, best.getField("k").cast("int"))
+
+    def cost(self, df: DataFrame, features: str = "features") -> float:
+        return float(df.agg(F.sum(F.least(*self.distances(features)))).first()[0] or 0.0)
+
+    def sorted(self) -> "Centroids":
+        """Stable ids: centres in lexicographic order."""
+        return Centroids(sorted(self.centres))
+
+
+def refine(data: DataFrame, start: list[list[float]], max_iter: int = 20, tol: float = 1e-4) -> tuple[Centroids, int]:
+    """Lloyd iterations on all rows from given centres: each iteration is one partial aggregate
+    (per-cluster sums and counts, k rows to the driver). Empty clusters keep their centre."""
+    centres = [list(map(float, c)) for c in start]
+    d = len(centres[0])
+    it = 0
+    for it in range(1, max_iter + 1):
+        m = Centroids(centres).transform(data).withColumn("_v", vector_to_array("features"))
+        rows = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
+                                        *[F.avg(F.col("_v")[j]).alias(f"m{j}") for j in range(d)]).collect()
+        new = [list(c) for c in centres]
+        for r in rows:
+            if r["n"]:
+                new[r["cluster"]] = [float(r[f"m{j}"]) for j in range(d)]
+        shift = max(sum((a - b) ** 2 for a, b in zip(o, n)) ** 0.5 for o, n in zip(centres, new))
+        centres = new
+        if shift <= tol:
+            break
+    return Centroids(centres), it
 
 
 @dataclass
 class ClusterResult:
     scaler: Standardizer
-    model: KMeansModel
+    model: Centroids
     mapping: dict[int, int]
     optimal_k: int
     silhouettes: dict[int, float]
@@ -90,9 +125,13 @@ class ClusterResult:
     metrics: dict = field(default_factory=dict)
 
 
-def assign(model: KMeansModel, mapping: dict[int, int], scaled: DataFrame) -> DataFrame:
+def assign(model, mapping: dict[int, int], scaled: DataFrame) -> DataFrame:
+    """Cluster id of every row (`mapping` renumbers model ids; identity for sorted Centroids)."""
+    out = model.transform(scaled)
+    if all(k == v for k, v in mapping.items()):
+        return out.withColumn("cluster", F.col("cluster").cast("int"))
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return model.transform(scaled).withColumn("cluster", m[F.col("cluster")].cast("int"))
+    return out.withColumn("cluster", m[F.col("cluster")].cast("int"))
 
 
 def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int = C.KMEANS_SWEEP_SAMPLE,
@@ -118,7 +157,7 @@ def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int =
                          max_points=sample_size).first()
     sample.unpersist()
     silhouettes = {k: round(float(sil_row[f"k{k}"]), 4) for k in k_range}
-    return silhouettes, inertias
+    return silhouettes, inertias, models
 
 
 def choose_k(silhouettes: dict[int, float]) -> int:
@@ -131,10 +170,14 @@ def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample
     data = cluster_frame(prepared)
     scaler = Standardizer.fit(data, S.CLUSTER_FEATURES)
     scaled = scaler.transform(data).persist()
-    sil, inert = kmeans_sweep(scaled, k_range, sample_size, n_init, seed, max_iter)
+    sil, inert, sample_models = kmeans_sweep(scaled, k_range, sample_size, n_init, seed, max_iter)
     k = choose_k(sil)
-    model = _fit_best(scaled, k, n_init, seed, max_iter)
-    mapping = relabel_by_centre(model)
+    # ML05 on all rows: the best of the n_init starts is chosen on the bounded sample; its centres
+    # seed Lloyd iterations over all rows (one aggregate pass each) instead of n_init full fits.
+    start = [c.tolist() for c in sample_models[k].clusterCenters()]
+    refined, _ = refine(scaled, start, max_iter=max(max_iter, 20))
+    model = refined.sorted()
+    mapping = {i: i for i in range(k)}
     assigned = assign(model, mapping, scaled)
     profiles = cluster_profiles(assigned)
     labels = profile_labels(profiles)
@@ -148,6 +191,7 @@ def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample
         "cluster_profiles": {str(c): {kk: vv for kk, vv in p.items() if kk != "cluster"} for c, p in prof_rows.items()},
         "cluster_labels": {str(c): lab for c, lab in label_rows.items()},
         "n_total": int(sum(p["count"] for p in prof_rows.values())),
+        "inertia_full": model.cost(scaled), "centres": model.centres,
     }
     return ClusterResult(scaler, model, mapping, k, sil, inert, assigned, profiles, labels, pca, metrics)
 

@@ -12,10 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 
-from pitlane.plans.clusters import ClusterResult
+from pitlane.plans.clusters import Centroids, ClusterResult
 from pitlane.plans.models import Standardizer
 from pitlane.plans.safety import FourierMap, SvmModel
 from pitlane.plans.scoring import ScoringContext
@@ -26,7 +25,6 @@ def save_context(ctx: ScoringContext, path: str) -> None:
     spark = ctx.race_medians.sparkSession
     ctx.tree_model.write().overwrite().save(os.path.join(path, "tree"))
     c = ctx.clusters
-    c.model.write().overwrite().save(os.path.join(path, "kmeans"))
     c.profiles.join(c.labels, "cluster").write.mode("overwrite").parquet(os.path.join(path, "cluster_profiles"))
     s = ctx.safety
     s.svc.write().overwrite().save(os.path.join(path, "svm"))
@@ -36,6 +34,7 @@ def save_context(ctx: ScoringContext, path: str) -> None:
     meta = {
         "tree_classes": ctx.tree_classes,
         "cluster_scaler": c.scaler.to_dict(), "cluster_mapping": {str(k): v for k, v in c.mapping.items()},
+        "cluster_centres": c.model.centres,
         "optimal_k": c.optimal_k,
         "svm_kernel": s.kernel, "svm_scaler": s.scaler.to_dict(),
         "rff": {"w": s.rff.w, "b": s.rff.b} if s.rff is not None else None,
@@ -67,7 +66,9 @@ def load_context(spark: SparkSession, path: str) -> LoadedContext:
     if meta is None:
         raise FileNotFoundError(f"no scoring metadata under {path}")
     tree = _safe(PipelineModel.load, os.path.join(path, "tree"), "risk_class", missing)
-    km = _safe(KMeansModel.load, os.path.join(path, "kmeans"), "clusters", missing)
+    km = Centroids(meta["cluster_centres"]) if meta.get("cluster_centres") else None
+    if km is None:
+        missing["clusters"] = "no cluster centres"
     prof = _safe(spark.read.parquet, os.path.join(path, "cluster_profiles"), "clusters", missing)
     svc = _safe(LinearSVCModel.load, os.path.join(path, "svm"), "safety", missing)
     platt = _safe(LogisticRegressionModel.load, os.path.join(path, "platt"), "safety_probability", missing)

@@ -94,8 +94,9 @@ def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
         write_results(res, os.path.join(output, "data", "results"))
     if run.tree is not None:
         run.tree.model.write().overwrite().save(os.path.join(output, "ml", "decision_tree"))
-    if run.clusters is not None:
-        run.clusters.model.write().overwrite().save(os.path.join(output, "ml", "kmeans"))
+    if run.context is not None:
+        from pitlane.plans.persist import save_context
+        save_context(run.context, os.path.join(output, "ml", "scoring_context"))
     write_json_document(spark, DB.dashboard_document(run.prepared), os.path.join(output, "data", "dashboard"))
     return registry
 
