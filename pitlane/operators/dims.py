@@ -29,23 +29,31 @@ def scalar(df: DataFrame, expr: Column) -> Column:
     return df.select(expr).scalar()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result as a Parquet table in the shared checkpoint folder and read it back.
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write an intermediate result as a Parquet table in the shared checkpoint folder, read it back,
+    and return it with its row count.
 
     One job computes and writes it (an RDD checkpoint would compute it twice);
-    the read-back cuts lineage, survives executor loss, and gives the planner
+    the row count is observed during that write, so no second job is needed.
+    The read-back cuts lineage, survives executor loss, and gives the planner
     the real file size.
     """
+    from pyspark.sql import Observation
+
     spark = df.sparkSession
     path = scratch_path(spark, f"dim-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["n"])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return materialize_counted(df)[0]
 
 
 def checked_dim(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Materialise a dimension; mark it for broadcast only when its row count is within the bound."""
-    m = materialize(dim)
-    n = m.count()
+    m, n = materialize_counted(dim)
     return F.broadcast(m) if n <= max_rows else m
 
 

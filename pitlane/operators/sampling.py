@@ -88,8 +88,8 @@ def _hashed(df: DataFrame, seed: int, key: str) -> DataFrame:
 
 def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: str = "row_key") -> DataFrame:
     """T07 exact mode: `is_test` marks exactly ceil(test_fraction * n) rows (the smallest hashes)."""
-    hashed = _hashed(df, seed, key)
-    n = hashed.count()
+    from pitlane.operators.dims import materialize_counted
+    hashed, n = materialize_counted(df.select(hash_rank(key, seed).alias("_h"), F.col(key).alias("_k")))
     k = math.ceil(test_fraction * n - 1e-9)
     t, kt = kth_hash_threshold(hashed, k, seed, key)
     h = hash_rank(key, seed)
