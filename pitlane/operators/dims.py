@@ -34,17 +34,16 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     and return it with its row count.
 
     One job computes and writes it (an RDD checkpoint would compute it twice);
-    the row count is observed during that write, so no second job is needed.
-    The read-back cuts lineage, survives executor loss, and gives the planner
-    the real file size.
+    the count reads the written files only. The read-back cuts lineage,
+    survives executor loss, and gives the planner the real file size.
+    (DataFrame.observe is avoided on purpose: once a session has used it,
+    fitted MLlib models that keep a training summary no longer serialise.)
     """
-    from pyspark.sql import Observation
-
     spark = df.sparkSession
     path = scratch_path(spark, f"dim-{uuid.uuid4().hex}")
-    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), int(obs.get["n"])
+    df.write.mode("overwrite").parquet(path)
+    m = spark.read.parquet(path)
+    return m, m.count()
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Append-only history tables (K06-K12, K11), their latest-N reads (S07, T03) and record formatting.
 
-Tables are Parquet directories partitioned by event_date. Row ids are
-deterministic (md5 of the batch id and the source row key), so a retried task
-or a replayed micro-batch writes the same ids; micro-batches write into their
-own batch_id partition with dynamic partition overwrite, which makes a replay
-replace rather than duplicate its rows.
+Tables are Parquet directories partitioned by batch_id (event_date stays a
+column). Row ids are deterministic (md5 of the source row key), so a retried
+task or a replayed micro-batch writes the same ids; a write with a batch id
+replaces exactly that batch's partition (dynamic partition overwrite), so a
+replay -- even on another day -- replaces rather than duplicates its rows.
+Plain appends get a fresh batch id.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ def init_tables(spark: SparkSession, base: str) -> None:
     for t in S.HISTORY_TABLES:
         p = table_path(base, t)
         if not os.path.exists(p) and "://" not in p:
-            spark.createDataFrame([], S.history_schema(t)).write.partitionBy("event_date").parquet(p)
+            empty = spark.createDataFrame([], S.history_schema(t)).withColumn("batch_id", F.lit(0).cast("bigint"))
+            empty.write.partitionBy("batch_id").parquet(p)
 
 
 def _stamp(df: DataFrame, table: str, key: Column, ts: Column | None) -> DataFrame:
@@ -57,14 +60,15 @@ def history_rows(df: DataFrame, table: str, key: Column, ts: Column | None = Non
 
 
 def append(df: DataFrame, base: str, table: str, batch_id: int | None = None) -> None:
-    """Append rows; with a batch id the write goes to that batch's partition and replaces it on replay."""
+    """Append rows; with a batch id the write replaces that batch's partition (idempotent replay)."""
     p = table_path(base, table)
     if batch_id is None:
-        df.write.mode("append").partitionBy("event_date").parquet(p)
+        fresh = uuid.uuid4().int >> 65  # 63-bit id of this append
+        df.withColumn("batch_id", F.lit(fresh).cast("bigint")).write.mode("append").partitionBy("batch_id").parquet(p)
         return
-    (df.withColumn("batch_id", F.lit(int(batch_id)))
+    (df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", "event_date").parquet(p))
+     .partitionBy("batch_id").parquet(p))
 
 
 def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:

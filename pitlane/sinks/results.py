@@ -38,15 +38,13 @@ def read_results_head(spark: SparkSession, path: str, schema: str, n: int = C.RE
 
 
 def export_scalar_csv(df: DataFrame, path: str) -> dict:
-    """Write scalar columns as CSV; the row count comes from an observation of the same write."""
-    from pyspark.sql import Observation
-
+    """Write scalar columns as CSV and report the row count (read back from the written files)."""
     from pitlane.sources.telemetry import scalar_columns
 
-    obs = Observation("export")
-    out = scalar_columns(df).observe(obs, F.count(F.lit(1)).alias("rows"))
+    out = scalar_columns(df)
     out.write.mode("overwrite").option("header", True).csv(path)
-    return {"rows": obs.get["rows"], "columns": out.columns}
+    rows = df.sparkSession.read.option("header", True).csv(path).count()
+    return {"rows": rows, "columns": out.columns}
 
 
 def write_json_document(spark: SparkSession, doc: dict, path: str) -> None:
