@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pitlane.functions.numeric import round_half_up as rh
 from pitlane.operators import clean as CL
 from pitlane.operators import dashboards as DB
+from pitlane.operators import sampling as SM
+from pitlane.operators.sampling import hash_sql
 from pitlane.plans.oracle_sql import r, with_ctes
+from pitlane.schemas import REGRESSION_FEATURES, REGRESSION_TARGET
 from pitlane.session import ensure_checkpoint_dir
 from pitlane.sources.laps import testdata_lap_table
 
@@ -514,9 +517,6 @@ def q_trailing_history(spark, sf):
 
 # --------------------------------------------------------------------------- samples and splits
 
-from pitlane.operators import sampling as SM  # noqa: E402
-from pitlane.operators.sampling import hash_sql  # noqa: E402
-from pitlane.schemas import REGRESSION_FEATURES, REGRESSION_TARGET  # noqa: E402
 
 H = hash_sql()
 
