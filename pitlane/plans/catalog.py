@@ -784,8 +784,8 @@ def q_silhouette_small(spark, sf):
     pts = emb.select(F.col("vec_id").cast("string").alias("row_key"), "label",
                      *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
     s = silhouette(pts, ["x0", "x1", "x2"], ["label"], max_points=20000)
-    n = SM.hash_sample(pts, 20000).agg(F.count(F.lit(1)).alias("n_points"))
-    return s.select(rh("label", 6).alias("silhouette")).join(n)  # two one-row frames
+    n = SM.hash_sample(pts, 20000).select(F.count(F.lit(1))).scalar()
+    return s.select(rh("label", 6).alias("silhouette"), n.alias("n_points"))
 
 
 @query("scalar_columns", "SELECT vec_id, label FROM embeddings")

@@ -52,3 +52,26 @@ def test_global_stats_are_scalar_subqueries_not_windows(spark, sf_small):
 def test_global_median_is_partial_aggregate(spark, sf_small):
     p = _plan(_q(spark, sf_small, "laptime_stats"))
     assert "partial_percentile" in p
+
+
+def _sql_query_names():
+    import __spark_entry__ as E
+    return sorted(E.oracle_sql())
+
+
+def test_no_cross_joins_in_any_registered_query(spark, sf_small):
+    """No CartesianProduct / nested-loop join anywhere (scalar statistics are subqueries, dimensions
+    are equi-joins), and every window over lap rows has a partition key."""
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    for name in _sql_query_names():
+        df = qs[name](spark, sf_small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+        for line in plan.splitlines():
+            m = re.search(r"\bWindow \[.*\], \[(.*?)\], \[", line)
+            if m is not None and m.group(1) == "":
+                # the only keyless window is the race code over the race dimension
+                assert "race_text" in line, (name, line)
