@@ -19,7 +19,8 @@ _LOCK = threading.Lock()
 
 
 def training_run(spark, sf) -> TrainingRun:
-    key = (spark.sparkContext.applicationId, sf)
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
     with _LOCK:
         if key not in _RUNS:
             _RUNS[key] = run_training(laps(spark, sf), run_id=f"q{abs(hash(key)) % 10**8}")
