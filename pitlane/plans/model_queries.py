@@ -6,6 +6,7 @@ queries reuse the fitted models of the model queries instead of refitting.
 
 from __future__ import annotations
 
+import os
 import threading
 
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ _LOCK = threading.Lock()
 
 
 def training_run(spark, sf) -> TrainingRun:
-    import os
     key = (spark.sparkContext.applicationId, os.path.abspath(sf))
     with _LOCK:
         if key not in _RUNS:
