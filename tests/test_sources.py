@@ -120,3 +120,19 @@ def test_or_default(spark):
     vals = [r[0] for r in spark.createDataFrame([(0.0,), (None,), (2.0,)], "x double").select(
         or_default("x", 1.0)).collect()]
     assert vals == [1.0, 1.0, 2.0]
+
+
+def test_checkpoint_folder_is_kept(spark):
+    from pitlane.session import ensure_checkpoint_dir, scratch_path
+
+    first = ensure_checkpoint_dir(spark)
+    assert ensure_checkpoint_dir(spark) == first == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(first)
+
+
+def test_bench_queries_are_registered():
+    import bench
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    assert all(n in qs for n in bench.HEADLINE + bench.MODELS)
