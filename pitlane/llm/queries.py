@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pitlane.llm import prefix_bpe, token_counts, token_files
+from pitlane.llm import decontaminate, prefix_bpe, shards, token_counts, token_files
 from pitlane.llm.common import query, table
 from pitlane.llm.libraries import vocabulary
 from pitlane.session import scratch_path
@@ -31,3 +31,14 @@ def op8(spark, sf_dir):
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+@query("op5_rendezvous_shards")
+def op5(spark, sf_dir):
+    docs = shards.assign(table(spark, sf_dir, "documents"), [1.0] * 40)
+    return docs.withColumn("law", F.lit("key"))
+
+
+@query("op7_suffix_automaton")
+def op7(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
