@@ -111,26 +111,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)[:n]
 
 
-def map_column(df: DataFrame, key: str, column: str, make, fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """key and fields of every row. make() is called once a task and gives a function from a list of the column's
-    values (nulls as empty) to one Arrow array a field; it gets rows of about SLICE_BYTES at a time."""
-    schema = T.StructType([df.schema[key], *(T.StructField(n, t) for n, t in fields)])
+def map_column(df: DataFrame, key: str | list[str], column: str, make, fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """The key columns and fields of every row. make() is called once a task and gives a function from a list of the
+    column's values (nulls as empty) to one Arrow array a field; it gets rows of about SLICE_BYTES at a time."""
+    keys = [key] if isinstance(key, str) else key
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
     listed = isinstance(df.schema[column].dataType, T.ArrayType)
 
     def run(batches):
         work = make()
         for batch in batches:
-            values = batch.column(1)
+            values = batch.column(len(keys))
             sizes = values.value_lengths() if listed else pa.compute.binary_length(values)
             for a, b in slices(pa.compute.fill_null(sizes, 0).to_pylist()):
                 part = values.slice(a, b - a)
-                rows = [x if x is not None else part.values[:0].to_numpy() for x in map(_list_row, part)] if listed else [
-                    x or "" for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *work(rows)], schema.names)
+                rows = [_list_row(x) for x in part] if listed else [x or "" for x in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keys))), *work(rows)], schema.names)
 
-    return df.select(F.col(key), F.col(column)).mapInArrow(run, schema)
+    return df.select(*(F.col(k) for k in keys), F.col(column)).mapInArrow(run, schema)
 
 
-def _list_row(x: pa.ListScalar):
-    """The values of a list as an array; None for a null."""
-    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
+def _list_row(x: pa.ListScalar) -> np.ndarray:
+    """The values of a list as an array; none for a null."""
+    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)

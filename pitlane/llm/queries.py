@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pitlane.llm import decontaminate, prefix_bpe, shards, token_counts, token_files
+from pitlane.llm import bit_sliced, decontaminate, main_text, prefix_bpe, quality, shards, token_counts, token_files
 from pitlane.llm.common import query, table
 from pitlane.llm.libraries import vocabulary
 from pitlane.session import scratch_path
@@ -42,3 +42,26 @@ def op5(spark, sf_dir):
 @query("op7_suffix_automaton")
 def op7(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_compression_quality")
+def op4(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_main_text")
+def op9(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op1_bit_sliced_search", sql="""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+           where vec_id is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint score
+           from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5""")
+def op1(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_sliced.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
