@@ -222,7 +222,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, key
     # Both sides go to every pair of blocks: rows of the index once for each query block, queries once for each block.
     blocks = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     packed = asked.groupBy("dims", "part").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    spread = packed.join(index.select("block", "dims"), "dims").select("block", F.col("part").cast("int").alias("part"), "asked")
+    spread = packed.join(index.select("block", "dims"), "dims").select(
+        F.col("block").alias("to_block"), F.col("part").cast("int").alias("to_part"), "asked")
 
     def pair(keys, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -232,6 +233,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, key
                 found += [(q["id"], i, s) for i, s in best_of_block(block, q["id"], np.array(q["v"], np.int64), k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = blocks.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInPandas(pair, FOUND)
+    found = blocks.groupBy("block", "part").cogroup(spread.groupBy("to_block", "to_part")).applyInPandas(pair, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
