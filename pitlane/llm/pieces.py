@@ -105,10 +105,12 @@ def piece_keys(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[
     k2[two] = words[np.minimum(first[two] + 8, len(buf) - 1)] & masks[np.minimum(length[two] - 8, 8)]
     long = np.flatnonzero(length > 16)
     if len(long):
-        pw = [powers(b, int(length[long].max())) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-        for i in long:
-            b = buf[first[i]:first[i] + length[i]].astype(np.uint64) + np.uint64(0x1F3)
-            k1[i], k2[i] = (mix64(np.atleast_1d((b * p[:len(b)]).sum()))[0] for p in pw)
+        n = length[long]
+        at = bounds(n)[:-1]
+        place = np.arange(int(n.sum())) - np.repeat(at, n)
+        value = buf[ragged_index(first[long], n)].astype(np.uint64) + np.uint64(0x1F3)
+        k1[long], k2[long] = (mix64(np.add.reduceat(value * powers(base, int(n.max()))[place], at))
+                              for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
     return k1, k2
 
 

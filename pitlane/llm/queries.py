@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pitlane.llm import bit_sliced, decontaminate, main_text, prefix_bpe, quality, shards, token_counts, token_files
+from pitlane.llm import bag_minhash, bit_sliced, decontaminate, main_text, prefix_bpe, quality, shards, token_counts, token_files
 from pitlane.llm.common import query, table
 from pitlane.llm.libraries import vocabulary
 from pitlane.session import scratch_path
@@ -65,3 +65,8 @@ select query_id, rank, vec_id, score from ranked where rank <= 5""")
 def op1(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op3_bag_minhash")
+def op3(spark, sf_dir):
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
