@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pitlane.llm import bag_minhash, bit_sliced, decontaminate, main_text, prefix_bpe, quality, shards, token_counts, token_files
+from pitlane.llm import bag_minhash, bit_sliced, decontaminate, main_text, prefix_bpe, quality, repeats, shards, token_counts, token_files
 from pitlane.llm.common import query, table
 from pitlane.llm.libraries import vocabulary
 from pitlane.session import scratch_path
@@ -70,3 +70,8 @@ def op1(spark, sf_dir):
 @query("op3_bag_minhash")
 def op3(spark, sf_dir):
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_radix_repeats")
+def op6(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"), length=50)
