@@ -119,15 +119,15 @@ class PieceCache:
 
     At most `limit` pieces are held: beyond that the cache starts afresh, so memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 1_500_000, bits: int = 21):
+    def __init__(self, encode, limit: int = 800_000, bits: int = 21):
         self.encode, self.limit, self.mask = encode, limit, np.uint64((1 << bits) - 1)
         self.clear()
 
     def clear(self) -> None:
         size = int(self.mask) + 1
         self.slot = np.full(size, -1, np.int32)
-        self.k1, self.k2, self.ln = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
-        self.at, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.k1, self.k2, self.ln = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+        self.at, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.n, self.n_ids = np.zeros(4096, np.uint32), 0, 0
 
     def find(self, k1, k2, ln) -> np.ndarray:
@@ -217,7 +217,7 @@ def encode_texts(cache: PieceCache, classes: np.ndarray, texts: list[str]) -> tu
     for a, b in slices([len(u) for u in every]):
         buf, first, length, per = split(every[a:b], classes)
         which = cache.lookup(buf, first, length)
-        n = cache.count[which]
+        n = cache.count[which].astype(np.int64)
         flat.append(cache.ids[ragged_index(cache.at[which], n)])
         per_unit.append(np.diff(bounds(n)[per]))
     return np.concatenate(flat), np.diff(bounds(np.concatenate(per_unit))[bounds([len(p) for p in parts])])

@@ -45,7 +45,7 @@ class PrefixBPE:
                 self.joined[halves] = i
                 self.found.add_word(t.decode("latin-1"), i)
         self.found.make_automaton()
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}  # of pairs as one number; bounded below
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of this token joins; None if merging its bytes never makes it."""
@@ -86,12 +86,12 @@ class PrefixBPE:
                 continue
             before = end - size[token]
             if before >= 0:
-                pair = last[before], token
+                pair = last[before] << 32 | token
                 ok = beside.get(pair)
                 if ok is None:
-                    if len(beside) > 2_000_000:
+                    if len(beside) >= 400_000:
                         beside.clear()
-                    ok = beside[pair] = self._may_stand(*pair)
+                    ok = beside[pair] = self._may_stand(last[before], token)
                 if not ok:
                     continue
             last[end] = token
