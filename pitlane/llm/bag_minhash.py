@@ -193,3 +193,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = rows.where("text_key is not null").join(known, "text_key").select("k", "class_id")
     alone = rows.where("text_key is null").select("k", F.col("k").alias("class_id"))
     return found.unionByName(alone).select(F.col("k").alias(key), "class_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay if of each class of near duplicates one does: the smallest key of the class (null
+    keys last), of equal keys the smallest text key, of repeated rows one. Rows with a null text all stay."""
+    id_ = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("kept"), text_key(text).alias("text_key"), id_.alias("id"), F.col(key).isNull().alias("none"), F.col(text).isNull().alias("no_text"))
+    stays = classes(docs, key, text).where("text_key = class_key").select("text_key", F.coalesce(F.col("class_id").cast("string"), F.lit("")).alias("id"), F.col("class_id").isNull().alias("none"))
+    left = rows.where("not no_text").join(stays, ["text_key", "id", "none"]).groupBy("text_key", "id", "none").agg(F.first("kept").alias("kept"))
+    return left.select("kept.*").unionByName(docs.where(F.col(text).isNull()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,3 +216,17 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     found = find_items(docs, items, window, keep=F.col("doc_id"))
     return found.select(F.col("kept").alias("doc_id"), "n_words", covered().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@F.pandas_udf(T.StringType())
+def cut_words(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    """Texts without the characters from the first to the last word of each range of hits."""
+    out = []
+    for text, found in zip(texts, hits):
+        if text is not None and len(found):
+            raw = text.encode()
+            start, end = word_spans(raw)
+            at = [0, *(x for a, b in zip(found[::2], found[1::2]) for x in (int(start[a]), int(end[b - 1]))), len(raw)]
+            text = b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])).decode()
+        out.append(text)
+    return pd.Series(out, dtype=object)

@@ -228,9 +228,13 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     return map_column(encoded, key, ids, make, [("n_tokens", T.LongType()), ("decoded", T.BinaryType()), ("ids_text", T.StringType())])
 
 
+def digests(decoded: DataFrame, key: str = "doc_id", decoded_text: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of decoded documents, and the decoded text if asked for."""
+    text = [F.col("decoded").cast("string").alias("text")] if decoded_text else []
+    return decoded.select(key, "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"), *text)
+
+
 def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, and decoded from the ids."""
-    encoded = encode_documents(docs, path, pattern)
-    decoded = decode_documents(encoded, path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(decode_documents(encode_documents(docs, path, pattern), path))

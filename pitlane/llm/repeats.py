@@ -19,6 +19,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -367,3 +368,9 @@ def report(docs: DataFrame, length: int = 50) -> DataFrame:
     out = without_repeats(docs, length, keep=F.col("doc_id"))
     return out.select(F.col("kept").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept_bytes")).alias("n_removed"),
                       (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@F.pandas_udf(T.StringType())
+def valid_text(raw: pd.Series) -> pd.Series:
+    """UTF-8 bytes as text without the bytes of characters that are not whole; a null stays null."""
+    return raw.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
