@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlane.llm.common import bounds, map_column, materialise, mix64
-from pitlane.llm.components import components, linked_rows
+from pitlane.llm.components import linked_rows, relabelled, undecided
 from pitlane.llm.decontaminate import _WORD_BYTES
 from pitlane.llm.pieces import piece_keys
 
@@ -28,7 +28,9 @@ BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
 #: Agreeing components from which a pair is verified: at similarity 0.8 fewer agree with probability 1e-9.
 AGREE = 76
-SIGNATURES_PER_BLOCK, TEXTS_PER_BLOCK = 512, 128
+#: Bands whose buckets are looked at first.
+FIRST_BANDS = 4
+SIGNATURES_PER_BLOCK, TEXTS_PER_BLOCK = 1024, 128
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -158,29 +160,41 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     come last in class_id, which is null only if all are. Further columns are not read; an empty table gives none.
 
     Equal texts are one row from the first aggregation on, whose map side combines a hot text's copies. A bucket's
-    rows meet in blocks of bounded size, as signatures; only links that span what they connect leave a task, and
-    the texts of each such connected group then meet once, in bounded blocks again. Buckets of the same members count
-    once. No bucket or group is capped."""
+    rows meet in blocks of bounded size, as signatures; only links between components that are not connected yet
+    leave a task, and the texts of each connected group then meet in bounded blocks again. Buckets of the same
+    members count once. No bucket or group is capped."""
     body = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
     signed = map_column(body.select("k", "text", text_key().alias("text_key")), ["k", "text_key"], "text", lambda: _signature_columns,
                         [("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))])
     distinct = signed.groupBy("text_key").agg(F.min("k").alias("first_key"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     distinct = materialise(distinct.withColumn("tid", F.monotonically_increasing_id()), "signed-texts")
-    # Buckets with two members or more; of those with the same members, one.
-    band = distinct.select("tid", F.explode("bands").alias("bucket"))
-    filled = (band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y"))
-              .where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")))
-    members = materialise(band.join(filled.select("bucket", "n"), "bucket"), "buckets")
-    two = members.where("n = 2").groupBy("bucket").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).select("a", "b")
-    more = members.where("n > 2").join(distinct.select("tid", "sig"), "tid")
-    likely = components(two.unionByName(linked_rows(more, "bucket", "n", "tid", SIGNATURES_PER_BLOCK, _by_signature, "sig")))
-    # The texts of likely groups, one row a text, and the links that hold.
-    sizes = likely.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = likely.join(sizes, "root").select(F.col("id").alias("tid"), "root", "n").join(distinct.select("tid", "text_key"), "tid")
+    # Buckets with two members or more; of those with the same members, one. The first bands connect most of what is
+    # alike, so that of the others only buckets with members of different components are looked at.
+    label = distinct.select("tid", F.col("tid").alias("c"))
+    for first, behind in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
+        band = distinct.select("tid", F.explode(F.slice("bands", first + 1, behind - first)).alias("bucket"))
+        filled = (band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y"))
+                  .where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")))
+        members = undecided(band.join(filled.select("bucket", "n"), "bucket").join(label, "tid"), "bucket", "c")
+        members = materialise(members, "buckets")
+        two = members.where("n = 2").groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).select("a", "b")
+        more = members.where("n > 2").join(distinct.select("tid", "sig"), "tid")
+        links = two.unionByName(linked_rows(more, "bucket", "n", "tid", "c", SIGNATURES_PER_BLOCK, _by_signature, "sig"))
+        label = relabelled(label, "c", links)
+    # The texts of likely groups, one row a text, and the links that hold: first inside blocks and between
+    # neighbours, then between all blocks of the groups that this has not connected.
+    likely = label.withColumnRenamed("c", "likely")
+    sizes = likely.groupBy("likely").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = likely.join(sizes, "likely").join(distinct.select("tid", "text_key"), "tid")
     texts = body.select(text_key().alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["text_key"])
-    links = materialise(linked_rows(texts, "root", "n", "tid", TEXTS_PER_BLOCK, _by_overlap, "text"), "near-links")
-    roots = distinct.join(components(links).select(F.col("id").alias("tid"), "root"), "tid", "left")
-    roots = roots.select("text_key", "first_key", F.coalesce("root", "tid").alias("root"))
+    texts = materialise(texts.select("tid", "likely", "n", "text"), "likely-texts")
+    label = distinct.select("tid", F.col("tid").alias("c"))
+    for far in (False, True):
+        rows = texts.join(label, "tid")
+        if far:
+            rows = undecided(rows.where(F.col("n") > TEXTS_PER_BLOCK), "likely", "c")
+        label = relabelled(label, "c", linked_rows(rows, "likely", "n", "tid", "c", TEXTS_PER_BLOCK, _by_overlap, "text", far))
+    roots = distinct.join(label, "tid").select("text_key", "first_key", F.col("c").alias("root"))
     classes_ = roots.groupBy("root").agg(F.min("first_key").alias("class_id"), F.min(F.struct(F.col("first_key").isNull(), "first_key", "text_key")).alias("least"))
     return roots.join(classes_.select("root", "class_id", F.col("least.text_key").alias("class_key")), "root").select("text_key", "class_id", "class_key")
 

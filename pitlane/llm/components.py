@@ -29,13 +29,17 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("id", "root")
 
 
-def block_pairs(rows: DataFrame, group: str, size: str, row_id: str, limit: int) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, size: str, row_id: str, limit: int, far: bool | None = None) -> DataFrame:
     """rows dealt out so that any two rows of a group meet in one (group, i, j), which holds 2 * limit rows or so at
     most: groups beyond limit rows are cut into blocks, and every row goes to each pair of blocks that its own is
-    in. own is the row's block. The result is partitioned by the key and sorted by it."""
+    in. own is the row's block. far: only pairs of the same or neighbouring blocks (False), only the others (True).
+    The result is partitioned by the key and sorted by it."""
     k = F.ceil(F.col(size) / limit).cast("int")
     own = F.pmod(F.xxhash64(row_id), k).cast("int")
     spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    if far is not None:
+        apart = F.abs(F.col("own") - F.col("other")) > 1
+        spread = spread.where(apart if far else ~apart)
     keyed = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
     return keyed.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
@@ -61,10 +65,12 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def forest(ids: np.ndarray, own: np.ndarray, crossing: bool, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span what `linked` links: linked(k, others) says which of the rows `others` row k is linked to. In a
-    pair of different blocks only rows of different blocks are held against each other."""
-    up = list(range(len(ids)))
+def forest(label: np.ndarray, own: np.ndarray, crossing: bool, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between labels that span what `linked` links: linked(k, others) says which of the rows `others` row k is
+    linked to. Rows of one label are linked already. In a pair of different blocks only rows of different blocks
+    are held against each other."""
+    names, group = np.unique(label, return_inverse=True)
+    up = list(range(len(names)))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -73,33 +79,47 @@ def forest(ids: np.ndarray, own: np.ndarray, crossing: bool, linked: Callable[[i
         return x
 
     out = []
-    for k in range(len(ids) - 1):
-        others = np.arange(k + 1, len(ids))
+    for k in range(len(label) - 1):
+        others = np.arange(k + 1, len(label))
+        others = others[group[others] != group[k]]
         if crossing:
             others = others[own[others] != own[k]]
         if not len(others):
             continue
-        for x in others[linked(k, others)].tolist():
-            a, b = root(k), root(x)
+        for x in np.unique(group[others[linked(k, others)]]).tolist():
+            a, b = root(int(group[k])), root(x)
             if a != b:
                 up[b] = a
-                out.append((int(ids[k]), int(ids[x])))
+                out.append((int(names[group[k]]), int(names[x])))
     return out
 
 
-def linked_rows(rows: DataFrame, group: str, size: str, row_id: str, limit: int, comparer: Callable[[pa.Table], Callable],
-                column: str | Column) -> DataFrame:
-    """(a, b): links between rows of a group that span all links comparer finds in it. comparer gets a bounded group of
-    rows with `column` as x and gives the function that forest() asks."""
-    wanted = rows.select(F.col(group).alias("g"), F.col(size).alias("n"), F.col(row_id).alias("id"), (F.col(column) if isinstance(column, str) else column).alias("x"))
+def linked_rows(rows: DataFrame, group: str, size: str, row_id: str, label: str, limit: int, comparer: Callable[[pa.Table], Callable],
+                column: str, far: bool | None = None) -> DataFrame:
+    """(a, b): links between the labels of rows of a group, which span all links that comparer finds between them.
+    comparer gets a bounded group of rows with `column` as x and gives the function that forest() asks."""
+    wanted = rows.select(F.col(group).alias("g"), F.col(size).alias("n"), F.col(row_id).alias("id"), F.col(label).alias("c"), F.col(column).alias("x"))
 
     def run(batches):
         for part in groups(batches, ["g", "i", "j"]):
-            ids, own = part.column("id").to_numpy(), part.column("own").to_numpy()
+            ids, own, names = (part.column(c).to_numpy() for c in ("id", "own", "c"))
             _, one = np.unique(ids, return_index=True)
-            if len(one) > 1:
-                found = forest(ids[one], own[one], part.column("i")[0] != part.column("j")[0], comparer(part.take(one)))
+            if len(np.unique(names)) > 1:
+                found = forest(names[one], own[one], part.column("i")[0] != part.column("j")[0], comparer(part.take(one)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return block_pairs(wanted, "g", "n", "id", limit).mapInArrow(run, "a long, b long")
+    return block_pairs(wanted, "g", "n", "id", limit, far).mapInArrow(run, "a long, b long")
+
+
+def relabelled(rows: DataFrame, label: str, links: DataFrame) -> DataFrame:
+    """rows with each label replaced by the root of its component of links, written to the shared folder."""
+    roots = components(links).select(F.col("id").alias(label), "root")
+    names = [c for c in rows.columns if c != label]
+    return materialise(rows.join(roots, label, "left").select(*names, F.coalesce("root", label).alias(label)), "labels")
+
+
+def undecided(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """The rows of those groups that have rows of different labels."""
+    mixed = rows.groupBy(group).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi").select(group)
+    return rows.join(mixed, group)
