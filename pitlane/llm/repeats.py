@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlane.llm.common import SLICE_BYTES, bounds, materialise, mix64, partitions_for, powers, ragged_index, slices, text_bytes
+from pitlane.llm.common import bounds, materialise, mix64, partitions_for, powers, ragged_index, slices, text_bytes
 from pitlane.llm.components import groups
 
 GRAM = 20
 BASE = 0x9E3779B97F4A7C15
 #: (document, digit) pairs or segments that a task gathers before it passes them on.
-PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 1_000_000, 150_000
+PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 1_000_000, 100_000
+#: Text bytes whose strings are hashed at a time.
+TEXT_SLICE = 400_000
 #: Text bytes a partition of digits is for, and digit ranges a partition.
-BYTES_PER_PARTITION, RANGES = 16 << 20, 4
+BYTES_PER_PARTITION, RANGES = 16 << 20, 8
 #: Strings that are sorted at a time; a digit's strings stay together.
-STRINGS_PER_SORT = 1_000_000
+STRINGS_PER_SORT = 200_000
 SEVERAL = np.iinfo(np.int64).min  # in place of a document: several documents of a batch hold the digit
 
 
@@ -76,7 +78,7 @@ def _range_of(digit: np.ndarray, ranges: int) -> np.ndarray:
 
 def _texts(batch: pa.RecordBatch, column: str):
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
-    for a, b in slices(sizes, SLICE_BYTES):
+    for a, b in slices(sizes, TEXT_SLICE):
         part = batch.slice(a, b - a)
         yield part, [(x or "").encode() for x in part.column(column).to_pylist()]
 
