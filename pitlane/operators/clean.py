@@ -7,40 +7,67 @@ from pyspark.sql import functions as F
 
 from pitlane import schemas as S
 from pitlane.functions import lookup, risk
-from pitlane.operators.dims import checked_dim, scalar
+from pitlane.operators.dims import checked_dim, materialize, scalar
 
 
-EXACT_CONF = "pitlane.quantiles.exact"
+#: Value ranges a counting pass splits each group's range into.
+QUANTILE_BUCKETS = 4096
 
 
-def _exact(df: DataFrame, exact: bool | None) -> bool:
-    """Explicit argument, else the session setting pitlane.quantiles.exact (default true)."""
-    if exact is not None:
-        return exact
-    return str(df.sparkSession.conf.get(EXACT_CONF, "true")).lower() != "false"
+def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of `c` (per `keys` group), as column `q` (a double, or an array for a list).
 
-
-def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None, exact: bool | None = None) -> DataFrame:
-    """Linear-interpolated quantiles of `c` (per `keys` group), as column `q` (a double, or an array for a list).
-
-    Exact mode is two-stage: a distributed count per (keys, value) -- partial
-    aggregation combines hot values map-side and the shuffle spreads values over
-    all tasks -- and then the frequency-weighted percentile over the distinct
-    values only. The last step therefore holds one entry per distinct value,
-    never one per row nor one per (task, value). exact=False uses the
-    bounded-memory sketch (percentile_approx) for unbounded value domains.
+    The wanted ranks are found by counting value ranges: every pass splits the range that still holds a rank into
+    QUANTILE_BUCKETS parts of equal width, counts them with partial aggregation and goes on with the part that
+    holds the rank, until a rank is the least, the largest or the only value of its part. So no task ever holds a
+    column's values, only counts: at most QUANTILE_BUCKETS a range, whatever the group's size or its number of
+    distinct values. A trillion rows take four passes; the passes after the first read few rows.
+    Groups without a value are left out; with no group and no value there is no row.
     """
     keys = list(keys or [])
-    if not _exact(df, exact):
-        return df.groupBy(*keys).agg(F.percentile_approx(c, qs, 10000).alias("q"))
-    hist = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_freq"))
-    return hist.groupBy(*keys).agg(F.percentile(F.col(c), qs, F.col("_freq")).alias("q"))
-
-
-def global_quantile(df: DataFrame, c: str, qs, exact: bool | None = None) -> Column:
+    many = isinstance(qs, (list, tuple))
+    wanted = [float(x) for x in (qs if many else [qs])]
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("all")  # a text of the key in which nulls equal each other
+    rows = df.filter(F.col(c).isNotNull()).select(group.alias("_g"), *keys, F.col(c).cast("double").alias("_v"))
+    groups = materialize(rows.groupBy("_g").agg(*[F.first(k, ignorenulls=True).alias(k) for k in keys], F.count(F.lit(1)).alias("_n"),
+                                                F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    place = [F.lit(x) * (F.col("_n") - 1) for x in wanted]
+    ranks = F.array_distinct(F.concat(*[F.array(F.floor(x), F.ceil(x)) for x in place]))
+    state = groups.select("_g", F.explode(ranks).alias("_rank"), F.col("_n").alias("_of"), "_lo", "_hi").withColumn("_left", F.col("_rank"))
+    found = None
+    while True:
+        value = (F.when((F.col("_left") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo"))
+                 .when(F.col("_left") == F.col("_of") - 1, F.col("_hi")))
+        state = state.withColumn("_value", value)
+        done = state.filter(F.col("_value").isNotNull()).select("_g", "_rank", "_value")
+        found = done if found is None else found.unionByName(done)
+        open_ = state.filter(F.col("_value").isNull())
+        if open_.isEmpty():
+            break
+        state = materialize(_narrowed(rows, open_))
+    values = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    each = [F.col("_at")[F.floor(x)] + (x - F.floor(x)) * (F.col("_at")[F.ceil(x)] - F.col("_at")[F.floor(x)]) for x in place]
+    return materialize(groups.join(values, "_g").select(*keys, (F.array(*each) if many else each[0]).alias("q")))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One counting pass: for each open rank the part of its range that holds it."""
+    ranges = checked_dim(state.select("_g", "_lo", "_hi").distinct())
+    inside = rows.select("_g", "_v").join(ranges, "_g").filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    part = F.least(F.lit(QUANTILE_BUCKETS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * QUANTILE_BUCKETS))
+    counts = inside.groupBy("_g", "_lo", "_hi", part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    before = Window.partitionBy("_g", "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    hit = (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_c"))
+    return (counts.join(state.select("_g", "_lo", "_hi", "_rank", "_left"), ["_g", "_lo", "_hi"]).filter(hit)
+            .select("_g", "_rank", F.col("_c").alias("_of"), F.col("_low").alias("_lo"), F.col("_high").alias("_hi"),
+                    (F.col("_left") - F.col("_before")).alias("_left")))
+
+
+def global_quantile(df: DataFrame, c: str, qs) -> Column:
     """Scalar-subquery form of `quantiles` over all rows."""
-    return quantiles(df, c, qs, exact=exact).select(F.col("q").cast("double") if not isinstance(qs, list)
-                                                    else F.col("q")).scalar()
+    return quantiles(df, c, qs).select("q").scalar()
 
 
 def drop_incomplete(laps: DataFrame, subset=None) -> DataFrame:
@@ -48,20 +75,29 @@ def drop_incomplete(laps: DataFrame, subset=None) -> DataFrame:
     return laps.na.drop(subset=list(subset or S.CLEAN_KEYS))
 
 
-def laptime_stats(df: DataFrame, exact: bool | None = None) -> DataFrame:
+def drop_incomplete_mark(subset=None) -> Column:
+    """P01 as a condition."""
+    names = list(subset or S.CLEAN_KEYS)
+    mark = F.col(names[0]).isNotNull()
+    for name in names[1:]:
+        mark = mark & F.col(name).isNotNull()
+    return mark
+
+
+def laptime_stats(df: DataFrame) -> DataFrame:
     """Global median and sample standard deviation of the lap time (one row)."""
     return df.agg(F.stddev_samp("lap_time_s").alias("std_s")).select(
-        global_quantile(df, "lap_time_s", 0.5, exact).alias("median_s"), "std_s")
+        global_quantile(df, "lap_time_s", 0.5).alias("median_s"), "std_s")
 
 
-def trim_threshold(df: DataFrame, exact: bool | None = None) -> Column:
+def trim_threshold(df: DataFrame) -> Column:
     """median + 2*stddev_samp of the lap time (two scalar subqueries over `df`)."""
-    return global_quantile(df, "lap_time_s", 0.5, exact) + F.lit(2.0) * scalar(df, F.stddev_samp("lap_time_s"))
+    return global_quantile(df, "lap_time_s", 0.5) + F.lit(2.0) * scalar(df, F.stddev_samp("lap_time_s"))
 
 
-def trim_outliers(df: DataFrame, exact: bool | None = None) -> DataFrame:
+def trim_outliers(df: DataFrame) -> DataFrame:
     """Keep lap_time < median + 2*std (strict, upper side only). One row -> no std -> nothing kept."""
-    return df.filter(F.col("lap_time_s") < trim_threshold(df, exact))
+    return df.filter(F.col("lap_time_s") < trim_threshold(df))
 
 
 def position_range(df: DataFrame) -> DataFrame:
@@ -74,18 +110,14 @@ def positive_laptime(df: DataFrame) -> DataFrame:
     return df.filter(F.col("lap_time_s") > 0)
 
 
-def clean_rows(laps: DataFrame, exact: bool | None = None) -> DataFrame:
+def clean_rows(laps: DataFrame) -> DataFrame:
     """P01 -> P02 (statistics after P01) -> P03 -> P04."""
-    return positive_laptime(position_range(trim_outliers(drop_incomplete(laps), exact)))
+    return positive_laptime(position_range(trim_outliers(drop_incomplete(laps))))
 
 
-def race_medians(df: DataFrame, exact: bool | None = None) -> DataFrame:
-    """Median lap time per race; races pooled across years; the null race is its own group.
-
-    Two-stage (see `quantiles`): a race holding a third of all laps still sends
-    only its distinct lap times to the final step.
-    """
-    return quantiles(df, "lap_time_s", 0.5, ["race"], exact).select(
+def race_medians(df: DataFrame) -> DataFrame:
+    """Median lap time per race; races pooled across years; the null race is its own group."""
+    return quantiles(df, "lap_time_s", 0.5, ["race"]).select(
         "race", F.col("q").cast("double").alias("laptime_baseline"))
 
 
@@ -94,7 +126,7 @@ def race_text(c="race") -> Column:
     return F.coalesce(F.col(c), F.lit("nan"))
 
 
-def race_dimension(rows: DataFrame, exact: bool | None = None) -> DataFrame:
+def race_dimension(rows: DataFrame) -> DataFrame:
     """One small dimension for J02 and W01: per race its median lap time and its code.
 
     A02 groups the rows by race (partial aggregation, so a hot race is never
@@ -103,7 +135,7 @@ def race_dimension(rows: DataFrame, exact: bool | None = None) -> DataFrame:
     partition key never sees lap rows. The null race keeps no baseline (a null
     key finds no group in the reference either) but gets the code of 'nan'.
     """
-    g = race_medians(rows, exact)
+    g = race_medians(rows)
     g = g.withColumn("laptime_baseline", F.when(F.col("race").isNotNull(), F.col("laptime_baseline")))
     g = g.withColumn("race_text", race_text())
     return g.withColumn("race_encoded", (F.dense_rank().over(Window.orderBy("race_text")) - 1).cast("int"))
@@ -114,19 +146,17 @@ def _join_race_dim(df: DataFrame, dim: DataFrame, cols: list[str]) -> DataFrame:
     return df.join(d, df["race"].eqNullSafe(d["_dim_race"]), "left").drop("_dim_race")
 
 
-def attach_race_baseline(df: DataFrame, exact: bool | None = None) -> DataFrame:
+def attach_race_baseline(df: DataFrame) -> DataFrame:
     """J02 + F10: attach the race median; a null race gets no baseline."""
-    out = _join_race_dim(df, race_dimension(df, exact), ["laptime_baseline"])
+    out = _join_race_dim(df, race_dimension(df), ["laptime_baseline"])
     return out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
 
 
-def race_codes(df: DataFrame) -> DataFrame:
-    """W01 dimension: zero-based alphabetical code per distinct race text."""
-    return race_dimension(df).select("race_text", "race_encoded").distinct()
-
-
 def attach_race_code(df: DataFrame) -> DataFrame:
-    return _join_race_dim(df, race_dimension(df), ["race_encoded"])
+    """The code needs the distinct races only, no medians."""
+    names = df.select("race").distinct().withColumn("race_text", race_text())
+    dim = names.withColumn("race_encoded", (F.dense_rank().over(Window.orderBy("race_text")) - 1).cast("int"))
+    return _join_race_dim(df, dim, ["race_encoded"])
 
 
 def year_offset_base(rows: DataFrame) -> Column:
@@ -145,10 +175,10 @@ def attach_year_offset(df: DataFrame, rows: DataFrame | None = None) -> DataFram
         F.lit("missing year after cleaning")).cast("int")).otherwise(offset))
 
 
-def encode(rows: DataFrame, exact: bool | None = None) -> DataFrame:
+def encode(rows: DataFrame) -> DataFrame:
     """F09, J02/F10, W01, F11 on cleaned rows: one dimension join, one merged scalar subquery."""
     out = rows.withColumn("compound_encoded", lookup.compound_code())
-    out = _join_race_dim(out, race_dimension(rows, exact), ["laptime_baseline", "race_encoded"])
+    out = _join_race_dim(out, race_dimension(rows), ["laptime_baseline", "race_encoded"])
     out = out.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
     return attach_year_offset(out, rows)
 
@@ -172,24 +202,26 @@ def dashboard_fields(df: DataFrame, bounds: tuple | None = None) -> DataFrame:
     return out.withColumn("superclipping_duration", risk.superclip_duration("ers_risk"))
 
 
-def prepare(laps: DataFrame, exact: bool | None = None, encode_features: bool = True) -> DataFrame:
-    """Full training frame: clean rows, encodings and dashboard fields.
+def prepare(laps: DataFrame, encode_features: bool = True) -> DataFrame:
+    """Full training frame: clean rows, encodings and dashboard fields."""
+    return prepare_clean(clean_rows(laps), encode_features)
+
+
+def prepare_clean(rows: DataFrame, encode_features: bool = True) -> DataFrame:
+    """The training frame of cleaned rows (best a stored table: its statistics read it again).
 
     Every global statistic (year offset, risk bounds) is a scalar subquery over
     the same cleaned rows, so Catalyst merges them into one aggregate job.
     """
-    rows = clean_rows(laps, exact)
-    out = encode(rows, exact) if encode_features else rows
+    out = encode(rows) if encode_features else rows
     return dashboard_fields(out, ers_bounds(rows))
 
 
-def row_accounting(laps: DataFrame, exact: bool | None = None) -> DataFrame:
-    """Raw, kept, removed and complete-regression-row counts in one row."""
-    raw = laps.agg(F.count(F.lit(1)).alias("n_raw"))
-    kept = clean_rows(laps, exact)
-    complete = kept.na.drop(subset=["position_change", "prev_tyre_life", "pit_stop", "race"])
-    return raw.select(
-        "n_raw",
-        kept.select(F.count(F.lit(1))).scalar().alias("n_clean"),
-        complete.select(F.count(F.lit(1))).scalar().alias("n_complete"),
-    ).withColumn("n_removed", F.col("n_raw") - F.col("n_clean"))
+def row_accounting(laps: DataFrame) -> DataFrame:
+    """Raw, kept, removed and complete-regression-row counts in one row: one aggregate that marks each lap,
+    after the pass for the trim threshold."""
+    complete = drop_incomplete_mark() & (F.col("lap_time_s") < trim_threshold(drop_incomplete(laps)))
+    kept = F.coalesce(complete & F.col("position").between(1, 20) & (F.col("lap_time_s") > 0), F.lit(False))
+    full = kept & F.col("position_change").isNotNull() & F.col("prev_tyre_life").isNotNull() & F.col("pit_stop").isNotNull() & F.col("race").isNotNull()
+    return laps.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(kept).alias("n_clean"), F.count_if(full).alias("n_complete")).withColumn(
+        "n_removed", F.col("n_raw") - F.col("n_clean"))

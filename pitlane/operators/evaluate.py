@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlane.operators.dims import scalar
+from pitlane.operators.dims import materialize, scalar
 from pitlane.operators.sampling import hash_sample
 
 # The silhouette block function runs in Python workers; ship this module's code by
@@ -25,24 +25,18 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     The total sum of squares is n * var_pop(y): Spark's central-moment aggregate
     is numerically stable and needs no second pass for the mean.
     """
+    return df.agg(*_regression_aggregates(y, p), F.count(F.lit(1)).alias("n"))
+
+
+def _regression_aggregates(y: str, p: str, prefix: str = "") -> list[Column]:
     e = F.col(y) - F.col(p)
-    return df.agg(
-        F.avg(F.abs(e)).alias("mae"),
-        F.avg(e * e).alias("mse"),
-        (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    return [F.avg(F.abs(e)).alias(f"{prefix}mae"), F.avg(e * e).alias(f"{prefix}mse"),
+            (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias(f"{prefix}r2")]
 
 
-def _label_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    t, p = F.col(truth).cast("string"), F.col(pred).cast("string")
-    both = F.explode(F.array(
-        F.struct(t.alias("label"), F.lit(1).alias("sup"), F.lit(0).alias("prd"), (t == p).cast("int").alias("tp")),
-        F.struct(p.alias("label"), F.lit(0).alias("sup"), F.lit(1).alias("prd"), F.lit(0).alias("tp")),
-    )).alias("x")
-    return (df.select(both).groupBy(F.col("x.label").alias("label"))
-            .agg(F.sum("x.sup").cast("bigint").alias("support"), F.sum("x.prd").cast("bigint").alias("predicted"),
-                 F.sum("x.tp").cast("bigint").alias("tp")))
+def regression_metrics_of(df: DataFrame, y: str, predictions: dict[str, str]) -> DataFrame:
+    """E01 of several predictors of the same rows in one pass: columns <name>_mae, <name>_mse, <name>_r2, and n."""
+    return df.agg(*[c for name, p in predictions.items() for c in _regression_aggregates(y, p, f"{name}_")], F.count(F.lit(1)).alias("n"))
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -52,9 +46,16 @@ def _safe_div(a: Column, b: Column) -> Column:
 def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """E02 + E03: per-class precision/recall/F1/support, macro and weighted averages, accuracy.
 
-    Zero division gives 0. Labels are compared as text.
+    The input is read once, for its counts by (truth, predicted) pair; all rows of the report come from that
+    small frame. Zero division gives 0. Labels are compared as text.
     """
-    c = _label_counts(df, truth, pred)
+    pairs = df.groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs)  # classes squared rows
+    side = F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("sup"), F.lit(0).cast("bigint").alias("prd"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("sup"), F.col("n").alias("prd"), F.lit(0).cast("bigint").alias("tp"))))
+    c = (pairs.select(side.alias("x")).groupBy(F.col("x.label").alias("label"))
+         .agg(F.sum("x.sup").alias("support"), F.sum("x.prd").alias("predicted"), F.sum("x.tp").alias("tp")))
     per = c.select(
         "label",
         _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
@@ -69,10 +70,11 @@ def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
                        (F.sum(F.col("precision") * F.col("support")) / total).alias("precision"),
                        (F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
                        (F.sum(F.col("f1") * F.col("support")) / total).alias("f1"), total.alias("support"))
-    acc = df.agg(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 F.avg((F.col(truth).cast("string") == F.col(pred).cast("string")).cast("double")).alias("f1"),
-                 F.count(F.lit(1)).alias("support"))
+    same = F.when(F.col("t").isNotNull() & F.col("p").isNotNull(), F.col("n"))
+    acc = pairs.agg(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
+                    F.lit(None).cast("double").alias("recall"),
+                    (F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum(same)).alias("f1"),
+                    F.sum("n").alias("support"))
     return per.unionByName(macro).unionByName(weighted).unionByName(acc)
 
 
@@ -92,11 +94,6 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
             .select("truth", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """E02."""
-    return df.agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
-
-
 def _silhouette_blocks(points: np.ndarray, labelings: np.ndarray):
     """Per-point silhouette for each labeling against the broadcast sample.
 
@@ -108,8 +105,11 @@ def _silhouette_blocks(points: np.ndarray, labelings: np.ndarray):
             out = np.zeros((len(idx), labelings.shape[0]))
             for s in range(0, len(idx), 128):
                 blk = idx[s:s + 128]
-                diff = points[blk][:, None, :] - points[None, :, :]
-                dist = np.sqrt((diff * diff).sum(-1))  # exact Euclidean, block x n
+                dist = np.zeros((len(blk), len(points)))
+                for x in points.T:  # exact Euclidean, block x n, one dimension after the other
+                    diff = x[blk][:, None] - x[None, :]
+                    dist += diff * diff
+                dist = np.sqrt(dist)
                 for j, lab in enumerate(labelings):
                     ks = np.unique(lab)
                     onehot = (lab[:, None] == ks[None, :]).astype(np.float64)
@@ -162,9 +162,3 @@ def real_vs_predicted(df: DataFrame, real: str, pred: str, key: str = "row_key",
     head = df.select(key, F.col(real).alias("real"), F.col(pred).alias("predicted")).orderBy(key).limit(n)
     diag = df.agg(F.least(F.min(real), F.min(pred)).alias("lo"), F.greatest(F.max(real), F.max(pred)).alias("hi"))
     return head, diag
-
-
-def best_by(df: DataFrame, score: str, tiebreak: str, prefer_larger_tiebreak: bool) -> DataFrame:
-    """The row with the highest score; ties by the tie-break column (smallest or largest)."""
-    tb = F.col(tiebreak) if prefer_larger_tiebreak else -F.col(tiebreak)
-    return df.orderBy(F.col(score).desc(), tb.desc()).limit(1)

@@ -13,7 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlane.operators.dims import join_dim, scalar
 
 HASH_SPACE = float(2 ** 32)
 
@@ -97,28 +96,82 @@ def exact_split(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key:
     return df.withColumn("is_test", cond)
 
 
-def stratified_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42,
-                     key: str = "row_key") -> tuple[DataFrame, DataFrame]:
-    """The hash does not look at the label, so each class is split in the same proportion."""
-    return hash_split(df, test_fraction, seed, key)
+def _class_thresholds(hashed: DataFrame, quota: dict) -> dict:
+    """{class: (t, key_t)}: exact thresholds of the quota[class] smallest (hash, key) pairs of each class, by the two
+    counting passes of kth_hash_threshold for all classes at once (at most 65,536 counts a class and pass)."""
+    high, low = (F.col("_h") / 65536).cast("bigint"), F.col("_h") % 65536
+    counts: dict = {}
+    for r in hashed.groupBy("_l", high.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r["_l"], []).append((r["b"], r["n"]))
+    at: dict = {}
+    for label, k in quota.items():
+        seen = 0
+        for b, n in sorted(counts.get(label, [])):
+            if k <= 0:
+                at[label] = (-1, 0)
+                break
+            if seen + n >= k:
+                at[label] = (b, k - seen)
+                break
+            seen += n
+    mine = None
+    for label, (b, _) in at.items():
+        here = F.col("_l").eqNullSafe(F.lit(label)) & (high == b)
+        mine = here if mine is None else mine | here
+    out = {label: (-1, None) for label in quota}
+    if mine is None:
+        return out
+    fine: dict = {}
+    for r in hashed.filter(mine).groupBy("_l", "_h").agg(F.count(F.lit(1)).alias("n")).collect():
+        fine.setdefault(r["_l"], []).append((r["_h"], r["n"]))
+    for label, (_, left) in at.items():
+        for h, n in sorted(fine.get(label, [])):
+            if left <= n:
+                tie = hashed.filter(F.col("_l").eqNullSafe(F.lit(label)) & (F.col("_h") == h)).select("_k").orderBy("_k").limit(left).collect()
+                out[label] = (h, tie[-1][0])
+                break
+            left -= n
+    return out
+
+
+def _mark_smallest(df: DataFrame, label: str, quota_of, seed: int, key: str) -> Column:
+    """Condition that marks, in each class of label, the quota_of({class: rows})[class] smallest hashes."""
+    from pitlane.operators.dims import materialize
+    hashed = materialize(df.select(F.col(label).alias("_l"), hash_rank(key, seed).alias("_h"), F.col(key).alias("_k")))
+    rows = {r["_l"]: r["n"] for r in hashed.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a class
+    h, mark = hash_rank(key, seed), F.lit(False)
+    for value, (t, kt) in _class_thresholds(hashed, quota_of(rows)).items():
+        low = (h < t) if kt is None else (h < t) | ((h == t) & (F.col(key) <= F.lit(kt)))
+        mark = mark | (F.col(label).eqNullSafe(F.lit(value)) & low)
+    return mark
 
 
-def _margin(n: int) -> float:
-    return n + 10.0 * math.sqrt(n) + 10.0
+def mark_stratified(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """`is_test` marks exactly ceil(test_fraction * n) rows of every class (the smallest hashes; a null label is
+    a class of its own). Rows with one key go together."""
+    return df.withColumn("is_test", _mark_smallest(
+        df, label, lambda n: {c: math.ceil(test_fraction * k - 1e-9) for c, k in n.items()}, seed, key))
+
+
+def stratified_split(df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42,
+                     key: str = "row_key") -> tuple[DataFrame, DataFrame]:
+    """T08 as (train, test)."""
+    marked = mark_stratified(df, label, test_fraction, seed, key)
+    return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, key: str = "row_key") -> DataFrame:
     """Exactly min(n, rows) rows: the n smallest hashes.
 
-    A map-only prefilter keeps rows whose hash is under a threshold sized from the
-    row count (scalar subquery) so that comfortably more than n rows survive; the
-    final top-n then sorts only those few rows.
+    Two counting passes give the n-th smallest (hash, key) pair, and rows up to it pass a map-only filter; of rows
+    that repeat one key the sort that follows takes as many as are still wanted, so heavily repeated keys lose
+    nothing and keep nothing too much.
     """
-    total = scalar(df, F.count(F.lit(1)))
-    frac = F.least(F.lit(1.0), F.lit(_margin(n)) / total.cast("double"))
+    t, kt = kth_hash_threshold(df, n, seed, key)
     marked = df.withColumn("_h", hash_rank(key, seed))
-    pre = marked.filter(F.col("_h") <= frac * F.lit(HASH_SPACE))
-    return pre.orderBy("_h", key).limit(n).drop("_h")
+    if kt is not None:
+        marked = marked.filter((F.col("_h") < t) | ((F.col("_h") == t) & (F.col(key) <= F.lit(kt))))
+    return marked.orderBy("_h", key).limit(n).drop("_h")
 
 
 def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
@@ -136,22 +189,20 @@ def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k: in
 CAP_SEED = 4242  # independent of the split seed, so the cap is not correlated with the split
 
 
-def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = CAP_SEED, key: str = "row_key",
-                   exact: bool = False) -> DataFrame:
-    """At most `cap` rows keeping class shares.
+def class_quotas(rows: dict, cap: int) -> dict:
+    """How many rows of each class a cap leaves: floor(cap * share), and what is left over to the largest fractions
+    (equal ones in order of the class), so that the sum is exactly min(cap, rows)."""
+    total = sum(rows.values())
+    if total <= cap:
+        return dict(rows)
+    quota = {c: cap * n // total for c, n in rows.items()}
+    order = sorted(rows, key=lambda c: (-(cap * rows[c] % total), str(c)))
+    for c in order[:cap - sum(quota.values())]:
+        quota[c] += 1
+    return quota
 
-    Default: one hash threshold cap/rows for every class (map-only, expected size
-    cap). exact=True: per class the round(cap*share) smallest hashes.
-    """
-    total = scalar(df, F.count(F.lit(1)))
-    if not exact:
-        frac = F.least(F.lit(1.0), F.lit(float(cap)) / total.cast("double"))
-        return df.filter(hash_rank(key, seed) < frac * F.lit(HASH_SPACE))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    quota = counts.withColumn(
-        "_k", F.least(F.col("_n"), F.round(F.lit(float(cap)) * F.col("_n") / total.cast("double")).cast("int")))
-    # every class quota is <= cap: take the top `cap` per class (partial limit before the
-    # shuffle), then cut each class to its own quota
-    top = top_k_per_group(df.withColumn("_h", hash_rank(key, seed)), [label], [F.col("_h"), F.col(key)], cap)
-    with_k = join_dim(top, quota.select(label, "_k"), label, "inner")  # one row per class
-    return with_k.filter(F.col("rank_in_group") <= F.col("_k")).drop("_h", "_k", "rank_in_group")
+
+def stratified_cap(df: DataFrame, label: str, cap: int, seed: int = CAP_SEED, key: str = "row_key") -> DataFrame:
+    """Exactly min(cap, rows) rows keeping class shares: per class the smallest hashes, by exact thresholds
+    (counting passes; no class is ever gathered in one task)."""
+    return df.filter(_mark_smallest(df, label, lambda rows: class_quotas(rows, cap), seed, key))

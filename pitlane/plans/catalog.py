@@ -8,6 +8,7 @@ order does not change the compared values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from pitlane.operators.sampling import hash_sql
 from pitlane.plans.oracle_sql import r, with_ctes
 from pitlane.schemas import REGRESSION_FEATURES, REGRESSION_TARGET
 from pitlane.session import ensure_checkpoint_dir
+from pitlane.operators.stored import stored
 from pitlane.sources.laps import testdata_lap_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +45,8 @@ def laps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned(spark, sf) -> DataFrame:
-    return CL.clean_rows(laps(spark, sf))
+    """The cleaned laps (P01-P04), stored once per application and input: the statistics of a query read this table."""
+    return stored(spark, sf, "cleaned", lambda: CL.clean_rows(laps(spark, sf)))
 
 
 def scored(spark, sf) -> DataFrame:
@@ -53,7 +56,7 @@ def scored(spark, sf) -> DataFrame:
 
 def prepared(spark, sf) -> DataFrame:
     """Clean rows, encodings and dashboard fields (the training frame)."""
-    return CL.prepare(laps(spark, sf))
+    return CL.prepare_clean(cleaned(spark, sf))
 
 
 LAP_COLS = ["row_key", "driver", "race", "year", "lap_number", "stint", "position", "lap_time_s",
@@ -442,6 +445,24 @@ def q_live_risk(spark, sf):
     return laps(spark, sf).select("row_key", live_risk().alias("live_risk"))
 
 
+def _missing_sql(names):
+    parts = ", ".join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in names)
+    return f"nullif(concat_ws(',', {parts}), '')"
+
+
+@query("score_inputs", with_ctes(
+    ["laps"], f"SELECT row_key, lap_number AS lap, {_live_risk_sql()} AS ers_risk, laptime_normalized, "
+              f"{_missing_sql(['normalized_tyre_life', 'race_progress', 'lap_time_delta', 'tyre_life'])} AS missing_risk_class, "
+              f"{_missing_sql(['cumulative_degradation', 'tyre_life', 'laptime_normalized'])} AS missing_clusters, "
+              f"{_missing_sql(['lap_time_delta', 'race_progress', 'tyre_life'])} AS missing_safety FROM "
+              "(SELECT *, round_even(((CASE WHEN lap_time_s = 0 THEN 78e0 ELSE lap_time_s END) - 78e0) * 10000e0, 0) / 10000e0 "
+              "AS laptime_normalized FROM laps)"))
+def q_score_inputs(spark, sf):
+    """P12 + F07 + F08: what the three scorers see of every lap, and the features that each one misses."""
+    from pitlane.plans.scoring import scoring_inputs
+    return scoring_inputs(laps(spark, sf))
+
+
 @query("laptime_vs_constant", with_ctes(
     ["laps"], "SELECT row_key, round_even(((CASE WHEN lap_time_s = 0 THEN 78e0 ELSE lap_time_s END) - 78e0) "
               "* 10000e0, 0) / 10000e0 AS laptime_normalized_live FROM laps"))
@@ -477,7 +498,7 @@ def q_race_gaps(spark, sf):
               "least(95, greatest(5, CAST(trunc(CAST(trunc(tyre_life) AS INTEGER) * 2.5e0) AS INTEGER))) AS b "
               "FROM laps)"))
 def q_tyre_wear(spark, sf):
-    """F15 on every lap (flat columns; the nested form is tyre_wear_struct)."""
+    """F15 on every lap (flat columns)."""
     from pitlane.functions.carstate import tyre_wear_columns
     cols = tyre_wear_columns()
     return laps(spark, sf).select("row_key", *[v.alias(k) for k, v in cols.items()])
@@ -571,34 +592,40 @@ def q_exact_split(spark, sf):
     return SM.exact_split(_matrix(spark, sf)).select("row_key", "is_test")
 
 
-@query("stratified_split", with_ctes(["status"], f"SELECT row_key, evento_critico, {H} < 858993459 AS is_test FROM ev",
-                                     [EVENT_CTE]))
+STRATIFIED_CTE = (f"strat AS (SELECT *, row_number() OVER (PARTITION BY evento_critico ORDER BY {H}, row_key) <= "
+                  "CAST(ceil(0.2e0 * count(*) OVER (PARTITION BY evento_critico)) AS BIGINT) AS is_test FROM ev)")
+
+
+@query("stratified_split", with_ctes(["status"], "SELECT row_key, evento_critico, is_test FROM strat", [EVENT_CTE, STRATIFIED_CTE]))
 def q_stratified_split(spark, sf):
-    """The hash ignores the label, so both classes split 80/20."""
-    return SM.mark_split(_event_frame(spark, sf)).select("row_key", "evento_critico", "is_test")
+    """Exactly ceil(20 %) of the rows of each class."""
+    return SM.mark_stratified(_event_frame(spark, sf), "evento_critico").select("row_key", "evento_critico", "is_test")
 
 
-@query("stratified_cap", with_ctes(
-    ["status"], f"SELECT row_key, evento_critico FROM tr WHERE {hash_sql(seed=SM.CAP_SEED)} < "
-                "least(1e0, 15000e0 / (SELECT count(*) FROM tr)) "
-                "* 4294967296e0", [EVENT_CTE, f"tr AS (SELECT * FROM ev WHERE {H} >= 858993459)"]))
+CAP_CTES = [EVENT_CTE, STRATIFIED_CTE, "tr AS (SELECT * FROM strat WHERE NOT is_test)",
+            "shares AS (SELECT evento_critico, n, tot, 15000 * n // tot AS base, 15000 * n % tot AS rest FROM (SELECT evento_critico, "
+            "count(*) AS n, (SELECT count(*) FROM tr) AS tot FROM tr GROUP BY evento_critico))",
+            "quota AS (SELECT evento_critico, CASE WHEN tot <= 15000 THEN n ELSE base + CASE WHEN row_number() OVER (ORDER BY rest DESC, "
+            "evento_critico) <= 15000 - sum(base) OVER () THEN 1 ELSE 0 END END AS quota FROM shares)"]
+CAP_SQL = with_ctes(
+    ["status"], "SELECT row_key, evento_critico FROM (SELECT tr.row_key, tr.evento_critico, row_number() OVER "
+                f"(PARTITION BY tr.evento_critico ORDER BY {hash_sql('tr.row_key', SM.CAP_SEED)}, tr.row_key) AS rn, "
+                "quota.quota FROM tr JOIN quota ON tr.evento_critico = quota.evento_critico) WHERE rn <= quota", CAP_CTES)
+
+
+@query("stratified_cap", CAP_SQL)
 def q_stratified_cap(spark, sf):
-    """Cap the training part at 15,000 rows keeping class shares (one hash threshold)."""
-    train, _ = SM.stratified_split(_event_frame(spark, sf), "evento_critico")
+    """Cap the training part at exactly 15,000 rows keeping class shares."""
+    train, _ = SM.stratified_split(stored(spark, sf, "events", lambda: _event_frame(spark, sf)), "evento_critico")
     return SM.stratified_cap(train, "evento_critico", 15000).select("row_key", "evento_critico")
 
 
-@query("stratified_cap_exact", with_ctes(
-    ["status"], "SELECT row_key, evento_critico FROM (SELECT tr.row_key, tr.evento_critico, row_number() OVER "
-                f"(PARTITION BY tr.evento_critico ORDER BY {hash_sql('tr.row_key', SM.CAP_SEED)}, tr.row_key) AS rn, "
-                "q.quota FROM tr JOIN (SELECT evento_critico, least(count(*), CAST(round(15000e0 * count(*) / "
-                "(SELECT count(*) FROM tr)) AS BIGINT)) AS quota FROM tr GROUP BY evento_critico) q "
-                "ON tr.evento_critico = q.evento_critico) WHERE rn <= quota",
-    [EVENT_CTE, f"tr AS (SELECT * FROM ev WHERE {H} >= 858993459)"]))
+@query("stratified_cap_exact", CAP_SQL)
 def q_stratified_cap_exact(spark, sf):
-    """T06 exact mode: per class exactly round(15000 * share) rows with the smallest hashes."""
-    train, _ = SM.stratified_split(_event_frame(spark, sf), "evento_critico")
-    return SM.stratified_cap(train, "evento_critico", 15000, exact=True).select("row_key", "evento_critico")
+    """T06 by class: per class its quota of rows, those with the smallest hashes."""
+    frame = stored(spark, sf, "events", lambda: _event_frame(spark, sf))
+    train, _ = SM.stratified_split(frame, "evento_critico")
+    return SM.stratified_cap(train, "evento_critico", 15000).select("row_key", "evento_critico")
 
 
 @query("model_matrix_regression", with_ctes(
@@ -764,10 +791,9 @@ def q_confusion_matrix(spark, sf):
 
 EMB_HASH = hash_sql("CAST(vec_id AS VARCHAR)")
 SIL_SQL = (
-    f"WITH s AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x0, embedding[2]::DOUBLE AS x1, "
-    f"embedding[3]::DOUBLE AS x2 FROM embeddings ORDER BY {EMB_HASH}, CAST(vec_id AS VARCHAR) LIMIT 20000), "
+    f"WITH s AS (SELECT vec_id, label, embedding FROM embeddings ORDER BY {EMB_HASH}, CAST(vec_id AS VARCHAR) LIMIT 20000), "
     "pr AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, "
-    "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) AS d "
+    "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d "
     "FROM s a JOIN s b ON a.vec_id <> b.vec_id), "
     "pm AS (SELECT i, li, lj, avg(d) AS md FROM pr GROUP BY i, li, lj), "
     "ab AS (SELECT i, max(CASE WHEN li = lj THEN md END) AS a, min(CASE WHEN li <> lj THEN md END) AS b FROM pm GROUP BY i), "
@@ -778,13 +804,15 @@ SIL_SQL = (
 
 @query("silhouette_small", SIL_SQL)
 def q_silhouette_small(spark, sf):
-    """Exact Euclidean silhouette of the embedding labels on the first three dimensions (<=20k sample)."""
+    """Exact Euclidean silhouette of the embedding labels on all dimensions (a sample of 20,000 points at most,
+    which is the operator's feature: all pairwise distances)."""
     from pitlane.operators.evaluate import silhouette
     emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
     pts = emb.select(F.col("vec_id").cast("string").alias("row_key"), "label",
-                     *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
-    s = silhouette(pts, ["x0", "x1", "x2"], ["label"], max_points=20000)
-    n = SM.hash_sample(pts, 20000).select(F.count(F.lit(1))).scalar()
+                     *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)])
+    s = silhouette(pts, [f"x{i}" for i in range(dims)], ["label"], max_points=20000)
+    n = pts.select(F.least(F.count(F.lit(1)), F.lit(20000))).scalar()
     return s.select(rh("label", 6).alias("silhouette"), n.alias("n_points"))
 
 
@@ -815,6 +843,16 @@ def q_recent_events(spark, sf):
     return top.select("event_id", iso_text("ts").alias("ts"), "user_id", "event_type", "value")
 
 
+def _through_history(spark, rows: DataFrame, name: str) -> DataFrame:
+    """History rows appended to their table and read back from it."""
+    from pitlane.session import scratch_path
+    from pitlane.sinks import history as H
+    base = scratch_path(spark, f"history-{uuid.uuid4().hex}")
+    H.init_tables(spark, base)
+    H.append(rows, base, name, batch_id=0, run_id="query")
+    return H.read_table(spark, base, name)
+
+
 @query("recent_alerts",
        "SELECT id, severity, title, description, " + ISO_SQL.format(c="ts") + " AS timestamp FROM "
        "(SELECT md5('event#' || CAST(event_id AS VARCHAR)) AS id, 'CRÍTICO' AS severity, "
@@ -823,7 +861,7 @@ def q_recent_events(spark, sf):
 def q_recent_alerts(spark, sf):
     """K07 + S07: alert history built from error events, ten newest."""
     from pitlane.sinks.history import alert_rows_from_events, recent
-    return recent(alert_rows_from_events(_events(spark, sf)))
+    return recent(_through_history(spark, alert_rows_from_events(_events(spark, sf)), "alert_history"))
 
 
 def _pred_sql():
@@ -855,7 +893,7 @@ def q_recent_predictions(spark, sf):
     feed = FD.build_feed(laps(spark, sf), None)
     samples = telemetry_from_testdata(spark, sf, with_time=True).filter(
         (F.col("team") == "Red Bull Racing") & (F.col("driver") == "VER"))
-    return recent(prediction_rows(feed, samples))
+    return recent(_through_history(spark, prediction_rows(feed, samples), "superclipping_predictions"))
 
 
 # --------------------------------------------------------------------------- registry and long metrics

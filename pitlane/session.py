@@ -56,3 +56,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): whatever store the path is in, also one that this machine cannot open."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder; nothing happens if there is none."""
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    p, fs = _file_system(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and the folders above it."""
+    p, fs = _file_system(spark, path)
+    fs.create(p, False).close()

@@ -168,7 +168,7 @@ def test_hash_sample_exact_size(spark):
 def test_stratified_cap_exact(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("row_key"),
                                   (F.col("id") % 10 == 0).cast("int").alias("y"))
-    out = SM.stratified_cap(df, "y", 500, exact=True)
+    out = SM.stratified_cap(df, "y", 500)
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 450, 1: 50}
 
@@ -192,17 +192,42 @@ def test_missing_year_is_an_error(spark):
         CL.attach_year_offset(df).collect()
 
 
-def test_quantile_mode_switch(spark):
-    df = spark.range(1, 1002).select(F.col("id").cast("double").alias("lap_time_s"))
-    exact = CL.laptime_stats(df, exact=True).first()["median_s"]
-    assert exact == 501.0
-    spark.conf.set(CL.EXACT_CONF, "false")
-    try:
-        approx = CL.laptime_stats(df).first()["median_s"]
-    finally:
-        spark.conf.unset(CL.EXACT_CONF)
-    assert abs(approx - 501.0) <= 1.0
-    assert CL.laptime_stats(df).first()["median_s"] == 501.0
+def test_quantiles_by_counting(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    rows = [(g, v) for g, n in (("a", 501), ("b", 1), (None, 40), ("d", 2)) for v in (r.choice((r.uniform(-5, 5), 1.0, 1e12)) for _ in range(n))]
+    rows += [("c", None), ("a", None), ("e", 7.0), ("e", 7.0)]
+    df = spark.createDataFrame(rows, "race string, x double")
+    for buckets in (4096, 3):
+        monkeypatch.setattr(CL, "QUANTILE_BUCKETS", buckets)
+        got = {x["race"]: x["q"] for x in CL.quantiles(df, "x", [0.05, 0.5, 0.95], ["race"]).collect()}
+        assert set(got) == {"a", "b", None, "d", "e"}
+        for g, q in got.items():
+            assert np.allclose(q, np.quantile([v for k, v in rows if k == g and v is not None], [0.05, 0.5, 0.95]), rtol=1e-12)
+        assert CL.quantiles(df, "x", 0.5).first()["q"] == float(np.median([v for _, v in rows if v is not None]))
+    assert CL.quantiles(df.limit(0), "x", 0.5).count() == 0
+
+
+def test_hash_sample_of_repeated_keys(spark):
+    df = spark.range(20_000).select((F.col("id") % 7).cast("string").alias("row_key"), "id")
+    assert SM.hash_sample(df, 200).count() == 200
+    assert SM.hash_sample(df.limit(0), 5).count() == 0
+
+
+def test_stratified_split_and_cap(spark):
+    import math
+
+    sizes = {0: 1000, 1: 37, None: 5}
+    rows = [(f"k{c}-{i}", c) for c, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "row_key string, y int")
+    out = SM.mark_stratified(df, "y").groupBy("y").agg(F.count_if("is_test").alias("t")).collect()
+    assert {r["y"]: r["t"] for r in out} == {c: math.ceil(0.2 * n) for c, n in sizes.items()}
+    for cap in (1, 10, 500, 1041, 5000):
+        kept = {r["y"]: r["n"] for r in SM.stratified_cap(df, "y", cap).groupBy("y").agg(F.count("*").alias("n")).collect()}
+        assert sum(kept.values()) == min(cap, 1042) and kept == {c: n for c, n in SM.class_quotas(sizes, cap).items() if n}
 
 
 def test_leaderboard_nested(spark):

@@ -49,9 +49,10 @@ def test_global_stats_are_scalar_subqueries_not_windows(spark, sf_small):
             assert re.search(r"\], \[[^\]]+\], \[", line), line
 
 
-def test_global_median_is_partial_aggregate(spark, sf_small):
-    p = _plan(_q(spark, sf_small, "laptime_stats"))
-    assert "partial_percentile" in p
+def test_no_task_holds_a_column_of_values(spark, sf_small):
+    """Medians and percentiles come from counts of value ranges, never from a percentile over raw values."""
+    for name in ("laptime_stats", "race_median", "delta_percentiles", "clean_full", "critical_event"):
+        assert "percentile" not in _plan(_q(spark, sf_small, name)), name
 
 
 def _sql_query_names():
