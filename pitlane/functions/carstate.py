@@ -61,22 +61,10 @@ def tyre_wear_columns(tyre_life="tyre_life") -> dict[str, Column]:
     }
 
 
-def tyre_wear_struct(tyre_life="tyre_life") -> Column:
-    """F15 nested: struct of four corner structs."""
-    w = tyre_wear_columns(tyre_life)
-    return F.struct(*[F.struct(w[f"wear_{k}"].alias("wear")).alias(k.upper()) for k in ("fl", "fr", "rl", "rr")])
-
-
 def lap_event_log(lap="lap_number") -> Column:
-    """event log headed by the lap entry."""
-    return F.array(
-        F.struct(F.concat(F.lit("LAP "), col_(lap).cast("int").cast("string")).alias("time"),
-                 F.lit("SIM_LAP_REPLAY").alias("event"), F.lit("normal").alias("type")),
-        F.struct(F.lit("T-12.8s").alias("time"), F.lit("CLIPPING_NOMINAL").alias("event"),
-                 F.lit("normal").alias("type")),
-        F.struct(F.lit("T-25.1s").alias("time"), F.lit("AERO_BALANCE_ADJ").alias("event"),
-                 F.lit("warning").alias("type")),
-    )
+    """event log of a lap: the entry of the lap itself."""
+    return F.array(F.struct(F.concat(F.lit("LAP "), col_(lap).cast("int").cast("string")).alias("time"),
+                            F.lit("SIM_LAP_REPLAY").alias("event"), F.lit("normal").alias("type")))
 
 
 def interpretation(lap, label, tyre_mean, deg_mean) -> Column:

@@ -18,6 +18,7 @@ from pitlane.plans.clusters import Centroids, ClusterResult
 from pitlane.plans.models import Standardizer
 from pitlane.plans.safety import FourierMap, SvmModel
 from pitlane.plans.scoring import ScoringContext
+from pitlane.session import path_exists
 from pitlane.sinks.results import read_json_document, write_json_document
 
 
@@ -49,9 +50,9 @@ class LoadedContext:
     missing: dict = field(default_factory=dict)  # scorer -> reason
 
 
-def _safe(loader, p: str, label: str, missing: dict):
+def _safe(spark: SparkSession, loader, p: str, label: str, missing: dict):
     try:
-        if "://" not in p and not os.path.exists(p):
+        if not path_exists(spark, p):
             missing[label] = f"not found: {p}"
             return None
         return loader(p)
@@ -65,13 +66,13 @@ def load_context(spark: SparkSession, path: str) -> LoadedContext:
     meta = read_json_document(spark, os.path.join(path, "meta"))
     if meta is None:
         raise FileNotFoundError(f"no scoring metadata under {path}")
-    tree = _safe(PipelineModel.load, os.path.join(path, "tree"), "risk_class", missing)
+    tree = _safe(spark, PipelineModel.load, os.path.join(path, "tree"), "risk_class", missing)
     km = Centroids(meta["cluster_centres"]) if meta.get("cluster_centres") else None
     if km is None:
         missing["clusters"] = "no cluster centres"
-    prof = _safe(spark.read.parquet, os.path.join(path, "cluster_profiles"), "clusters", missing)
-    svc = _safe(LinearSVCModel.load, os.path.join(path, "svm"), "safety", missing)
-    platt = _safe(LogisticRegressionModel.load, os.path.join(path, "platt"), "safety_probability", missing)
+    prof = _safe(spark, spark.read.parquet, os.path.join(path, "cluster_profiles"), "clusters", missing)
+    svc = _safe(spark, LinearSVCModel.load, os.path.join(path, "svm"), "safety", missing)
+    platt = _safe(spark, LogisticRegressionModel.load, os.path.join(path, "platt"), "safety_probability", missing)
     medians = spark.read.parquet(os.path.join(path, "race_medians"))
     clusters = None
     if km is not None and prof is not None:

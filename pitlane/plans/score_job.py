@@ -2,15 +2,16 @@
 
     spark-submit pitlane/plans/score_job.py --context DIR --laps PATH --history DIR [--format parquet|csv|table]
 
-The same micro-batch function as the streaming job is used, with one batch id
-for the whole run, so a rerun of the same run id replaces its own rows.
+The same micro-batch function as the streaming job is used, with one batch for
+the whole run: running a run id again replaces its own rows. A model that is
+missing disables only its own scorer.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-import zlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +23,8 @@ def score_laps(spark: SparkSession, context_dir: str, laps: DataFrame, history:
     from pitlane.streaming.lap_stream import score_batch
 
     loaded = load_context(spark, context_dir)
-    if loaded.missing:
-        raise RuntimeError(f"scoring context incomplete: {loaded.missing}")
-    batch_id = zlib.crc32(run_id.encode())  # stable id per run: a rerun overwrites its partition
-    score_batch(loaded.context, laps, batch_id, history)
-    return {"run_id": run_id, "batch_id": batch_id}
+    ran = score_batch(loaded.context, laps, 0, history, run_id)
+    return {"run_id": run_id, "scored": ran, "missing": loaded.missing}
 
 
 def main(argv=None):
@@ -34,7 +32,7 @@ def main(argv=None):
     ap.add_argument("--context", required=True)
     ap.add_argument("--laps", required=True)
     ap.add_argument("--history", required=True)
-    ap.add_argument("--run-id", default="batch")
+    ap.add_argument("--run-id", default=None, help="default: a new one; give one to replace its rows")
     ap.add_argument("--format", default="table", choices=["table", "parquet", "csv"])
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("pitlane-score").getOrCreate()
@@ -42,7 +40,7 @@ def main(argv=None):
     from pitlane.sources.laps import read_lap_table, read_laps_csv, read_laps_parquet
     readers = {"table": read_lap_table, "parquet": read_laps_parquet, "csv": read_laps_csv}
     laps = readers[a.format](spark, a.laps)
-    print(json.dumps(score_laps(spark, a.context, laps, a.history, a.run_id)))
+    print(json.dumps(score_laps(spark, a.context, laps, a.history, a.run_id or uuid.uuid4().hex)))
 
 
 if __name__ == "__main__":

@@ -1,16 +1,19 @@
 """Scoring laps with the trained models (ML12-ML14) and shaping the rows for the history tables.
 
 Scoring is a column-expression + MLlib transform over any lap DataFrame,
-batch or streaming. By default the training-time feature definitions are used
-(race medians and risk bounds saved with the run); mode="live" reproduces the
-row-local approximations (78 s reference lap, live risk formula).
+batch or streaming. Every lap gets exactly one row from each scorer: where a
+feature is missing the predictions are null and `missing` names the features.
+By default the live feature definitions are used (78 s reference lap, live risk
+formula), which need nothing but the lap itself, so a new or missing race makes
+no difference; mode="train" uses those of the training run (race medians and
+risk bounds saved with it).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlane import constants as C
@@ -57,21 +60,35 @@ def demo_lap_frame(spark) -> DataFrame:
         "cumulative_degradation double, race string")
 
 
+def _missing(features: list[str]) -> Column:
+    names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in features]))
+    return F.when(F.size(names) > 0, F.array_join(names, ","))
+
+
+def _marked(df: DataFrame, features: list[str]) -> tuple[DataFrame, Column]:
+    """The rows with missing features named in `missing` (null if complete) and filled, so that a model takes them;
+    and the condition that a row is complete, under which alone a prediction counts."""
+    marked = df.withColumn("missing", _missing(features))
+    return marked.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}), F.col("missing").isNull()
+
+
 def _with_compound(df: DataFrame) -> DataFrame:
     return df if "compound_encoded" in df.columns else df.withColumn("compound_encoded", lookup.compound_code())
 
 
 def score_risk_class(ctx: ScoringContext, laps: DataFrame) -> DataFrame:
-    """ML12: ERS class, three probabilities and colour per lap (rows with complete features)."""
+    """ML12: ERS class, three probabilities and colour of every lap."""
     _require(ctx.tree_model, "risk classification")
-    x = _with_compound(laps).na.drop(subset=S.TREE_FEATURES)
+    x, whole = _marked(_with_compound(laps), S.TREE_FEATURES)
     out = predict_status(ctx.tree_model, ctx.tree_classes, x)
-    return out.select("row_key", F.col("predicted_status").alias("ers_status_predicted"), "prob_normal",
-                      "prob_alerta", "prob_critico", "color", F.col("lap_number").cast("int").alias("lap"),
-                      F.coalesce(F.col("race"), F.lit("Unknown")).alias("race"))
+    known = {c: F.when(whole, F.col(c)) for c in ("predicted_status", "prob_normal", "prob_alerta", "prob_critico", "color")}
+    return out.select("row_key", known["predicted_status"].alias("ers_status_predicted"),
+                      *(known[c].alias(c) for c in ("prob_normal", "prob_alerta", "prob_critico", "color")),
+                      F.col("lap_number").cast("int").alias("lap"),
+                      F.coalesce(F.col("race"), F.lit("Unknown")).alias("race"), "missing")
 
 
-def _laptime_normalized(ctx: ScoringContext, laps: DataFrame, mode: str) -> DataFrame:
+def with_laptime_normalized(ctx: ScoringContext | None, laps: DataFrame, mode: str) -> DataFrame:
     if mode == "live":
         return laps.withColumn("laptime_normalized", risk.laptime_vs_constant())
     med = ctx.dim("race_medians", lambda: ctx.race_medians)
@@ -79,12 +96,31 @@ def _laptime_normalized(ctx: ScoringContext, laps: DataFrame, mode: str) -> Data
     return j.withColumn("laptime_normalized", F.col("lap_time_s") - F.col("laptime_baseline"))
 
 
-def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "train") -> DataFrame:
-    """ML13: cluster id, label, interpretation sentence and the cluster's profile means."""
+def with_risk(ctx: ScoringContext | None, laps: DataFrame, mode: str) -> DataFrame:
+    if mode == "live":
+        return laps.withColumn("ers_risk", risk.live_risk())
+    if "ers_risk" in laps.columns:
+        return laps
+    lo, hi = ctx.ers_bounds
+    return laps.withColumn("ers_risk", risk.ers_scaled(risk.ers_raw(), F.lit(lo), F.lit(hi)))
+
+
+def scoring_inputs(laps: DataFrame) -> DataFrame:
+    """The live features of every lap and, for each scorer, the names of those that are missing (null: none)."""
+    x = with_risk(None, with_laptime_normalized(None, _with_compound(laps), "live"), "live")
+    missing = {"missing_risk_class": S.TREE_FEATURES, "missing_clusters": S.CLUSTER_FEATURES, "missing_safety": S.SAFETY_FEATURES}
+    return x.select("row_key", F.col("lap_number").cast("int").alias("lap"), "ers_risk", "laptime_normalized",
+                    *(_missing(features).alias(n) for n, features in missing.items()))
+
+
+def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "live") -> DataFrame:
+    """ML13: cluster id, label, interpretation sentence and the cluster's profile means of every lap."""
     _require(ctx.clusters, "cluster")
     c = ctx.clusters
-    x = _laptime_normalized(ctx, laps, mode).na.drop(subset=S.CLUSTER_FEATURES)
+    given = laps.withColumns({"given_tyre_life": F.col("tyre_life"), "given_race_progress": F.col("race_progress")})
+    x, whole = _marked(with_laptime_normalized(ctx, given, mode), S.CLUSTER_FEATURES)
     a = assign(c.model, c.mapping, c.scaler.transform(x)).drop("features")
+    a = a.withColumn("cluster", F.when(whole, F.col("cluster")))
     prof = ctx.dim("cluster_profiles", lambda: c.profiles.join(c.labels, "cluster").select(
         "cluster", "cluster_label", F.col("tyre_life_mean").alias("p_tyre_life_mean"),
         F.col("cumulative_degradation_mean").alias("p_deg_mean")))
@@ -93,28 +129,21 @@ def score_clusters(ctx: ScoringContext, laps: DataFrame, mode: str = "train") ->
         "row_key", F.col("cluster").alias("cluster_id"),
         F.coalesce(F.col("cluster_label"), F.concat(F.lit("Cluster "), F.col("cluster").cast("string")))
          .alias("cluster_label"),
-        interpretation("lap_number", F.coalesce(F.col("cluster_label"), F.lit("?")), "p_tyre_life_mean",
-                       "p_deg_mean").alias("interpretation"),
-        "tyre_life", "race_progress", F.col("lap_number").cast("int").alias("lap"))
+        F.when(F.col("cluster").isNotNull(), interpretation(
+            "lap_number", F.coalesce(F.col("cluster_label"), F.lit("?")), "p_tyre_life_mean", "p_deg_mean")).alias("interpretation"),
+        F.col("given_tyre_life").alias("tyre_life"), F.col("given_race_progress").alias("race_progress"),
+        F.col("lap_number").cast("int").alias("lap"), "missing")
 
 
-def score_safety(ctx: ScoringContext, laps: DataFrame, mode: str = "train") -> DataFrame:
-    """ML14: critical flag from the SVM and the calibrated probability (they may disagree)."""
+def score_safety(ctx: ScoringContext, laps: DataFrame, mode: str = "live") -> DataFrame:
+    """ML14: critical flag from the SVM and the calibrated probability (they may disagree) of every lap."""
     _require(ctx.safety, "safety")
-    if mode == "live" or "ers_risk" not in laps.columns:
-        if mode == "live":
-            x = laps.withColumn("ers_risk", risk.live_risk())
-        else:
-            lo, hi = ctx.ers_bounds
-            x = laps.withColumn("ers_risk", risk.ers_scaled(risk.ers_raw(), F.lit(lo), F.lit(hi)))
-    else:
-        x = laps
-    x = x.na.drop(subset=S.SAFETY_FEATURES)
+    x, whole = _marked(with_risk(ctx, laps, mode).withColumn("given_risk", F.col("ers_risk")), S.SAFETY_FEATURES)
     p = ctx.safety.predict(x)
-    return p.select("row_key", F.col("prediction").alias("is_critical"),
-                    F.round("probability_critical", 4).alias("probability_critical"),
+    return p.select("row_key", F.when(whole, F.col("prediction")).alias("is_critical"),
+                    F.when(whole, F.round("probability_critical", 4)).alias("probability_critical"),
                     F.lit(ctx.safety.kernel).alias("kernel"), F.col("lap_number").cast("int").alias("lap"),
-                    "ers_risk")
+                    F.col("given_risk").alias("ers_risk"), "missing")
 
 
 def critical_alerts(safety_rows: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ SAFETY_FEATURES = ["lap_time_delta", "ers_risk", "race_progress", "tyre_life"]
 SAFETY_TARGET = "evento_critico"
 
 # History tables (append-only). id and timestamp are filled at write time;
-# event_date is a column; tables are partitioned by batch_id (see sinks/history.py).
+# tables are partitioned by event_date, run_id and batch_id (see sinks/history.py).
 _H = {
     "telemetry_data": [
         ("lap", T.IntegerType()), ("driver", T.StringType()), ("compound", T.StringType()),
@@ -116,7 +116,3 @@ def history_schema(table: str) -> T.StructType:
 
 
 HISTORY_TABLES = list(_H)
-
-
-def history_payload_columns(table: str) -> list[str]:
-    return [n for n, _ in _H[table]]

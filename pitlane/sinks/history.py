@@ -1,17 +1,20 @@
 """Append-only history tables (K06-K12, K11), their latest-N reads (S07, T03) and record formatting.
 
-Tables are Parquet directories partitioned by batch_id (event_date stays a
-column). Row ids are deterministic (md5 of the source row key), so a retried
-task or a replayed micro-batch writes the same ids; a write with a batch id
-replaces exactly that batch's partition (dynamic partition overwrite), so a
-replay -- even on another day -- replaces rather than duplicates its rows.
-Plain appends get a fresh batch id.
+Tables are Parquet directories partitioned by event_date, run_id and batch_id: reads
+by time prune whole days, and a write replaces exactly the partitions of its run and
+batch (dynamic partition overwrite). Run ids keep streams and jobs apart, which all
+count their batches from 0. Row ids are deterministic (md5 of the source row key) and
+so is a batch's time, which is noted at its first attempt, so a replay -- even on
+another day -- writes the same rows to the same partitions.
+Plain appends get a fresh run id.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from pitlane import schemas as S
 from pitlane.functions import risk
 from pitlane.functions.carstate import car_state_columns, speed
 from pitlane.operators.dims import join_dim
+from pitlane.session import list_names, path_exists, touch
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -37,13 +41,30 @@ def table_path(base: str, table: str) -> str:
     return os.path.join(base, table)
 
 
+PARTITIONS = ["event_date", "run_id", "batch_id"]
+
+
 def init_tables(spark: SparkSession, base: str) -> None:
-    """Create the six tables if absent (empty Parquet with the fixed schema)."""
+    """Create the six tables if absent (empty Parquet with the fixed schema), in whatever store the path is."""
     for t in S.HISTORY_TABLES:
         p = table_path(base, t)
-        if not os.path.exists(p) and "://" not in p:
-            empty = spark.createDataFrame([], S.history_schema(t)).withColumn("batch_id", F.lit(0).cast("bigint"))
-            empty.write.partitionBy("batch_id").parquet(p)
+        if not path_exists(spark, p):
+            empty = spark.createDataFrame([], S.history_schema(t))
+            _partitioned(empty, "none", 0).write.mode("append").partitionBy(*PARTITIONS).parquet(p)
+
+
+def _partitioned(df: DataFrame, run_id: str, batch_id: int) -> DataFrame:
+    return df.withColumn("run_id", F.lit(quote(run_id, safe=""))).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+
+
+def batch_time(spark: SparkSession, base: str, run_id: str, batch_id: int) -> Column:
+    """The time of a batch: that of its first attempt, kept as the name of a marker file beside the tables."""
+    folder = os.path.join(base, "_batches", quote(run_id, safe=""), str(int(batch_id)))
+    noted = list_names(spark, folder)
+    if not noted:
+        noted = [str(time.time_ns() // 1000)]
+        touch(spark, os.path.join(folder, noted[0]))
+    return F.timestamp_micros(F.lit(int(min(noted))))
 
 
 def _stamp(df: DataFrame, table: str, key: Column, ts: Column | None) -> DataFrame:
@@ -59,20 +80,19 @@ def history_rows(df: DataFrame, table: str, key: Column, ts: Column | None = Non
     return _stamp(df, table, key, ts)
 
 
-def append(df: DataFrame, base: str, table: str, batch_id: int | None = None) -> None:
-    """Append rows; with a batch id the write replaces that batch's partition (idempotent replay)."""
+def append(df: DataFrame, base: str, table: str, batch_id: int | None = None, run_id: str | None = None) -> None:
+    """Append rows; with a batch id the write replaces that run's batch (idempotent replay)."""
     p = table_path(base, table)
-    if batch_id is None:
-        fresh = uuid.uuid4().int >> 65  # 63-bit id of this append
-        df.withColumn("batch_id", F.lit(fresh).cast("bigint")).write.mode("append").partitionBy("batch_id").parquet(p)
-        return
-    (df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(p))
+    out = _partitioned(df, run_id or ("default" if batch_id is not None else uuid.uuid4().hex), batch_id or 0)
+    mode = "append" if batch_id is None else "overwrite"
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(p)
 
 
-def read_table(spark: SparkSession, base: str, table: str) -> DataFrame:
-    return spark.read.schema(S.history_schema(table)).parquet(table_path(base, table))
+def read_table(spark: SparkSession, base: str, table: str, since: str | None = None) -> DataFrame:
+    """The rows of a history table; since (a date) reads only the days from then on (partition pruning)."""
+    df = spark.read.schema(S.history_schema(table)).parquet(table_path(base, table))
+    df = df.select(*S.history_schema(table).names)
+    return df if since is None else df.filter(F.col("event_date") >= F.lit(since).cast("date"))
 
 
 def recent(df: DataFrame, k: int = C.RECENT_LIMIT, ts: str = "timestamp") -> DataFrame:
@@ -82,7 +102,7 @@ def recent(df: DataFrame, k: int = C.RECENT_LIMIT, ts: str = "timestamp") -> Dat
     """
     top = df.orderBy(F.col(ts).desc_nulls_last(), F.col("id")).limit(k)
     cols = [iso_text(c).alias(c.lower()) if c == ts else F.col(c).alias(c.lower())
-            for c in df.columns if c not in ("event_date", "batch_id")]
+            for c in df.columns if c not in PARTITIONS]
     return top.select(*cols)
 
 
@@ -99,19 +119,6 @@ def alert_rows_from_events(events: DataFrame) -> DataFrame:
         "alert_history", F.concat(F.lit("event#"), F.col("event_id").cast("string")), F.col("ts"))
 
 
-def alert_rows_from_laps(scored: DataFrame, ts: Column | None = None) -> DataFrame:
-    """K07 from scored laps: every lap whose status is critical."""
-    crit = scored.filter(F.col("ers_status") == C.STATUS_CRITICAL)
-    payload = crit.select(
-        "row_key",
-        F.lit(C.STATUS_CRITICAL).alias("severity"),
-        F.concat(F.lit("ERS CRITICAL LAP "), F.col("lap_number").cast("string")).alias("title"),
-        F.concat(F.lit("Superclipping "), F.col("superclipping_duration").cast("string"), F.lit("s, "),
-                 F.coalesce(F.col("race"), F.lit("Unknown")), F.lit(", driver "),
-                 F.coalesce(F.col("driver"), F.lit("?"))).alias("description"))
-    return history_rows(payload, "alert_history", F.col("row_key"), ts)
-
-
 def prediction_rows(feed: DataFrame, samples: DataFrame) -> DataFrame:
     """One superclipping prediction per telemetry sample of the feed driver.
 
@@ -133,12 +140,27 @@ def prediction_rows(feed: DataFrame, samples: DataFrame) -> DataFrame:
                         F.concat(F.lit("sample#"), F.col("sample_id").cast("string")), F.col("ts"))
 
 
+def lap_prediction_rows(laps: DataFrame, ts: Column | None = None) -> DataFrame:
+    """K06 from laps: the live duration and status of each lap with the car state of its own speeds."""
+    lap = with_speed(live_scored_laps(laps))
+    st = car_state_columns()
+    payload = lap.select(
+        "row_key", F.col("superclipping_duration").alias("predicted_laptime"), F.col("ers_status").alias("status"),
+        st["velocidad_kmh"].alias("velocidad"), st["soc_bateria"].alias("soc_bateria"),
+        st["mguk_kw"].alias("mguk_kw"), st["throttle_pct"].alias("throttle_pct"),
+        st["aero_mode"].alias("aero_mode"), st["temp_bateria"].alias("temp_bateria"))
+    return history_rows(payload, "superclipping_predictions", F.col("row_key"), ts)
+
+
+def with_speed(laps: DataFrame) -> DataFrame:
+    """Laps with speed_kmh; laps without telemetry columns read as missing speeds."""
+    absent = {c: F.lit(None).cast("double") for c in ("speed_fl", "speed_st") if c not in laps.columns}
+    return laps.withColumns(absent).withColumn("speed_kmh", speed()) if absent else laps.withColumn("speed_kmh", speed())
+
+
 def telemetry_rows(laps: DataFrame, ts: Column | None = None) -> DataFrame:
     """Lap rows for telemetry_data (nothing wrote this table in the analysed system)."""
-    for c in ("speed_fl", "speed_st"):
-        if c not in laps.columns:
-            laps = laps.withColumn(c, F.lit(None).cast("double"))
-    s = laps.withColumn("speed_kmh", speed())
+    s = with_speed(laps)
     st = car_state_columns()
     payload = s.select(
         "row_key", F.col("lap_number").alias("lap"), "driver", "compound", "tyre_life",

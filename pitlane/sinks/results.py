@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlane import constants as C
+from pitlane.session import path_exists
 
 RESULT_COLUMNS = ["real", "predicted", "laptime_s", "tyre_life", "position", "compound", "ers_status",
                   "superclipping_duration", "race", "lap", "race_progress"]
@@ -59,7 +60,7 @@ def write_json_document(spark: SparkSession, doc: dict, path: str) -> None:
 
 def read_json_document(spark: SparkSession, path: str) -> dict | None:
     """Read a document written by write_json_document, or a plain JSON file; None when missing/broken."""
-    if "://" not in path and not os.path.exists(path):
+    if not path_exists(spark, path):
         return None
     try:
         rows = spark.read.text(path, wholetext=True).collect()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from pitlane import constants as C
 from pitlane import schemas as S
+from pitlane.session import path_exists, scratch_path
 
 
 def _numeric_nan_to_null(df: DataFrame) -> DataFrame:
@@ -28,13 +31,15 @@ def _numeric_nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def row_key_of(cols: list[Column]) -> Column:
-    """Stable row identity: md5 over the '|'-joined text of the given columns."""
-    return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+    """Stable row identity: md5 over the columns' texts, each with its length in front and nulls as 'n', so that
+    different rows have different texts. Laps that are equal in all of these columns share a key."""
+    part = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n")) for c in cols]
+    return F.md5(F.concat_ws("|", *part))
 
 
 def read_laps_csv(spark: SparkSession, path: str) -> DataFrame:
     """Lap CSV with header and a fixed schema; columns renamed to snake case once."""
-    if not os.path.exists(path) and "://" not in path:
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"missing lap file: {path}")
     raw = (spark.read.schema(S.LAPS_CSV).option("header", True)
            .option("mode", "PERMISSIVE").option("nanValue", "NaN").csv(path))
@@ -132,10 +137,11 @@ def laps_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAPS_SQL = """
 laps AS (
   SELECT
-    md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+    md5(array_to_string(list_transform([CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
         CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR),
         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR),
-        CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS VARCHAR))) AS row_key,
+        CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS VARCHAR)],
+        lambda x: coalesce(length(x) || ':' || x, 'n')), '|')) AS row_key,
     CASE WHEN l_suppkey % 20 = 1 THEN 'VER' ELSE 'D' || CAST(l_suppkey % 20 AS VARCHAR) END AS driver,
     CASE WHEN n_name = 'NATION_24' THEN NULL
          WHEN n_name = 'NATION_6' THEN 'Monaco Grand Prix'
@@ -175,7 +181,7 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 _LAP_TABLES: dict[tuple[str, str], str] = {}
-_LAP_LOCK = __import__("threading").Lock()
+_LAP_LOCK = threading.Lock()
 
 
 def testdata_lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +192,12 @@ def testdata_lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder (never a machine-local folder) and every query then scans it with
     partition pruning, column pruning and pushed-down filters.
     """
-    import hashlib
+    return read_lap_table(spark, lap_table_path(spark, sf_dir))
 
-    from pitlane.session import scratch_path
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+def lap_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the derived lap table of an input folder is stored; it is written at the first call."""
+    key = (spark.sparkContext.applicationId, sf_dir if "://" in sf_dir else os.path.abspath(sf_dir))
     with _LAP_LOCK:
         path = _LAP_TABLES.get(key)
         if path is None:
@@ -198,4 +205,4 @@ def testdata_lap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = scratch_path(spark, f"laps-{tag}")
             write_lap_table(laps_from_testdata(spark, sf_dir), path)
             _LAP_TABLES[key] = path
-    return read_lap_table(spark, path)
+    return path

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlane import schemas as S
+from pitlane.session import path_exists
 from pitlane.sources.laps import _numeric_nan_to_null
 
 try:  # MLlib vectors count as non-scalar when present
@@ -19,7 +18,7 @@ except Exception:  # pragma: no cover
 
 def read_telemetry_csv(spark: SparkSession, path: str | None) -> DataFrame:
     """Optional telemetry CSV; a missing file gives an empty frame with the schema."""
-    if path is None or (not os.path.exists(path) and "://" not in path):
+    if path is None or not path_exists(spark, path):
         return spark.createDataFrame([], S.TELEMETRY)
     raw = spark.read.schema(S.TELEMETRY_CSV).option("header", True).csv(path)
     return _numeric_nan_to_null(raw.select([F.col(h).alias(n) for h, n, _ in S.TELEMETRY_COLUMNS]))

@@ -2,9 +2,10 @@
 
 R01 scores every arriving lap with the three trained models and appends the
 rows to the history tables inside foreachBatch. Each micro-batch writes into
-its own batch_id partition with dynamic partition overwrite, and row ids are
-md5(row key), so a replayed batch (after a failure, from the checkpoint)
-replaces its own output instead of duplicating it.
+the partition of its run and batch with dynamic partition overwrite; row ids are
+md5(row key) and the batch's time is that of its first attempt, so a replayed
+batch (after a failure, from the checkpoint) replaces its own output instead of
+duplicating it.
 
 R02 is the live lap feed (row-local duration/status per lap), R03 keeps the
 dashboard aggregates up to date (complete output mode; the risk bounds are the
@@ -14,7 +15,7 @@ streaming quantity).
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,30 +36,40 @@ def lap_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None
     return r.parquet(path)
 
 
-def score_batch(ctx: ScoringContext, batch: DataFrame, batch_id: int, history_base: str) -> None:
-    """R01 micro-batch: three model scores, alerts and lap rows appended to the history tables."""
-    batch = batch.persist()
-    ts = F.current_timestamp()
-    cls = score_risk_class(ctx, batch)
-    H.append(H.history_rows(cls.drop("color"), "classification_results", F.col("row_key"), ts),
-             history_base, "classification_results", batch_id)
-    clu = score_clusters(ctx, batch)
-    H.append(H.history_rows(clu, "cluster_assignments", F.col("row_key"), ts),
-             history_base, "cluster_assignments", batch_id)
-    saf = score_safety(ctx, batch).persist()
-    H.append(H.history_rows(saf, "safety_events", F.col("row_key"), ts), history_base, "safety_events", batch_id)
-    H.append(H.history_rows(critical_alerts(saf), "alert_history", F.col("row_key"), ts),
-             history_base, "alert_history", batch_id)
-    H.append(H.telemetry_rows(batch, ts), history_base, "telemetry_data", batch_id)
-    saf.unpersist()
-    batch.unpersist()
+def score_batch(ctx: ScoringContext, batch: DataFrame, batch_id: int, history_base: str, run_id: str = "default") -> list[str]:
+    """R01 micro-batch: the model scores, alerts, predictions and lap rows appended to the history tables. A model
+    that is not loaded disables its own rows only; the names of the scorers that ran are returned."""
+    spark = batch.sparkSession
+    H.init_tables(spark, history_base)
+    ts, key = H.batch_time(spark, history_base, run_id, batch_id), F.col("row_key")
+
+    def put(rows: DataFrame, table: str) -> None:
+        H.append(H.history_rows(rows, table, key, ts), history_base, table, batch_id, run_id)
+
+    ran = []
+    if ctx.tree_model is not None:
+        put(score_risk_class(ctx, batch).drop("color"), "classification_results")
+        ran.append("risk_class")
+    if ctx.clusters is not None:
+        put(score_clusters(ctx, batch), "cluster_assignments")
+        ran.append("clusters")
+    if ctx.safety is not None:
+        saf = score_safety(ctx, batch)
+        put(saf, "safety_events")
+        put(critical_alerts(saf), "alert_history")
+        ran.append("safety")
+    H.append(H.lap_prediction_rows(batch, ts), history_base, "superclipping_predictions", batch_id, run_id)
+    H.append(H.telemetry_rows(batch, ts), history_base, "telemetry_data", batch_id, run_id)
+    return ran
 
 
 def start_scoring(ctx: ScoringContext, source: DataFrame, history_base: str, checkpoint: str,
-                  available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
-    """Start the scoring stream (foreachBatch sink, checkpointed)."""
+                  available_now: bool = False, processing_time: str | None = None, run_id: str | None = None) -> StreamingQuery:
+    """Start the scoring stream (foreachBatch sink, checkpointed). A stream's rows are kept apart from others' by
+    its run id; by default that follows from the checkpoint folder, which is what a restarted stream shares."""
+    name = run_id or "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     w = (source.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: score_batch(ctx, df, bid, history_base)))
+         .foreachBatch(lambda df, bid: score_batch(ctx, df, bid, history_base, name)))
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
@@ -91,8 +102,3 @@ def dashboard_stream(source: DataFrame, bounds: tuple[float, float]) -> dict[str
 def write_lap_files(laps: DataFrame, path: str, files: int = 4) -> None:
     """Stage lap rows as Parquet files for a file-source stream (tests, backfills)."""
     laps.select(*[f.name for f in S.LAPS.fields]).repartition(files, "row_key").write.mode("overwrite").parquet(path)
-
-
-def history_base_for(spark: SparkSession, name: str) -> str:
-    from pitlane.session import scratch_path
-    return os.path.join(scratch_path(spark, name), "history")

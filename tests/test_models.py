@@ -50,17 +50,47 @@ def test_svm_recall_floor_and_probability(run):
     assert all(b[1] >= a[1] - 1e-12 for a, b in zip(pairs, pairs[1:]))  # monotone in the margin
 
 
-def test_scoring_covers_complete_rows(spark, run, sf_small):
+def test_every_lap_is_scored_once(spark, run, sf_small):
     from pitlane.plans.catalog import laps
-    from pitlane.plans.scoring import score_clusters, score_risk_class, score_safety
+    from pitlane.plans.scoring import score_clusters, score_risk_class, score_safety, scoring_inputs
 
     lp = laps(spark, sf_small)
-    complete = lp.na.drop(subset=S.TREE_FEATURES[:-1]).count()
-    assert score_risk_class(run.context, lp).count() == complete
-    assert score_safety(run.context, lp).count() == lp.na.drop(
-        subset=["lap_time_delta", "race_progress", "tyre_life", "normalized_tyre_life"]).count()
-    cl = score_clusters(run.context, lp).collect()
-    assert all(r["cluster_label"] for r in cl)
+    n = lp.count()
+    missing = {r["row_key"]: r.asDict() for r in scoring_inputs(lp).collect()}
+    assert len(missing) == n
+    for score, pred, name, mode in ((score_risk_class, "ers_status_predicted", "missing_risk_class", {}),
+                                    (score_clusters, "cluster_id", "missing_clusters", {}),
+                                    (score_safety, "is_critical", "missing_safety", {}),
+                                    (score_clusters, "cluster_id", None, {"mode": "train"}),
+                                    (score_safety, "is_critical", None, {"mode": "train"})):
+        rows = score(run.context, lp, **mode).collect()
+        assert len(rows) == n and len({r["row_key"] for r in rows}) == n
+        assert all((r[pred] is None) == (r["missing"] is not None) for r in rows)
+        if name:
+            assert all(r["missing"] == missing[r["row_key"]][name] for r in rows)
+    tyre = {r["row_key"]: r["tyre_life"] for r in lp.select("row_key", "tyre_life").collect()}
+    assert all(r["tyre_life"] == tyre[r["row_key"]] for r in score_clusters(run.context, lp).collect())
+
+
+def test_two_streams_keep_their_rows(spark, run, sf_small, tmp_path):
+    from pitlane.plans.catalog import laps
+    from pitlane.plans.scoring import score_safety
+    from pitlane.sinks import history as H
+    from pitlane.streaming.lap_stream import score_batch
+
+    lp = laps(spark, sf_small)
+    base = f"file://{tmp_path}/history"  # a path with a scheme gets its tables like any other
+    one, two = lp.filter("lap_number <= 10"), lp.filter("lap_number > 70")
+    assert score_batch(run.context, one, 0, base, "a") == ["risk_class", "clusters", "safety"]
+    score_batch(run.context, two, 0, base, "b")
+    score_batch(run.context, one, 0, base, "a")  # a replay
+    for t, n in (("safety_events", one.count() + two.count()), ("superclipping_predictions", one.count() + two.count())):
+        assert H.read_table(spark, base, t).count() == n
+    rows = H.read_table(spark, base, "safety_events")
+    assert rows.select("timestamp").distinct().count() == 2
+    assert rows.filter("is_critical is null").count() == score_safety(run.context, one.unionByName(two)).filter("missing is not null").count()
+    today = rows.agg(F.max("event_date")).first()[0]
+    assert H.read_table(spark, base, "safety_events", since=str(today)).count() > 0
 
 
 def test_stream_scores_equal_batch(spark, run, sf_small, tmp_path):
@@ -150,6 +180,15 @@ def test_save_run_writes_documents_and_models(spark, run, tmp_path):
     from pitlane.sinks.results import RESULT_COLUMNS
     assert set(RESULT_COLUMNS) <= set(res.columns)
     assert res.count() == run.regression.metrics["n_test"]
+    assert run.regression.metrics["forest"]["depth_reached"] <= 5
+    long = spark.read.parquet(f"{out}/ml/metrics_long")
+    assert {r["model"] for r in long.select("model").distinct().collect()} == set(reg)
+    best = {r["model"]: r for r in spark.read.parquet(f"{out}/ml/provenance").collect()}
+    assert {m: b["metric"] for m, b in best.items()} == {m: float(v["metric"]) for m, v in reg.items()}
+    assert read_json_document(spark, f"{out}/ml/regression_scaler")["features"] == S.REGRESSION_FEATURES
+    assert spark.read.parquet(f"{out}/ml/race_codes").count() > 1
+    from pyspark.ml.feature import PCAModel
+    assert PCAModel.load(f"{out}/ml/pca").getK() == 2
 
 
 def test_live_mode_scoring_uses_row_local_definitions(spark, run):
@@ -158,7 +197,7 @@ def test_live_mode_scoring_uses_row_local_definitions(spark, run):
     demo = demo_lap_frame(spark)
     live = score_safety(run.context, demo, mode="live").first()
     assert live["ers_risk"] == round(min(10.0, max(0.0, (0.65 * 2 + 0.54 * 1.5 - 0.12) * 0.65 + 2.5)), 2)
-    trained = score_safety(run.context, demo).first()
+    trained = score_safety(run.context, demo, mode="train").first()
     lo, hi = run.ers_bounds
     raw = 0.65 * 2 + 0.54 * 1.5 - 0.12
     assert abs(trained["ers_risk"] - (raw - lo) / (hi - lo) * 10) < 1e-9
