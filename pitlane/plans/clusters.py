@@ -1,4 +1,4 @@
-"""Stint clustering: k sweep, best-of-n k-means, Lloyd refinement on all rows, profiles, labels, PCA
+"""Stint clustering: k sweep on a sample, best-of-n k-means on all rows, profiles, labels, PCA
 (ML05-ML07, A12, F17, E05, E06, T05, T10)."""
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions import lookup
 from pitlane.functions.numeric import round_even
+from pitlane.operators.dims import materialize
 from pitlane.operators.evaluate import silhouette
 from pitlane.operators.sampling import hash_sample
 from pitlane.plans.models import Standardizer
 
+#: Iterations after which a fit on all rows stops if its centres still move.
+FULL_ITERATIONS = 300
+
 
 def cluster_profiles(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Per cluster the four rounded means and the row count (one aggregate)."""
@@ -89,27 +93,6 @@ class Centroids:
         return Centroids(sorted(self.centres))
 
 
-def refine(data: DataFrame, start: list[list[float]], max_iter: int = 20, tol: float = 1e-4) -> tuple[Centroids, int]:
-    """Lloyd iterations on all rows from given centres: each iteration is one partial aggregate
-    (per-cluster sums and counts, k rows to the driver). Empty clusters keep their centre."""
-    centres = [list(map(float, c)) for c in start]
-    d = len(centres[0])
-    it = 0
-    for it in range(1, max_iter + 1):
-        m = Centroids(centres).transform(data).withColumn("_v", vector_to_array("features"))
-        rows = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
-                                        *[F.avg(F.col("_v")[j]).alias(f"m{j}") for j in range(d)]).collect()
-        new = [list(c) for c in centres]
-        for r in rows:
-            if r["n"]:
-                new[r["cluster"]] = [float(r[f"m{j}"]) for j in range(d)]
-        shift = max(sum((a - b) ** 2 for a, b in zip(o, n)) ** 0.5 for o, n in zip(centres, new))
-        centres = new
-        if shift <= tol:
-            break
-    return Centroids(centres), it
-
-
 @dataclass
 class ClusterResult:
     scaler: Standardizer
@@ -143,7 +126,7 @@ def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int =
     concurrent fits of _fit_many amortise. The silhouette distances are computed
     once for all k (seven labelings at once).
     """
-    sample = hash_sample(scaled, sample_size).coalesce(2).persist()
+    sample = materialize(hash_sample(scaled, sample_size).coalesce(2))
     inertias, labelled = {}, sample
     models = _fit_many(sample, list(k_range), n_init, seed, max_iter)
     for k in k_range:
@@ -155,7 +138,6 @@ def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int =
     pts = arr.select("row_key", *[F.col("_v")[i].alias(f"x{i}") for i in range(d)], *[f"k{k}" for k in k_range])
     sil_row = silhouette(pts, [f"x{i}" for i in range(d)], [f"k{k}" for k in k_range],
                          max_points=sample_size).first()
-    sample.unpersist()
     silhouettes = {k: round(float(sil_row[f"k{k}"]), 4) for k in k_range}
     return silhouettes, inertias, models
 
@@ -169,14 +151,12 @@ def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample
                    k_range=C.KMEANS_K_RANGE, max_iter: int = 20, with_pca: bool = True) -> ClusterResult:
     data = cluster_frame(prepared)
     scaler = Standardizer.fit(data, S.CLUSTER_FEATURES)
-    scaled = scaler.transform(data).persist()
+    scaled = materialize(scaler.transform(data))
     sil, inert, sample_models = kmeans_sweep(scaled, k_range, sample_size, n_init, seed, max_iter)
     k = choose_k(sil)
-    # ML05 on all rows: the best of the n_init starts is chosen on the bounded sample; its centres
-    # seed Lloyd iterations over all rows (one aggregate pass each) instead of n_init full fits.
-    start = [c.tolist() for c in sample_models[k].clusterCenters()]
-    refined, _ = refine(scaled, start, max_iter=max(max_iter, 20))
-    model = refined.sorted()
+    # ML05: every start is fitted on all rows, to convergence, and the one with the lowest cost over them is kept.
+    best = _fit_many(scaled, [k], n_init, seed, FULL_ITERATIONS)[k]
+    model = Centroids([[float(x) for x in c] for c in best.clusterCenters()]).sorted()
     mapping = {i: i for i in range(k)}
     assigned = assign(model, mapping, scaled)
     profiles = cluster_profiles(assigned)
@@ -185,7 +165,7 @@ def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample
     prof_rows = {r["cluster"]: r.asDict() for r in profiles.collect()}  # k rows
     label_rows = {r["cluster"]: r["cluster_label"] for r in labels.collect()}
     metrics = {
-        "algorithm": "KMeans", "features": S.CLUSTER_FEATURES, "optimal_k": k,
+        "algorithm": "KMeans", "objective": "within-cluster sum of squares", "features": S.CLUSTER_FEATURES, "optimal_k": k,
         "silhouette_score": sil[k], "inertias": {str(kk): round(v, 2) for kk, v in inert.items()},
         "silhouettes": {str(kk): v for kk, v in sil.items()},
         "cluster_profiles": {str(c): {kk: vv for kk, vv in p.items() if kk != "cluster"} for c, p in prof_rows.items()},

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitlane import schemas as S
 from pitlane.plans.catalog import laps, query
+from pitlane.plans.oracle_sql import with_ctes
 from pitlane.plans.train_all import TrainingRun, run_training
 
 _RUNS: dict[tuple[str, str], TrainingRun] = {}
@@ -20,7 +21,7 @@ _LOCK = threading.Lock()
 
 
 def training_run(spark, sf) -> TrainingRun:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    key = (spark.sparkContext.applicationId, sf if "://" in sf else os.path.abspath(sf))
     with _LOCK:
         if key not in _RUNS:
             _RUNS[key] = run_training(laps(spark, sf), run_id=f"q{abs(hash(key)) % 10**8}")
@@ -83,13 +84,9 @@ def q_pca_projection(spark, sf):
 
 
 def _svm(spark, sf, kernel):
-    from pitlane.plans.safety import with_event_label
-    from pitlane.operators.sampling import hash_split
-    run = training_run(spark, sf)
-    data = with_event_label(run.prepared).na.drop(subset=S.SAFETY_FEATURES + [S.SAFETY_TARGET])
-    _, test = hash_split(data)
-    p = run.safety.models[kernel].predict(test)
-    return p.select("row_key", S.SAFETY_TARGET, "prediction", "margin", "probability_critical")
+    """Predictions on the run's own test part."""
+    return training_run(spark, sf).safety.test_by_kernel[kernel].select(
+        "row_key", S.SAFETY_TARGET, "prediction", "margin", "probability_critical")
 
 
 @query("model_svm_linear")
@@ -130,3 +127,18 @@ def q_score_safety(spark, sf):
     """ML14: critical-event scores of every lap (safety_events rows)."""
     from pitlane.plans.scoring import score_safety
     return score_safety(training_run(spark, sf).context, laps(spark, sf))
+
+
+@query("score_accounting", with_ctes(
+    ["laps"], "SELECT 'clusters' AS scorer, count(*) AS n, count(*) FILTER (WHERE cumulative_degradation IS NULL OR tyre_life IS NULL "
+              "OR lap_time_s IS NULL) AS n_missing FROM laps UNION ALL SELECT 'risk_class', count(*), count(*) FILTER (WHERE "
+              "normalized_tyre_life IS NULL OR race_progress IS NULL OR lap_time_delta IS NULL OR tyre_life IS NULL) FROM laps "
+              "UNION ALL SELECT 'safety', count(*), count(*) FILTER (WHERE lap_time_delta IS NULL OR race_progress IS NULL OR tyre_life IS NULL) FROM laps"))
+def q_score_accounting(spark, sf):
+    """ML12-ML14: every lap has one row from each scorer; those with a missing feature have no prediction."""
+    from pitlane.plans.scoring import score_clusters, score_risk_class, score_safety
+    ctx, lp = training_run(spark, sf).context, laps(spark, sf)
+    out = [rows.agg(F.lit(name).alias("scorer"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(pred).isNull()).alias("n_missing"))
+           for name, pred, rows in (("risk_class", "ers_status_predicted", score_risk_class(ctx, lp)), ("clusters", "cluster_id", score_clusters(ctx, lp)),
+                                    ("safety", "is_critical", score_safety(ctx, lp)))]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +58,40 @@ def metrics_long(report: DataFrame, params: DataFrame, run_id: str, prefix: str
     return metric_rows.unionByName(param_rows)
 
 
-def metrics_document_frame(spark: SparkSession, doc: dict, run_id: str) -> DataFrame:
-    """One metrics document as a one-row frame (nested structures kept as a JSON text column)."""
-    import json
-    flat = {k: v for k, v in doc.items() if isinstance(v, (int, float, str, bool)) or v is None}
-    flat["document"] = json.dumps(doc, ensure_ascii=False, default=str)
-    flat["run_id"] = run_id
-    return spark.createDataFrame([flat])
+def document_rows(spark: SparkSession, docs: dict[str, dict], run_id: str) -> DataFrame:
+    """The numbers of all models' metric documents as (run_id, model, kind, name, value) rows; nested names are
+    joined by dots. A document has some hundred numbers at most."""
+    rows = []
+
+    def walk(model: str, value, name: str) -> None:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(model, v, f"{name}.{k}" if name else str(k))
+        elif isinstance(value, (int, float)) and not isinstance(value, bool):
+            kind = "param" if name.split(".")[0] in ("n_total", "n_train", "n_test", "n_removed", "max_depth", "optimal_k", "forest", "rbf_approximation") else "metric"
+            rows.append((run_id, model, kind, name, float(value)))
+
+    for model, doc in docs.items():
+        walk(model, doc, "")
+    return spark.createDataFrame(rows, "run_id string, model string, kind string, name string, value double")
+
+
+def provenance(spark: SparkSession, output: str) -> DataFrame:
+    """U02 from what a run has written below output: per model the consolidated registry's entry, else that of the
+    model's own document."""
+    from pitlane.sinks.results import read_json_document
+    rows = []
+    registry = read_json_document(spark, os.path.join(output, "ml", "models_source")) or {}
+    for model, field in METRIC_FIELD.items():
+        if model in registry:
+            e = registry[model]
+            rows.append((model, 0, e.get("source"), e.get("trained_at"), _number(e.get("metric")), e.get("run_id")))
+        doc = read_json_document(spark, os.path.join(output, "ml", f"metrics_{model}"))
+        if doc:
+            rows.append((model, 1, doc.get("training_source"), doc.get("trained_at"), _number(doc.get(field)), doc.get("run_id")))
+    return resolve_provenance(spark.createDataFrame(
+        rows, "model string, priority int, source string, trained_at string, metric double, run_id string"))
+
+
+def _number(x) -> float | None:
+    return None if x is None else float(x)

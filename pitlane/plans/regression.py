@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlane import schemas as S
-from pitlane.operators.evaluate import regression_metrics
+from pitlane.operators.evaluate import regression_metrics_of
 from pitlane.operators.sampling import mark_split
 from pitlane.plans.models import Standardizer
 
@@ -29,10 +29,14 @@ class RegressionResult:
     metrics: dict = field(default_factory=dict)
 
 
-def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int = 10, seed: int = 42,
-                     max_bins: int = 64) -> RegressionResult:
+#: MLlib's largest tree depth: trees grow until their leaves are pure or single, as far as that lets them.
+MAX_DEPTH = 30
+
+
+def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42,
+                     max_bins: int = 256) -> RegressionResult:
     """ML02 + ML03 on an 80/20 hash split; E01 for both; the best model is chosen by R^2."""
-    marked = mark_split(regression_matrix(prepared)).persist()
+    marked = mark_split(regression_matrix(prepared))
     counts = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("int")).alias("n_test")).first()
     train, test = marked.filter(~F.col("is_test")), marked.filter(F.col("is_test"))
     scaler = Standardizer.fit(train, S.REGRESSION_FEATURES)
@@ -41,16 +45,11 @@ def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int =
                           regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False).fit(tr)
     rf = RandomForestRegressor(featuresCol="features", labelCol=S.REGRESSION_TARGET, predictionCol="pred_rf",
                                numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", bootstrap=True, subsamplingRate=1.0, seed=seed).fit(tr)
+                               featureSubsetStrategy="all", bootstrap=True, subsamplingRate=1.0, seed=seed,
+                               maxMemoryInMB=1024).fit(tr)
     scored = rf.transform(lr.transform(te)).drop("features")
-    m_lr = regression_metrics(scored, S.REGRESSION_TARGET, "pred_lr").first()
-    m_rf = regression_metrics(scored, S.REGRESSION_TARGET, "pred_rf").first()
-    marked.unpersist()
-
-    def pack(m):
-        return {"mae": round(m["mae"], 4), "mse": round(m["mse"], 4), "r2": round(m["r2"], 4)}
-
-    comp = {"linear_regression": pack(m_lr), "random_forest": pack(m_rf)}
+    m = regression_metrics_of(scored, S.REGRESSION_TARGET, {"linear_regression": "pred_lr", "random_forest": "pred_rf"}).first()
+    comp = {name: {k: round(m[f"{name}_{k}"], 4) for k in ("mae", "mse", "r2")} for name in ("linear_regression", "random_forest")}
     best = "Random Forest" if comp["random_forest"]["r2"] >= comp["linear_regression"]["r2"] else "Linear Regression"
     best_key = "random_forest" if best == "Random Forest" else "linear_regression"
     metrics = {
@@ -59,6 +58,6 @@ def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int =
         "n_total": int(counts["n"]), "n_train": int(counts["n"] - counts["n_test"]), "n_test": int(counts["n_test"]),
         **comp[best_key],
         "ers_risk_range": {"min": 0, "max": 10}, "superclipping_duration_range": {"min_s": 1.0, "max_s": 8.0},
-        "forest": {"num_trees": num_trees, "max_depth": max_depth},
+        "forest": {"num_trees": num_trees, "max_depth": max_depth, "depth_reached": max(t.depth for t in rf.trees)},
     }
     return RegressionResult(scaler, lr, rf, scored, metrics)

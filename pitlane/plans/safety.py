@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions.risk import critical_event
-from pitlane.operators.evaluate import classification_report
-from pitlane.operators.sampling import hash_rank, mark_split, stratified_cap
+from pitlane.operators.dims import materialize
+from pitlane.operators.evaluate import classification_report, confusion_matrix
+from pitlane.operators.sampling import hash_rank, mark_stratified, stratified_cap
 from pitlane.plans.models import Standardizer, with_class_weight
 
 CALIBRATION_SEED = 777
+CALIBRATION_FOLDS = 3
 
 
 def with_event_label(scored: DataFrame) -> DataFrame:
@@ -99,23 +101,38 @@ class SafetyResult:
     models: dict
     metrics: dict = field(default_factory=dict)
     test_scored: DataFrame | None = None
+    test_by_kernel: dict = field(default_factory=dict)
 
 
-def _fit_kernel(kernel: str, train: DataFrame, scaler: Standardizer, n_train: int, c: float,
+def _fit_kernel(kernel: str, train: DataFrame, scaler: Standardizer, weight_sum: float, c: float,
                 rff: FourierMap | None, max_iter: int) -> SvmModel:
-    calib_cut = int(0.1 * 2 ** 32)
-    fit_part = train.filter(hash_rank("row_key", CALIBRATION_SEED) >= calib_cut)
-    cal_part = train.filter(hash_rank("row_key", CALIBRATION_SEED) < calib_cut)
+    """The SVM of all training rows; its probabilities (ML11: Platt scaling, a logistic regression on the margin) are
+    fitted on margins of rows that the SVM giving them has not seen: those of CALIBRATION_FOLDS fits that each
+    leave one hash fold out."""
     shell = SvmModel(kernel, scaler, None, None, rff)  # type: ignore[arg-type]
-    svc = LinearSVC(featuresCol="features", labelCol=S.SAFETY_TARGET, weightCol="weight",
-                    regParam=1.0 / (c * max(n_train, 1)), maxIter=max_iter, standardization=False)
-    shell.svc = svc.fit(shell.features(fit_part))
-    # ML11: Platt scaling -- logistic regression on the margin, fitted on a held-out hash fold
-    margins = shell.svc.transform(shell.features(cal_part)).withColumn("margin", vector_to_array("rawPrediction")[1])
-    mv = VectorAssembler(inputCols=["margin"], outputCol="_mv").transform(margins)
-    shell.platt = LogisticRegression(featuresCol="_mv", labelCol=S.SAFETY_TARGET, maxIter=100,
-                                     rawPredictionCol="_lr_raw", probabilityCol="_lr_prob",
-                                     predictionCol="_lr_pred").fit(mv)
+    rows = materialize(shell.features(train).select("features", S.SAFETY_TARGET, "weight", (
+        hash_rank("row_key", CALIBRATION_SEED) % CALIBRATION_FOLDS).alias("fold")))
+
+    def fit(part: DataFrame, weights: float) -> LinearSVCModel:
+        return LinearSVC(featuresCol="features", labelCol=S.SAFETY_TARGET, weightCol="weight",
+                         regParam=1.0 / (c * max(weights, 1.0)), maxIter=max_iter, standardization=False).fit(part)
+
+    shell.svc = fit(rows, weight_sum)
+    per_fold = {r["fold"]: (r["w"], r["k"]) for r in rows.groupBy("fold").agg(
+        F.sum("weight").alias("w"), F.countDistinct(S.SAFETY_TARGET).alias("k")).collect()}
+    margins = None
+    for fold, (w, _) in per_fold.items():
+        rest = rows.filter(F.col("fold") != fold)
+        if rest.agg(F.countDistinct(S.SAFETY_TARGET)).first()[0] < 2:
+            continue  # too few rows for a fit without this fold
+        out = fit(rest, weight_sum - w).transform(rows.filter(F.col("fold") == fold)).select(
+            S.SAFETY_TARGET, vector_to_array("rawPrediction")[1].alias("margin"))
+        margins = out if margins is None else margins.unionByName(out)
+    if margins is not None:
+        mv = VectorAssembler(inputCols=["margin"], outputCol="_mv").transform(margins)
+        shell.platt = LogisticRegression(featuresCol="_mv", labelCol=S.SAFETY_TARGET, maxIter=100,
+                                         rawPredictionCol="_lr_raw", probabilityCol="_lr_prob",
+                                         predictionCol="_lr_pred").fit(mv)
     return shell
 
 
@@ -132,37 +149,39 @@ def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float
                  seed: int = 42, max_iter: int = 100) -> SafetyResult:
     """ML08-ML11: both kernels, recall on the test split, the later kernel wins a recall tie."""
     data = with_event_label(scored).na.drop(subset=S.SAFETY_FEATURES + [S.SAFETY_TARGET])
-    marked = mark_split(data).persist()
+    marked = mark_stratified(data, S.SAFETY_TARGET)
     train = marked.filter(~F.col("is_test"))
     test = marked.filter(F.col("is_test"))
     if cap is not None:
         train = stratified_cap(train, S.SAFETY_TARGET, cap)
-    train = with_class_weight(train, S.SAFETY_TARGET).persist()
-    n_train = train.count()
+    train = with_class_weight(train, S.SAFETY_TARGET)
+    fitted = train.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+    n_train, weight_sum = fitted["n"], float(fitted["w"] or 0.0)
     scaler = Standardizer.fit(train, S.SAFETY_FEATURES)
     rff = FourierMap.draw(len(S.SAFETY_FEATURES), n_components, seed=seed)
     results, models, preds, recalls = {}, {}, {}, []
     for kernel in ("linear", "rbf"):
-        m = _fit_kernel(kernel, train, scaler, n_train, c, rff if kernel == "rbf" else None, max_iter)
+        m = _fit_kernel(kernel, train, scaler, weight_sum, c, rff if kernel == "rbf" else None, max_iter)
         pred = m.predict(test)
         rep = {r["label"]: r.asDict() for r in classification_report(pred, S.SAFETY_TARGET, "prediction").collect()}
+        grid = [r.asDict() for r in confusion_matrix(pred, S.SAFETY_TARGET, "prediction").collect()]
         pos = rep.get("1", {"precision": 0.0, "recall": 0.0, "f1": 0.0})
         results[kernel] = {"accuracy": round(rep["accuracy"]["f1"], 4), "precision": round(pos["precision"], 4),
-                           "recall": round(pos["recall"], 4), "f1": round(pos["f1"], 4)}
+                           "recall": round(pos["recall"], 4), "f1": round(pos["f1"], 4),
+                           "classification_report": rep, "confusion_matrix": grid}
         models[kernel], preds[kernel] = m, pred
         recalls.append((kernel, pos["recall"]))
     best_name = pick_kernel(recalls)
     best_recall, best_scored = dict(recalls)[best_name], preds[best_name]
     bal = marked.agg(F.sum(S.SAFETY_TARGET).alias("pos"), F.count(F.lit(1)).alias("n"),
                      F.sum(F.col("is_test").cast("int")).alias("n_test")).first()
-    train.unpersist()
-    marked.unpersist()
     metrics = {
-        "algorithm": "SVC", "target": S.SAFETY_TARGET, "features": S.SAFETY_FEATURES,
+        "algorithm": "SVC", "objective": "recall of the critical class", "target": S.SAFETY_TARGET,
+        "target_rule": f"lap_time_delta outside its {C.EVENT_LOW_Q} to {C.EVENT_HIGH_Q} quantiles and high ERS risk", "features": S.SAFETY_FEATURES,
         "best_kernel": best_name, "best_recall": round(best_recall, 4), "kernels": results,
         "class_balance": {"critical_pct": round(100.0 * bal["pos"] / bal["n"], 2) if bal["n"] else 0.0,
                           "n_critical": int(bal["pos"] or 0), "n_normal": int(bal["n"] - (bal["pos"] or 0))},
         "n_total": int(bal["n"]), "n_train": int(n_train), "n_test": int(bal["n_test"]),
         "rbf_approximation": {"components": n_components, "gamma": 1.0 / len(S.SAFETY_FEATURES)},
     }
-    return SafetyResult(models[best_name], models, metrics, best_scored)
+    return SafetyResult(models[best_name], models, metrics, best_scored, preds)

@@ -23,7 +23,7 @@ from pitlane import constants as C
 from pitlane.operators import clean as CL
 from pitlane.operators import dashboards as DB
 from pitlane.plans.clusters import ClusterResult, train_clusters
-from pitlane.plans.regression import RegressionResult, train_regression
+from pitlane.plans.regression import MAX_DEPTH, RegressionResult, train_regression
 from pitlane.plans.safety import SafetyResult, train_safety
 from pitlane.plans.scoring import ScoringContext
 from pitlane.plans.tree import TreeResult, train_tree
@@ -42,27 +42,31 @@ class TrainingRun:
     ers_bounds: tuple[float, float]
 
 
-def materialize_prepared(laps: DataFrame, run_id: str, exact: bool | None = None) -> DataFrame:
+def materialize_prepared(laps: DataFrame, run_id: str) -> DataFrame:
     """Clean + encode + dashboard fields, written once to the shared folder and read back."""
     spark = laps.sparkSession
     path = scratch_path(spark, f"prepared-{run_id}")
-    CL.prepare(laps, exact).write.mode("overwrite").parquet(path)
+    CL.prepare(laps).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int = 100, forest_depth: int = 10,
+def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int = 100, forest_depth: int = MAX_DEPTH,
                  kmeans_starts: int = 10, svm_cap: int | None = C.SVM_MAX_TRAIN, which=("regression", "tree",
                  "clusters", "safety")) -> TrainingRun:
     spark = laps.sparkSession
     ensure_checkpoint_dir(spark)
     run_id = run_id or uuid.uuid4().hex
     prepared = materialize_prepared(laps, run_id)
+    n_removed = laps.count() - prepared.count()
     b = prepared.agg(F.min(CL.risk.ers_raw()).alias("lo"), F.max(CL.risk.ers_raw()).alias("hi")).first()
     bounds = (float(b["lo"]), float(b["hi"]))
     reg = train_regression(prepared, forest_trees, forest_depth) if "regression" in which else None
     tree = train_tree(prepared) if "tree" in which else None
     clus = train_clusters(prepared, n_init=kmeans_starts) if "clusters" in which else None
     safe = train_safety(prepared, cap=svm_cap) if "safety" in which else None
+    for res in (reg, tree, clus, safe):
+        if res is not None:
+            res.metrics["n_removed"] = n_removed
     ctx = None
     if tree and clus and safe:
         medians = CL.race_medians(prepared).filter(F.col("race").isNotNull())
@@ -72,7 +76,7 @@ def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int =
 
 def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
     """Documents and tables of one run."""
-    from pitlane.plans.registry import METRIC_FIELD
+    from pitlane.plans.registry import METRIC_FIELD, document_rows, provenance
     from pitlane.sinks.results import results_projection, write_json_document, write_results
     spark = run.prepared.sparkSession
     docs = {}
@@ -90,10 +94,17 @@ def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
     if run.regression is not None:
         run.regression.forest.write().overwrite().save(os.path.join(output, "ml", "forest"))
         run.regression.linear.write().overwrite().save(os.path.join(output, "ml", "linear"))
+        write_json_document(spark, run.regression.scaler.to_dict(), os.path.join(output, "ml", "regression_scaler"))
+        codes = run.prepared.select(CL.race_text().alias("race_text"), "race_encoded").distinct()
+        codes.coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "race_codes"))
         res = results_projection(run.regression.test_scored, "laptime_normalized", "pred_rf")
         write_results(res, os.path.join(output, "data", "results"))
     if run.tree is not None:
         run.tree.model.write().overwrite().save(os.path.join(output, "ml", "decision_tree"))
+    if run.clusters is not None and run.clusters.pca is not None:
+        run.clusters.pca.write().overwrite().save(os.path.join(output, "ml", "pca"))
+    document_rows(spark, docs, run.run_id).coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "metrics_long"))
+    provenance(spark, output).coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "provenance"))
     if run.context is not None:
         from pitlane.plans.persist import save_context
         save_context(run.context, os.path.join(output, "ml", "scoring_context"))

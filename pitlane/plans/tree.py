@@ -16,7 +16,7 @@ from pitlane import schemas as S
 from pitlane.functions.lookup import status_color
 from pitlane.functions.numeric import round_even
 from pitlane.operators.evaluate import classification_report, confusion_matrix
-from pitlane.operators.sampling import mark_split
+from pitlane.operators.sampling import mark_stratified
 
 
 @dataclass
@@ -35,7 +35,7 @@ def tree_frame(prepared: DataFrame) -> DataFrame:
 
 def train_tree(prepared: DataFrame, max_depth: int = C.DT_MAX_DEPTH, seed: int = 42, max_bins: int = 256) -> TreeResult:
     """ML04: labels indexed alphabetically (like a sorted label set), gini, depth 5; stratified hash split."""
-    marked = mark_split(tree_frame(prepared)).persist()
+    marked = mark_stratified(tree_frame(prepared), S.TREE_TARGET)
     train, test = marked.filter(~F.col("is_test")), marked.filter(F.col("is_test"))
     indexer = StringIndexer(inputCol=S.TREE_TARGET, outputCol="label", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=S.TREE_FEATURES, outputCol="features")
@@ -47,7 +47,6 @@ def train_tree(prepared: DataFrame, max_depth: int = C.DT_MAX_DEPTH, seed: int =
     report = classification_report(scored, S.TREE_TARGET, "predicted_status")
     rep_rows = {r["label"]: r.asDict() for r in report.collect()}  # classes + 3 summary rows
     counts = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("int")).alias("n_test")).first()
-    marked.unpersist()
     metrics = {
         "algorithm": "DecisionTreeClassifier", "target": S.TREE_TARGET, "features": S.TREE_FEATURES,
         "max_depth": max_depth, "accuracy": round(rep_rows["accuracy"]["f1"], 4),
