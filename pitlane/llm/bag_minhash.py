@@ -28,8 +28,8 @@ BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
 #: Agreeing components from which a pair is verified: at similarity 0.8 fewer agree with probability 1e-9.
 AGREE = 76
-#: Bands whose buckets are looked at first.
-FIRST_BANDS = 4
+#: Rounds of bands: the first ones connect most of what is alike, so that later ones have little left to link.
+BAND_ROUNDS = ((0, 1), (1, 4), (4, BANDS))
 SIGNATURES_PER_BLOCK, TEXTS_PER_BLOCK = 1024, 128
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -168,10 +168,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                         [("sig", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))])
     distinct = signed.groupBy("text_key").agg(F.min("k").alias("first_key"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     distinct = materialise(distinct.withColumn("tid", F.monotonically_increasing_id()), "signed-texts")
-    # Buckets with two members or more; of those with the same members, one. The first bands connect most of what is
-    # alike, so that of the others only buckets with members of different components are looked at.
+    # Buckets with two members or more; of those with the same members, one. From the second round
+    # on only buckets with members of different components are looked at.
     label = distinct.select("tid", F.col("tid").alias("c"))
-    for first, behind in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
+    for first, behind in BAND_ROUNDS:
         band = distinct.select("tid", F.explode(F.slice("bands", first + 1, behind - first)).alias("bucket"))
         filled = (band.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y"))
                   .where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")))
