@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pitlane.session import scratch_path
 
 #: Text bytes that one numpy pass inside a task works on; bounds a task's memory whatever the Arrow batch holds.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,7 +123,7 @@ def map_column(df: DataFrame, key: str | list[str], column: str, make, fields: l
         for batch in batches:
             values = batch.column(len(keys))
             sizes = values.value_lengths() if listed else pa.compute.binary_length(values)
-            for a, b in slices(pa.compute.fill_null(sizes, 0).to_pylist()):
+            for a, b in slices(pa.compute.fill_null(sizes, 0).to_pylist(), SLICE_BYTES // 4 if listed else SLICE_BYTES):
                 part = values.slice(a, b - a)
                 rows = [_list_row(x) for x in part] if listed else [x or "" for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keys))), *work(rows)], schema.names)

@@ -119,7 +119,7 @@ class PieceCache:
 
     At most `limit` pieces are held: beyond that the cache starts afresh, so memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 800_000, bits: int = 21):
+    def __init__(self, encode, limit: int = 300_000, bits: int = 20):
         self.encode, self.limit, self.mask = encode, limit, np.uint64((1 << bits) - 1)
         self.clear()
 

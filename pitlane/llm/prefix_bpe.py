@@ -89,7 +89,7 @@ class PrefixBPE:
                 pair = last[before] << 32 | token
                 ok = beside.get(pair)
                 if ok is None:
-                    if len(beside) >= 400_000:
+                    if len(beside) >= 200_000:
                         beside.clear()
                     ok = beside[pair] = self._may_stand(last[before], token)
                 if not ok:
