@@ -15,12 +15,14 @@ from pitlane.session import scratch_path
 
 @query("op2_prefix_bpe")
 def op2(spark, sf_dir):
+    """Every whole text encoded by prefix dynamic programming and decoded from its ids: counts and digests."""
     return prefix_bpe.encoded_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
                                       public_tokenizers.PATTERN)
 
 
 @query("op8_token_files")
 def op8(spark, sf_dir):
+    """Token ids written to flat files in order of doc_id, and read back from them."""
     docs = table(spark, sf_dir, "documents")
     folder = scratch_path(spark, f"llm-token-files-{uuid.uuid4().hex}")
     token_files.write_token_files(docs, folder, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -30,27 +32,32 @@ def op8(spark, sf_dir):
 
 @query("op10_token_counts")
 def op10(spark, sf_dir):
+    """Bytes and tokens of every whole text."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
 @query("op5_rendezvous_shards")
 def op5(spark, sf_dir):
+    """Every document in one of 40 shards by rendezvous hashing (law: key), and with a 41st."""
     docs = shards.assign(table(spark, sf_dir, "documents"), [1.0] * 40)
     return docs.withColumn("law", F.lit("key"))
 
 
 @query("op7_suffix_automaton")
 def op7(spark, sf_dir):
+    """Benchmark items whose ten-word windows occur in each document."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op4_compression_quality")
 def op4(spark, sf_dir):
+    """Quality score of every whole text from compressed sizes."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op9_main_text")
 def op9(spark, sf_dir):
+    """Main text of every page."""
     return main_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
@@ -63,15 +70,18 @@ scored as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5""")
 def op1(spark, sf_dir):
+    """Five best rows by integer inner product for every 50th vector, from the bit-sliced index."""
     vectors = table(spark, sf_dir, "embeddings")
     return bit_sliced.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 @query("op3_bag_minhash")
 def op3(spark, sf_dir):
+    """The near-duplicate class of every document (smallest doc_id in it)."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("op6_radix_repeats")
 def op6(spark, sf_dir):
+    """Every document without bytes covered by 50-byte strings that start in a smaller document too."""
     return repeats.report(table(spark, sf_dir, "documents"), length=50)
