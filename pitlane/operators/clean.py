@@ -12,6 +12,8 @@ from pitlane.operators.dims import checked_dim, materialize, scalar
 
 #: Value ranges a counting pass splits each group's range into.
 QUANTILE_BUCKETS = 4096
+#: Open ranks up to which the ranges of a counting pass are kept on the driver; beyond, they are a written table.
+MAX_DRIVER_STATE = 20_000
 
 
 def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None) -> DataFrame:
@@ -34,6 +36,35 @@ def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None) -> DataF
     place = [F.lit(x) * (F.col("_n") - 1) for x in wanted]
     ranks = F.array_distinct(F.concat(*[F.array(F.floor(x), F.ceil(x)) for x in place]))
     state = groups.select("_g", F.explode(ranks).alias("_rank"), F.col("_n").alias("_of"), "_lo", "_hi").withColumn("_left", F.col("_rank"))
+    first = state.limit(MAX_DRIVER_STATE + 1).collect()
+    values = _ranks_small(rows, state.schema, first) if len(first) <= MAX_DRIVER_STATE else _ranks_large(rows, state)
+    at = values.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
+    each = [F.col("_at")[F.floor(x)] + (x - F.floor(x)) * (F.col("_at")[F.ceil(x)] - F.col("_at")[F.floor(x)]) for x in place]
+    return groups.join(F.broadcast(at) if len(first) <= MAX_DRIVER_STATE else at, "_g").select(*keys, (F.array(*each) if many else each[0]).alias("q"))
+
+
+FOUND = "_g string, _rank bigint, _value double"
+
+
+def _ranks_small(rows: DataFrame, schema, state: list) -> DataFrame:
+    """The values at a few ranks: one counting job a pass, the ranges still open kept on the driver (MAX_DRIVER_STATE
+    at most)."""
+    spark, found = rows.sparkSession, []
+    while state:
+        open_ = []
+        for r in state:
+            if r["_left"] == 0 or r["_lo"] == r["_hi"]:
+                found.append((r["_g"], r["_rank"], r["_lo"]))
+            elif r["_left"] == r["_of"] - 1:
+                found.append((r["_g"], r["_rank"], r["_hi"]))
+            else:
+                open_.append(r)
+        state = _narrowed(rows, spark.createDataFrame(open_, schema), small=True).collect() if open_ else []
+    return spark.createDataFrame(found, FOUND)
+
+
+def _ranks_large(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The values at ranks of any number of groups: the ranges still open are a written table."""
     found = None
     while True:
         value = (F.when((F.col("_left") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo"))
@@ -43,16 +74,14 @@ def quantiles(df: DataFrame, c: str, qs, keys: list[str] | None = None) -> DataF
         found = done if found is None else found.unionByName(done)
         open_ = state.filter(F.col("_value").isNull())
         if open_.isEmpty():
-            break
-        state = materialize(_narrowed(rows, open_))
-    values = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
-    each = [F.col("_at")[F.floor(x)] + (x - F.floor(x)) * (F.col("_at")[F.ceil(x)] - F.col("_at")[F.floor(x)]) for x in place]
-    return materialize(groups.join(values, "_g").select(*keys, (F.array(*each) if many else each[0]).alias("q")))
+            return found
+        state = materialize(_narrowed(rows, open_, small=False))
 
 
-def _narrowed(rows: DataFrame, state: DataFrame) -> DataFrame:
+def _narrowed(rows: DataFrame, state: DataFrame, small: bool) -> DataFrame:
     """One counting pass: for each open rank the part of its range that holds it."""
-    ranges = checked_dim(state.select("_g", "_lo", "_hi").distinct())
+    ranges = state.select("_g", "_lo", "_hi").distinct()
+    ranges = F.broadcast(ranges) if small else checked_dim(ranges)
     inside = rows.select("_g", "_v").join(ranges, "_g").filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     part = F.least(F.lit(QUANTILE_BUCKETS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * QUANTILE_BUCKETS))
     counts = inside.groupBy("_g", "_lo", "_hi", part.alias("_part")).agg(
@@ -60,7 +89,8 @@ def _narrowed(rows: DataFrame, state: DataFrame) -> DataFrame:
     before = Window.partitionBy("_g", "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     hit = (F.col("_left") >= F.col("_before")) & (F.col("_left") < F.col("_before") + F.col("_c"))
-    return (counts.join(state.select("_g", "_lo", "_hi", "_rank", "_left"), ["_g", "_lo", "_hi"]).filter(hit)
+    wanted = state.select("_g", "_lo", "_hi", "_rank", "_left")
+    return (counts.join(F.broadcast(wanted) if small else wanted, ["_g", "_lo", "_hi"]).filter(hit)
             .select("_g", "_rank", F.col("_c").alias("_of"), F.col("_low").alias("_lo"), F.col("_high").alias("_hi"),
                     (F.col("_left") - F.col("_before")).alias("_left")))
 
