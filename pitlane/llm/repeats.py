@@ -165,8 +165,8 @@ class _Strings:
     def __init__(self):
         self.of: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, row: tuple[int, int], start: int, number: int) -> None:
-        self.of.setdefault(row, []).extend((start, number))
+    def add(self, row: tuple[int, int], *runs: int) -> None:
+        self.of.setdefault(row, []).extend(runs)
 
     def rows(self) -> list[dict]:
         return [{"doc": d, "mark": m, "runs": np.array(r, "<i4").tobytes()} for (d, m), r in self.of.items()]
@@ -174,12 +174,13 @@ class _Strings:
 
 SEGMENTS = T.StructType([
     T.StructField("range", T.IntegerType()), T.StructField("settled", T.BooleanType()), T.StructField("doc", T.LongType()),
-    T.StructField("mark", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("digit", T.LongType()), T.StructField("bytes", T.BinaryType())])
+    T.StructField("mark", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("digit", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
 
 
 def _pass_segments(length: int, ranges: int):
     """The segments of repeated digits dealt to ranges. Rows with bytes are one segment each, of its smallest document
-    here, with its starts there (runs: start, number of strings); settled rows are strings to remove."""
+    here, with its starts there (runs: start, number of strings) and its digit's lower half; settled rows are strings
+    to remove."""
 
     def dealt(held: dict[bytes, list]):
         settled = _Strings()
@@ -193,12 +194,12 @@ def _pass_segments(length: int, ranges: int):
                         settled.add(row, s, strings)
                 else:
                     runs = np.array([x for s in starts for x in (s, strings)], "<i4").tobytes()
-                    out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, runs, digit - (1 << 64) if digit >> 63 else digit, raw))
+                    out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, runs, (digit & 0xFFFFFFFF) - (1 << 31), raw))
         # Settled rows go anywhere: they are only handed on.
         out += [(i % ranges, True, r["doc"], r["mark"], r["runs"], None, None) for i, r in enumerate(settled.rows())]
         for a in range(0, len(out), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a:a + 20_000]), (
-                pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], SEGMENTS.names)
+                pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], SEGMENTS.names)
 
     def run(batches):
         held: dict[bytes, list] = {}
@@ -289,15 +290,16 @@ def _repeated_strings(length: int):
                         out.add(row, s + int(inner[f]), n)
 
     def run(batches):
+        out = _Strings()  # of the whole task: one row a document
         for rows in groups(batches, ["range", "settled"]):
             if rows.column("settled")[0].as_py():
-                yield from rows.select(["doc", "mark", "runs"]).to_batches()
-                continue
-            out = _Strings()
-            settle(rows, out)
-            found = out.rows()
-            for a in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_pylist(found[a:a + 10_000], pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("runs", pa.binary())]))
+                for doc, mark, runs in zip(*(rows.column(c).to_pylist() for c in ("doc", "mark", "runs"))):
+                    out.add((doc, mark), *np.frombuffer(runs, "<i4").tolist())
+            else:
+                settle(rows, out)
+        found = out.rows()
+        for a in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_pylist(found[a:a + 10_000], pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("runs", pa.binary())]))
 
     return run
 
