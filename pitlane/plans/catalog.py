@@ -937,3 +937,56 @@ def q_metrics_long(spark, sf):
     rep = q_classification_report(spark, sf)
     n = _labels(spark, sf).agg(F.count(F.lit(1)).cast("double").alias("n_rows"))
     return metrics_long(rep, n, run_id="local")
+
+
+@query("provenance_resolved",
+       f"SELECT model, CASE WHEN model IN ('regression', 'svm') THEN 'consolidated' ELSE 'local' END AS source, metric FROM ({_reg_sql()})")
+def q_provenance_resolved(spark, sf):
+    """Provenance read from written documents; the consolidated registry goes before a model's own document."""
+    from pitlane.plans.registry import METRIC_FIELD, provenance
+    from pitlane.session import scratch_path
+    from pitlane.sinks.results import write_json_document
+    base = scratch_path(spark, f"provenance-{uuid.uuid4().hex}")
+    metric = {r["model"]: r["metric"] for r in q_registry_union(spark, sf).collect()}  # one row a model
+    for model, value in metric.items():
+        write_json_document(spark, {"training_source": "local", METRIC_FIELD[model]: value}, f"{base}/ml/metrics_{model}")
+    write_json_document(spark, {m: {"source": "consolidated", "metric": metric[m]} for m in ("regression", "svm")}, f"{base}/ml/models_source")
+    return provenance(spark, base).select("model", "source", rh("metric", 4).alias("metric"))
+
+
+# --------------------------------------------------------------------------- model steps with fixed parameters
+
+CENTRES = [[-2.0, 10.0], [8.0, 30.0], [20.0, 5.0]]
+
+
+@query("kmeans_assign", with_ctes(["clean"], "SELECT row_key, CAST(CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM "
+       "(SELECT row_key, " + ", ".join(f"(cumulative_degradation - {a}e0) * (cumulative_degradation - {a}e0) + (tyre_life - {b}e0) * (tyre_life - {b}e0) AS d{i}"
+                                       for i, (a, b) in enumerate(CENTRES)).replace("- -", "+ ") + " FROM clean)"))
+def q_kmeans_assign(spark, sf):
+    """ML05: assignment to fixed centres (the fitted model's own code path)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pitlane.plans.clusters import Centroids
+    x = VectorAssembler(inputCols=["cumulative_degradation", "tyre_life"], outputCol="features").transform(cleaned(spark, sf))
+    return Centroids(CENTRES).transform(x).select("row_key", "cluster")
+
+
+@query("fourier_features", with_ctes(["clean"], "SELECT row_key, " + ", ".join(
+    f"{r(f'cos({b}e0 + lap_time_delta * {w[0]}e0 + race_progress * {w[1]}e0) * sqrt(2e0 / 2e0)', 6)} AS rff_{k}"
+    for k, (w, b) in enumerate((((0.25, 1.5), 0.3), ((0.75, 0.5), 2.0)))) + " FROM clean"))
+def q_fourier_features(spark, sf):
+    """ML09: the random feature map with fixed weights."""
+    from pitlane.plans.safety import FourierMap
+    cols = FourierMap([[0.25, 1.5], [0.75, 0.5]], [0.3, 2.0]).columns(["lap_time_delta", "race_progress"])
+    return cleaned(spark, sf).select("row_key", *cols).select("row_key", *[rh(f"rff_{k}", 6).alias(f"rff_{k}") for k in range(2)])
+
+
+@query("least_squares_one", with_ctes(["clean"], f"SELECT {r('regr_slope(lap_time_s, tyre_life)', 6)} AS slope, "
+                                                 f"{r('regr_intercept(lap_time_s, tyre_life)', 6)} AS intercept, count(*) AS n FROM clean"))
+def q_least_squares_one(spark, sf):
+    """ML02: the least-squares fit of one feature on all cleaned laps."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    x = VectorAssembler(inputCols=["tyre_life"], outputCol="features").transform(cleaned(spark, sf))
+    m = LinearRegression(featuresCol="features", labelCol="lap_time_s", regParam=0.0, solver="normal", standardization=False).fit(x)
+    return cleaned(spark, sf).agg(rh(F.lit(float(m.coefficients[0])), 6).alias("slope"), rh(F.lit(float(m.intercept)), 6).alias("intercept"),
+                                  F.count(F.lit(1)).alias("n"))

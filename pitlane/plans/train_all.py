@@ -51,7 +51,7 @@ def materialize_prepared(laps: DataFrame, run_id: str) -> DataFrame:
 
 
 def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int = 100, forest_depth: int = MAX_DEPTH,
-                 kmeans_starts: int = 10, svm_cap: int | None = C.SVM_MAX_TRAIN, which=("regression", "tree",
+                 kmeans_starts: int = 10, svm_cap: int | None = C.SVM_MAX_TRAIN, svm_iterations: int = 100, which=("regression", "tree",
                  "clusters", "safety")) -> TrainingRun:
     spark = laps.sparkSession
     ensure_checkpoint_dir(spark)
@@ -63,7 +63,7 @@ def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int =
     reg = train_regression(prepared, forest_trees, forest_depth) if "regression" in which else None
     tree = train_tree(prepared) if "tree" in which else None
     clus = train_clusters(prepared, n_init=kmeans_starts) if "clusters" in which else None
-    safe = train_safety(prepared, cap=svm_cap) if "safety" in which else None
+    safe = train_safety(prepared, cap=svm_cap, max_iter=svm_iterations) if "safety" in which else None
     for res in (reg, tree, clus, safe):
         if res is not None:
             res.metrics["n_removed"] = n_removed

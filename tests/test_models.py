@@ -11,7 +11,8 @@ def run(spark, sf_small):
     from pitlane.plans.catalog import laps
     from pitlane.plans.train_all import run_training
 
-    return run_training(laps(spark, sf_small), run_id="pytest", forest_trees=10, forest_depth=5, kmeans_starts=2)
+    return run_training(laps(spark, sf_small), run_id="pytest", forest_trees=5, forest_depth=5, kmeans_starts=1,
+                        svm_iterations=20)
 
 
 def test_regression_metrics_shape(run):
@@ -177,8 +178,10 @@ def test_save_run_writes_documents_and_models(spark, run, tmp_path):
     assert laps_sorted == sorted(laps_sorted)
     assert set(dash["ers_distribution"]) == {"NORMAL", "ALERTA", "CRÍTICO"}
     res = spark.read.option("header", True).csv(f"{out}/data/results")
-    from pitlane.sinks.results import RESULT_COLUMNS
+    from pitlane.sinks.results import RESULT_COLUMNS, read_results_head
     assert set(RESULT_COLUMNS) <= set(res.columns)
+    head = read_results_head(spark, f"{out}/data/results", ", ".join(f"`{c}` string" for c in res.columns), 5)
+    assert [r["row_key"] for r in head.collect()] == [r["row_key"] for r in res.orderBy("row_key").limit(5).collect()]
     assert res.count() == run.regression.metrics["n_test"]
     assert run.regression.metrics["forest"]["depth_reached"] <= 5
     long = spark.read.parquet(f"{out}/ml/metrics_long")

@@ -201,7 +201,7 @@ def test_quantiles_by_counting(spark, monkeypatch):
     rows = [(g, v) for g, n in (("a", 501), ("b", 1), (None, 40), ("d", 2)) for v in (r.choice((r.uniform(-5, 5), 1.0, 1e12)) for _ in range(n))]
     rows += [("c", None), ("a", None), ("e", 7.0), ("e", 7.0)]
     df = spark.createDataFrame(rows, "race string, x double")
-    for buckets, state in ((4096, 20_000), (3, 20_000), (3, 2)):
+    for buckets, state in ((4096, 20_000), (256, 2)):
         monkeypatch.setattr(CL, "QUANTILE_BUCKETS", buckets)
         monkeypatch.setattr(CL, "MAX_DRIVER_STATE", state)
         got = {x["race"]: x["q"] for x in CL.quantiles(df, "x", [0.05, 0.5, 0.95], ["race"]).collect()}
