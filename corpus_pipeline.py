@@ -68,8 +68,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and text of every document: encoded, and decoded from its ids."""
-    encoded = prefix_bpe.encode_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return prefix_bpe.digests(prefix_bpe.decode_documents(encoded, vocabulary("byte_bpe_50k.tiktoken")), decoded_text=True)
+    back = prefix_bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return prefix_bpe.digests(back, decoded_text=True)
 
 
 STAGES = [

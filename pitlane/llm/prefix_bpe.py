@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,15 +35,14 @@ class PrefixBPE:
         self.joined: dict[tuple[int, int], int] = {}
         self.size = [len(t) for t in tokens]
         self.longest = max(self.size)
-        self.found = ahocorasick.Automaton()
+        self.made: dict[bytes, int] = {}  # the tokens that merging their own bytes makes
         for i, t in enumerate(tokens):
             if len(t) == 1:
-                self.found.add_word(t.decode("latin-1"), i)
+                self.made[t] = i
             elif (halves := self._halves(t, i)) is not None:
                 self.left[i], self.right[i] = halves
                 self.joined[halves] = i
-                self.found.add_word(t.decode("latin-1"), i)
-        self.found.make_automaton()
+                self.made[t] = i
         self.beside: dict[int, bool] = {}  # of pairs as one number; bounded below
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
@@ -77,24 +75,24 @@ class PrefixBPE:
 
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix of a pre-token. known: the table of a prefix of it, to be extended."""
-        last = [*(known or ()), *[-1] * (len(piece) - len(known or ()))]
-        done, size, beside = len(known or ()), self.size, self.beside
-        from_ = max(0, done - self.longest)
-        for end, token in self.found.iter(piece[from_:].decode("latin-1")):
-            end += from_
-            if end < done or last[end] >= 0:
-                continue
-            before = end - size[token]
-            if before >= 0:
-                pair = last[before] << 32 | token
-                ok = beside.get(pair)
-                if ok is None:
-                    if len(beside) >= 200_000:
-                        beside.clear()
-                    ok = beside[pair] = self._may_stand(last[before], token)
-                if not ok:
+        last = list(known or ())
+        made, beside = self.made, self.beside
+        for end in range(len(last) + 1, len(piece) + 1):
+            for start in range(max(0, end - self.longest), end):
+                token = made.get(piece[start:end])
+                if token is None:
                     continue
-            last[end] = token
+                if start:
+                    pair = last[start - 1] << 32 | token
+                    ok = beside.get(pair)
+                    if ok is None:
+                        if len(beside) >= 200_000:
+                            beside.clear()
+                        ok = beside[pair] = self._may_stand(last[start - 1], token)
+                    if not ok:
+                        continue
+                last.append(token)
+                break
         return last
 
     def ids(self, piece: bytes, last: list[int]) -> list[int]:
@@ -209,23 +207,51 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     tokens = encoded.sparkSession.sparkContext.broadcast(libraries.read_ranks(path))
 
     def make():
-        take_bytes = joined_rows(tokens.value)
-        take_digits = joined_rows([b"%d " % i for i in range(len(tokens.value))])
+        decode = decoder(tokens.value)
 
         def work(rows: list) -> list[pa.Array]:
-            flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)])
-            at = bounds([len(r) for r in rows])
-            raw, raw_at = take_bytes(flat)
-            digits, digits_at = take_digits(flat)
-            raw, raw_at = raw.tobytes(), raw_at[at].tolist()
-            digits, digits_at = digits.tobytes(), digits_at[at].tolist()
-            return [pa.array(np.diff(at)),
-                    pa.array([raw[a:b] for a, b in zip(raw_at, raw_at[1:])], pa.binary()),
-                    pa.array([digits[a:max(a, b - 1)].decode() for a, b in zip(digits_at, digits_at[1:])], pa.string())]
+            return decode(np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]), np.array([len(r) for r in rows], np.int64))
 
         return work
 
-    return map_column(encoded, key, ids, make, [("n_tokens", T.LongType()), ("decoded", T.BinaryType()), ("ids_text", T.StringType())])
+    return map_column(encoded, key, ids, make, DECODED)
+
+
+DECODED = [("n_tokens", T.LongType()), ("decoded", T.BinaryType()), ("ids_text", T.StringType())]
+
+
+def decoder(tokens: list[bytes]):
+    """A function from the ids of rows end to end and their numbers to the columns of DECODED."""
+    take_bytes, take_digits = joined_rows(tokens), joined_rows([b"%d " % i for i in range(len(tokens))])
+
+    def decode(flat: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+        at = bounds(count)
+        raw, raw_at = take_bytes(flat)
+        digits, digits_at = take_digits(flat)
+        raw, raw_at = raw.tobytes(), raw_at[at].tolist()
+        digits, digits_at = digits.tobytes(), digits_at[at].tolist()
+        return [pa.array(count),
+                pa.array([raw[a:b] for a, b in zip(raw_at, raw_at[1:])], pa.binary()),
+                pa.array([digits[a:max(a, b - 1)].decode() for a, b in zip(digits_at, digits_at[1:])], pa.string())]
+
+    return decode
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What decode_documents gives of encode_documents' ids, in one pass over the texts (see both for odd rows)."""
+    packed = docs.sparkSession.sparkContext.broadcast(packed_ranks(path, pattern))
+
+    def make():
+        bpe, cache = _worker(*packed.value)
+        decode = decoder(bpe.tokens)
+
+        def work(texts: list[str]) -> list[pa.Array]:
+            ids, count = encode_texts(cache, bpe.classes, texts)
+            return decode(ids.astype(np.int64), count)
+
+        return work
+
+    return map_column(docs, key, text, make, DECODED)
 
 
 def digests(decoded: DataFrame, key: str = "doc_id", decoded_text: bool = False) -> DataFrame:
@@ -237,4 +263,4 @@ def digests(decoded: DataFrame, key: str = "doc_id", decoded_text: bool = False)
 
 def encoded_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, and decoded from the ids."""
-    return digests(decode_documents(encode_documents(docs, path, pattern), path))
+    return digests(round_trip(docs, path, pattern))

@@ -31,13 +31,13 @@ from pitlane.llm.components import groups
 GRAM = 20
 BASE = 0x9E3779B97F4A7C15
 #: (document, digit) pairs or segments that a task gathers before it passes them on.
-PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 1_000_000, 100_000
+PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 500_000, 100_000
 #: Text bytes whose strings are hashed at a time.
 TEXT_SLICE = 400_000
 #: Text bytes a partition of digits is for, and digit ranges a partition.
 BYTES_PER_PARTITION, RANGES = 16 << 20, 8
 #: Strings that are sorted at a time; a digit's strings stay together.
-STRINGS_PER_SORT = 200_000
+STRINGS_PER_SORT = 100_000
 SEVERAL = np.iinfo(np.int64).min  # in place of a document: several documents of a batch hold the digit
 
 

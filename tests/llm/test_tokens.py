@@ -97,6 +97,8 @@ def test_encoded_documents(spark, reference):
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, out), key=key) == sorted((want(r[0], r[1]) for r in edge_rows()), key=key)
     assert prefix_bpe.encoded_digests(no_docs(spark), RANKS, P.PATTERN).count() == 0
+    apart = prefix_bpe.decode_documents(prefix_bpe.encode_documents(docs, RANKS, P.PATTERN), RANKS)
+    assert sorted(map(tuple, prefix_bpe.digests(apart).collect()), key=key) == sorted(map(tuple, out), key=key)
 
 
 def test_token_counts(spark, library):
