@@ -16,6 +16,7 @@ goes on. So a passage that a large share of the documents holds is as many entri
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 #: (document, digit) pairs or segments that a task gathers before it passes them on.
 PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 500_000, 100_000
 #: Text bytes whose strings are hashed at a time.
-TEXT_SLICE = 400_000
+TEXT_SLICE = 250_000
 #: Text bytes a partition of digits is for, and digit ranges a partition.
 BYTES_PER_PARTITION, RANGES = 16 << 20, 8
 #: Strings that are sorted at a time; a digit's strings stay together.
@@ -163,13 +164,15 @@ class _Strings:
     """The windows of removed strings, gathered by document: (doc, text hash) -> flat (first start, number)."""
 
     def __init__(self):
-        self.of: dict[tuple[int, int], list[int]] = {}
+        self.of: dict[tuple[int, int], array] = {}
 
     def add(self, row: tuple[int, int], *runs: int) -> None:
-        self.of.setdefault(row, []).extend(runs)
+        if row not in self.of:
+            self.of[row] = array("i")
+        self.of[row].extend(runs)
 
     def rows(self) -> list[dict]:
-        return [{"doc": d, "mark": m, "runs": np.array(r, "<i4").tobytes()} for (d, m), r in self.of.items()]
+        return [{"doc": d, "mark": m, "runs": np.asarray(r, "<i4").tobytes()} for (d, m), r in self.of.items()]
 
 
 SEGMENTS = T.StructType([
@@ -182,19 +185,21 @@ def _pass_segments(length: int, ranges: int):
     here, with its starts there (runs: start, number of strings) and its digit's lower half; settled rows are strings
     to remove."""
 
-    def dealt(held: dict[bytes, list]):
+    def dealt(held: dict[bytes, list]):  # bytes -> [digit, row, start, row, start, ...]
         settled = _Strings()
         out = []
-        for raw, (digit, rows) in held.items():
+        for raw, (digit, *found) in held.items():
+            rows, starts = found[::2], found[1::2]
             least = min(rows)[0]
             strings = len(raw) - length + 1
-            for row, starts in rows.items():
+            kept: dict[tuple[int, int], list[int]] = {}
+            for row, start in zip(rows, starts):
                 if row[0] > least:
-                    for s in starts:
-                        settled.add(row, s, strings)
+                    settled.add(row, start, strings)
                 else:
-                    runs = np.array([x for s in starts for x in (s, strings)], "<i4").tobytes()
-                    out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, runs, (digit & 0xFFFFFFFF) - (1 << 31), raw))
+                    kept.setdefault(row, []).extend((start, strings))
+            for row, runs in kept.items():
+                out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, np.array(runs, "<i4").tobytes(), (digit & 0xFFFFFFFF) - (1 << 31), raw))
         # Settled rows go anywhere: they are only handed on.
         out += [(i % ranges, True, r["doc"], r["mark"], r["runs"], None, None) for i, r in enumerate(settled.rows())]
         for a in range(0, len(out), 20_000):
@@ -213,10 +218,10 @@ def _pass_segments(length: int, ranges: int):
                     mine, starts = digit[at[i]:at[i + 1]], start[at[i]:at[i + 1]]
                     first = _runs(mine)
                     number = np.diff(np.append(first, len(mine)))
+                    row = docs[i], marks[i]
                     for f, n in zip(*(x[np.isin(mine[first], wanted[i])].tolist() for x in (first, number))):
                         s = int(starts[f])
-                        rows = held.setdefault(raw[s:s + n + length - 1], [int(mine[f]), {}])[1]
-                        rows.setdefault((docs[i], marks[i]), []).append(s)
+                        held.setdefault(raw[s:s + n + length - 1], [int(mine[f])]).extend((row, s))
                 if len(held) >= SEGMENTS_PER_BATCH:
                     yield from dealt(held)
                     held = {}
