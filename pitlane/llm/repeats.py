@@ -36,7 +36,7 @@ PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 500_000, 100_000
 #: Text bytes whose strings are hashed at a time.
 TEXT_SLICE = 250_000
 #: Text bytes a partition of digits is for, and digit ranges a partition.
-BYTES_PER_PARTITION, RANGES = 16 << 20, 8
+BYTES_PER_PARTITION, RANGES = 16 << 20, 32
 #: Strings that are sorted at a time; a digit's strings stay together.
 STRINGS_PER_SORT = 100_000
 SEVERAL = np.iinfo(np.int64).min  # in place of a document: several documents of a batch hold the digit
@@ -136,28 +136,30 @@ def _unpacked(column, kind: str) -> np.ndarray:
 
 
 def _repeated_digits(batches):
-    """(doc, digits): for each document the digits of a range that other documents hold too."""
+    """(doc, digits): for each document the digits that other documents hold too, of all ranges of the task."""
+    all_docs, all_digits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for rows in groups(batches, ["range", "settled"]):
         docs, digit = _unpacked(rows.column("docs"), "<i8"), _unpacked(rows.column("digits"), "<u8")
-        if not rows.column("settled")[0].as_py():
+        if not rows.column("settled")[0].as_py() and len(digit):
             order = np.argsort(digit, kind="stable")
             docs, digit = docs[order], digit[order]
             first = _runs(digit)
-            if not len(first):
-                continue
             held = np.diff(np.append(first, len(digit)))
             low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
             keep = np.repeat((low != high) | (low == SEVERAL), held) & (docs != SEVERAL)
             docs, digit = docs[keep], digit[keep]
-        order = np.lexsort((digit, docs))
-        docs, digit = docs[order], digit[order]
-        first = _runs(docs)
-        edges = [*first.tolist(), len(docs)]
-        for a in range(0, len(first), 10_000):
-            part = edges[a:a + 10_001]
-            yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(docs[part[:-1]]),
-                "digits": pa.array([digit[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())})
+        all_docs.append(docs)
+        all_digits.append(digit)
+    docs, digit = np.concatenate(all_docs), np.concatenate(all_digits)
+    order = np.lexsort((digit, docs))
+    docs, digit = docs[order], digit[order]
+    first = _runs(docs)
+    edges = [*first.tolist(), len(docs)]
+    for a in range(0, len(first), 10_000):
+        part = edges[a:a + 10_001]
+        yield pa.RecordBatch.from_pydict({
+            "doc": pa.array(docs[part[:-1]]),
+            "digits": pa.array([digit[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())})
 
 
 class _Strings:
