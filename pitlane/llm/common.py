@@ -113,13 +113,20 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def map_column(df: DataFrame, key: str | list[str], column: str, make, fields: list[tuple[str, T.DataType]]) -> DataFrame:
     """The key columns and fields of every row. make() is called once a task and gives a function from a list of the
-    column's values (nulls as empty) to one Arrow array a field; it gets rows of about SLICE_BYTES at a time."""
+    column's values (nulls as empty) to one Arrow array a field; it gets rows of about SLICE_BYTES at a time. If the
+    function has a `release`, that is called when the task ends."""
     keys = [key] if isinstance(key, str) else key
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
     listed = isinstance(df.schema[column].dataType, T.ArrayType)
 
     def run(batches):
         work = make()
+        try:
+            yield from columns(batches, work)
+        finally:
+            getattr(work, "release", lambda: None)()
+
+    def columns(batches, work):
         for batch in batches:
             values = batch.column(len(keys))
             sizes = values.value_lengths() if listed else pa.compute.binary_length(values)

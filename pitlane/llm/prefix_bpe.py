@@ -184,6 +184,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
             ids, count = encode_texts(cache, bpe.classes, texts)
             return [pa.array(count), pa.ListArray.from_arrays(pa.array(bounds(count), pa.int32()), pa.array(ids.astype(np.int32)))]
 
+        work.release = _worker.cache_clear
         return work
 
     return map_column(docs, key, text, make, [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))])
@@ -249,6 +250,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             ids, count = encode_texts(cache, bpe.classes, texts)
             return decode(ids.astype(np.int64), count)
 
+        work.release = _worker.cache_clear  # a worker that goes on with other work holds no tables for this one
         return work
 
     return map_column(docs, key, text, make, DECODED)
