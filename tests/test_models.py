@@ -220,3 +220,19 @@ def test_batch_score_job_is_rerunnable(spark, run, sf_small, tmp_path):
     n1 = H.read_table(spark, hist, "classification_results").count()
     score_laps(spark, ctx_dir, lp, hist, "r1")  # rerun of the same run replaces its rows
     assert H.read_table(spark, hist, "classification_results").count() == n1 > 0
+
+
+def test_queries_train_with_the_jobs_own_depth(spark, sf_small, monkeypatch):
+    import inspect
+
+    from pitlane.plans import model_queries
+    from pitlane.plans.regression import MAX_DEPTH
+    from pitlane.plans.train_all import run_training
+
+    asked = []
+    monkeypatch.setattr(model_queries, "_RUNS", {})
+    monkeypatch.setattr(model_queries, "laps", lambda *_: None)
+    monkeypatch.setattr(model_queries, "run_training", lambda *a, **k: asked.append(inspect.signature(run_training).bind(*a, **k)) or "run")
+    assert model_queries.training_run(spark, sf_small) == "run"
+    asked[0].apply_defaults()
+    assert asked[0].arguments["forest_depth"] == MAX_DEPTH == 30
