@@ -11,7 +11,10 @@ are equal to that depth are exactly the repeated strings. The passes, from the f
    strings, which are sorted by their bytes, eight a pass, groups of one document falling out after each.
 
 A task first settles what its own rows decide: of a digit or a segment that many of its documents hold, one entry
-goes on. So a passage that a large share of the documents holds is as many entries as there are batches.
+goes on, and what is settled is dealt out by document. So a passage that a large share of the documents holds is as
+many entries as there are batches. At the passage's edges the documents go on differently, and their segments share a
+digit but not their bytes: the segments of a digit with more than HOT_DOCS documents are cut before they are dealt out,
+and each string goes to the range of its own hash, so that no range gets such a digit whole.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ TEXT_SLICE = 250_000
 BYTES_PER_PARTITION, RANGES = 16 << 20, 32
 #: Strings that are sorted at a time; a digit's strings stay together.
 STRINGS_PER_SORT = 100_000
+#: A digit that more documents hold is hot: its strings are dealt out one by one. Their number is that of all (document,
+#: digit) pairs divided by this at the very most.
+HOT_DOCS = 5_000
 SEVERAL = np.iinfo(np.int64).min  # in place of a document: several documents of a batch hold the digit
 
 
@@ -47,17 +53,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
 
 
+def _hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the `width` bytes from each position on."""
+    up, down = (p[:len(buf)] for p in _powers(1 << int(len(buf)).bit_length()))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    return mix64((total[width:] - total[:-width]) * down[:len(buf) - width + 1])
+
+
 def digits(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, digit) of every string of `length` bytes inside one of the texts, in order."""
     size = np.array([len(t) for t in texts], np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    room = 1 << int(len(buf)).bit_length()
-    up, down = (p[:len(buf)] for p in _powers(room))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    low = mix64((total[GRAM:] - total[:-GRAM]) * down[:len(buf) - GRAM + 1])
+    low = _hashes(buf, GRAM)
     width, have = length - GRAM + 1, 1
     while have < width:  # minima over windows that double, the last step as wide as is left
         step = min(have, width - have)
@@ -85,7 +95,8 @@ def _texts(batch: pa.RecordBatch, column: str):
 
 
 def _pass_digits(length: int, ranges: int):
-    """Documents' digits dealt to ranges: (range, settled, docs, digits); settled ones are known to be repeated."""
+    """Documents' digits dealt to ranges: (range, settled, docs, digits, counts). Settled ones are known to be repeated
+    and are dealt by document, others by digit; counts has the number of documents of each SEVERAL."""
 
     def dealt(docs: np.ndarray, digit: np.ndarray):
         order = np.lexsort((docs, digit))
@@ -96,8 +107,11 @@ def _pass_digits(length: int, ranges: int):
         held = np.diff(np.append(first, len(digit)))
         several = np.repeat(held > 1, held)
         # Of a digit that several documents here hold one entry goes on; the documents need no answer.
-        yield from _rows(np.where(held > 1, SEVERAL, docs[first]), digit[first], ranges, False)
-        yield from _rows(docs[several], digit[several], ranges, True)
+        yield from _rows(_range_of(digit[first], ranges), np.where(held > 1, SEVERAL, docs[first]), digit[first], held)
+        docs, digit = docs[several], digit[several]
+        to = _range_of(mix64(docs.view(np.uint64)), ranges)
+        order = np.argsort(to, kind="stable")
+        yield from _rows(to[order], docs[order], digit[order], None)
 
     def run(batches):
         docs, found, n = [], [], 0
@@ -118,48 +132,59 @@ def _pass_digits(length: int, ranges: int):
     return run
 
 
-def _rows(docs: np.ndarray, digit: np.ndarray, ranges: int, settled: bool):
-    """Record batches of docs and digits (in order of the digits) by range."""
+def _rows(to: np.ndarray, docs: np.ndarray, digit: np.ndarray, held: np.ndarray | None):
+    """Record batches of docs and digits by range (in order); held: documents of each digit, None if they are settled."""
     if not len(digit):
         return
-    to = _range_of(digit, ranges)
     first = _runs(to)
     edges = [*first.tolist(), len(to)]
+    parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
     yield pa.RecordBatch.from_pydict({
-        "range": pa.array(to[first]), "settled": pa.array([settled] * len(first)),
-        "docs": pa.array([docs[a:b].astype("<i8").tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-        "digits": pa.array([digit[a:b].astype("<u8").tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+        "range": pa.array(to[first]), "settled": pa.array([held is None] * len(first)),
+        "docs": pa.array([docs[x].astype("<i8").tobytes() for x in parts], pa.binary()),
+        "digits": pa.array([digit[x].astype("<u8").tobytes() for x in parts], pa.binary()),
+        "counts": pa.array([b"" if held is None else held[x][docs[x] == SEVERAL].astype("<i4").tobytes() for x in parts], pa.binary())})
 
 
 def _unpacked(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _repeated_digits(batches):
-    """(doc, digits): for each document the digits that other documents hold too, of all ranges of the task."""
-    all_docs, all_digits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for rows in groups(batches, ["range", "settled"]):
-        docs, digit = _unpacked(rows.column("docs"), "<i8"), _unpacked(rows.column("digits"), "<u8")
-        if not rows.column("settled")[0].as_py() and len(digit):
-            order = np.argsort(digit, kind="stable")
-            docs, digit = docs[order], digit[order]
-            first = _runs(digit)
-            held = np.diff(np.append(first, len(digit)))
-            low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
-            keep = np.repeat((low != high) | (low == SEVERAL), held) & (docs != SEVERAL)
-            docs, digit = docs[keep], digit[keep]
-        all_docs.append(docs)
-        all_digits.append(digit)
-    docs, digit = np.concatenate(all_docs), np.concatenate(all_digits)
-    order = np.lexsort((digit, docs))
-    docs, digit = docs[order], digit[order]
-    first = _runs(docs)
-    edges = [*first.tolist(), len(docs)]
-    for a in range(0, len(first), 10_000):
-        part = edges[a:a + 10_001]
-        yield pa.RecordBatch.from_pydict({
-            "doc": pa.array(docs[part[:-1]]),
-            "digits": pa.array([digit[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())})
+def _repeated_digits(hot_docs: int):
+    """(doc, digits): for each document the digits that other documents hold too, of all ranges of the task; without a
+    document, the digits that more than hot_docs hold."""
+
+    def run(batches):
+        all_docs, all_digits, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        for rows in groups(batches, ["range", "settled"]):
+            docs, digit = _unpacked(rows.column("docs"), "<i8"), _unpacked(rows.column("digits"), "<u8")
+            if not rows.column("settled")[0].as_py() and len(digit):
+                number = np.ones(len(docs), np.int64)
+                number[docs == SEVERAL] = _unpacked(rows.column("counts"), "<i4")
+                order = np.argsort(digit, kind="stable")
+                docs, digit, number = docs[order], digit[order], number[order]
+                first = _runs(digit)
+                held = np.diff(np.append(first, len(digit)))
+                hot.append(digit[first][np.add.reduceat(number, first) > hot_docs])
+                low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+                keep = np.repeat((low != high) | (low == SEVERAL), held) & (docs != SEVERAL)
+                docs, digit = docs[keep], digit[keep]
+            all_docs.append(docs)
+            all_digits.append(digit)
+        docs, digit = np.concatenate(all_docs), np.concatenate(all_digits)
+        order = np.lexsort((digit, docs))
+        docs, digit = docs[order], digit[order]
+        first = _runs(docs)
+        edges = [*first.tolist(), len(docs)]
+        for a in range(0, len(first), 10_000):
+            part = edges[a:a + 10_001]
+            yield pa.RecordBatch.from_pydict({
+                "doc": pa.array(docs[part[:-1]]),
+                "digits": pa.array([digit[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())})
+        if any(map(len, hot)):
+            yield pa.RecordBatch.from_pydict({"doc": pa.array([None], pa.int64()), "digits": pa.array([np.concatenate(hot).tobytes()], pa.binary())})
+
+    return run
 
 
 class _Strings:
@@ -182,15 +207,16 @@ SEGMENTS = T.StructType([
     T.StructField("mark", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("digit", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
 
 
-def _pass_segments(length: int, ranges: int):
+def _pass_segments(length: int, ranges: int, hot: np.ndarray):
     """The segments of repeated digits dealt to ranges. Rows with bytes are one segment each, of its smallest document
     here, with its starts there (runs: start, number of strings) and its digit's lower half; settled rows are strings
-    to remove."""
+    to remove. A string of a hot digit is a segment by itself, its digit the hash of all its bytes."""
 
     def dealt(held: dict[bytes, list]):  # bytes -> [digit, row, start, row, start, ...]
         settled = _Strings()
-        out = []
-        for raw, (digit, *found) in held.items():
+        out, apart = [], []
+        is_hot = np.isin(np.array([x[0] for x in held.values()], np.uint64), hot).tolist()
+        for (raw, (digit, *found)), cut in zip(held.items(), is_hot):
             rows, starts = found[::2], found[1::2]
             least = min(rows)[0]
             strings = len(raw) - length + 1
@@ -200,14 +226,35 @@ def _pass_segments(length: int, ranges: int):
                     settled.add(row, start, strings)
                 else:
                     kept.setdefault(row, []).extend((start, strings))
+            if cut:
+                apart.append((raw, digit, least, [(row, runs[::2]) for row, runs in kept.items()]))
+                continue
             for row, runs in kept.items():
                 out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, np.array(runs, "<i4").tobytes(), (digit & 0xFFFFFFFF) - (1 << 31), raw))
+        apart.sort(key=lambda x: x[1])
+        for a, b in slices([len(x[0]) - length + 1 for x in apart], STRINGS_PER_SORT):
+            out += single(apart[a:b], settled)
         # Settled rows go anywhere: they are only handed on.
         out += [(i % ranges, True, r["doc"], r["mark"], r["runs"], None, None) for i, r in enumerate(settled.rows())]
         for a in range(0, len(out), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a:a + 20_000]), (
                 pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], SEGMENTS.names)
 
+    def single(segments: list[tuple], settled: _Strings):
+        """A row for every string of the segments, but for those that a segment of a smaller document here holds too."""
+        size = np.array([len(x[0]) for x in segments], np.int64)
+        edge = bounds(size - length + 1)
+        left = np.ones(edge[-1], bool)
+        seg, inner = _settle_equal(segments, length, settled)
+        left[edge[seg] + inner] = False
+        own = _hashes(np.frombuffer(b"".join(x[0] for x in segments), np.uint8), length)[ragged_index(bounds(size)[:-1], size - length + 1)]
+        to, low = _range_of(own, ranges).tolist(), ((own & np.uint64(0xFFFFFFFF)).astype(np.int64) - (1 << 31)).tolist()
+        for i, (raw, _, _, rows) in enumerate(segments):
+            for k in (np.flatnonzero(left[edge[i]:edge[i + 1]])).tolist():
+                at = int(edge[i]) + k
+                for row, starts in rows:
+                    yield to[at], False, *row, np.array([x for s in starts for x in (s + k, 1)], "<i4").tobytes(), low[at], raw[k:k + length]
+
     def run(batches):
         held: dict[bytes, list] = {}
         for batch in batches:
@@ -262,6 +309,19 @@ def equal_strings(segments: list[bytes], digit: np.ndarray, docs: np.ndarray, le
     return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
+def _settle_equal(segments: list[tuple], length: int, out: _Strings) -> tuple[np.ndarray, np.ndarray]:
+    """equal_strings of segments (bytes, digit, document, [(row, starts)]), in order; their strings are added to out."""
+    seg, inner = equal_strings([x[0] for x in segments], np.array([x[1] & 0xFFFFFFFFFFFFFFFF for x in segments], np.uint64), np.array([x[2] for x in segments], np.int64), length)
+    by = np.lexsort((inner, seg))
+    seg, inner = seg[by], inner[by]
+    run = _runs(seg, inner - np.arange(len(inner)))
+    for f, n in zip(run.tolist(), np.diff(np.append(run, len(seg))).tolist()):
+        for row, starts in segments[seg[f]][3]:
+            for s in starts:
+                out.add(row, s + int(inner[f]), n)
+    return seg, inner
+
+
 def _repeated_strings(length: int):
     """(doc, mark, runs): the strings of each document that a smaller one holds too."""
 
@@ -286,15 +346,7 @@ def _repeated_strings(length: int):
         each = [int(sum(len(left[i][0]) - length + 1 for i in order[a:b])) for a, b in zip(first, [*first[1:], len(order)])]
         edges = [*first.tolist(), len(order)]
         for a, b in slices(each, STRINGS_PER_SORT):
-            mine = [left[i] for i in order[edges[a]:edges[b]]]
-            seg, inner = equal_strings([x[0] for x in mine], np.array([x[1] for x in mine], np.int64).view(np.uint64), np.array([x[2] for x in mine], np.int64), length)
-            by = np.lexsort((inner, seg))
-            seg, inner = seg[by], inner[by]
-            run = _runs(seg, inner - np.arange(len(inner)))
-            for f, n in zip(run.tolist(), np.diff(np.append(run, len(seg))).tolist()):
-                for row, starts in mine[seg[f]][3]:
-                    for s in starts:
-                        out.add(row, s + int(inner[f]), n)
+            _settle_equal([left[i] for i in order[edges[a]:edges[b]]], length, out)
 
     def run(batches):
         out = _Strings()  # of the whole task: one row a document
@@ -333,11 +385,12 @@ def repeated_runs(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     n = partitions_for(spark, text_bytes(docs, text), BYTES_PER_PARTITION)
     ranges = n * RANGES
     rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(_pass_digits(length, ranges), "range int, settled boolean, docs binary, digits binary")
-    found = (dealt.repartition(n, "range").sortWithinPartitions("range", "settled").mapInArrow(_repeated_digits, "doc long, digits binary"))
+    dealt = rows.mapInArrow(_pass_digits(length, ranges), "range int, settled boolean, docs binary, digits binary, counts binary")
+    found = (dealt.repartition(n, "range").sortWithinPartitions("range", "settled").mapInArrow(_repeated_digits(HOT_DOCS), "doc long, digits binary"))
     held = materialise(found.groupBy("doc").agg(F.collect_list("digits").alias("digits")), "digits")
+    hot = np.unique(np.frombuffer(b"".join(x for r in held.where("doc is null").collect() for x in r["digits"]), "<u8"))
     segments = (rows.join(held, "doc").select("doc", "text", F.xxhash64("text").alias("mark"), "digits")
-                .mapInArrow(_pass_segments(length, ranges), SEGMENTS))
+                .mapInArrow(_pass_segments(length, ranges, hot), SEGMENTS))
     strings = (segments.repartition(n, "range").sortWithinPartitions("range", "settled")
                .mapInArrow(_repeated_strings(length), "doc long, mark long, runs binary"))
     return materialise(strings.groupBy("doc", "mark").agg(F.collect_list("runs").alias("runs")), "strings")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import edge_docs, edge_rows, no_docs, prose
 
@@ -72,3 +74,40 @@ def test_kept_text_and_length(spark):
     assert out[1]["removed"] == [] and out[2]["removed"] == [1, 111]
     with pytest.raises(ValueError):
         repeats.repeated_runs(docs, 10)
+
+
+def hot_rows():
+    """A passage in most documents, which go on differently at both of its edges."""
+    passage = prose(4000, 30)
+    return [(i * 7 % 401, prose(i, 6) + " " + passage + " " + prose(2000 + i, 6)) for i in range(400)]
+
+
+def test_hot_passages(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_DOCS", 20)
+    monkeypatch.setattr(repeats, "STRINGS_PER_SORT", 300)
+    rows = hot_rows() + [(500, "ab" * 80), (501, "ab" * 40), (3, hot_rows()[9][1]), (502, hot_rows()[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(repeats.report(docs).collect()) == ordered(brute(rows))
+
+
+def test_hot_passages_are_dealt_over_ranges():
+    ranges, rows = 16, hot_rows()
+    ids, texts = pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])
+    load = dict.fromkeys(range(ranges), 0)
+    dealt = [b for b in repeats._pass_digits(50, ranges)([pa.RecordBatch.from_arrays([ids, texts], ["doc", "text"])])]
+    for r in (r for b in dealt for r in b.to_pylist() if r["settled"]):
+        load[r["range"]] += len(r["docs"]) // 8
+    assert max(load.values()) < 3 * sum(load.values()) / ranges
+
+    found = [r for b in repeats._repeated_digits(1)(sorted(dealt_rows(dealt), key=lambda b: (b["range"][0].as_py(), b["settled"][0].as_py()))) for r in b.to_pylist()]
+    hot = np.frombuffer(b"".join(r["digits"] for r in found if r["doc"] is None), "<u8")
+    mine = {r["doc"]: r["digits"] for r in found if r["doc"] is not None}
+    part = pa.RecordBatch.from_arrays([ids, texts, pa.array(range(len(rows)), pa.int64()), pa.array([[mine[d]] for d, _ in rows], pa.list_(pa.binary()))], ["doc", "text", "mark", "digits"])
+    load = dict.fromkeys(range(ranges), 0)
+    for r in (r for b in repeats._pass_segments(50, ranges, hot)([part]) for r in b.to_pylist() if not r["settled"]):
+        load[r["range"]] += len(r["bytes"]) - 49
+    assert len(hot) and max(load.values()) < 3 * sum(load.values()) / ranges
+
+
+def dealt_rows(batches):
+    return [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
