@@ -28,12 +28,15 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising adbox banne
 consent cookie cookies copyright discussion disqus footer form gdpr header legal login masthead menu menubar modal nav navbar
 navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply respond search
 share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets""".split())
+#: Those of MARKS that also go where they are prose inside an article: the readers' words.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 #: A start tag in the first set ends an open element of the second (up to an element that holds blocks).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("article aside body blockquote div dl fieldset figure footer form header html main nav ol section table td th tr ul".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 CONTAINERS = frozenset("html article main section div body td blockquote center".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+ALL_HEADINGS = HEADINGS | {"h4", "h5", "h6"}
 
 
 class Page(HTMLParser):
@@ -98,23 +101,14 @@ class Page(HTMLParser):
                 return
 
 
-def marked(label: str) -> bool:
+def marked(label: str, marks: frozenset[str] = MARKS) -> bool:
     """Whether a class or id names furniture, taken word by word (siteNav, ad-box and cookie_notice alike)."""
-    return any(w in MARKS for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", label).lower()))
+    return any(w in marks for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", label).lower()))
 
 
-def main_text(html: str) -> str:
-    """The main text of a page; empty if it has none."""
-    page = Page(html)
+def _sums(page: Page, dropped: list[bool], linked: list[bool]) -> tuple[list[int], ...]:
+    """Text and link characters below every element, text of its own, commas and anchors below."""
     n = len(page.tag)
-    dropped, linked, in_article = [False] * n, [False] * n, [False] * n
-    for i in range(1, n):
-        up, tag = page.parent[i], page.tag[i]
-        article = in_article[up] or tag in ("article", "main")
-        furniture = tag in NO_TEXT or tag in FURNITURE or page.hidden[i] or (
-            tag not in ("html", "body", "main") and page.label[i] != " " and marked(page.label[i])) or (tag == "header" and not in_article[up])
-        dropped[i], linked[i], in_article[i] = dropped[up] or furniture, linked[up] or tag == "a", article
-    # Text and link characters below every element; text of its own.
     below, links, own, commas = [0] * n, [0] * n, [0] * n, [0] * n
     anchors = [int(t == "a") for t in page.tag]
     for i, text, _ in page.texts:
@@ -126,6 +120,32 @@ def main_text(html: str) -> str:
     for i in range(n - 1, 0, -1):
         for sums in (below, links, commas, anchors):
             sums[page.parent[i]] += sums[i]
+    return below, links, own, commas, anchors
+
+
+def main_text(html: str) -> str:
+    """The main text of a page; empty if it has none."""
+    page = Page(html)
+    n = len(page.tag)
+    dropped, linked, in_article, doubtful = [False] * n, [False] * n, [False] * n, []
+    for i in range(1, n):
+        up, tag = page.parent[i], page.tag[i]
+        article = in_article[up] or tag in ("article", "main")
+        named = tag not in ("html", "body", "main") and page.label[i] != " " and marked(page.label[i])
+        if named and in_article[up] and (tag in ALL_HEADINGS or not marked(page.label[i], COMMENTS)):
+            named = False
+            if tag not in ALL_HEADINGS:
+                doubtful.append(i)
+        furniture = tag in NO_TEXT or tag in FURNITURE or page.hidden[i] or named or (tag == "header" and not in_article[up])
+        dropped[i], linked[i], in_article[i] = dropped[up] or furniture, linked[up] or tag == "a", article
+    below, links, own, commas, anchors = _sums(page, dropped, linked)
+    # Inside an article a name alone says little: what has it goes if it is short or mostly links too.
+    if doubtful:
+        for i in doubtful:
+            dropped[i] = dropped[i] or not (below[i] > 80 and links[i] < 0.25 * below[i])
+        for i in range(1, n):
+            dropped[i] = dropped[i] or dropped[page.parent[i]]
+        below, links, own, commas, anchors = _sums(page, dropped, linked)
     # Lists and boxes that are nearly all links are menus, whatever they are called.
     for i in range(1, n):
         menu = page.tag[i] in ("ul", "ol", "div", "table", "section", "p") and anchors[i] >= 3 and links[i] > 0.66 * below[i]
@@ -152,13 +172,15 @@ def main_text(html: str) -> str:
     inside = best
     while inside > 0 and page.tag[inside] not in ("article", "main"):
         inside = page.parent[inside]
-    kept = {inside if inside > 0 else best}
-    if inside <= 0:
-        for i in range(1, n):
-            if page.parent[i] == page.parent[best] and not dropped[i] and below[i]:
-                long = below[i] > 80 and density[i] < 0.25 or not links[i]
-                if points[i] * (1 - density[i]) >= max(1.0, 0.2 * most) or page.tag[i] in PARAGRAPHS and long or page.tag[i] in HEADINGS and not links[i]:
-                    kept.add(i)
+    # An article's siblings are held against its points without the bonus, which they may not have.
+    root = inside if inside > 0 else best
+    most = points[root] * (1 - density[root]) if inside > 0 else most
+    kept = {root}
+    for i in range(1, n):
+        if page.parent[i] == page.parent[root] and not dropped[i] and below[i]:
+            long = below[i] > 80 and density[i] < 0.25 or not links[i]
+            if points[i] * (1 - density[i]) >= max(1.0, 0.2 * most) or page.tag[i] in PARAGRAPHS and long or page.tag[i] in HEADINGS and not links[i]:
+                kept.add(i)
     chosen = [False] * n
     for i in range(n):
         chosen[i] = i in kept or i > 0 and chosen[page.parent[i]]

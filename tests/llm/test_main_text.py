@@ -35,3 +35,13 @@ def test_table(spark):
         (r[0] or 0, r[1] or "", len(P1) if r[2] and len(r[2]) < 500 else len(P1) * 2000 if r[2] else 0) for r in rows)
     assert all(len(r["text"]) == r["n_chars"] for r in out)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_siblings_and_names_in_articles():
+    a, b = (f"{w} one text, with commas, that goes on for as long as a paragraph does, and then some more of it." for w in ("The", "Another"))
+    for html in (f"<body><article><p>{a}</p></article><article><p>{b}</p></article></body>",
+                 f"<main><article><p>{a}</p></article><section><p>{b}</p></section></main>",
+                 f"<article><p>{a}</p><div class='legal notice'><p>{b}</p></div><div class='share'><a href='#'>Share</a></div></article>"):
+        assert main_text(html) == f"{a}\n{b}"
+    assert main_text(f"<article><h2 id='search'>Search</h2><p>{a}</p><h5 class='legal'>Law</h5><p>{b}</p></article>") == f"Search\n{a}\nLaw\n{b}"
+    assert main_text(f"<body><article><p>{a}</p></article><div><a href='#'>x</a> <a href='#'>y</a></div></body>") == a
