@@ -34,21 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared checkpoint folder and read it back: lineage is cut, lost executors
-    cost nothing before this point, and the shuffle files of the job that wrote it are dropped at once."""
+    cost nothing before this point, and the shuffle files of the job that wrote it are dropped at once. batch_rows
+    limits the rows that Python workers get at a time, for rows of large binaries."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {key: spark.conf.get(key, None) for key in conf}
     try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
         df.write.mode("overwrite").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
