@@ -3,10 +3,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -19,10 +17,11 @@ from pitlane.functions.numeric import round_even
 from pitlane.operators.dims import materialize
 from pitlane.operators.evaluate import silhouette
 from pitlane.operators.sampling import hash_sample
+from pitlane.plans.lloyd import best_of, drawn, fit_all
 from pitlane.plans.models import Standardizer
 
-#: Iterations after which a fit on all rows stops if its centres still move.
-FULL_ITERATIONS = 300
+#: Passes after which a fit stops if its centres still move.
+MAX_ITERATIONS = 300
 
 
 def cluster_profiles(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -48,26 +47,6 @@ def cluster_frame(prepared: DataFrame) -> DataFrame:
     return prepared.na.drop(subset=S.CLUSTER_FEATURES + ["compound_encoded"])
 
 
-def _fit_one(data: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
-                initMode="k-means||")
-    return km.fit(data)
-
-
-def _fit_many(data: DataFrame, ks: list[int], n_init: int, seed: int, max_iter: int,
-              parallelism: int = 8) -> dict[int, KMeansModel]:
-    """ML05 for several k: every (k, start) fit is its own Spark job; jobs run concurrently
-    (like a parameter search), and per k the start with the lowest training cost wins."""
-    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(lambda t: (t[0], _fit_one(data, t[0], t[1], max_iter)), tasks))
-    best: dict[int, KMeansModel] = {}
-    for k, m in fitted:  # in task order, so a cost tie keeps the earlier start
-        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = m
-    return best
-
-
 @dataclass
 class Centroids:
     """A fitted k-means model as plain centres; assignment is a column expression (argmin of squared
@@ -118,28 +97,27 @@ def assign(model, mapping: dict[int, int], scaled: DataFrame) -> DataFrame:
 
 
 def kmeans_sweep(scaled: DataFrame, k_range=C.KMEANS_K_RANGE, sample_size: int = C.KMEANS_SWEEP_SAMPLE,
-                 n_init: int = 10, seed: int = 42, max_iter: int = 20):
+                 n_init: int = 10, seed: int = 42, max_iter: int = MAX_ITERATIONS):
     """ML06: per k, the best-of-n fit on a hash sample; inertia (E06) and Euclidean silhouette.
 
-    The sample is bounded (sample_size rows), so it is kept in two partitions:
-    the fits are then dominated by per-iteration scheduling, which the
-    concurrent fits of _fit_many amortise. The silhouette distances are computed
-    once for all k (seven labelings at once).
+    All fits share their passes over the bounded sample (few partitions: a pass is
+    dominated by its job), and the silhouette distances are computed once for all k
+    (seven labelings at once). The third value are all fits, which go on on all rows.
     """
-    sample = materialize(hash_sample(scaled, sample_size).coalesce(2))
-    inertias, labelled = {}, sample
-    models = _fit_many(sample, list(k_range), n_init, seed, max_iter)
+    sample = materialize(hash_sample(scaled, sample_size).coalesce(4))
+    every = fit_all(sample, drawn(sample, list(k_range), n_init, seed), max_iter)
+    fits = best_of(every)
+    models = {k: Centroids(fits[k].centres.tolist()).sorted() for k in k_range}
+    inertias, labelled = {k: fits[k].cost for k in k_range}, sample
     for k in k_range:
-        m = models[k]
-        inertias[k] = float(m.summary.trainingCost)
-        labelled = m.transform(labelled).withColumnRenamed("cluster", f"k{k}")
+        labelled = models[k].transform(labelled, out=f"k{k}")
     arr = labelled.withColumn("_v", vector_to_array("features"))
-    d = len(arr.select("_v").first()["_v"])
+    d = len(models[k_range[0]].centres[0])
     pts = arr.select("row_key", *[F.col("_v")[i].alias(f"x{i}") for i in range(d)], *[f"k{k}" for k in k_range])
     sil_row = silhouette(pts, [f"x{i}" for i in range(d)], [f"k{k}" for k in k_range],
                          max_points=sample_size).first()
     silhouettes = {k: round(float(sil_row[f"k{k}"]), 4) for k in k_range}
-    return silhouettes, inertias, models
+    return silhouettes, inertias, every
 
 
 def choose_k(silhouettes: dict[int, float]) -> int:
@@ -148,15 +126,15 @@ def choose_k(silhouettes: dict[int, float]) -> int:
 
 
 def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample_size: int = C.KMEANS_SWEEP_SAMPLE,
-                   k_range=C.KMEANS_K_RANGE, max_iter: int = 20, with_pca: bool = True) -> ClusterResult:
+                   k_range=C.KMEANS_K_RANGE, max_iter: int = MAX_ITERATIONS, with_pca: bool = True) -> ClusterResult:
     data = cluster_frame(prepared)
     scaler = Standardizer.fit(data, S.CLUSTER_FEATURES)
     scaled = materialize(scaler.transform(data))
-    sil, inert, sample_models = kmeans_sweep(scaled, k_range, sample_size, n_init, seed, max_iter)
+    sil, inert, every = kmeans_sweep(scaled, k_range, sample_size, n_init, seed, max_iter)
     k = choose_k(sil)
-    # ML05: every start is fitted on all rows, to convergence, and the one with the lowest cost over them is kept.
-    best = _fit_many(scaled, [k], n_init, seed, FULL_ITERATIONS)[k]
-    model = Centroids([[float(x) for x in c] for c in best.clusterCenters()]).sorted()
+    # ML05: every start goes on from where the sample took it, on all rows, to convergence; the lowest cost over them is kept.
+    best = best_of(fit_all(scaled, [f for f in every if f.k == k], max_iter))[k]
+    model = Centroids(best.centres.tolist()).sorted()
     mapping = {i: i for i in range(k)}
     assigned = assign(model, mapping, scaled)
     profiles = cluster_profiles(assigned)
@@ -171,7 +149,7 @@ def train_clusters(prepared: DataFrame, n_init: int = 10, seed: int = 42, sample
         "cluster_profiles": {str(c): {kk: vv for kk, vv in p.items() if kk != "cluster"} for c, p in prof_rows.items()},
         "cluster_labels": {str(c): lab for c, lab in label_rows.items()},
         "n_total": int(sum(p["count"] for p in prof_rows.values())),
-        "inertia_full": model.cost(scaled), "centres": model.centres,
+        "inertia_full": best.cost, "centres": model.centres,
     }
     return ClusterResult(scaler, model, mapping, k, sil, inert, assigned, profiles, labels, pca, metrics)
 

@@ -68,7 +68,7 @@ def document_rows(spark: SparkSession, docs: dict[str, dict], run_id: str) -> Da
             for k, v in value.items():
                 walk(model, v, f"{name}.{k}" if name else str(k))
         elif isinstance(value, (int, float)) and not isinstance(value, bool):
-            kind = "param" if name.split(".")[0] in ("n_total", "n_train", "n_test", "n_removed", "max_depth", "optimal_k", "forest", "rbf_approximation") else "metric"
+            kind = "param" if name.split(".")[0] in ("n_total", "n_train", "n_test", "n_removed", "max_depth", "optimal_k", "forest", "rbf") else "metric"
             rows.append((run_id, model, kind, name, float(value)))
 
     for model, doc in docs.items():

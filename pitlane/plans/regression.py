@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import (LinearRegression, LinearRegressionModel, RandomForestRegressionModel,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlane import constants as C
 from pitlane import schemas as S
+from pitlane.operators.dims import materialize
 from pitlane.operators.evaluate import regression_metrics_of
 from pitlane.operators.sampling import mark_split
+from pitlane.plans.forest import Forest, fit_forest
 from pitlane.plans.models import Standardizer
 
 
@@ -23,41 +25,44 @@ def regression_matrix(prepared: DataFrame) -> DataFrame:
 @dataclass
 class RegressionResult:
     scaler: Standardizer
-    linear: LinearRegressionModel
-    forest: RandomForestRegressionModel
+    linear: LinearRegressionModel | None
+    forest: Forest | None
     test_scored: DataFrame
     metrics: dict = field(default_factory=dict)
 
 
-#: MLlib's largest tree depth: trees grow until their leaves are pure or single, as far as that lets them.
-MAX_DEPTH = 30
-
-
-def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int = MAX_DEPTH, seed: int = 42,
-                     max_bins: int = 64) -> RegressionResult:
-    """ML02 + ML03 on an 80/20 hash split; E01 for both; the best model is chosen by R^2."""
-    marked = mark_split(regression_matrix(prepared))
+def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int | None = None, seed: int = 42,
+                     models: tuple[str, ...] = ("linear", "forest")) -> RegressionResult:
+    """ML02 + ML03 on an 80/20 hash split; E01 for the models asked for; the best is chosen by R^2 (E07). The forest's trees
+    grow until their leaves are pure, unless max_depth is given."""
+    marked = materialize(mark_split(regression_matrix(prepared)))
     counts = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_test").cast("int")).alias("n_test")).first()
     train, test = marked.filter(~F.col("is_test")), marked.filter(F.col("is_test"))
     scaler = Standardizer.fit(train, S.REGRESSION_FEATURES)
-    tr, te = scaler.transform(train), scaler.transform(test)
-    lr = LinearRegression(featuresCol="features", labelCol=S.REGRESSION_TARGET, predictionCol="pred_lr",
-                          regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False).fit(tr)
-    rf = RandomForestRegressor(featuresCol="features", labelCol=S.REGRESSION_TARGET, predictionCol="pred_rf",
-                               numTrees=num_trees, maxDepth=max_depth, maxBins=max_bins,
-                               featureSubsetStrategy="all", bootstrap=True, subsamplingRate=1.0, seed=seed,
-                               maxMemoryInMB=1024).fit(tr)
-    scored = rf.transform(lr.transform(te)).drop("features")
-    m = regression_metrics_of(scored, S.REGRESSION_TARGET, {"linear_regression": "pred_lr", "random_forest": "pred_rf"}).first()
-    comp = {name: {k: round(m[f"{name}_{k}"], 4) for k in ("mae", "mse", "r2")} for name in ("linear_regression", "random_forest")}
-    best = "Random Forest" if comp["random_forest"]["r2"] >= comp["linear_regression"]["r2"] else "Linear Regression"
-    best_key = "random_forest" if best == "Random Forest" else "linear_regression"
+    lr = rf = None
+    scored = test
+    if "linear" in models:
+        lr = LinearRegression(featuresCol="features", labelCol=S.REGRESSION_TARGET, predictionCol="pred_lr",
+                              regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False).fit(scaler.transform(train))
+        scored = lr.transform(scaler.transform(scored)).drop("features")
+    if "forest" in models:
+        columns = list(scaler.columns().values())
+        rf = fit_forest(train, S.REGRESSION_FEATURES, columns, S.REGRESSION_TARGET, num_trees, max_depth, seed)
+        scored = materialize(rf.predict(scored, columns, "pred_rf"))
+    preds = {"linear_regression": ("pred_lr", lr), "random_forest": ("pred_rf", rf)}
+    fitted = {name: col for name, (col, model) in preds.items() if model is not None}
+    m = regression_metrics_of(scored, S.REGRESSION_TARGET, fitted).first()
+    comp = {name: {k: round(m[f"{name}_{k}"], 4) for k in ("mae", "mse", "r2")} for name in fitted}
+    best_key = max(reversed(comp), key=lambda name: comp[name]["r2"])
+    best = {"random_forest": "Random Forest", "linear_regression": "Linear Regression"}[best_key]
     metrics = {
         "best_model": best, "algorithm": best, "comparison": comp,
         "target": S.REGRESSION_TARGET, "features": S.REGRESSION_FEATURES,
         "n_total": int(counts["n"]), "n_train": int(counts["n"] - counts["n_test"]), "n_test": int(counts["n_test"]),
         **comp[best_key],
-        "ers_risk_range": {"min": 0, "max": 10}, "superclipping_duration_range": {"min_s": 1.0, "max_s": 8.0},
-        "forest": {"num_trees": num_trees, "max_depth": max_depth, "depth_reached": max(t.depth for t in rf.trees)},
+        "ers_risk_range": {"min": 0, "max": C.RISK_SCALE_MAX},
+        "superclipping_duration_range": {"min_s": C.DURATION_BASE, "max_s": C.DURATION_BASE + C.DURATION_SPAN},
     }
+    if rf is not None:
+        metrics["forest"] = {"num_trees": num_trees, "max_depth": max_depth, "depth_reached": rf.depth, "n_nodes": rf.n_nodes}
     return RegressionResult(scaler, lr, rf, scored, metrics)

@@ -1,21 +1,18 @@
 """Critical-event detection: linear and RBF support vector machines with balanced classes (ML08-ML11, F19, T06, T11).
 
-MLlib has no kernel SVM. The RBF kernel is approximated with random Fourier
-features (Rahimi & Recht, 2007): z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2*gamma),
-b ~ U(0, 2*pi). The features are plain column expressions (whole-stage codegen),
-then a weighted LinearSVC is fitted on them. Training cost is linear in rows,
-so the 15,000-row cap of a quadratic solver is optional here.
+The linear machine is solved in the primal, the RBF machine in the dual by a cascade of solvers over the capped training
+rows (plans/margins.py). Without a cap the RBF kernel is approximated with random Fourier features (Rahimi & Recht, 2007):
+z(x) = sqrt(2/D) cos(Wx + b), W ~ N(0, 2*gamma), b ~ U(0, 2*pi), plain column expressions on which a linear machine is
+fitted at a cost linear in the rows.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +22,7 @@ from pitlane.functions.risk import critical_event
 from pitlane.operators.dims import materialize
 from pitlane.operators.evaluate import classification_report, confusion_matrix
 from pitlane.operators.sampling import hash_rank, mark_stratified, stratified_cap
+from pitlane.plans.margins import Platt, SupportVectors, fit_cascade, fit_newton, fit_platt
 from pitlane.plans.models import Standardizer, with_class_weight
 
 CALIBRATION_SEED = 777
@@ -53,46 +51,49 @@ class FourierMap:
         b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
         return cls(w.tolist(), b.tolist())
 
-    def columns(self, inputs: list[str]) -> list[Column]:
+    def columns(self, inputs: list) -> list[Column]:
         scale = math.sqrt(2.0 / len(self.b))
         out = []
         for k, (wk, bk) in enumerate(zip(self.w, self.b)):
             lin = F.lit(bk)
             for c, wkj in zip(inputs, wk):
-                lin = lin + F.col(c) * F.lit(wkj)
+                lin = lin + (F.col(c) if isinstance(c, str) else c) * F.lit(wkj)
             out.append((F.cos(lin) * F.lit(scale)).alias(f"rff_{k}"))
         return out
 
 
+def linear_margin(inputs: list[Column], beta: list[float]) -> Column:
+    out = F.lit(float(beta[-1]))
+    for x, w in zip(inputs, beta):
+        out = out + x * F.lit(float(w))
+    return out
+
+
 @dataclass
 class SvmModel:
+    """A fitted machine: weights and intercept on the features (or their Fourier features), or support vectors."""
+
     kernel: str
     scaler: Standardizer
-    svc: LinearSVCModel
-    platt: LogisticRegressionModel | None
+    weights: list[float] | None = None
+    vectors: SupportVectors | None = None
+    platt: Platt | None = None
     rff: FourierMap | None = None
 
-    def features(self, df: DataFrame) -> DataFrame:
-        z = df.withColumns(self.scaler.columns())
-        zc = [f"z_{c}" for c in self.scaler.features]
-        if self.rff is None:
-            return VectorAssembler(inputCols=zc, outputCol="features").transform(z).drop(*zc)
-        r = z.select("*", *self.rff.columns(zc))
-        rc = [f"rff_{k}" for k in range(len(self.rff.b))]
-        return VectorAssembler(inputCols=rc, outputCol="features").transform(r).drop(*zc, *rc)
+    def inputs(self) -> list[Column]:
+        z = list(self.scaler.columns().values())
+        return z if self.rff is None else self.rff.columns(z)
+
+    def margin(self) -> Column:
+        if self.vectors is not None:
+            return self.vectors.column(F.array(*self.inputs()))
+        return linear_margin(self.inputs(), self.weights)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """ML14 core: 0/1 prediction and the Platt probability of class 1 (independent fields)."""
-        out = self.svc.transform(self.features(df))
-        out = out.withColumn("margin", vector_to_array("rawPrediction")[1])
-        if self.platt is not None:
-            mv = VectorAssembler(inputCols=["margin"], outputCol="_mv").transform(out)
-            out = (self.platt.transform(mv)
-                   .withColumn("probability_critical", vector_to_array("_lr_prob")[1])
-                   .drop("_mv", "_lr_raw", "_lr_prob", "_lr_pred", "rawPrediction"))
-        else:
-            out = out.drop("rawPrediction").withColumn("probability_critical", F.lit(None).cast("double"))
-        return out.withColumn("prediction", F.col("prediction").cast("int")).drop("features")
+        out = df.withColumn("margin", self.margin())
+        prob = self.platt.column(F.col("margin")) if self.platt is not None else F.lit(None).cast("double")
+        return out.withColumns({"prediction": (F.col("margin") > 0).cast("int"), "probability_critical": prob})
 
 
 @dataclass
@@ -104,36 +105,28 @@ class SafetyResult:
     test_by_kernel: dict = field(default_factory=dict)
 
 
-def _fit_kernel(kernel: str, train: DataFrame, scaler: Standardizer, weight_sum: float, c: float,
-                rff: FourierMap | None, max_iter: int) -> SvmModel:
-    """The SVM of all training rows; its probabilities (ML11: Platt scaling, a logistic regression on the margin) are
-    fitted on margins of rows that the SVM giving them has not seen: those of CALIBRATION_FOLDS fits that each
-    leave one hash fold out."""
-    shell = SvmModel(kernel, scaler, None, None, rff)  # type: ignore[arg-type]
-    rows = materialize(shell.features(train).select("features", S.SAFETY_TARGET, "weight", (
-        hash_rank("row_key", CALIBRATION_SEED) % CALIBRATION_FOLDS).alias("fold")))
-
-    def fit(part: DataFrame, weights: float) -> LinearSVCModel:
-        return LinearSVC(featuresCol="features", labelCol=S.SAFETY_TARGET, weightCol="weight",
-                         regParam=1.0 / (c * max(weights, 1.0)), maxIter=max_iter, standardization=False).fit(part)
-
-    shell.svc = fit(rows, weight_sum)
-    per_fold = {r["fold"]: (r["w"], r["k"]) for r in rows.groupBy("fold").agg(
-        F.sum("weight").alias("w"), F.countDistinct(S.SAFETY_TARGET).alias("k")).collect()}
-    margins = None
-    for fold, (w, _) in per_fold.items():
-        rest = rows.filter(F.col("fold") != fold)
-        if rest.agg(F.countDistinct(S.SAFETY_TARGET)).first()[0] < 2:
-            continue  # too few rows for a fit without this fold
-        out = fit(rest, weight_sum - w).transform(rows.filter(F.col("fold") == fold)).select(
-            S.SAFETY_TARGET, vector_to_array("rawPrediction")[1].alias("margin"))
-        margins = out if margins is None else margins.unionByName(out)
-    if margins is not None:
-        mv = VectorAssembler(inputCols=["margin"], outputCol="_mv").transform(margins)
-        shell.platt = LogisticRegression(featuresCol="_mv", labelCol=S.SAFETY_TARGET, maxIter=100,
-                                         rawPredictionCol="_lr_raw", probabilityCol="_lr_prob",
-                                         predictionCol="_lr_pred").fit(mv)
-    return shell
+def _fit_kernel(kernel: str, train: DataFrame, scaler: Standardizer, c: float, rff: FourierMap | None) -> SvmModel:
+    """The machine of all training rows; its probabilities (ML11: Platt scaling, a logistic regression on the margin) are
+    fitted on margins of rows that the machine giving them has not seen: those of CALIBRATION_FOLDS fits that each
+    leave one hash fold out. All these fits share their passes over the rows."""
+    model = SvmModel(kernel, scaler, rff=rff)
+    fold = (hash_rank("row_key", CALIBRATION_SEED) % CALIBRATION_FOLDS).cast("int")
+    rows = materialize(train.select(F.array(*model.inputs()).alias("x"), (F.col(S.SAFETY_TARGET) * 2 - 1).cast("double").alias("y"),
+                                    F.col("weight").cast("double").alias("weight"), fold.alias("fold")))
+    seen = {(r["fold"], r["y"]) for r in rows.select("fold", "y").distinct().collect()}  # classes by folds
+    folds = sorted({f for f, _ in seen if len({y for g, y in seen if g != f}) == 2})  # rest has both classes
+    if kernel == "rbf" and rff is None:
+        fitted = fit_cascade(rows, folds, 1.0 / len(scaler.features), c)
+        model.vectors = fitted[-1]
+        margins = {f: fitted[f].column(F.col("x")) for f in folds}
+    else:
+        fitted = fit_newton(rows, len(rff.b) if rff is not None else len(scaler.features), folds, c)
+        model.weights = fitted[-1].tolist()
+        margins = {f: linear_margin([F.col("x")[j] for j in range(len(fitted[f]) - 1)], fitted[f].tolist()) for f in folds}
+    if folds:
+        held_out = [rows.where(F.col("fold") == f).select(m.alias("margin"), (F.col("y") > 0).cast("int").alias("label")) for f, m in margins.items()]
+        model.platt = fit_platt(materialize(reduce(DataFrame.unionByName, held_out)))
+    return model
 
 
 def pick_kernel(recalls: list[tuple[str, float]]) -> str:
@@ -146,23 +139,23 @@ def pick_kernel(recalls: list[tuple[str, float]]) -> str:
 
 
 def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float = 1.0, n_components: int = 64,
-                 seed: int = 42, max_iter: int = 100) -> SafetyResult:
-    """ML08-ML11: both kernels, recall on the test split, the later kernel wins a recall tie."""
+                 seed: int = 42) -> SafetyResult:
+    """ML08-ML11: both kernels, recall on the test split, the later kernel wins a recall tie (T11). Without a cap the RBF
+    machine is fitted on n_components Fourier features of all rows."""
     data = with_event_label(scored).na.drop(subset=S.SAFETY_FEATURES + [S.SAFETY_TARGET])
-    marked = mark_stratified(data, S.SAFETY_TARGET)
+    marked = materialize(mark_stratified(data, S.SAFETY_TARGET).select(*S.SAFETY_FEATURES, S.SAFETY_TARGET, "row_key", "is_test"))
     train = marked.filter(~F.col("is_test"))
     test = marked.filter(F.col("is_test"))
     if cap is not None:
         train = stratified_cap(train, S.SAFETY_TARGET, cap)
-    train = with_class_weight(train, S.SAFETY_TARGET)
-    fitted = train.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
-    n_train, weight_sum = fitted["n"], float(fitted["w"] or 0.0)
+    train = materialize(with_class_weight(train, S.SAFETY_TARGET))
+    n_train = train.count()
     scaler = Standardizer.fit(train, S.SAFETY_FEATURES)
-    rff = FourierMap.draw(len(S.SAFETY_FEATURES), n_components, seed=seed)
+    rff = FourierMap.draw(len(S.SAFETY_FEATURES), n_components, seed=seed) if cap is None else None
     results, models, preds, recalls = {}, {}, {}, []
     for kernel in ("linear", "rbf"):
-        m = _fit_kernel(kernel, train, scaler, weight_sum, c, rff if kernel == "rbf" else None, max_iter)
-        pred = m.predict(test)
+        m = _fit_kernel(kernel, train, scaler, c, rff if kernel == "rbf" else None)
+        pred = materialize(m.predict(test))
         rep = {r["label"]: r.asDict() for r in classification_report(pred, S.SAFETY_TARGET, "prediction").collect()}
         grid = [r.asDict() for r in confusion_matrix(pred, S.SAFETY_TARGET, "prediction").collect()]
         pos = rep.get("1", {"precision": 0.0, "recall": 0.0, "f1": 0.0})
@@ -182,6 +175,7 @@ def train_safety(scored: DataFrame, cap: int | None = C.SVM_MAX_TRAIN, c: float
         "class_balance": {"critical_pct": round(100.0 * bal["pos"] / bal["n"], 2) if bal["n"] else 0.0,
                           "n_critical": int(bal["pos"] or 0), "n_normal": int(bal["n"] - (bal["pos"] or 0))},
         "n_total": int(bal["n"]), "n_train": int(n_train), "n_test": int(bal["n_test"]),
-        "rbf_approximation": {"components": n_components, "gamma": 1.0 / len(S.SAFETY_FEATURES)},
+        "rbf": {"gamma": 1.0 / len(S.SAFETY_FEATURES), "fourier_components": n_components if rff is not None else None,
+                "support_vectors": len(models["rbf"].vectors.coef) if models["rbf"].vectors is not None else None},
     }
     return SafetyResult(models[best_name], models, metrics, best_scored, preds)

@@ -23,7 +23,7 @@ from pitlane import constants as C
 from pitlane.operators import clean as CL
 from pitlane.operators import dashboards as DB
 from pitlane.plans.clusters import ClusterResult, train_clusters
-from pitlane.plans.regression import MAX_DEPTH, RegressionResult, train_regression
+from pitlane.plans.regression import RegressionResult, train_regression
 from pitlane.plans.safety import SafetyResult, train_safety
 from pitlane.plans.scoring import ScoringContext
 from pitlane.plans.tree import TreeResult, train_tree
@@ -50,28 +50,35 @@ def materialize_prepared(laps: DataFrame, run_id: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int = 100, forest_depth: int = MAX_DEPTH,
-                 kmeans_starts: int = 10, svm_cap: int | None = C.SVM_MAX_TRAIN, svm_iterations: int = 100, which=("regression", "tree",
-                 "clusters", "safety")) -> TrainingRun:
+def run_training(laps: DataFrame, run_id: str | None = None, forest_trees: int = 100, forest_depth: int | None = None,
+                 kmeans_starts: int = 10, svm_cap: int | None = C.SVM_MAX_TRAIN, which=("linear", "forest", "tree", "clusters", "safety"),
+                 prepared: DataFrame | None = None) -> TrainingRun:
+    """The families named in `which`; prepared: the cleaned and encoded laps, if they are already written."""
     spark = laps.sparkSession
     ensure_checkpoint_dir(spark)
     run_id = run_id or uuid.uuid4().hex
-    prepared = materialize_prepared(laps, run_id)
+    prepared = materialize_prepared(laps, run_id) if prepared is None else prepared
     n_removed = laps.count() - prepared.count()
     b = prepared.agg(F.min(CL.risk.ers_raw()).alias("lo"), F.max(CL.risk.ers_raw()).alias("hi")).first()
     bounds = (float(b["lo"]), float(b["hi"]))
-    reg = train_regression(prepared, forest_trees, forest_depth) if "regression" in which else None
+    models = tuple(m for m in ("linear", "forest") if m in which)
+    reg = train_regression(prepared, forest_trees, forest_depth, models=models) if models else None
     tree = train_tree(prepared) if "tree" in which else None
     clus = train_clusters(prepared, n_init=kmeans_starts) if "clusters" in which else None
-    safe = train_safety(prepared, cap=svm_cap, max_iter=svm_iterations) if "safety" in which else None
+    safe = train_safety(prepared, cap=svm_cap) if "safety" in which else None
     for res in (reg, tree, clus, safe):
         if res is not None:
             res.metrics["n_removed"] = n_removed
-    ctx = None
+    run = TrainingRun(run_id, prepared, reg, tree, clus, safe, None, bounds)
     if tree and clus and safe:
-        medians = CL.race_medians(prepared).filter(F.col("race").isNotNull())
-        ctx = ScoringContext(tree.model, tree.classes, clus, safe.best, bounds, medians)
-    return TrainingRun(run_id, prepared, reg, tree, clus, safe, ctx, bounds)
+        run.context = scoring_context(run, run, run)
+    return run
+
+
+def scoring_context(tree: TrainingRun, clusters: TrainingRun, safety: TrainingRun) -> ScoringContext:
+    """What scores laps, from one run of all families or a run of each."""
+    medians = CL.race_medians(tree.prepared).filter(F.col("race").isNotNull())
+    return ScoringContext(tree.tree.model, tree.tree.classes, clusters.clusters, safety.safety.best, tree.ers_bounds, medians)
 
 
 def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
@@ -92,15 +99,17 @@ def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
                     "run_id": run.run_id} for n, d in docs.items()}
     write_json_document(spark, registry, os.path.join(output, "ml", "models_source"))
     if run.regression is not None:
-        run.regression.forest.write().overwrite().save(os.path.join(output, "ml", "forest"))
-        run.regression.linear.write().overwrite().save(os.path.join(output, "ml", "linear"))
+        if run.regression.forest is not None:
+            run.regression.forest.save(os.path.join(output, "ml", "forest"))
+        if run.regression.linear is not None:
+            run.regression.linear.write().overwrite().save(os.path.join(output, "ml", "linear"))
         write_json_document(spark, run.regression.scaler.to_dict(), os.path.join(output, "ml", "regression_scaler"))
         codes = run.prepared.select(CL.race_text().alias("race_text"), "race_encoded").distinct()
         codes.coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "race_codes"))
-        res = results_projection(run.regression.test_scored, "laptime_normalized", "pred_rf")
+        res = results_projection(run.regression.test_scored, "laptime_normalized", "pred_rf" if run.regression.forest is not None else "pred_lr")
         write_results(res, os.path.join(output, "data", "results"))
     if run.tree is not None:
-        run.tree.model.write().overwrite().save(os.path.join(output, "ml", "decision_tree"))
+        run.tree.model.table(spark).write.mode("overwrite").parquet(os.path.join(output, "ml", "decision_tree"))
     if run.clusters is not None and run.clusters.pca is not None:
         run.clusters.pca.write().overwrite().save(os.path.join(output, "ml", "pca"))
     document_rows(spark, docs, run.run_id).coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "metrics_long"))

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +11,15 @@ from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions.lookup import status_color
 from pitlane.functions.numeric import round_even
+from pitlane.operators.dims import materialize
 from pitlane.operators.evaluate import classification_report, confusion_matrix
 from pitlane.operators.sampling import mark_stratified
+from pitlane.plans.cart import Cart, fit_cart
 
 
 @dataclass
 class TreeResult:
-    model: PipelineModel
+    model: Cart
     classes: list[str]
     test_scored: DataFrame
     report: DataFrame
@@ -33,16 +31,12 @@ def tree_frame(prepared: DataFrame) -> DataFrame:
     return prepared.na.drop(subset=S.TREE_FEATURES + [S.TREE_TARGET])
 
 
-def train_tree(prepared: DataFrame, max_depth: int = C.DT_MAX_DEPTH, seed: int = 42, max_bins: int = 256) -> TreeResult:
-    """ML04: labels indexed alphabetically (like a sorted label set), gini, depth 5; stratified hash split."""
-    marked = mark_stratified(tree_frame(prepared), S.TREE_TARGET)
+def train_tree(prepared: DataFrame, max_depth: int = C.DT_MAX_DEPTH) -> TreeResult:
+    """ML04: classes in alphabetical order, gini, depth 5, exact thresholds; stratified hash split."""
+    marked = materialize(mark_stratified(tree_frame(prepared), S.TREE_TARGET).select(*S.TREE_FEATURES, S.TREE_TARGET, "row_key", "is_test"))
     train, test = marked.filter(~F.col("is_test")), marked.filter(F.col("is_test"))
-    indexer = StringIndexer(inputCol=S.TREE_TARGET, outputCol="label", stringOrderType="alphabetAsc")
-    assembler = VectorAssembler(inputCols=S.TREE_FEATURES, outputCol="features")
-    dt = DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=max_depth, impurity="gini",
-                                maxBins=max_bins, seed=seed)
-    model = Pipeline(stages=[indexer, assembler, dt]).fit(train)
-    classes = list(model.stages[0].labels)
+    model = fit_cart(train, S.TREE_FEATURES, S.TREE_TARGET, max_depth)
+    classes = model.classes
     scored = predict_status(model, classes, test)
     report = classification_report(scored, S.TREE_TARGET, "predicted_status")
     rep_rows = {r["label"]: r.asDict() for r in report.collect()}  # classes + 3 summary rows
@@ -59,21 +53,15 @@ def train_tree(prepared: DataFrame, max_depth: int = C.DT_MAX_DEPTH, seed: int =
                       metrics)
 
 
-def predict_status(model: PipelineModel, classes: list[str], df: DataFrame) -> DataFrame:
+def predict_status(model: Cart, classes: list[str], df: DataFrame) -> DataFrame:
     """ML12 core: class, per-class probabilities (F22: 4 decimals, 0 for an unseen class) and colour (F16)."""
-    # the indexer is only needed for training labels; scoring rows may lack the status column
-    stages = model.stages[1:]
-    out = PipelineModel(stages).transform(df)
-    out = IndexToString(inputCol="prediction", outputCol="predicted_status", labels=classes).transform(out)
-    probs = vector_to_array("probability")
+    out = df.withColumn("_outcome", model.outcome())
     named = {"prob_normal": C.STATUS_NORMAL, "prob_alerta": C.STATUS_ALERT, "prob_critico": C.STATUS_CRITICAL}
-    for col, cls in named.items():
-        val = round_even(probs[classes.index(cls)], 4) if cls in classes else F.lit(0.0)
-        out = out.withColumn(col, val)
-    return out.withColumn("color", status_color("predicted_status")).drop("features", "rawPrediction", "probability")
+    probs = {col: round_even(F.col("_outcome.probabilities")[classes.index(cls)], 4) if cls in classes else F.lit(0.0) for col, cls in named.items()}
+    out = out.withColumns({"predicted_status": F.col("_outcome.prediction"), **probs})
+    return out.withColumn("color", status_color("predicted_status")).drop("_outcome")
 
 
-def tree_nodes(spark: SparkSession, model: PipelineModel, path: str) -> DataFrame:
-    """ML15: the fitted tree as a node table, read back from the saved model's data files."""
-    model.stages[-1].write().overwrite().save(path)
-    return spark.read.parquet(f"{path}/data")
+def tree_nodes(spark: SparkSession, model: Cart) -> DataFrame:
+    """ML15: the fitted tree as a node table."""
+    return model.table(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pitlane.functions.risk import ers_raw
 from pitlane.plans.catalog import cleaned, laps, live_duration_sql, live_status_sql, query
 from pitlane.plans.oracle_sql import with_ctes
-from pitlane.plans.model_queries import training_run
+from pitlane.plans.model_queries import context
 from pitlane.session import scratch_path
 from pitlane.sinks import history as H
 from pitlane.sources.laps import lap_table_path
@@ -29,9 +29,9 @@ def _stream(spark, sf, name):
 @query("stream_score")
 def q_stream_score(spark, sf):
     """Lap files in, three model scores and alerts appended per micro-batch; returns safety_events."""
-    run = training_run(spark, sf)
+    ctx = context(spark, sf)
     base, src = _stream(spark, sf, "stream-score")
-    q = LS.start_scoring(run.context, src, f"{base}/history", f"{base}/ckpt", available_now=True)
+    q = LS.start_scoring(ctx, src, f"{base}/history", f"{base}/ckpt", available_now=True)
     q.awaitTermination()
     return H.read_table(spark, f"{base}/history", "safety_events")
 

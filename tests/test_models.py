@@ -11,8 +11,7 @@ def run(spark, sf_small):
     from pitlane.plans.catalog import laps
     from pitlane.plans.train_all import run_training
 
-    return run_training(laps(spark, sf_small), run_id="pytest", forest_trees=5, forest_depth=5, kmeans_starts=1,
-                        svm_iterations=20)
+    return run_training(laps(spark, sf_small), run_id="pytest", forest_trees=5, forest_depth=5, kmeans_starts=1)
 
 
 def test_regression_metrics_shape(run):
@@ -184,6 +183,10 @@ def test_save_run_writes_documents_and_models(spark, run, tmp_path):
     assert [r["row_key"] for r in head.collect()] == [r["row_key"] for r in res.orderBy("row_key").limit(5).collect()]
     assert res.count() == run.regression.metrics["n_test"]
     assert run.regression.metrics["forest"]["depth_reached"] <= 5
+    from pitlane.plans.forest import Forest
+    loaded = Forest.load(spark, f"{out}/ml/forest")
+    assert loaded.features == S.REGRESSION_FEATURES and loaded.subtrees.count() == run.regression.forest.subtrees.count()
+    assert spark.read.parquet(f"{out}/ml/decision_tree").count() == len(run.tree.model.nodes)
     long = spark.read.parquet(f"{out}/ml/metrics_long")
     assert {r["model"] for r in long.select("model").distinct().collect()} == set(reg)
     best = {r["model"]: r for r in spark.read.parquet(f"{out}/ml/provenance").collect()}
@@ -222,17 +225,20 @@ def test_batch_score_job_is_rerunnable(spark, run, sf_small, tmp_path):
     assert H.read_table(spark, hist, "classification_results").count() == n1 > 0
 
 
-def test_queries_train_with_the_jobs_own_depth(spark, sf_small, monkeypatch):
+def test_each_query_fits_its_own_family(spark, sf_small, monkeypatch):
+    """No query waits for a family that it does not use, and forests are asked for without a depth limit."""
     import inspect
 
     from pitlane.plans import model_queries
-    from pitlane.plans.regression import MAX_DEPTH
     from pitlane.plans.train_all import run_training
 
     asked = []
     monkeypatch.setattr(model_queries, "_RUNS", {})
+    monkeypatch.setattr(model_queries, "stored", lambda *_: "frame")
     monkeypatch.setattr(model_queries, "laps", lambda *_: None)
-    monkeypatch.setattr(model_queries, "run_training", lambda *a, **k: asked.append(inspect.signature(run_training).bind(*a, **k)) or "run")
-    assert model_queries.training_run(spark, sf_small) == "run"
-    asked[0].apply_defaults()
-    assert asked[0].arguments["forest_depth"] == MAX_DEPTH == 30
+    monkeypatch.setattr(model_queries, "run_training", lambda *a, **k: asked.append(inspect.signature(run_training).bind(*a, **k)) or k["which"])
+    for name in ("tree", "forest", "tree"):
+        assert model_queries.family(spark, sf_small, name) == (name,)
+    assert [a.arguments["which"] for a in asked] == [("tree",), ("forest",)]
+    asked[1].apply_defaults()
+    assert asked[1].arguments["forest_depth"] is None and asked[1].arguments["prepared"] == "frame"
