@@ -4,22 +4,21 @@ Only the first `length` bytes of a suffix count, so suffixes are sorted to that
 are equal to that depth are exactly the repeated strings. The passes, from the first digit on:
 
 1. The digit of a string is the smallest hash among its 20-byte grams. Equal strings have equal digits, and
-   neighbouring ones mostly share theirs, so a document has one digit for some 16 bytes. Digits are dealt to tasks
-   by their value; one that only one document holds falls out with all its strings.
-2. The strings of each digit that is left are dealt out again, as segments (a run of strings of one digit, which
-   overlap). Equal segments are told by their bytes; the segments of a digit that differ are cut into their
-   strings, which are sorted by their bytes, eight a pass, groups of one document falling out after each.
-
-A task first settles what its own rows decide: of a digit or a segment that many of its documents hold, one entry
-goes on, and what is settled is dealt out by document. So a passage that a large share of the documents holds is as
-many entries as there are batches. At the passage's edges the documents go on differently, and their segments share a
-digit but not their bytes: the segments of a digit with more than HOT_DOCS documents are cut before they are dealt out,
-and each string goes to the range of its own hash, so that no range gets such a digit whole.
+   neighbouring ones mostly share theirs, so a document is cut into segments, runs of strings of one digit. A segment goes
+   to its digit's task as a triple of numbers (digit, hash of the segment, document). Of equal segments all but the one of
+   the smallest document are settled: all their strings go. What no other document holds falls out. Only where the
+   segments of a digit differ, those of the smallest documents have strings still to be compared.
+2. These segments are dealt out by digit with their bytes; their strings are sorted by bytes, eight a pass, strings of
+   one document falling out after each. A digit with more than HOT_SEGMENTS different segments (the edges of a passage
+   that very many documents hold) would fill one task: its strings are dealt out by the hash of all their bytes instead,
+   as numbers, and told apart by that and the digit.
+
+A task first settles what its own rows decide: of a segment or string that many of its documents hold, one entry goes on.
+Everything between tasks travels as packed arrays, one row for a range of digits or of documents.
 """
 
 from __future__ import annotations
 
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,18 +33,23 @@ from pitlane.llm.components import groups
 
 GRAM = 20
 BASE = 0x9E3779B97F4A7C15
-#: (document, digit) pairs or segments that a task gathers before it passes them on.
-PAIRS_PER_BATCH, SEGMENTS_PER_BATCH = 500_000, 100_000
+#: Segments, and strings of hot digits, that a task gathers before it passes them on.
+PAIRS_PER_BATCH = 500_000
 #: Text bytes whose strings are hashed at a time.
 TEXT_SLICE = 250_000
-#: Text bytes a partition of digits is for, and digit ranges a partition.
-BYTES_PER_PARTITION, RANGES = 16 << 20, 32
+#: Text bytes that a partition is for, and that a range of digits and one of documents are for (the least number of ranges
+#: serves small tables). How many ranges there are depends on the texts alone, not on the partitions.
+BYTES_PER_PARTITION, BYTES_PER_RANGE, BYTES_PER_DOC_RANGE, LEAST_RANGES = 16 << 20, 512 << 10, 1 << 20, 32
 #: Strings that are sorted at a time; a digit's strings stay together.
 STRINGS_PER_SORT = 100_000
-#: A digit that more documents hold is hot: its strings are dealt out one by one. Their number is that of all (document,
-#: digit) pairs divided by this at the very most.
-HOT_DOCS = 5_000
-SEVERAL = np.iinfo(np.int64).min  # in place of a document: several documents of a batch hold the digit
+#: Different segments of a digit from which its strings are dealt out one by one; fewer are compared in one sort.
+HOT_SEGMENTS = 1_000
+#: Different segments of a digit in one batch from which it counts as hot at once, so that few of them go on.
+HOT_IN_BATCH = 32
+#: In place of a segment's hash: the digit is hot.
+HOT_MARK = np.uint64(0)
+#: What a document is told about a segment: all its strings go, its bytes are to be compared, or its strings' hashes.
+GO, COMPARE, APART = 0, 1, 2
 
 
 @lru_cache(maxsize=1)
@@ -53,29 +57,49 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
 
 
-def _hashes(buf: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the `width` bytes from each position on."""
-    up, down = (p[:len(buf)] for p in _powers(1 << int(len(buf)).bit_length()))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mix64((total[width:] - total[:-width]) * down[:len(buf) - width + 1])
-
-
-def digits(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, digit) of every string of `length` bytes inside one of the texts, in order."""
-    size = np.array([len(t) for t in texts], np.int64)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    if len(buf) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = _hashes(buf, GRAM)
-    width, have = length - GRAM + 1, 1
-    while have < width:  # minima over windows that double, the last step as wide as is left
-        step = min(have, width - have)
-        low = np.minimum(low[:-step], low[step:])
-        have += step
-    inside = np.maximum(size - length + 1, 0)
-    at = ragged_index(bounds(size)[:-1], inside)
-    return np.repeat(np.arange(len(texts)), inside), at - np.repeat(bounds(size)[:-1], inside), low[at]
+class _Hashed:
+    """Running sums over some bytes, from which the hash of any range of them follows."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = (p[:len(buf) + 1] for p in _powers(1 << int(len(buf) + 1).bit_length()))
+        self.total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        return mix64((self.total[start + size] - self.total[start]) * self.down[start])
+
+    def all(self, width: int) -> np.ndarray:
+        """Hashes of the `width` bytes from each position on."""
+        return mix64((self.total[width:] - self.total[:-width]) * self.down[:len(self.total) - width])
+
+
+class Segments:
+    """The segments of some texts, in order: text, first string, number of strings, digit, hash of the segment's bytes."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        self.length = length
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.buf = np.frombuffer(b"".join(texts), np.uint8)
+        self.at = bounds(self.size)
+        none = np.zeros(0, np.int64)
+        self.text = self.start = self.n = none
+        self.digit = self.mark = none.view(np.uint64)
+        if len(self.buf) < length:
+            return
+        self.hashed = _Hashed(self.buf)
+        low = self.hashed.all(GRAM)
+        width, have = length - GRAM + 1, 1
+        while have < width:  # minima over windows that double, the last step as wide as is left
+            step = min(have, width - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        inside = np.maximum(self.size - length + 1, 0)
+        pos = ragged_index(self.at[:-1], inside)
+        text, digit = np.repeat(np.arange(len(texts)), inside), low[pos]
+        first = _runs(text, digit)
+        self.text, self.digit, self.pos = text[first], digit[first], pos[first]
+        self.start, self.n = self.pos - self.at[self.text], np.diff(np.append(first, len(pos)))
+        self.mark = mix64(self.hashed.of(self.pos, self.n + length - 1) + self.n.astype(np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -83,10 +107,18 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])) if len(columns[0]) else np.zeros(0, np.int64)
 
 
+def _lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
 def _range_of(digit: np.ndarray, ranges: int) -> np.ndarray:
     return ((digit >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
+def _range_of_doc(docs: np.ndarray, ranges: int) -> np.ndarray:
+    return _range_of(mix64(docs.view(np.uint64)), ranges)
+
+
 def _texts(batch: pa.RecordBatch, column: str):
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     for a, b in slices(sizes, TEXT_SLICE):
@@ -94,199 +126,254 @@ def _texts(batch: pa.RecordBatch, column: str):
         yield part, [(x or "").encode() for x in part.column(column).to_pylist()]
 
 
-def _pass_digits(length: int, ranges: int):
-    """Documents' digits dealt to ranges: (range, settled, docs, digits, counts). Settled ones are known to be repeated
-    and are dealt by document, others by digit; counts has the number of documents of each SEVERAL."""
+#: Columns of the packed tables, and what their arrays hold.
+DIGITS = {"digit": "<u8", "mark": "<u8", "doc": "<i8"}
+TOLD = {"doc": "<i8", "mark": "<u8", "kind": "<i1"}
+STRINGS = {"hash": "<u8", "digit": "<u8", "doc": "<i8", "row": "<i8", "start": "<i4"}
+PARTS = {"digit": "<u8", "doc": "<i8", "row": "<i8", "start": "<i4", "size": "<i4", "bytes": "u1"}
+RUNS = {"doc": "<i8", "row": "<i8", "start": "<i4", "n": "<i4"}
 
-    def dealt(docs: np.ndarray, digit: np.ndarray):
-        order = np.lexsort((docs, digit))
-        docs, digit = docs[order], digit[order]
-        one = _runs(digit, docs)
-        docs, digit = docs[one], digit[one]
-        first = _runs(digit)
-        held = np.diff(np.append(first, len(digit)))
-        several = np.repeat(held > 1, held)
-        # Of a digit that several documents here hold one entry goes on; the documents need no answer.
-        yield from _rows(_range_of(digit[first], ranges), np.where(held > 1, SEVERAL, docs[first]), digit[first], held)
-        docs, digit = docs[several], digit[several]
-        to = _range_of(mix64(docs.view(np.uint64)), ranges)
-        order = np.argsort(to, kind="stable")
-        yield from _rows(to[order], docs[order], digit[order], None)
+
+def _schema(*tables: dict) -> str:
+    return "to int, kind int, " + ", ".join(f"{c} binary" for c in dict.fromkeys(c for t in tables for c in t))
+
+
+def _pack(to: np.ndarray, kind: int, table: dict, columns: dict, names: list[str], most: int = 1 << 18):
+    """Record batches with one row for each range in `to`: its entries of all columns. Columns that are not the table's are
+    null. bytes are given flat, with each entry's size."""
+    order = np.argsort(to, kind="stable")
+    to, flat = to[order], None
+    cols = {c: np.asarray(columns[c])[order].astype(t) for c, t in table.items() if c != "bytes"}
+    if "bytes" in table:
+        size = cols["size"].astype(np.int64)
+        flat = bounds(np.asarray(columns["size"], np.int64))[:-1][order]
+        at = bounds(size)
+    first = _runs(to)
+    edges = [*first.tolist(), len(to)]
+    rows: list[tuple] = []
+    held = 0
+    for a, b in zip(edges, edges[1:]):
+        row = {c: x[a:b].tobytes() for c, x in cols.items()}
+        if flat is not None:
+            row["bytes"] = columns["bytes"][ragged_index(flat[a:b], size[a:b])].tobytes()
+            held += int(at[b] - at[a])
+        rows.append((int(to[a]), kind, row))
+        held += b - a
+        if held >= most:
+            yield _packed_rows(rows, names)
+            rows, held = [], 0
+    if rows:
+        yield _packed_rows(rows, names)
+
+
+def _packed_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                                       *(pa.array([r[2].get(c) for r in rows], pa.binary()) for c in names[2:])], names)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _unpack(rows: pa.Table, table: dict) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in table.items()}
+
+
+def _join(parts: list[dict], table: dict) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in table.items()}
+
+
+# -- first pass: digits -----------------------------------------------------------------------------------------------
+
+def _later(digit: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, later) of entries in order of (digit, mark, doc): those of one digit and mark but another document than the
+    smallest are later."""
+    order = np.lexsort((doc, mark, digit))
+    digit, mark, doc = digit[order], mark[order], doc[order]
+    first = _runs(digit, mark)
+    return order, doc != np.repeat(doc[first], _lengths(first, len(doc)))
+
+
+def _distinct(e: dict) -> dict:
+    order = np.lexsort((e["doc"], e["mark"], e["digit"]))
+    e = {c: x[order] for c, x in e.items()}
+    one = _runs(e["digit"], e["mark"], e["doc"])
+    return {c: x[one] for c, x in e.items()}
+
+
+def _pass_digits(length: int, ranges: int, doc_ranges: int, schema: str):
+    """The segments of documents as packed triples by range of digits (kind 0); what a task's own rows settle, by range of
+    documents (kind 1)."""
+    names = _names(schema)
+
+    def dealt(parts: list[dict]):
+        e = _distinct(_join(parts, DIGITS))
+        order, later = _later(e["digit"], e["mark"], e["doc"])
+        e = {c: x[order] for c, x in e.items()}
+        stay = {c: x[~later] for c, x in e.items()}
+        # A digit with many different segments here is hot: one mark says so, and its documents are told already.
+        first = _runs(stay["digit"])
+        number = _lengths(first, len(stay["digit"]))
+        hot = np.repeat(number > HOT_IN_BATCH, number)
+        at = first[number > HOT_IN_BATCH]
+        on = {c: np.concatenate([stay[c][~hot], stay[c][at]]) for c in DIGITS}
+        on["mark"][len(on["mark"]) - len(at):] = HOT_MARK
+        yield from _pack(_range_of(on["digit"], ranges), 0, DIGITS, on, names)
+        told = {c: np.concatenate([e[c][later], stay[c][hot]]) for c in ("doc", "mark")}
+        told["kind"] = np.repeat(np.array([GO, APART], np.int8), [int(later.sum()), int(hot.sum())])
+        yield from _told(told, doc_ranges, names)
 
     def run(batches):
-        docs, found, n = [], [], 0
+        parts, n = [], 0
         for batch in batches:
             for part, texts in _texts(batch, "text"):
-                ids = part.column("doc").to_numpy()
-                text, _, digit = digits(texts, length)
-                one = _runs(text, digit)
-                docs.append(ids[text[one]])
-                found.append(digit[one])
-                n += len(one)
+                seg = Segments(texts, length)
+                parts.append({"digit": seg.digit, "mark": seg.mark, "doc": part.column("doc").to_numpy()[seg.text]})
+                n += len(seg.text)
                 if n >= PAIRS_PER_BATCH:
-                    yield from dealt(np.concatenate(docs), np.concatenate(found))
-                    docs, found, n = [], [], 0
+                    yield from dealt(parts)
+                    parts, n = [], 0
         if n:
-            yield from dealt(np.concatenate(docs), np.concatenate(found))
+            yield from dealt(parts)
 
     return run
 
 
-def _rows(to: np.ndarray, docs: np.ndarray, digit: np.ndarray, held: np.ndarray | None):
-    """Record batches of docs and digits by range (in order); held: documents of each digit, None if they are settled."""
-    if not len(digit):
-        return
-    first = _runs(to)
-    edges = [*first.tolist(), len(to)]
-    parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
-    yield pa.RecordBatch.from_pydict({
-        "range": pa.array(to[first]), "settled": pa.array([held is None] * len(first)),
-        "docs": pa.array([docs[x].astype("<i8").tobytes() for x in parts], pa.binary()),
-        "digits": pa.array([digit[x].astype("<u8").tobytes() for x in parts], pa.binary()),
-        "counts": pa.array([b"" if held is None else held[x][docs[x] == SEVERAL].astype("<i4").tobytes() for x in parts], pa.binary())})
-
+def _told(e: dict, doc_ranges: int, names: list[str]):
+    """Packed answers for documents; the column kind travels as told."""
+    yield from _pack(_range_of_doc(e["doc"], doc_ranges), 1, {"doc": "<i8", "mark": "<u8", "told": "<i1"}, e | {"told": e["kind"]}, names)
 
-def _unpacked(column, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
+def _settle_digits(doc_ranges: int, schema: str):
+    """What documents are told about their segments, from all entries of each digit; what they are told already passes by."""
+    names = _names(schema)
 
-def _repeated_digits(hot_docs: int):
-    """(doc, digits): for each document the digits that other documents hold too, of all ranges of the task; without a
-    document, the digits that more than hot_docs hold."""
+    def settle(rows: pa.Table) -> dict:
+        e = _distinct(_unpack(rows, DIGITS))
+        digit, mark, doc = e["digit"], e["mark"], e["doc"]
+        first = _runs(digit, mark)
+        later = doc != np.repeat(doc[first], _lengths(first, len(doc)))
+        later &= mark != HOT_MARK
+        # The smallest documents of a digit's segments: where there are several, their strings are compared.
+        d, m, least = digit[first], mark[first], doc[first]
+        by = _runs(d)
+        n = _lengths(by, len(d))
+        hot = (n > HOT_SEGMENTS) | (m[by] == HOT_MARK)  # the mark of a hot digit comes first
+        mixed = np.repeat(hot | (np.minimum.reduceat(least, by) != np.maximum.reduceat(least, by)), n) & (m != HOT_MARK)
+        kind = np.where(np.repeat(hot, n), APART, COMPARE).astype(np.int8)[mixed]
+        return {"doc": np.concatenate([doc[later], least[mixed]]), "mark": np.concatenate([mark[later], m[mixed]]),
+                "kind": np.concatenate([np.full(int(later.sum()), GO, np.int8), kind])}
 
     def run(batches):
-        all_docs, all_digits, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-        for rows in groups(batches, ["range", "settled"]):
-            docs, digit = _unpacked(rows.column("docs"), "<i8"), _unpacked(rows.column("digits"), "<u8")
-            if not rows.column("settled")[0].as_py() and len(digit):
-                number = np.ones(len(docs), np.int64)
-                number[docs == SEVERAL] = _unpacked(rows.column("counts"), "<i4")
-                order = np.argsort(digit, kind="stable")
-                docs, digit, number = docs[order], digit[order], number[order]
-                first = _runs(digit)
-                held = np.diff(np.append(first, len(digit)))
-                hot.append(digit[first][np.add.reduceat(number, first) > hot_docs])
-                low, high = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
-                keep = np.repeat((low != high) | (low == SEVERAL), held) & (docs != SEVERAL)
-                docs, digit = docs[keep], digit[keep]
-            all_docs.append(docs)
-            all_digits.append(digit)
-        docs, digit = np.concatenate(all_docs), np.concatenate(all_digits)
-        order = np.lexsort((digit, docs))
-        docs, digit = docs[order], digit[order]
-        first = _runs(docs)
-        edges = [*first.tolist(), len(docs)]
-        for a in range(0, len(first), 10_000):
-            part = edges[a:a + 10_001]
-            yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(docs[part[:-1]]),
-                "digits": pa.array([digit[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())})
-        if any(map(len, hot)):
-            yield pa.RecordBatch.from_pydict({"doc": pa.array([None], pa.int64()), "digits": pa.array([np.concatenate(hot).tobytes()], pa.binary())})
+        parts, n = [], 0
+        for rows in groups(batches, ["kind", "to"]):
+            if rows.column("kind")[0].as_py() == 1:
+                yield from rows.select(names).to_batches()
+                continue
+            parts.append(settle(rows))
+            n += len(parts[-1]["doc"])
+            if n >= 4 * PAIRS_PER_BATCH:
+                yield from _told(_join(parts, TOLD), doc_ranges, names)
+                parts, n = [], 0
+        if n:
+            yield from _told(_join(parts, TOLD), doc_ranges, names)
 
     return run
 
 
-class _Strings:
-    """The windows of removed strings, gathered by document: (doc, text hash) -> flat (first start, number)."""
-
-    def __init__(self):
-        self.of: dict[tuple[int, int], array] = {}
-
-    def add(self, row: tuple[int, int], *runs: int) -> None:
-        if row not in self.of:
-            self.of[row] = array("i")
-        self.of[row].extend(runs)
-
-    def rows(self) -> list[dict]:
-        return [{"doc": d, "mark": m, "runs": np.asarray(r, "<i4").tobytes()} for (d, m), r in self.of.items()]
-
+def _by_document(batches):
+    """(doc, marks, told): everything a document is told, as one row."""
+    table = {"doc": "<i8", "mark": "<u8", "told": "<i1"}
+    for rows in groups(batches, ["to"]):
+        e = _unpack(rows, table)
+        order = np.argsort(e["doc"], kind="stable")
+        doc, mark, told = (e[c][order] for c in table)
+        edges = [*_runs(doc).tolist(), len(doc)]
+        for a in range(0, len(edges) - 1, 10_000):
+            part = edges[a:a + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array([mark[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary()),
+                                              pa.array([told[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())], ["doc", "marks", "told"])
 
-SEGMENTS = T.StructType([
-    T.StructField("range", T.IntegerType()), T.StructField("settled", T.BooleanType()), T.StructField("doc", T.LongType()),
-    T.StructField("mark", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("digit", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
 
+# -- second pass: strings ---------------------------------------------------------------------------------------------
 
-def _pass_segments(length: int, ranges: int, hot: np.ndarray):
-    """The segments of repeated digits dealt to ranges. Rows with bytes are one segment each, of its smallest document
-    here, with its starts there (runs: start, number of strings) and its digit's lower half; settled rows are strings
-    to remove. A string of a hot digit is a segment by itself, its digit the hash of all its bytes."""
+def _pass_strings(length: int, ranges: int, doc_ranges: int, schema: str):
+    """Of documents' segments: those to compare, with their bytes, by range of digits (kind 0); strings of hot digits by range
+    of their hashes (kind 1); and runs of strings that go, by range of documents (kind 2). row tells texts of one document."""
+    names = _names(schema)
 
-    def dealt(held: dict[bytes, list]):  # bytes -> [digit, row, start, row, start, ...]
-        settled = _Strings()
-        out, apart = [], []
-        is_hot = np.isin(np.array([x[0] for x in held.values()], np.uint64), hot).tolist()
-        for (raw, (digit, *found)), cut in zip(held.items(), is_hot):
-            rows, starts = found[::2], found[1::2]
-            least = min(rows)[0]
-            strings = len(raw) - length + 1
-            kept: dict[tuple[int, int], list[int]] = {}
-            for row, start in zip(rows, starts):
-                if row[0] > least:
-                    settled.add(row, start, strings)
-                else:
-                    kept.setdefault(row, []).extend((start, strings))
-            if cut:
-                apart.append((raw, digit, least, [(row, runs[::2]) for row, runs in kept.items()]))
-                continue
-            for row, runs in kept.items():
-                out.append((int(_range_of(np.uint64(digit), ranges)), False, *row, np.array(runs, "<i4").tobytes(), (digit & 0xFFFFFFFF) - (1 << 31), raw))
-        apart.sort(key=lambda x: x[1])
-        for a, b in slices([len(x[0]) - length + 1 for x in apart], STRINGS_PER_SORT):
-            out += single(apart[a:b], settled)
-        # Settled rows go anywhere: they are only handed on.
-        out += [(i % ranges, True, r["doc"], r["mark"], r["runs"], None, None) for i, r in enumerate(settled.rows())]
-        for a in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a:a + 20_000]), (
-                pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], SEGMENTS.names)
-
-    def single(segments: list[tuple], settled: _Strings):
-        """A row for every string of the segments, but for those that a segment of a smaller document here holds too."""
-        size = np.array([len(x[0]) for x in segments], np.int64)
-        edge = bounds(size - length + 1)
-        left = np.ones(edge[-1], bool)
-        seg, inner = _settle_equal(segments, length, settled)
-        left[edge[seg] + inner] = False
-        own = _hashes(np.frombuffer(b"".join(x[0] for x in segments), np.uint8), length)[ragged_index(bounds(size)[:-1], size - length + 1)]
-        to, low = _range_of(own, ranges).tolist(), ((own & np.uint64(0xFFFFFFFF)).astype(np.int64) - (1 << 31)).tolist()
-        for i, (raw, _, _, rows) in enumerate(segments):
-            for k in (np.flatnonzero(left[edge[i]:edge[i + 1]])).tolist():
-                at = int(edge[i]) + k
-                for row, starts in rows:
-                    yield to[at], False, *row, np.array([x for s in starts for x in (s + k, 1)], "<i4").tobytes(), low[at], raw[k:k + length]
+    def strings(parts: list[dict]):
+        """Of strings that several documents here hold, those of the smallest go on and the others are settled."""
+        e = _join(parts, STRINGS)
+        order, later = _later(e["hash"], e["digit"], e["doc"])
+        e = {c: x[order] for c, x in e.items()}
+        stay = {c: x[~later] for c, x in e.items()}
+        yield from _pack(_range_of(stay["hash"], ranges), 1, STRINGS, stay, names)
+        yield from _gone({c: e[c][later] for c in ("doc", "row", "start")}, doc_ranges, names)
 
     def run(batches):
-        held: dict[bytes, list] = {}
+        apart, n = [], 0
         for batch in batches:
+            parts, runs = [], []
             for part, texts in _texts(batch, "text"):
-                docs, marks = part.column("doc").to_pylist(), part.column("mark").to_pylist()
-                wanted = [np.frombuffer(b"".join(x), "<u8") for x in part.column("digits").to_pylist()]
-                text, start, digit = digits(texts, length)
-                at = np.searchsorted(text, np.arange(len(texts) + 1))
-                for i, raw in enumerate(texts):
-                    mine, starts = digit[at[i]:at[i + 1]], start[at[i]:at[i + 1]]
-                    first = _runs(mine)
-                    number = np.diff(np.append(first, len(mine)))
-                    row = docs[i], marks[i]
-                    for f, n in zip(*(x[np.isin(mine[first], wanted[i])].tolist() for x in (first, number))):
-                        s = int(starts[f])
-                        held.setdefault(raw[s:s + n + length - 1], [int(mine[f])]).extend((row, s))
-                if len(held) >= SEGMENTS_PER_BATCH:
-                    yield from dealt(held)
-                    held = {}
-        if held:
-            yield from dealt(held)
+                seg = Segments(texts, length)
+                doc, row = part.column("doc").to_numpy(), part.column("row").to_numpy()
+                marks, told = ([np.frombuffer(x, t) for x in part.column(c).to_pylist()] for c, t in (("marks", "<u8"), ("told", "<i1")))
+                at = np.searchsorted(seg.text, np.arange(len(texts) + 1))
+                kind = np.full(len(seg.text), -1, np.int8)
+                for i in range(len(texts)):
+                    order = np.argsort(marks[i])
+                    known, mine = marks[i][order], seg.mark[at[i]:at[i + 1]]
+                    here = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    kind[at[i]:at[i + 1]] = np.where(known[here] == mine, told[i][order][here], -1)
+                entry = lambda which: {"doc": doc[seg.text[which]], "row": row[seg.text[which]], "start": seg.start[which], "n": seg.n[which]}  # noqa: E731,B023
+                runs.append(entry(kind == GO))
+                one = np.flatnonzero(kind == COMPARE)
+                size = seg.n[one] + length - 1
+                if len(one):
+                    parts.append(entry(one) | {"digit": seg.digit[one], "size": size, "bytes": seg.buf[ragged_index(seg.pos[one], size)]})
+                one = np.flatnonzero(kind == APART)
+                if len(one):
+                    each = np.repeat(one, seg.n[one])
+                    step = np.arange(len(each)) - np.repeat(bounds(seg.n[one])[:-1], seg.n[one])
+                    apart.append({"hash": seg.hashed.of(seg.pos[each] + step, length), "digit": seg.digit[each], "doc": doc[seg.text[each]],
+                                  "row": row[seg.text[each]], "start": seg.start[each] + step})
+                    n += len(each)
+            if parts:
+                e = _join(parts, PARTS)
+                yield from _pack(_range_of(e["digit"], ranges), 0, PARTS, e, names)
+            yield from _pack_runs(_join(runs, RUNS), doc_ranges, names)
+            if n >= PAIRS_PER_BATCH:
+                yield from strings(apart)
+                apart, n = [], 0
+        if n:
+            yield from strings(apart)
 
     return run
 
 
-def equal_strings(segments: list[bytes], digit: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, string in it) of the strings that a segment of the same digit and a smaller document holds too."""
-    size = np.array([len(s) for s in segments], np.int64)
+def _pack_runs(e: dict, doc_ranges: int, names: list[str]):
+    if len(e["doc"]):
+        yield from _pack(_range_of_doc(e["doc"], doc_ranges), 2, RUNS, e, names)
+
+
+def _gone(e: dict, doc_ranges: int, names: list[str]):
+    """Packed runs of single strings that go."""
+    order = np.lexsort((e["start"], e["row"], e["doc"]))
+    doc, row, start = (e[c][order] for c in ("doc", "row", "start"))
+    new = _runs(doc, row, start)
+    doc, row, start = doc[new], row[new], start[new]
+    first = _runs(doc, row, start - np.arange(len(start)))
+    yield from _pack_runs({"doc": doc[first], "row": row[first], "start": start[first], "n": _lengths(first, len(start))}, doc_ranges, names)
+
+
+def equal_strings(size: np.ndarray, flat: np.ndarray, digit: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, string in it) of the strings that a segment of the same digit and a smaller document holds too, of segments
+    that lie one after the other in flat."""
     strings = size - length + 1
-    flat = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
-    words = np.ndarray((len(flat) - 7,), ">u8", flat.tobytes(), strides=(1,))
-    of = np.repeat(np.arange(len(segments)), strings)
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), ">u8", padded.tobytes(), strides=(1,))
+    of = np.repeat(np.arange(len(size)), strings)
     inner = np.arange(len(of)) - np.repeat(bounds(strings)[:-1], strings)
     pos, doc = bounds(size)[:-1][of] + inner, docs[of]
     group = digit[of]
@@ -297,7 +384,7 @@ def equal_strings(segments: list[bytes], digit: np.ndarray, docs: np.ndarray, le
         first = _runs(group, word)
         if not len(first):
             break
-        number = np.diff(np.append(first, len(of)))
+        number = _lengths(first, len(of))
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
         keep = np.repeat(low < high, number)
         group = np.repeat(np.arange(len(first)).astype(np.uint64), number)[keep]
@@ -309,63 +396,67 @@ def equal_strings(segments: list[bytes], digit: np.ndarray, docs: np.ndarray, le
     return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-def _settle_equal(segments: list[tuple], length: int, out: _Strings) -> tuple[np.ndarray, np.ndarray]:
-    """equal_strings of segments (bytes, digit, document, [(row, starts)]), in order; their strings are added to out."""
-    seg, inner = equal_strings([x[0] for x in segments], np.array([x[1] & 0xFFFFFFFFFFFFFFFF for x in segments], np.uint64), np.array([x[2] for x in segments], np.int64), length)
-    by = np.lexsort((inner, seg))
-    seg, inner = seg[by], inner[by]
-    run = _runs(seg, inner - np.arange(len(inner)))
-    for f, n in zip(run.tolist(), np.diff(np.append(run, len(seg))).tolist()):
-        for row, starts in segments[seg[f]][3]:
-            for s in starts:
-                out.add(row, s + int(inner[f]), n)
-    return seg, inner
-
-
-def _repeated_strings(length: int):
-    """(doc, mark, runs): the strings of each document that a smaller one holds too."""
-
-    def settle(rows: pa.Table, out: _Strings) -> None:
-        held: dict[bytes, list] = {}
-        for doc, mark, runs, digit, raw in zip(*(rows.column(c).to_pylist() for c in ("doc", "mark", "runs", "digit", "bytes"))):
-            held.setdefault(raw, [digit, []])[1].append(((doc, mark), np.frombuffer(runs, "<i4")[::2].tolist()))
-        left: list[tuple[bytes, int, int, list]] = []
-        for raw, (digit, found) in held.items():
-            least = min(row[0] for row, _ in found)
-            for row, starts in found:
-                if row[0] > least:
-                    for s in starts:
-                        out.add(row, s, len(raw) - length + 1)
-            left.append((raw, digit, least, [(row, starts) for row, starts in found if row[0] == least]))
-        # Only digits with segments that differ are sorted further.
-        digit = np.array([x[1] for x in left], np.int64)
-        _, which, number = np.unique(digit, return_inverse=True, return_counts=True)
-        order = np.argsort(which, kind="stable")
-        order = order[number[which[order]] > 1]
-        first = _runs(which[order])
-        each = [int(sum(len(left[i][0]) - length + 1 for i in order[a:b])) for a, b in zip(first, [*first[1:], len(order)])]
+def _settle_strings(length: int, doc_ranges: int, schema: str):
+    """Packed runs of the strings that go, from the segments and hot strings of each range; settled runs are handed on."""
+    names = _names(schema)
+
+    def compare(rows: pa.Table) -> dict:
+        e = _unpack(rows, PARTS)
+        size = e["size"].astype(np.int64)
+        at = bounds(size)[:-1]
+        order = np.argsort(e["digit"], kind="stable")
+        digit = e["digit"][order]
+        first = _runs(digit)
         edges = [*first.tolist(), len(order)]
+        each = np.add.reduceat((size - length + 1)[order], first).tolist()
+        found = []
         for a, b in slices(each, STRINGS_PER_SORT):
-            _settle_equal([left[i] for i in order[edges[a]:edges[b]]], length, out)
+            mine = order[edges[a]:edges[b]]
+            seg, inner = equal_strings(size[mine], e["bytes"][ragged_index(at[mine], size[mine])], e["digit"][mine], e["doc"][mine], length)
+            seg = mine[seg]
+            found.append({"doc": e["doc"][seg], "row": e["row"][seg], "start": e["start"][seg] + inner})
+        return _join(found, {"doc": "<i8", "row": "<i8", "start": "<i4"})
+
+    def apart(rows: pa.Table) -> dict:
+        e = _unpack(rows, STRINGS)
+        order, later = _later(e["hash"], e["digit"], e["doc"])
+        return {c: e[c][order][later] for c in ("doc", "row", "start")}
 
     def run(batches):
-        out = _Strings()  # of the whole task: one row a document
-        for rows in groups(batches, ["range", "settled"]):
-            if rows.column("settled")[0].as_py():
-                for doc, mark, runs in zip(*(rows.column(c).to_pylist() for c in ("doc", "mark", "runs"))):
-                    out.add((doc, mark), *np.frombuffer(runs, "<i4").tolist())
-            else:
-                settle(rows, out)
-        found = out.rows()
-        for a in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_pylist(found[a:a + 10_000], pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("runs", pa.binary())]))
+        found, n = [], 0
+        for rows in groups(batches, ["kind", "to"]):
+            kind = rows.column("kind")[0].as_py()
+            if kind == 2:
+                yield from rows.select(names).to_batches()
+                continue
+            found.append(compare(rows) if kind == 0 else apart(rows))
+            n += len(found[-1]["doc"])
+            if n >= 8 * PAIRS_PER_BATCH:
+                yield from _gone(_join(found, {"doc": "<i8", "row": "<i8", "start": "<i4"}), doc_ranges, names)
+                found, n = [], 0
+        if n:
+            yield from _gone(_join(found, {"doc": "<i8", "row": "<i8", "start": "<i4"}), doc_ranges, names)
 
     return run
 
 
-def removed_bytes(size: int, runs: list[bytes], length: int) -> np.ndarray:
+def _runs_by_document(batches):
+    """(doc, row, runs): all runs of a text that go, as one row: pairs (first string, number)."""
+    for rows in groups(batches, ["to"]):
+        e = _unpack(rows, RUNS)
+        order = np.lexsort((e["start"], e["row"], e["doc"]))
+        doc, row = e["doc"][order], e["row"][order]
+        pairs = np.stack([e["start"][order], e["n"][order]], 1).astype("<i4")
+        edges = [*_runs(doc, row).tolist(), len(doc)]
+        for a in range(0, len(edges) - 1, 10_000):
+            part = edges[a:a + 10_001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part[:-1]]), pa.array(row[part[:-1]]), pa.array([pairs[x:y].tobytes() for x, y in zip(part, part[1:])], pa.binary())],
+                                             ["doc", "mark", "runs"])
+
+
+def removed_bytes(size: int, runs: bytes, length: int) -> np.ndarray:
     """(start, end) rows, in order and apart, of the bytes covered by the strings of a document's runs."""
-    pairs = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(runs, "<i4").reshape(-1, 2).astype(np.int64)
     if not len(pairs):
         return np.zeros((0, 2), np.int64)
     change = np.zeros(size + 1, np.int64)
@@ -378,22 +469,24 @@ def removed_bytes(size: int, runs: list[bytes], length: int) -> np.ndarray:
 
 def repeated_runs(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, mark, runs) of the documents with strings that a smaller document holds too: the key, the hash of the text,
-    and the strings' runs as binaries of (first start, number) pairs. See without_repeats."""
+    and the strings' runs as a binary of (first start, number) pairs. See without_repeats."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
     spark = docs.sparkSession
-    n = partitions_for(spark, text_bytes(docs, text), BYTES_PER_PARTITION)
-    ranges = n * RANGES
+    total = text_bytes(docs, text)
+    n = partitions_for(spark, total, BYTES_PER_PARTITION)
+    ranges, doc_ranges = (max(LEAST_RANGES, -(-total // b)) for b in (BYTES_PER_RANGE, BYTES_PER_DOC_RANGE))
     rows = docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= length)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(_pass_digits(length, ranges), "range int, settled boolean, docs binary, digits binary, counts binary")
-    found = (dealt.repartition(n, "range").sortWithinPartitions("range", "settled").mapInArrow(_repeated_digits(HOT_DOCS), "doc long, digits binary"))
-    held = materialise(found.groupBy("doc").agg(F.collect_list("digits").alias("digits")), "digits")
-    hot = np.unique(np.frombuffer(b"".join(x for r in held.where("doc is null").collect() for x in r["digits"]), "<u8"))
-    segments = (rows.join(held, "doc").select("doc", "text", F.xxhash64("text").alias("mark"), "digits")
-                .mapInArrow(_pass_segments(length, ranges, hot), SEGMENTS))
-    strings = (segments.repartition(n, "range").sortWithinPartitions("range", "settled")
-               .mapInArrow(_repeated_strings(length), "doc long, mark long, runs binary"))
-    return materialise(strings.groupBy("doc", "mark").agg(F.collect_list("runs").alias("runs")), "strings")
+    triples, answers = _schema(DIGITS, {"told": ""}), _schema({"doc": "", "mark": "", "told": ""})
+    told = (rows.mapInArrow(_pass_digits(length, ranges, doc_ranges, triples), triples).repartition(n, "to").sortWithinPartitions("kind", "to")
+            .mapInArrow(_settle_digits(doc_ranges, answers), answers))
+    held = materialise(told.repartition(n, "to").sortWithinPartitions("to").mapInArrow(_by_document, "doc long, marks binary, told binary"), "told")
+    found = _schema(PARTS, STRINGS, RUNS)
+    strings = (rows.join(held, "doc").select("doc", "text", F.xxhash64("text").alias("row"), "marks", "told")
+               .mapInArrow(_pass_strings(length, ranges, doc_ranges, found), found))
+    runs = _schema(RUNS)
+    gone = strings.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_settle_strings(length, doc_ranges, runs), runs)
+    return materialise(gone.repartition(n, "to").sortWithinPartitions("to").mapInArrow(_runs_by_document, "doc long, mark long, runs binary"), "runs")
 
 
 def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
@@ -417,7 +510,7 @@ def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             for part, texts in _texts(batch, "text"):
                 gone, left = [], []
                 for raw, found in zip(texts, part.column("runs").to_pylist()):
-                    parts = removed_bytes(len(raw), found or [], length)
+                    parts = removed_bytes(len(raw), found or b"", length)
                     gone.append(parts.ravel().tolist())
                     at = [0, *gone[-1], len(raw)]
                     left.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))

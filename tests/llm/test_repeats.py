@@ -36,9 +36,10 @@ def ordered(rows):
 
 
 def test_odd_rows(spark):
-    rows = [(r[0], r[1]) for r in edge_rows() if r[1] is None or len(r[1]) < 10_000]
-    docs = edge_docs(spark).where("text is null or length(text) < 10000")
-    assert ordered(repeats.report(docs).collect()) == ordered(brute(rows))
+    """Very long texts too."""
+    rows = [(r[0], r[1]) for r in edge_rows()]
+    assert max(len(t or "") for _, t in rows) > 100_000
+    assert ordered(repeats.report(edge_docs(spark)).collect()) == ordered(brute(rows))
     assert repeats.report(no_docs(spark)).count() == 0
 
 
@@ -58,11 +59,15 @@ def test_passages_copies_and_periods(spark, monkeypatch, small):
     if small:  # every batch is passed on after a few rows, every sort holds a few strings
         monkeypatch.setattr(repeats, "STRINGS_PER_SORT", 5)
         texts = [t.encode() for _, t in rows]
-        text, start, digit = repeats.digits(texts, 50)
-        assert len(text) == sum(max(0, len(t) - 49) for t in texts)
-        by = {}
-        for i, s, d in zip(text.tolist(), start.tolist(), digit.tolist()):
-            assert by.setdefault(texts[i][s:s + 50], d) == d  # equal strings have equal digits
+        monkeypatch.setattr(repeats, "PAIRS_PER_BATCH", 40)
+        seg = repeats.Segments(texts, 50)
+        assert seg.n.sum() == sum(max(0, len(t) - 49) for t in texts)
+        by, marks = {}, {}
+        for i, s, n, d, m in zip(seg.text.tolist(), seg.start.tolist(), seg.n.tolist(), seg.digit.tolist(), seg.mark.tolist()):
+            assert marks.setdefault(texts[i][s:s + n + 49], m) == m
+            for k in range(s, s + n):
+                assert by.setdefault(texts[i][k:k + 50], d) == d  # equal strings have equal digits
+        assert len(set(marks.values())) == len(marks)
     assert ordered(repeats.report(docs).collect()) == want
     assert sum(w[2] for w in want) > 500
 
@@ -82,32 +87,38 @@ def hot_rows():
     return [(i * 7 % 401, prose(i, 6) + " " + passage + " " + prose(2000 + i, 6)) for i in range(400)]
 
 
-def test_hot_passages(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_DOCS", 20)
+@pytest.mark.parametrize("in_batch,in_all", [(4, 1000), (1000, 4), (1000, 1000), (0, 0)])
+def test_hot_passages(spark, monkeypatch, in_batch, in_all):
+    """The same result whether digits are hot in a batch, over all, nowhere or everywhere."""
+    monkeypatch.setattr(repeats, "HOT_IN_BATCH", in_batch)
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", in_all)
     monkeypatch.setattr(repeats, "STRINGS_PER_SORT", 300)
-    rows = hot_rows() + [(500, "ab" * 80), (501, "ab" * 40), (3, hot_rows()[9][1]), (502, hot_rows()[5][1])]
+    rows = hot_rows() + [(500, "ab" * 80), (501, "ab" * 40), (3, hot_rows()[9][1]), (502, hot_rows()[5][1]), (None, hot_rows()[7][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert ordered(repeats.report(docs).collect()) == ordered(brute(rows))
 
 
-def test_hot_passages_are_dealt_over_ranges():
+def test_hot_passages_are_dealt_over_ranges(monkeypatch):
+    """Of a passage that most documents hold, no range of digits gets more than a few entries, and the strings at its edges
+    go to all ranges."""
+    monkeypatch.setattr(repeats, "HOT_IN_BATCH", 8)
     ranges, rows = 16, hot_rows()
     ids, texts = pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])
-    load = dict.fromkeys(range(ranges), 0)
-    dealt = [b for b in repeats._pass_digits(50, ranges)([pa.RecordBatch.from_arrays([ids, texts], ["doc", "text"])])]
-    for r in (r for b in dealt for r in b.to_pylist() if r["settled"]):
-        load[r["range"]] += len(r["docs"]) // 8
-    assert max(load.values()) < 3 * sum(load.values()) / ranges
-
-    found = [r for b in repeats._repeated_digits(1)(sorted(dealt_rows(dealt), key=lambda b: (b["range"][0].as_py(), b["settled"][0].as_py()))) for r in b.to_pylist()]
-    hot = np.frombuffer(b"".join(r["digits"] for r in found if r["doc"] is None), "<u8")
-    mine = {r["doc"]: r["digits"] for r in found if r["doc"] is not None}
-    part = pa.RecordBatch.from_arrays([ids, texts, pa.array(range(len(rows)), pa.int64()), pa.array([[mine[d]] for d, _ in rows], pa.list_(pa.binary()))], ["doc", "text", "mark", "digits"])
-    load = dict.fromkeys(range(ranges), 0)
-    for r in (r for b in repeats._pass_segments(50, ranges, hot)([part]) for r in b.to_pylist() if not r["settled"]):
-        load[r["range"]] += len(r["bytes"]) - 49
-    assert len(hot) and max(load.values()) < 3 * sum(load.values()) / ranges
-
-
-def dealt_rows(batches):
-    return [b.slice(i, 1) for b in batches for i in range(b.num_rows)]
+    names = repeats._schema(repeats.DIGITS, {"told": ""})
+    dealt = [r for b in repeats._pass_digits(50, ranges, ranges, names)([pa.RecordBatch.from_arrays([ids, texts], ["doc", "text"])]) for r in b.to_pylist()]
+    entries = np.concatenate([np.frombuffer(r["digit"], "<u8") for r in dealt if r["kind"] == 0])
+    assert np.unique(entries, return_counts=True)[1].max() <= 9
+    load = [sum(len(r["doc"]) // 8 for r in dealt if r["kind"] == 1 and r["to"] == to) for to in range(ranges)]
+    assert max(load) < 3 * sum(load) / ranges
+
+    told = {}
+    for r in dealt:
+        if r["kind"] == 1:
+            for d, m, k in zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("doc", "<i8"), ("mark", "<u8"), ("told", "<i1")))):
+                told.setdefault(d, []).append((m, k))
+    arrays = [pa.array([np.array([x[i] for x in told.get(d, [(2, 0)])], t).tobytes() for d, _ in rows], pa.binary()) for i, t in ((0, "<u8"), (1, "<i1"))]
+    part = pa.RecordBatch.from_arrays([ids, texts, pa.array(range(len(rows)), pa.int64()), *arrays], ["doc", "text", "row", "marks", "told"])
+    names = repeats._schema(repeats.PARTS, repeats.STRINGS, repeats.RUNS)
+    out = [r for b in repeats._pass_strings(50, ranges, ranges, names)([part]) for r in b.to_pylist()]
+    load = [sum(len(r["hash"]) // 8 for r in out if r["kind"] == 1 and r["to"] == to) for to in range(ranges)]
+    assert sum(load) > 400 and max(load) < 3 * sum(load) / ranges
