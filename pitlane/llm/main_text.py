@@ -28,12 +28,19 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertising adbox banne
 consent cookie cookies copyright discussion disqus footer form gdpr header legal login masthead menu menubar modal nav navbar
 navigation newsletter notice notices pager pagination popup promo promotion recommended related replies reply respond search
 share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets""".split())
-#: Those of MARKS that also go where they are prose inside an article: the readers' words.
+#: Those of MARKS that go wherever they stand, whatever they hold: the readers' words.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Those of MARKS that may also name a part of an article: inside one, what they name goes if it is short or mostly links.
+#: What any other of MARKS names goes there too, unless it holds most of the article.
+DOUBTFUL = frozenset("banner copyright footer form header legal promotion related search social widget widgets".split())
+#: The first heading of what readers wrote.
+RESPONSES = re.compile(r"\W*(\d+|no|leave an?|join the|reader|user)?\s*(reader |user )?(comments?|responses?|replies|discussion)\b[\s\d():]*(so far|yet)?\W*$", re.I)
 #: A start tag in the first set ends an open element of the second (up to an element that holds blocks).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("article aside body blockquote div dl fieldset figure footer form header html main nav ol section table td th tr ul".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+#: Points that an article or main element has from the start; characters a link of a menu has on average at most.
+BONUS, MENU_WORDS = 25, 20
 CONTAINERS = frozenset("html article main section div body td blockquote center".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 ALL_HEADINGS = HEADINGS | {"h4", "h5", "h6"}
@@ -123,32 +130,61 @@ def _sums(page: Page, dropped: list[bool], linked: list[bool]) -> tuple[list[int
     return below, links, own, commas, anchors
 
 
+def _responses(page: Page) -> set[int]:
+    """The sections and boxes whose first text is a heading of readers' comments."""
+    found, first = set(), {}
+    for i, text, _ in page.texts:
+        if text.strip():
+            at = i
+            while at > 0 and page.tag[at] not in ALL_HEADINGS:
+                at = page.parent[at]
+            heading = at if at > 0 else 0
+            up = i
+            while up > 0 and up not in first:
+                first[up] = (heading, text.strip())
+                up = page.parent[up]
+    for i, (heading, text) in first.items():
+        if heading and heading != i and page.tag[i] in ("section", "div", "ol", "ul") and RESPONSES.match(text):
+            above = page.parent[heading]
+            while above > 0 and above != i:
+                above = page.parent[above]
+            if above == i:
+                found.add(i)
+    return found
+
+
 def main_text(html: str) -> str:
     """The main text of a page; empty if it has none."""
     page = Page(html)
     n = len(page.tag)
-    dropped, linked, in_article, doubtful = [False] * n, [False] * n, [False] * n, []
+    dropped, linked, article, doubtful, named_in = [False] * n, [False] * n, [0] * n, [], []
+    responses = _responses(page)
     for i in range(1, n):
         up, tag = page.parent[i], page.tag[i]
-        article = in_article[up] or tag in ("article", "main")
         named = tag not in ("html", "body", "main") and page.label[i] != " " and marked(page.label[i])
-        if named and in_article[up] and (tag in ALL_HEADINGS or not marked(page.label[i], COMMENTS)):
+        if named and article[up] and (tag in ALL_HEADINGS or not marked(page.label[i], COMMENTS)):
             named = False
             if tag not in ALL_HEADINGS:
-                doubtful.append(i)
-        furniture = tag in NO_TEXT or tag in FURNITURE or page.hidden[i] or named or (tag == "header" and not in_article[up])
-        dropped[i], linked[i], in_article[i] = dropped[up] or furniture, linked[up] or tag == "a", article
+                (doubtful if marked(page.label[i], DOUBTFUL) else named_in).append(i)
+        furniture = tag in NO_TEXT or tag in FURNITURE or page.hidden[i] or named or i in responses or (tag == "header" and not article[up])
+        dropped[i], linked[i] = dropped[up] or furniture, linked[up] or tag == "a"
+        article[i] = article[up] or (i if tag in ("article", "main") else 0)
     below, links, own, commas, anchors = _sums(page, dropped, linked)
-    # Inside an article a name alone says little: what has it goes if it is short or mostly links too.
-    if doubtful:
+    # Inside an article a name that could be a part's own goes by what it names; others go unless they are the article.
+    if doubtful or named_in:
         for i in doubtful:
             dropped[i] = dropped[i] or not (below[i] > 80 and links[i] < 0.25 * below[i])
+        for i in named_in:
+            dropped[i] = dropped[i] or below[i] <= 0.5 * below[article[i]]
         for i in range(1, n):
             dropped[i] = dropped[i] or dropped[page.parent[i]]
         below, links, own, commas, anchors = _sums(page, dropped, linked)
-    # Lists and boxes that are nearly all links are menus, whatever they are called.
+    # Lists and boxes that are nearly all links are menus, whatever they are called; inside an article only if the links are
+    # a few words each, as references and paragraphs of links are the article's own.
     for i in range(1, n):
         menu = page.tag[i] in ("ul", "ol", "div", "table", "section", "p") and anchors[i] >= 3 and links[i] > 0.66 * below[i]
+        if menu and article[page.parent[i]]:
+            menu = page.tag[i] not in ("ol", "p") and links[i] > 0.9 * below[i] and links[i] <= MENU_WORDS * anchors[i]
         dropped[i] = dropped[i] or dropped[page.parent[i]] or menu
     points = [0.0] * n
     for i in range(n):
@@ -164,11 +200,15 @@ def main_text(html: str) -> str:
     density = [links[i] / below[i] if below[i] else 0.0 for i in range(n)]
     best, most = -1, 0.0
     for i in range(n):
-        final = points[i] * (1 - density[i]) + 25 * (page.tag[i] in ("article", "main") and below[i] > 0)
+        final = points[i] * (1 - density[i]) + BONUS * (page.tag[i] in ("article", "main") and below[i] > 0)
         if not dropped[i] and page.tag[i] not in ("p", "a", "b", "i", "span") and below[i] and final > most:
             best, most = i, final
     if best < 0:
         return ""
+    if page.tag[best] == "article" and most > 0:
+        # Readers' comments may be articles too: the first that is worth half as much as the best is the page's.
+        best = next(i for i in range(1, n) if page.tag[i] == "article" and not dropped[i] and below[i] and 2 * (points[i] * (1 - density[i]) + BONUS) >= most)
+        most = points[best] * (1 - density[best]) + BONUS
     inside = best
     while inside > 0 and page.tag[inside] not in ("article", "main"):
         inside = page.parent[inside]

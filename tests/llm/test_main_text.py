@@ -45,3 +45,27 @@ def test_siblings_and_names_in_articles():
         assert main_text(html) == f"{a}\n{b}"
     assert main_text(f"<article><h2 id='search'>Search</h2><p>{a}</p><h5 class='legal'>Law</h5><p>{b}</p></article>") == f"Search\n{a}\nLaw\n{b}"
     assert main_text(f"<body><article><p>{a}</p></article><div><a href='#'>x</a> <a href='#'>y</a></div></body>") == a
+
+
+LONG = "A box with much more than eighty characters of text in it, none of them links, which is not the article's own at all."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<main><p>{P1}</p><p>{P2}</p><div class=sidebar>{LONG}</div></main>", f"{P1}\n{P2}"),
+    (f"<main><p>{P1}</p><p>{P2}</p><div id=newsletter><p>{LONG}</p></div></main>", f"{P1}\n{P2}"),
+    (f"<article><p>{P1}</p><p>{P2}</p><div class=cookie-notice>{LONG}</div></article>", f"{P1}\n{P2}"),
+    (f"<article><p>{P1}</p><p>{P2}</p><div class=advert><p>{LONG}</p></div><p class=notice>Short.</p></article>", f"{P1}\n{P2}"),
+    (f"<article><div class='post widget-area notice'><p>{P1}</p><p>{P2}</p></div><p>End.</p></article>", f"{P1}\n{P2}\nEnd."),
+    (f"<article><p>{P1}</p><h2>References</h2><ol><li><a href=a>A first work that is cited here</a><li><a href=b>A second work of another author</a>"
+     f"<li><a href=c>A third one</a></ol></article>", f"{P1}\nReferences\nA first work that is cited here\nA second work of another author\nA third one"),
+    (f"<article><p>{P1}</p><ul><li><a href=a>A first work that is cited here</a><li><a href=b>A second work of another author</a>"
+     f"<li><a href=c>A third one, cited too, at length</a></ul></article>",
+     f"{P1}\nA first work that is cited here\nA second work of another author\nA third one, cited too, at length"),
+    (f"<article><p>{P1}</p><p><a href=a>One</a>, <a href=b>two</a> and <a href=c>three</a></p></article>", f"{P1}\nOne, two and three"),
+    (f"<body><article><h1>T</h1><p>{P1}</p></article><section><h3>3 responses</h3><article><p>{P2} {P2}</p></article></section></body>", f"T\n{P1}"),
+    (f"<body><article><h1>T</h1><p>{P1}</p></article><section><article><p>{P2} And a little more, to be the longer one.</p></article></section></body>",
+     f"T\n{P1}\n{P2} And a little more, to be the longer one."),
+    (f"<article><p>{P1}</p><section><h2>Discussion of results</h2><p>{P2}</p></section></article>", f"{P1}\nDiscussion of results\n{P2}"),
+])
+def test_named_boxes_references_and_responses(html, text):
+    assert main_text(html) == text
