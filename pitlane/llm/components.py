@@ -11,22 +11,91 @@ from pyspark.sql import functions as F
 
 from pitlane.llm.common import materialise
 
+#: Links that a task connects at a time.
+LINKS_AT_ONCE = 1_000_000
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, roots) of all ids in some links: root is the smallest id that an id is connected to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[:len(a)], at[len(a):], np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (root[x], root[y], x, y):
+            np.minimum.at(new, end, low)
+        while (jumped := new[new]).tolist() != new.tolist():
+            new = jumped
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as stars (id, root) of the components that the task's own links make; roots stand there with themselves."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= LINKS_AT_ONCE:
+            yield _star_rows(held)
+            held, n = [], 0
+    if n:
+        yield _star_rows(held)
+
+
+def _star_rows(held: list) -> pa.RecordBatch:
+    ids, roots = spanning(*(np.concatenate(x) for x in zip(*held)))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], ["id", "root"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of an id's stars (rows in order of the id): its smallest root (kind 0), and links from its other roots to that one, as
+    stars again (kind 1)."""
+    names = ["kind", "id", "root"]
+
+    def rows(kind: int, ids: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(roots)], names)
+
+    def settle(ids: np.ndarray, roots: np.ndarray):
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        least = np.minimum.reduceat(roots, first)
+        yield rows(0, ids[first], least)
+        to = np.repeat(least, np.diff(np.append(first, len(ids))))
+        other = roots != to
+        if other.any():
+            yield rows(1, *spanning(roots[other], to[other]))
+
+    ids, roots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        ids, roots = np.concatenate([ids, batch.column(0).to_numpy()]), np.concatenate([roots, batch.column(1).to_numpy()])
+        if len(ids) >= LINKS_AT_ONCE and ids[0] != ids[-1]:
+            behind = int(np.searchsorted(ids, ids[-1]))  # the last id may have more rows to come
+            yield from settle(ids[:behind], roots[:behind])
+            ids, roots = ids[behind:], roots[behind:]
+    if len(ids):
+        yield from settle(ids, roots)
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in links (a, b): root is the smallest id that it is linked to over any number of links.
 
-    Every round takes the smallest root among an id's neighbours (a partial aggregation, so a hub costs one row a
-    task) and then the root's root. Rounds end when no root changes; each is written to the shared folder."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    roots = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    Every task first connects what its own links connect, so what leaves it is one row an id. Ids that several tasks have
+    found then link the roots that these gave them, which are far fewer, and the same is done with those links until none is
+    left: one exchange a round. Each round is written to the shared folder."""
+    stars, found = links.select("a", "b").where("a <> b").mapInArrow(_stars, "id long, root long"), []
     while True:
-        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("was"))
-        jump = roots.select(F.col("id").alias("next"), F.col("root").alias("jumped"))
-        new = materialise(step.join(jump, "next").select("id", F.least("next", "jumped").alias("root"), (F.least("next", "jumped") != F.col("was")).alias("moved")), "roots")
-        if not new.where("moved").limit(1).count():
-            return new.select("id", "root")
-        roots = new.select("id", "root")
+        step = materialise(stars.repartition("id").sortWithinPartitions("id").mapInArrow(_merged, "kind int, id long, root long"), "roots")
+        found.append(step.where("kind = 0").select("id", "root"))
+        again = step.where("kind = 1").select("id", "root")
+        if again.isEmpty():
+            break
+        stars = again
+    out = found.pop()
+    while found:  # a round's roots are the ids of the next
+        up = out.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        out = found.pop().join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+    return out
 
 
 def block_pairs(rows: DataFrame, group: str, size: str, row_id: str, limit: int, far: bool | None = None) -> DataFrame:
