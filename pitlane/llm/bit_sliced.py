@@ -10,20 +10,20 @@ left equal at the end tie exactly and go in order of their ids.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pitlane.llm.common import materialise
+from pitlane.llm.hard_negatives import HIGH, LOW, quantised, streamed
 
-#: Rows of an index block, and queries of a query block: what one task holds at a time.
+#: Rows of an index block, and queries of a part: what one task holds at a time.
 ROWS_PER_BLOCK = 16_384
-QUERIES_PER_BLOCK = 128
+QUERIES_PER_PART = 256
 #: Words of 64 rows that are added up at a time, so that the work stays in the processor's cache.
 WORDS = 256
-#: Quantised values must stay below this in size, so that sums of some thousand products fit 64 bits.
-MOST = 1 << 24
+#: Quantised values below this in size are held as 64-bit numbers, others as whole numbers of any size.
+MOST = 2.0**61
 
 
 def to_bits(flags: np.ndarray) -> np.ndarray:
@@ -46,6 +46,9 @@ class BlockIndex:
 
     @classmethod
     def build(cls, ids: np.ndarray, values: np.ndarray) -> BlockIndex:
+        """values: whole numbers held as doubles."""
+        small = not values.size or np.abs(values).max() < MOST
+        values = values.astype(np.int64) if small else np.array([[int(x) for x in row] for row in values], object)
         order = np.argsort(ids, kind="stable")
         values, low = values[order], values.min(0)
         above = (values - low).T
@@ -58,7 +61,7 @@ class BlockIndex:
         A negative query value is handled by the complement of the attribute's digits, so all terms are added."""
         shift = 0
         terms: dict[int, list[np.ndarray]] = {}
-        for q, low, bits in zip(query.tolist(), self.low.tolist(), self.slices):
+        for q, low, bits in zip(map(int, query), self.low.tolist(), self.slices):
             bits, shift = bits[:, at], shift + q * low
             if q < 0:
                 bits, shift = ~bits, shift + q * ((1 << len(bits)) - 1)
@@ -135,30 +138,34 @@ def value_at(slices: np.ndarray, rows: np.ndarray) -> list[int]:
 
 
 def best_of_block(index: BlockIndex, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(id, score) of the k best rows of a block for a query, without rows of the query's own id."""
+    """(id, score) of the k best rows of a block for a query, without rows of the query's own id. Scores outside 64 bits
+    are the nearest 64-bit number; where there could be such, all rows' sums are read off and ordered as these."""
     allowed = to_bits(index.ids != query_id)
     found: list[tuple[int, int]] = []
     for start in range(0, index.words, WORDS):
         at = slice(start, min(start + WORDS, index.words))
         sums, shift = index.scores(query, at)
         sums = sums if len(sums) else np.zeros((1, at.stop - at.start), np.uint64)
-        rows = top(sums, allowed[at], k)
-        found += zip(index.ids[rows + 64 * start].tolist(), [v + shift for v in value_at(sums, rows)])
+        rows = top(sums, allowed[at], k) if abs(shift) + (1 << len(sums)) <= HIGH else from_bits(allowed[at])
+        found += zip(index.ids[rows + 64 * start].tolist(), [min(max(v + shift, LOW), HIGH) for v in value_at(sums, rows)])
     return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
 
 
-def quantised(vectors: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part: v = floor(scale * component), components as double."""
+def taking_part(vectors: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
+    """(id, x, scale) of the rows that take part, components as double."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
-    v = F.transform(x, lambda c: F.floor(c * scale))
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector)).where(finite)
-    return rows.select("id", F.when(F.forall(v, lambda c: F.abs(c) < MOST), v).otherwise(
-        F.raise_error(F.lit(f"a quantised component is {MOST} or more")).cast("array<bigint>")).alias("v"))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(finite)
+    return rows.select(F.col(key).cast("long").alias("id"), x.alias("x"), F.lit(scale).alias("scale"))
 
 
-INDEX = "block long, dims int, ids binary, low binary, digits binary, bits binary"
-FOUND = "query_id long, vec_id long, score long"
+#: Packed rows: a block of the index (ids, slices), or the queries of a part (aids, ids, vectors).
+PACKED = "block long, dims int, aids binary, ids binary, vectors binary, low binary, digits binary, bits binary"
+
+
+def packed(row: dict) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_pylist([row], pa.schema([(n, kinds[t]) for n, t in (c.split() for c in PACKED.split(", "))]))
 
 
 def build_index(rows: DataFrame) -> DataFrame:
@@ -168,40 +175,55 @@ def build_index(rows: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        number, held = TaskContext.get().partitionId() << 32, {}
 
-        def block(dims: int) -> dict:
-            nonlocal made
-            ids, values = (np.concatenate(x) for x in zip(*held.pop(dims)))
-            index = BlockIndex.build(ids, values)
-            made += 1
-            return {"block": (part << 32) + made, "dims": dims, "ids": index.ids.astype("<i8").tobytes(), "low": index.low.astype("<i8").tobytes(),
-                    "digits": np.array([len(s) for s in index.slices], np.uint8).tobytes(), "bits": b"".join(s.tobytes() for s in index.slices)}
+        def block(dims: int) -> pa.RecordBatch:
+            nonlocal number
+            ids, values = zip(*held.pop(dims))
+            index = BlockIndex.build(np.array(ids, np.int64), np.array(values, np.float64).reshape(len(ids), dims))
+            number += 1
+            return packed({"block": number, "dims": dims, "ids": index.ids.astype("<i8").tobytes(), "low": ",".join(map(str, index.low.tolist())).encode(),
+                           "digits": np.array([len(s) for s in index.slices], "<u2").tobytes(), "bits": b"".join(s.tobytes() for s in index.slices)})
 
         for batch in batches:
-            sizes = batch["v"].map(len).to_numpy()
-            for dims in np.unique(sizes).tolist():
-                rows = batch[sizes == dims]
-                ids, values = rows["id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.int64).reshape(len(rows), dims)
-                while len(ids):
-                    mine = held.setdefault(dims, [])
-                    room = ROWS_PER_BLOCK - sum(len(i) for i, _ in mine)
-                    mine.append((ids[:room], values[:room]))
-                    ids, values = ids[room:], values[room:]
-                    if sum(len(i) for i, _ in mine) == ROWS_PER_BLOCK:
-                        yield pd.DataFrame([block(dims)])
+            scale = batch.column("scale")[0].as_py() if len(batch) else 1
+            for i, x in zip(batch.column("id").to_pylist(), quantised(batch.column("x"), scale)):
+                mine = held.setdefault(len(x), [])
+                mine.append((i, x))
+                if len(mine) == ROWS_PER_BLOCK:
+                    yield block(len(x))
         for dims in sorted(held):
-            yield pd.DataFrame([block(dims)])
+            yield block(dims)
+
+    return materialise(rows.mapInArrow(run, PACKED), "bit-slices")
+
+
+def pack_queries(asked: DataFrame, parts: int) -> DataFrame:
+    """One row (its number is the part) for the queries (aid, id, x, scale) of a part and one length."""
+
+    def run(key, rows):
+        vectors = [x for chunk in rows.column("x").chunks for x in quantised(chunk, rows.column("scale")[0].as_py())]
+        return pa.Table.from_batches([packed({"block": key[0].as_py(), "dims": key[1].as_py(), "aids": rows.column("aid").to_numpy().astype("<i8").tobytes(),
+                                              "ids": rows.column("id").to_numpy().astype("<i8").tobytes(), "vectors": np.array(vectors, "<f8").tobytes()})])
+
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("aid"), F.lit(parts))).withColumn("dims", F.size("x"))
+    return dealt.groupBy("part", "dims").applyInArrow(run, PACKED)
+
 
-    return materialise(rows.where(F.size("v") > 0).mapInPandas(run, INDEX), "bit-slices")
+class Queries:
+    def __init__(self, row: dict):
+        self.aids, self.ids = (np.frombuffer(row[c], "<i8").tolist() for c in ("aids", "ids"))
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(len(self.ids), row["dims"])
 
 
-def opened(row) -> BlockIndex:
-    ids = np.frombuffer(row.ids, "<i8")
-    digits, bits = np.frombuffer(row.digits, np.uint8), np.frombuffer(row.bits, "<u8").reshape(-1, -(-len(ids) // 64))
+def opened(row: dict) -> BlockIndex | Queries:
+    if row["bits"] is None:
+        return Queries(row)
+    ids = np.frombuffer(row["ids"], "<i8")
+    digits, bits = np.frombuffer(row["digits"], "<u2"), np.frombuffer(row["bits"], "<u8").reshape(-1, -(-len(ids) // 64))
     at = np.concatenate([[0], np.cumsum(digits.astype(int))])
-    return BlockIndex(ids, np.frombuffer(row.low, "<i8"), [bits[a:b] for a, b in zip(at, at[1:])])
+    low = np.array([int(x) for x in row["low"].decode().split(",") if x], object)
+    return BlockIndex(ids, low, [bits[a:b] for a, b in zip(at, at[1:])])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -209,30 +231,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, key
     the quantised vectors, ties to the smaller id, ranks from 1; all rows if fewer than k.
 
     Rows of the query's own id are no candidates. Rows with a null id, a null vector, or a null or non-finite
-    component take no part, on either side; empty vectors neither. Vectors are compared with those of their length.
-    A repeated candidate row counts as often as it is there; a repeated query id asks once, with the smallest of its
-    vectors. Further columns are not read, empty tables give no rows.
-
-    The query set meets all blocks of the index: every pair of an index block and a query block is one group of
-    bounded size, and only k rows a query and block come out of it."""
-    index = build_index(quantised(vectors, scale, key, vector))
-    asked = quantised(queries, scale, key, vector).groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    n = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)))
-    # Both sides go to every pair of blocks: rows of the index once for each query block, queries once for each block.
-    blocks = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    packed = asked.groupBy("dims", "part").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    spread = packed.join(index.select("block", "dims"), "dims").select(
-        F.col("block").alias("to_block"), F.col("part").cast("int").alias("to_part"), "asked")
-
-    def pair(keys, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for row in rows.itertuples():
-            block = opened(row)
-            for q in (q for many in asked["asked"] for q in many):
-                found += [(q["id"], i, s) for i, s in best_of_block(block, q["id"], np.array(q["v"], np.int64), k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = blocks.groupBy("block", "part").cogroup(spread.groupBy("to_block", "to_part")).applyInPandas(pair, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    component take no part, on either side. Vectors are compared with those of their length; empty ones score 0.
+    Components may be of any size; scores outside 64 bits count as the nearest 64-bit number. A repeated candidate row
+    counts as often as it is there; every row of a repeated query id asks for itself. Further columns are not read,
+    empty tables give no rows.
+
+    The query set meets all blocks of the index: tasks stream blocks past one part of the queries, and only the k best
+    rows a query and stream come out."""
+    spark = vectors.sparkSession
+    index = build_index(taking_part(vectors, scale, key, vector))
+    asked = materialise(taking_part(queries, scale, key, vector).withColumn("aid", F.monotonically_increasing_id()), "queries")
+    parts = max(1, -(-asked.count() // QUERIES_PER_PART))
+    lanes = max(1, min(index.count(), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)))
+
+    def visit(state, queries, block):
+        for i, (query_id, query) in enumerate(zip(queries.ids, queries.vectors)):
+            found = state.get(i, []) + best_of_block(block, query_id, query, k)
+            state[i] = sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+
+    def finish(state, queries):
+        rows = [(queries.aids[i], queries.ids[i], *f) for i, found in state.items() for f in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["aid", "query_id", "vec_id", "score"])
+
+    found = streamed(index, pack_queries(asked, parts), parts, lanes, visit, finish, "aid long, query_id long, vec_id long, score long", "found", opened)
+    rank = F.row_number().over(Window.partitionBy("aid").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

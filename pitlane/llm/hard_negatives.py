@@ -254,9 +254,10 @@ def pack_anchors(anchors: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part", "dims").applyInArrow(run, PACKED)
 
 
-def streamed(index: DataFrame, packed: DataFrame, parts: int, lanes: int, visit, finish, schema: str, name: str) -> DataFrame:
+def streamed(index: DataFrame, packed: DataFrame, parts: int, lanes: int, visit, finish, schema: str, name: str, opened=Packed) -> DataFrame:
     """visit(state, anchors, block) for every part of the anchors and every block of the index, and finish(state, anchors)
-    for a part's results, written. Each pair of part and lane is a stream of its own: first its anchors, then its blocks."""
+    for a part's results, written. Each pair of part and lane is a stream of its own: first its anchors, then its blocks.
+    index and packed have the same columns; opened makes anchors and blocks of their rows."""
     head = packed.withColumn("kind", F.lit(0)).withColumn("part", F.col("block")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     body = (index.withColumn("kind", F.lit(1)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
             .withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")))
@@ -271,9 +272,9 @@ def streamed(index: DataFrame, packed: DataFrame, parts: int, lanes: int, visit,
                         yield from finish(state, anchors)
                     key, open_ = (row["part"], row["lane"]), {}
                 if row["kind"] == 0:
-                    open_[row["dims"]] = Packed(row), {}
+                    open_[row["dims"]] = opened(row), {}
                 elif row["dims"] in open_:
-                    visit(open_[row["dims"]][1], open_[row["dims"]][0], Packed(row))
+                    visit(open_[row["dims"]][1], open_[row["dims"]][0], opened(row))
         for anchors, state in open_.values():
             yield from finish(state, anchors)
 
