@@ -1,6 +1,6 @@
 """Merkle dataset manifest: bitmap ranks give every leaf its coordinates, keyed slot arrays reduce the levels.
 
-Each task turns its rows' ids into compressed bitmaps, one for each group and run of 65,536 ids; bitmaps of one run are
+Each task turns its rows' ids into compressed bitmaps, one for each group and run of RUN ids; bitmaps of one run are
 merged, and running sums over the bitmaps' counts make the directory: how many rows of the group come before a run. A
 row's place in its group is that number plus the bits below its own, counted with a directory of popcounts by word, so
 that no leaves are sorted. Leaves then go to slot arrays keyed by (group, place / 4096) and each array reduces its
@@ -25,8 +25,10 @@ from pitlane.llm.common import bounds, materialise, partitions_for
 #: Children of a node, levels that one slot array reduces, and its slots.
 ARITY, LEVELS = 8, 4
 SLOTS = ARITY**LEVELS
-#: Ids of a bitmap; from so many ids on it is stored as bits, below as sorted 16-bit numbers.
-RUN, DENSE = 1 << 16, 4096
+#: Ids of a bitmap; from so many ids on it is stored as bits, below as sorted 16-bit numbers. A run is what one task takes
+#: at a time.
+RUN_BITS = 13
+RUN, DENSE = 1 << RUN_BITS, (1 << RUN_BITS) // 16
 #: The run of null ids: below that of every 64-bit id.
 NULL_RUN = -(1 << 62)
 #: Rows of running totals or of groups up to which they are broadcast; beyond, they are joined by a shuffle.
@@ -54,7 +56,7 @@ def leaf_hash(columns: list[Column]) -> Column:
 # -- compressed bitmaps -----------------------------------------------------------------------------------------------
 
 def pack(lows: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """(bitmap, repeats) of sorted distinct 16-bit numbers: the bitmap as bits or as the numbers themselves, whichever is
+    """(bitmap, repeats) of sorted distinct numbers below RUN: the bitmap as bits or as the numbers themselves, whichever is
     shorter; repeats as pairs (number, count) of those counted more than once."""
     many = counts > 1
     repeats = np.stack([lows[many], counts[many]], 1).astype("<i8").tobytes()
@@ -134,13 +136,13 @@ def leaves_of(docs: DataFrame, key: str, group: str, columns: list[str], text: s
     the leaf, and what the leaf becomes by tampering (null where that is the same)."""
     cols = [F.col(c) for c in columns]
     doc = F.col(key).cast("long")
-    # A run number is the id without its 16 lowest bits, which hold the place.
+    # A run number is the id without its lowest bits, which hold the place.
     lowered = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     hit = (F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 0) & (lowered != F.col(text))
     bad = [lowered if c == text else F.col(c) for c in columns]
     return materialise(docs.select(
         F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string"))).alias("g"),
-        F.coalesce(F.shiftright(doc, 16), F.lit(NULL_RUN)).alias("run"), F.coalesce(doc.bitwiseAND(F.lit(RUN - 1)), F.lit(0)).cast("int").alias("low"),
+        F.coalesce(F.shiftright(doc, RUN_BITS), F.lit(NULL_RUN)).alias("run"), F.coalesce(doc.bitwiseAND(F.lit(RUN - 1)), F.lit(0)).cast("int").alias("low"),
         F.col(key).alias("doc"), leaf_hash(cols).alias("leaf"), F.when(hit, leaf_hash(bad)).alias("bad")), "merkle-leaves")
 
 
