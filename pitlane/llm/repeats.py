@@ -454,9 +454,16 @@ def _runs_by_document(batches):
                                              ["doc", "mark", "runs"])
 
 
-def removed_bytes(size: int, runs: bytes, length: int) -> np.ndarray:
-    """(start, end) rows, in order and apart, of the bytes covered by the strings of a document's runs."""
+def removed_bytes(size: int, runs: bytes, length: int, counts=None) -> np.ndarray:
+    """(start, end) rows, in order and apart, of the bytes covered by the strings of a document's runs. counts(start, end)
+    says whether a passage, a run of strings one byte apart, does."""
     pairs = np.frombuffer(runs, "<i4").reshape(-1, 2).astype(np.int64)
+    if counts is not None and len(pairs):
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        end = np.maximum.accumulate(pairs.sum(1))
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > end[:-1]]))
+        last = np.append(first[1:], len(pairs)) - 1
+        pairs = np.array([(a, b - a) for a, b in zip(pairs[first, 0].tolist(), end[last].tolist()) if counts(a, b - 1 + length)], np.int64).reshape(-1, 2)
     if not len(pairs):
         return np.zeros((0, 2), np.int64)
     change = np.zeros(size + 1, np.int64)
@@ -489,11 +496,13 @@ def repeated_runs(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     return materialise(gone.repartition(n, "to").sortWithinPartitions("to").mapInArrow(_runs_by_document, "doc long, mark long, runs binary"), "runs")
 
 
-def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", keep=None, least_bytes: int = 0,
+                    least_words: int = 0) -> DataFrame:
     """(kept, n_bytes, removed, kept_bytes) of every row of docs: its UTF-8 text without each byte that is covered by a
     string of `length` bytes that also starts in a document with a smaller key (an integer); removed holds the
     removed parts' starts and ends, flat. Strings are looked for in the texts as given; they lie in one document.
-    kept is the column `keep` (default: the whole row as a struct), handed through.
+    kept is the column `keep` (default: the whole row as a struct), handed through. With least_bytes, a repeated passage
+    (strings of which each starts a byte after the last) goes only if it has so many bytes, or least_words words.
 
     Null texts count as empty. Rows with a null key lose nothing and take nothing from others. Rows of one key take
     nothing from each other, whether their texts are equal or not. Texts shorter than `length` stay whole, of any
@@ -510,7 +519,8 @@ def without_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text
             for part, texts in _texts(batch, "text"):
                 gone, left = [], []
                 for raw, found in zip(texts, part.column("runs").to_pylist()):
-                    parts = removed_bytes(len(raw), found or b"", length)
+                    counts = (lambda a, b, raw=raw: b - a >= least_bytes or len(raw[a:b].split()) >= least_words) if least_bytes else None
+                    parts = removed_bytes(len(raw), found or b"", length, counts)
                     gone.append(parts.ravel().tolist())
                     at = [0, *gone[-1], len(raw)]
                     left.append(b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2])))

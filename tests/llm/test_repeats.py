@@ -81,6 +81,16 @@ def test_kept_text_and_length(spark):
         repeats.repeated_runs(docs, 10)
 
 
+def test_least_passages(spark):
+    """Passages count by bytes or by words; what is too short by both stays."""
+    words, short, long = "a b c d e f " * 6, "thirty-six-words-would-be-too-few-for-this one", "q" * 90
+    rows = [(1, f"x1 {words}y1 {short}z1 {long}w1"), (2, f"x2 {words}y2 {short}z2 {long}w2")]
+    out = {r["kept"]["doc_id"]: r for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 30, least_bytes=80, least_words=30).collect()}
+    assert out[1]["removed"] == []
+    gone = [rows[1][1][a:b] for a, b in zip(out[2]["removed"][::2], out[2]["removed"][1::2])]
+    assert [g.strip() for g in gone] == [(words + "y").strip(), (long + "w").strip()]
+
+
 def hot_rows():
     """A passage in most documents, which go on differently at both of its edges."""
     passage = prose(4000, 30)
