@@ -17,8 +17,9 @@ from pitlane.llm.libraries import vocabulary
 
 #: Documents that the classifier finds less likely to be good than bad are rejected.
 LEAST_SCORE = 0.5
-#: Passages of this many bytes are removed where a document with a smaller id has them.
-REPEAT_BYTES = 200
+#: Passages of so many bytes, or of so many words, are removed where a document with a smaller id has them; strings of
+#: STRING_BYTES tell passages, the least that so many words can have.
+PASSAGE_BYTES, PASSAGE_WORDS, STRING_BYTES = 200, 50, 99
 #: Benchmark windows are this many words; a document that lies inside them by more than this share goes altogether.
 WINDOW, MOST_COVERED = 10, 0.8
 
@@ -48,9 +49,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of REPEAT_BYTES or more that a document with a smaller id has; a character of which a part
+    """Texts without passages of PASSAGE_BYTES or PASSAGE_WORDS that a document with a smaller id has; a character of which a part
     goes does so altogether. Null texts stay null; a document of which nothing is left stays, with an empty text."""
-    cut = repeats.without_repeats(docs, REPEAT_BYTES)
+    cut = repeats.without_repeats(docs, STRING_BYTES, least_bytes=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
     changed = F.size("removed") > 0
     text = F.when(changed, repeats.valid_text(F.col("kept_bytes"))).otherwise(F.col("kept.text"))
     return with_text(cut, docs, text)
