@@ -138,4 +138,5 @@ DEMO_LAP = {
 }
 
 # --- fixed values: spellings read as missing in text columns
-NULL_STRINGS = ["", "NA", "NaN", "null", "None", "N/A"]
+NULL_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                "NaN", "None", "n/a", "nan", "null"]

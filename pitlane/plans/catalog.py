@@ -196,6 +196,18 @@ def q_race_encode(spark, sf):
     return out.select("row_key", CL.race_text().alias("race_text"), "race_encoded")
 
 
+@query("race_code_dictionary", with_ctes(
+    ["laps"], "SELECT t AS race_text, CAST(row_number() OVER (ORDER BY version, t) - 1 AS INTEGER) AS race_encoded, CAST(version AS INTEGER) AS version "
+              "FROM (SELECT coalesce(race, 'nan') AS t, CASE WHEN min(year) < (SELECT max(year) FROM laps) THEN 1 ELSE 2 END AS version "
+              "FROM laps WHERE year IS NOT NULL GROUP BY 1)"))
+def q_race_code_dictionary(spark, sf):
+    """W01 across runs: codes of all years but the last, then extended by the races of the last without moving any."""
+    from pitlane.operators.codes import extend_codes
+    lp = laps(spark, sf).where(F.col("year").isNotNull())
+    last = lp.agg(F.max("year")).first()[0]
+    return extend_codes(extend_codes(None, lp.where(F.col("year") < last)), lp)
+
+
 @query("year_offset", with_ctes(["enc"], "SELECT row_key, year, year_encoded FROM enc"))
 def q_year_offset(spark, sf):
     """A04 + F11."""
@@ -492,6 +504,28 @@ def q_race_gaps(spark, sf):
     return laps(spark, sf).select("row_key", *[v.alias(k) for k, v in cols.items()])
 
 
+_GAPS_SQL = {c: f"CASE WHEN {x} IS NULL THEN 0.001e0 ELSE greatest(0.001e0, {x}) END" for c, x in (
+    ("ahead", "round_even((0.5e0 + lap_time_delta * 0.1e0) * 1000e0, 0) / 1000e0"),
+    ("behind", "round_even((0.8e0 + abs(position_change) * 0.05e0) * 1000e0, 0) / 1000e0"))}
+
+
+@query("gap_texts", with_ctes(
+    ["laps"], f"SELECT row_key, '+' || CAST({_GAPS_SQL['ahead']} AS VARCHAR) || 's' AS ahead, '-' || CAST({_GAPS_SQL['behind']} AS VARCHAR) || 's' AS behind FROM laps"))
+def q_gap_texts(spark, sf):
+    """the gaps of every lap as text, with their floor (a missing gap reads as the floor)."""
+    from pitlane.functions.carstate import gap_text, race_gap_columns
+    cols = race_gap_columns()
+    return laps(spark, sf).select("row_key", gap_text(cols["gap_ahead"], "+").alias("ahead"), gap_text(cols["gap_behind"], "-").alias("behind"))
+
+
+@query("lap_events", with_ctes(
+    ["laps"], "SELECT row_key, 'LAP ' || CAST(lap_number AS VARCHAR) AS time, 'SIM_LAP_REPLAY' AS event, 'normal' AS type FROM laps"))
+def q_lap_events(spark, sf):
+    """the event log of every lap, one row an entry."""
+    from pitlane.functions.carstate import lap_event_log
+    return laps(spark, sf).select("row_key", F.explode(lap_event_log()).alias("e")).select("row_key", "e.time", "e.event", "e.type")
+
+
 @query("tyre_wear", with_ctes(
     ["laps"], "SELECT row_key, b AS wear_fl, greatest(5, b - 4) AS wear_fr, least(95, b + 6) AS wear_rl, "
               "least(95, b + 5) AS wear_rr FROM (SELECT row_key, "
@@ -720,6 +754,18 @@ def q_regression_metrics(spark, sf):
     return m.select(rh("mae", 4).alias("mae"), rh("mse", 4).alias("mse"), rh("r2", 4).alias("r2"), "n")
 
 
+@query("real_vs_predicted", with_ctes(
+    ["enc"], f"SELECT row_key, {r('laptime_normalized', 9)} AS real, {r('predicted', 9)} AS predicted, "
+             f"(SELECT {r('least(min(laptime_normalized), min(predicted))', 9)} FROM te) AS lo, "
+             f"(SELECT {r('greatest(max(laptime_normalized), max(predicted))', 9)} FROM te) AS hi FROM te ORDER BY row_key LIMIT 60", [MATRIX_CTE, TEST_SQL]))
+def q_real_vs_predicted(spark, sf):
+    """The first 60 pairs of the test split in key order, and the ends of the diagonal over all of it."""
+    from pitlane.operators.evaluate import real_vs_predicted
+    head, diag = real_vs_predicted(_test_rows(spark, sf), REGRESSION_TARGET, "predicted")
+    return head.select("row_key", rh("real", 9).alias("real"), rh("predicted", 9).alias("predicted"),
+                       rh(diag.select("lo").scalar(), 9).alias("lo"), rh(diag.select("hi").scalar(), 9).alias("hi"))
+
+
 RESULTS_SQL = (f"SELECT row_key, {r('laptime_normalized', 9)} AS real, {r('predicted', 9)} AS predicted, "
                "lap_time_s AS laptime_s, tyre_life, position, compound, ers_status, superclipping_duration, "
                "coalesce(race, 'Unknown') AS race, lap_number AS lap, race_progress FROM te")
@@ -843,14 +889,14 @@ def q_recent_events(spark, sf):
     return top.select("event_id", iso_text("ts").alias("ts"), "user_id", "event_type", "value")
 
 
-def _through_history(spark, rows: DataFrame, name: str) -> DataFrame:
-    """History rows appended to their table and read back from it."""
+def _recent_of(spark, rows: DataFrame, name: str) -> DataFrame:
+    """History rows appended to their table, and the newest of them read back from it."""
     from pitlane.session import scratch_path
     from pitlane.sinks import history as H
     base = scratch_path(spark, f"history-{uuid.uuid4().hex}")
     H.init_tables(spark, base)
     H.append(rows, base, name, batch_id=0, run_id="query")
-    return H.read_table(spark, base, name)
+    return H.recent_rows(spark, base, name)
 
 
 @query("recent_alerts",
@@ -860,8 +906,8 @@ def _through_history(spark, rows: DataFrame, name: str) -> DataFrame:
        "WHERE event_type = 'error') ORDER BY ts DESC NULLS LAST, id LIMIT 10")
 def q_recent_alerts(spark, sf):
     """K07 + S07: alert history built from error events, ten newest."""
-    from pitlane.sinks.history import alert_rows_from_events, recent
-    return recent(_through_history(spark, alert_rows_from_events(_events(spark, sf)), "alert_history"))
+    from pitlane.sinks.history import alert_rows_from_events
+    return _recent_of(spark, alert_rows_from_events(_events(spark, sf)), "alert_history")
 
 
 def _pred_sql():
@@ -888,12 +934,12 @@ def _pred_sql():
 def q_recent_predictions(spark, sf):
     """K06 + S07: one superclipping prediction per telemetry sample of the feed; ten newest."""
     from pitlane.operators import feed as FD
-    from pitlane.sinks.history import prediction_rows, recent
+    from pitlane.sinks.history import prediction_rows
     from pitlane.sources.telemetry import telemetry_from_testdata
     feed = FD.build_feed(laps(spark, sf), None)
     samples = telemetry_from_testdata(spark, sf, with_time=True).filter(
         (F.col("team") == "Red Bull Racing") & (F.col("driver") == "VER"))
-    return recent(_through_history(spark, prediction_rows(feed, samples), "superclipping_predictions"))
+    return _recent_of(spark, prediction_rows(feed, samples), "superclipping_predictions")
 
 
 # --------------------------------------------------------------------------- registry and long metrics

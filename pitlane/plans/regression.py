@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.operators.dims import materialize
+from pitlane.functions import lookup
+from pitlane.operators.codes import attach_codes, extend_codes
 from pitlane.operators.evaluate import regression_metrics_of
 from pitlane.operators.sampling import mark_split
 from pitlane.plans.forest import Forest, fit_forest
 from pitlane.plans.models import Standardizer
+from pitlane.sinks.results import read_json_document
 
 
 def regression_matrix(prepared: DataFrame) -> DataFrame:
@@ -66,3 +69,37 @@ def train_regression(prepared: DataFrame, num_trees: int = 100, max_depth: int |
     if rf is not None:
         metrics["forest"] = {"num_trees": num_trees, "max_depth": max_depth, "depth_reached": rf.depth, "n_nodes": rf.n_nodes}
     return RegressionResult(scaler, lr, rf, scored, metrics)
+
+
+@dataclass
+class LapTimeModel:
+    """A saved forest with what its features were encoded by."""
+
+    scaler: Standardizer
+    forest: Forest
+    codes: DataFrame
+    version: int
+    year_base: int
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LapTimeModel:
+        """From the `ml` folder that a training run has written."""
+        doc = read_json_document(spark, f"{path}/regression_scaler")
+        if doc is None:
+            raise FileNotFoundError(f"no regression model under {path}")
+        codes = spark.read.parquet(f"{path}/race_codes")
+        return cls(Standardizer.from_dict(doc), Forest.load(spark, f"{path}/forest"), codes, int(doc["codes_version"]), int(doc["year_base"]))
+
+    def predict(self, laps: DataFrame) -> DataFrame:
+        """(row_key, predicted, race_unseen, missing) of every lap: its time over the race's median. Races that the training
+        run has not had get the next codes of its dictionary and are marked; laps with a missing feature have no prediction
+        and name what is missing."""
+        codes = extend_codes(self.codes, laps)
+        rows = attach_codes(laps.withColumn("compound_encoded", lookup.compound_code()), codes, self.version)
+        rows = rows.withColumn("year_encoded", F.col("year") - self.year_base)
+        names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in self.scaler.features]))
+        rows = materialize(rows.select("row_key", "race_unseen", F.when(F.size(names) > 0, F.array_join(names, ",")).alias("missing"),
+                                       *[F.col(c).cast("double").alias(c) for c in self.scaler.features]))
+        whole = self.forest.predict(rows.where("missing is null"), list(self.scaler.columns().values()), "predicted")
+        columns = ["row_key", "predicted", "race_unseen", "missing"]
+        return whole.select(*columns).unionByName(rows.where("missing is not null").select("row_key", F.lit(None).cast("double").alias("predicted"), "race_unseen", "missing"))

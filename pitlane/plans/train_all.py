@@ -103,8 +103,9 @@ def save_run(run: TrainingRun, output: str, source: str = "local") -> dict:
             run.regression.forest.save(os.path.join(output, "ml", "forest"))
         if run.regression.linear is not None:
             run.regression.linear.write().overwrite().save(os.path.join(output, "ml", "linear"))
-        write_json_document(spark, run.regression.scaler.to_dict(), os.path.join(output, "ml", "regression_scaler"))
-        codes = run.prepared.select(CL.race_text().alias("race_text"), "race_encoded").distinct()
+        codes = run.prepared.select(CL.race_text().alias("race_text"), "race_encoded", F.lit(1).alias("version")).distinct()
+        base = run.prepared.agg(F.min(F.col("year").cast("int"))).first()[0]
+        write_json_document(spark, run.regression.scaler.to_dict() | {"codes_version": 1, "year_base": base}, os.path.join(output, "ml", "regression_scaler"))
         codes.coalesce(1).write.mode("overwrite").parquet(os.path.join(output, "ml", "race_codes"))
         res = results_projection(run.regression.test_scored, "laptime_normalized", "pred_rf" if run.regression.forest is not None else "pred_lr")
         write_results(res, os.path.join(output, "data", "results"))

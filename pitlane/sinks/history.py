@@ -7,6 +7,11 @@ count their batches from 0. Row ids are deterministic (md5 of the source row key
 so is a batch's time, which is noted at its first attempt, so a replay -- even on
 another day -- writes the same rows to the same partitions.
 Plain appends get a fresh run id.
+
+compact() merges the small files of settled batches into a generation beside the table: rows and the list of the batches
+they come from are written first, then an empty marker file puts the generation in force for readers, and only then are the
+merged partitions removed. Readers take the newest generation and the table's partitions that it does not cover, so a
+compaction that dies, or a batch that is written again, neither loses nor doubles a row.
 """
 
 from __future__ import annotations
@@ -16,15 +21,16 @@ import time
 import uuid
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitlane import constants as C
 from pitlane import schemas as S
 from pitlane.functions import risk
 from pitlane.functions.carstate import car_state_columns, speed
-from pitlane.operators.dims import join_dim
-from pitlane.session import list_names, path_exists, touch
+from pitlane.operators.dims import MAX_BROADCAST_ROWS, checked_dim, join_dim, materialize_counted
+from pitlane.session import delete_path, list_names, path_exists, touch
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -90,11 +96,66 @@ def append(df: DataFrame, base: str, table: str, batch_id: int | None = None, ru
 
 def read_table(spark: SparkSession, base: str, table: str, since: str | None = None) -> DataFrame:
     """The rows of a history table; since (a date) reads only the days from then on (partition pruning)."""
-    df = spark.read.schema(S.history_schema(table)).parquet(table_path(base, table))
-    df = df.select(*S.history_schema(table).names)
+    names = S.history_schema(table).names
+    df = _live(spark, base, table)
+    gen = generation(spark, base, table)
+    if gen:
+        covered = checked_dim(spark.read.parquet(f"{_compact_path(base, table)}/covered-{gen}"))
+        merged = spark.read.schema(S.history_schema(table)).parquet(f"{_compact_path(base, table)}/rows-{gen}")
+        df = df.join(covered, ["run_id", "batch_id"], "left_anti").select(*names).unionByName(merged.select(*names))
+    df = df.select(*names)
     return df if since is None else df.filter(F.col("event_date") >= F.lit(since).cast("date"))
 
 
+def _live(spark: SparkSession, base: str, table: str) -> DataFrame:
+    """The rows as batches have written them, with run and batch."""
+    schema = T.StructType([*S.history_schema(table).fields, T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(table_path(base, table))
+
+
+def _compact_path(base: str, table: str) -> str:
+    table_path(base, table)
+    return os.path.join(base, "_compact", table)
+
+
+def generation(spark: SparkSession, base: str, table: str) -> int:
+    """The number of the compacted generation in force, 0 if there is none."""
+    return max((int(n) for n in list_names(spark, f"{_compact_path(base, table)}/in_force")), default=0)
+
+
+def compact(spark: SparkSession, base: str, table: str) -> int:
+    """Merge settled batches into the next generation; how many were merged. A batch is settled if its run has gone on to a
+    later one (streams write only their newest batch again) or was a plain append. Streams may run meanwhile."""
+    streams = [n for n in list_names(spark, os.path.join(base, "_batches"))]
+    own = _live(spark, base, table).select(*PARTITIONS).distinct()  # of the partitions' names, no column is read
+    newest = Window.partitionBy("run_id")
+    settled = own.withColumn("last", F.max("batch_id").over(newest)).where((F.col("batch_id") < F.col("last")) | ~F.col("run_id").isin(streams))
+    gen, path = generation(spark, base, table), _compact_path(base, table)
+    batches = settled.select("run_id", "batch_id").distinct()
+    if gen:
+        known = spark.read.parquet(f"{path}/covered-{gen}")
+        batches = batches.join(known, ["run_id", "batch_id"], "left_anti")
+    batches, n = materialize_counted(batches)
+    if not n:
+        return 0
+    names = S.history_schema(table).names
+    rows, covered = _live(spark, base, table).join(F.broadcast(batches) if n <= MAX_BROADCAST_ROWS else batches, ["run_id", "batch_id"]).select(*names), batches
+    if gen:
+        rows = rows.unionByName(spark.read.schema(S.history_schema(table)).parquet(f"{path}/rows-{gen}").select(*names))
+        covered = covered.unionByName(known)
+    rows.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/rows-{gen + 1}")
+    covered.coalesce(1).write.mode("overwrite").parquet(f"{path}/covered-{gen + 1}")
+    touch(spark, f"{path}/in_force/{gen + 1}")
+    folders = settled.join(batches, ["run_id", "batch_id"], "left_semi").collect()  # one row a merged partition
+    for r in folders:
+        day = "__HIVE_DEFAULT_PARTITION__" if r["event_date"] is None else str(r["event_date"])
+        delete_path(spark, f"{table_path(base, table)}/event_date={day}/run_id={quote(r['run_id'], safe='')}/batch_id={r['batch_id']}")
+    for old in range(1, gen):  # the last generation stays for readers that are still at it
+        delete_path(spark, f"{path}/rows-{old}")
+        delete_path(spark, f"{path}/covered-{old}")
+    return n
+
+
 def recent(df: DataFrame, k: int = C.RECENT_LIMIT, ts: str = "timestamp") -> DataFrame:
     """Newest k rows (ties by id), timestamps as ISO text, column names lower-cased.
 
@@ -106,6 +167,27 @@ def recent(df: DataFrame, k: int = C.RECENT_LIMIT, ts: str = "timestamp") -> Dat
     return top.select(*cols)
 
 
+def days_of(spark: SparkSession, base: str, table: str) -> list[str]:
+    """The days that a table has partitions of, newest first, from the folder's names alone."""
+    prefix, gen = "event_date=", generation(spark, base, table)
+    folders = [table_path(base, table)] + ([f"{_compact_path(base, table)}/rows-{gen}"] if gen else [])
+    names = {n[len(prefix):] for f in folders for n in list_names(spark, f) if n.startswith(prefix)}
+    return sorted(names - {"__HIVE_DEFAULT_PARTITION__"}, reverse=True)
+
+
+def recent_rows(spark: SparkSession, base: str, table: str, k: int = C.RECENT_LIMIT) -> DataFrame:
+    """S07 on a stored table: its newest k rows, days opened from the newest until they hold k rows (a row's day is that of
+    its time, so no older day can have a newer one). Each try opens twice as many days; rows without a time come last."""
+    ts = S.HISTORY_TIME_COLUMN.get(table, "timestamp")
+    days, n = days_of(spark, base, table), 1
+    while n < len(days):
+        newest = read_table(spark, base, table, since=days[n - 1])
+        if newest.limit(k).count() >= k:
+            return recent(newest, k, ts)
+        n *= 2
+    return recent(read_table(spark, base, table), k, ts)
+
+
 # ------------------------------------------------------------------ producers of history rows
 
 def alert_rows_from_events(events: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from pitlane import constants as C
 from pitlane import schemas as S
+from pitlane.operators.dims import materialize
 from pitlane.session import path_exists, scratch_path
 
 
@@ -47,6 +48,32 @@ def read_laps_csv(spark: SparkSession, path: str) -> DataFrame:
     return normalize_laps(renamed)
 
 
+def split_laps_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S01 with nothing lost: (laps, bad records) of a lap CSV with header, from one parse written to the shared folder.
+
+    A record is bad if it has another number of fields than the header, or a field that neither names a missing value nor
+    reads as its column's type; bad records come as (file, record, problem). Every record is in one of the two."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"missing lap file: {path}")
+    texts = T.StructType([*(T.StructField(h, T.StringType()) for h, _, _ in S.LAP_COLUMNS), T.StructField("_record", T.StringType())])
+    raw = (spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
+           .option("nullValue", "\u0000").csv(path))
+    values, wrong = [], []
+    for h, n, t in S.LAP_COLUMNS:
+        text = F.trim(F.col(f"`{h}`"))
+        known = F.when(~text.isin(C.NULL_STRINGS), F.col(f"`{h}`") if isinstance(t, T.StringType) else text)
+        number = known.try_cast("double")
+        value = known if isinstance(t, T.StringType) else number if isinstance(t, T.DoubleType) else F.when(number == F.floor(number), number.try_cast(t))
+        values.append(value.alias(n))
+        wrong.append(F.when(known.isNotNull() & value.isNull(), F.lit(n)))
+    names = F.array_compact(F.array(*wrong))
+    problem = F.when(F.col("_record").isNotNull(), F.lit("number of fields")).when(F.size(names) > 0, F.array_join(names, ","))
+    record = F.coalesce("_record", F.concat_ws(",", *(F.coalesce(f"`{h}`", F.lit("")) for h, _, _ in S.LAP_COLUMNS)))
+    parsed = materialize(raw.select(*values, F.col("_metadata.file_path").alias("file"), record.alias("record"), problem.alias("problem")))
+    good = parsed.where("problem is null").drop("file", "record", "problem")
+    return normalize_laps(good), parsed.where("problem is not null").select("file", "record", "problem")
+
+
 def read_laps_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Laps from foreign Parquet with internal names: normalised on read (null rules, row key)."""
     df = spark.read.parquet(path)

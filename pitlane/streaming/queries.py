@@ -49,6 +49,23 @@ def q_stream_feed(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+_FEED_LAPS = ("fl AS (SELECT race, year, driver, lap_number, " + ", ".join(
+    f"arg_min({c}, row_key) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in LS.FEED_COLUMNS) + " FROM laps GROUP BY ALL)")
+
+
+@query("stream_ordered_feed", with_ctes(
+    ["laps"], "SELECT race, year, driver, row_number() OVER w - 1 AS lap_index, lap_number, count(*) OVER (PARTITION BY race, year, driver) AS total_laps, "
+              "coalesce(position, 1) AS position, coalesce(compound, 'MEDIUM') AS compound, "
+              f"{live_status_sql(live_duration_sql())} AS ers_status, {live_duration_sql()} AS superclipping_duration, "
+              "row_number() OVER w = count(*) OVER (PARTITION BY race, year, driver) AS is_last FROM fl "
+              "WINDOW w AS (PARTITION BY race, year, driver ORDER BY lap_number NULLS FIRST)", [_FEED_LAPS]))
+def q_stream_ordered_feed(spark, sf):
+    """R02 + W02: the ordered feed of every driver and race, from laps that arrive file by file."""
+    base, src = _stream(spark, sf, "stream-ordered")
+    LS.start_ordered_feed(src, base, f"{base}/ckpt", available_now=True).awaitTermination()
+    return LS.ordered_feed(LS.current_laps(spark, base))
+
+
 _STREAM_RISK = ("sr AS (SELECT *, (normalized_tyre_life * 2e0 + race_progress * 1.5e0 - greatest(-5e0, least(5e0, lap_time_delta)) - lo) "
                 "/ nullif(hi - lo, 0e0) * 10e0 AS r FROM laps, bounds)")
 

@@ -193,6 +193,17 @@ def test_save_run_writes_documents_and_models(spark, run, tmp_path):
     assert {m: b["metric"] for m, b in best.items()} == {m: float(v["metric"]) for m, v in reg.items()}
     assert read_json_document(spark, f"{out}/ml/regression_scaler")["features"] == S.REGRESSION_FEATURES
     assert spark.read.parquet(f"{out}/ml/race_codes").count() > 1
+    from pitlane.plans.regression import LapTimeModel
+    model = LapTimeModel.load(spark, f"{out}/ml")
+    lp = run.prepared.select("row_key", "driver", "race", "year", *[c for c in S.REGRESSION_FEATURES if "encoded" not in c], "compound")
+    some = lp.limit(200)
+    odd = some.withColumns({"race": F.lit("A new race"), "row_key": F.concat(F.lit("n"), "row_key")}).unionByName(
+        some.withColumns({"stint": F.lit(None).cast("int"), "row_key": F.concat(F.lit("m"), "row_key")}))
+    scored = {r["row_key"]: r for r in model.predict(some.unionByName(odd)).collect()}
+    assert len(scored) == 600
+    assert all(r["race_unseen"] == k.startswith("n") and (r["predicted"] is None) == (r["missing"] == "stint") for k, r in scored.items() if k[0] in "nm")
+    known = {r["row_key"]: r["pred_rf"] for r in run.regression.test_scored.select("row_key", "pred_rf").collect()}
+    assert all(abs(scored[k]["predicted"] - v) < 1e-9 for k, v in known.items() if k in scored)
     from pyspark.ml.feature import PCAModel
     assert PCAModel.load(f"{out}/ml/pca").getK() == 2
 
