@@ -1,9 +1,9 @@
 """Quality scores by compression: a text that good texts' dictionary shortens more than bad texts' is a good one.
 
 Two zstandard dictionaries are trained, one on labelled good and one on labelled bad texts. Every whole text is
-compressed block by block under both; the normalised difference of the compressed sizes and the compression ratio
-(repetition is itself a sign) go through a logistic calibration that is fitted on labelled texts the dictionaries
-have not seen, weighted to the classes' true shares.
+compressed block by block under both; the difference of the compressed sizes by the text's own size goes through a
+logistic calibration that is fitted on labelled texts the dictionaries have not seen, weighted to the classes' true
+shares. Nothing else of a text enters its score.
 """
 
 from __future__ import annotations
@@ -19,14 +19,13 @@ from pyspark.sql import types as T
 
 from pitlane.llm.common import map_column
 
-BLOCK = 1000
-DICTIONARY_BYTES = 60_000
-LEVEL = 3
+#: Bytes that are compressed at a time and bytes of a dictionary; the level of compression.
+BLOCK, DICTIONARY_BYTES, LEVEL = 300, 110_000, 12
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries' bytes (none: the score is the constant), calibration weights and the features' scale."""
+    """Dictionaries' bytes (none: the score is the constant), calibration weights and the difference's scale."""
 
     good: bytes
     bad: bytes
@@ -49,8 +48,8 @@ def dictionary(texts: list[str]) -> bytes:
         return b"".join(parts)[-DICTIONARY_BYTES:]
 
 
-class Features:
-    """Compressed sizes of whole texts under two dictionaries, as features."""
+class Difference:
+    """How much smaller whole texts get under the good texts' dictionary than under the bad ones', by their own size."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False,
@@ -62,8 +61,7 @@ class Features:
             raw = t.encode()
             rows[i] = *(sum(len(c.compress(b)) for b in blocks(raw)) for c in self.pair), len(raw)
         good, bad, size = rows.T
-        ratio = np.minimum((good + bad) / (2 * np.maximum(size, 1)), 1.5)
-        return np.column_stack([(bad - good) / (bad + good), ratio, ratio * ratio])
+        return ((bad - good) / np.maximum(size, 1))[:, None]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -109,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, max_byte
     # Every second row makes the dictionaries, the others calibrate.
     seen, rest = ({y: t[i::2] or t for y, t in by.items()} for i in (0, 1))
     good, bad = dictionary(seen[1]), dictionary(seen[0])
-    x = Features(good, bad)(rest[1] + rest[0])
+    x = Difference(good, bad)(rest[1] + rest[0])
     y = np.array([1.0] * len(rest[1]) + [0.0] * len(rest[0]))
     w = np.where(y == 1, total[1] / len(rest[1]), total[0] / len(rest[0]))
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -125,12 +123,12 @@ def score(docs: DataFrame, model: CompressionModel, key: str | list[str] = "doc_
 
     def make():
         m = sent.value
-        features = Features(m.good, m.bad) if m.weights else None
+        difference = Difference(m.good, m.bad) if m.weights else None
 
         def work(texts: list[str]) -> list[pa.Array]:
-            if features is None:
+            if difference is None:
                 return [pa.array(np.full(len(texts), m.constant))]
-            x = (features(texts) - np.array(m.mean)) / np.array(m.scale)
+            x = (difference(texts) - np.array(m.mean)) / np.array(m.scale)
             z = np.column_stack([x, np.ones(len(x))]) @ np.array(m.weights)
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
 

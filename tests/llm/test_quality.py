@@ -1,8 +1,11 @@
 """Quality scores: separation on held-out texts, the fold, and tables without labels."""
 
+import math
 import random
 import zlib
 
+import zstandard
+from pyspark.sql import functions as F
 from helpers import edge_docs, no_docs, prose
 
 from pitlane.llm import quality
@@ -47,3 +50,23 @@ def test_odd_rows_and_missing_labels(spark):
         constant = quality.fit(train, part)
         assert constant.weights == () and {r["score"] for r in quality.score(docs, constant).collect()} == {constant.constant}
     assert quality.fit(no_docs(spark), labels).weights == ()
+
+
+def test_score_is_the_plain_size_difference(spark):
+    """Every score follows from the two compressed sizes and the text's size alone."""
+    docs, labels, _ = corpus(spark, 300)
+    model = quality.fit(docs, labels)
+    assert len(model.weights) == 2 and len(model.mean) == 1
+    plain = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False,
+                                      write_dict_id=False) for d in (model.good, model.bad)]
+
+    def size(c, raw):
+        return sum(len(c.compress(raw[i:i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)) if raw else len(c.compress(b""))
+
+    odd = edge_docs(spark).select("doc_id", "text")
+    for r in quality.score(docs.unionByName(odd).select("doc_id", "text", F.col("text").alias("body")), model, ["doc_id", "body"]).collect():
+        raw = (r["body"] or "").encode()
+        d = (size(plain[1], raw) - size(plain[0], raw)) / max(len(raw), 1)
+        z = max(-30, min(30, (d - model.mean[0]) / model.scale[0] * model.weights[0] + model.weights[1]))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert model.weights[0] > 0  # what the good texts' dictionary shortens more is better
