@@ -48,14 +48,14 @@ def assign(docs: DataFrame, weights: list[float], new_weight: float = 1.0, key:
         raise ValueError("weights must be positive")
     spark, k = docs.sparkSession, F.col(key)
     body = F.coalesce(F.col(text), F.lit(""))
-    drawn = docs.select(k.alias("k"), (F.octet_length(body) + 16).cast("long").alias("size"),
-                        F.crc32(body.cast("binary")).alias("text_crc32"), best(k, weights).alias("won"),
-                        draw(k, len(weights), new_weight).alias("new"), F.monotonically_increasing_id().alias("row"))
-    thin = drawn.select("k", "size", "text_crc32", F.col("won.shard").alias("shard"),
-                        F.when(F.col("new") < F.col("won.draw"), len(weights)).otherwise(F.col("won.shard")).alias("grown_shard"), "row")
+    thin = docs.select(k.alias("k"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+                       F.monotonically_increasing_id().alias("row"))
     n = partitions_for(spark, docs.count() * ROWS_BYTES, BYTES_PER_PARTITION)
-    dealt = (thin.repartitionByRange(n, F.col("k").asc_nulls_first(), F.col("row"))
-             .sortWithinPartitions(F.col("k").asc_nulls_first()).drop("row"))
+    # Drawn behind the exchange: what lies before it is computed twice, once for the sample that sets the ranges.
+    drawn = (thin.repartitionByRange(n, F.col("k").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("k").asc_nulls_first())
+             .select("k", "size", "text_crc32", best(F.col("k"), weights).alias("won"), draw(F.col("k"), len(weights), new_weight).alias("new")))
+    dealt = drawn.select("k", "size", "text_crc32", F.col("won.shard").alias("shard"),
+                         F.when(F.col("new") < F.col("won.draw"), len(weights)).otherwise(F.col("won.shard")).alias("grown_shard"))
     schema = T.StructType([*dealt.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType())])
 
     def number(batches):
