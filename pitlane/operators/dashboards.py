@@ -36,8 +36,8 @@ def avg_risk_by_lap(df: DataFrame) -> DataFrame:
 def dashboard_sample(df: DataFrame, n: int = C.DASHBOARD_SAMPLE, seed: int = 42) -> DataFrame:
     """T04 + F25: reproducible sample of min(n, rows) rows, formatted for the dashboard.
 
-    The n smallest seeded hashes of the row key (`hash_sample`: a count-sized
-    map-side prefilter, then a top-n over the few survivors).
+    The n smallest seeded hashes of the row key (`hash_sample`: their threshold by
+    counting passes, then a map-side filter).
     """
     picked = hash_sample(df, n, seed)
     return picked.select(

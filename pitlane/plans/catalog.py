@@ -577,7 +577,7 @@ H = hash_sql()
 
 
 def _sample_sql(src: str, n: int) -> str:
-    """Same as hash_sample: the n smallest hashes after the count-sized prefilter (which keeps them all)."""
+    """The n smallest hashes, as hash_sample takes them."""
     return f"(SELECT * FROM {src} ORDER BY {H}, row_key LIMIT {n})"
 
 
@@ -599,7 +599,7 @@ def q_dashboard_sample(spark, sf):
 @query("hash_sample", with_ctes(["status"], "SELECT row_key, cumulative_degradation, tyre_life, lap_time_s "
                                             f"FROM {_sample_sql('status', 20000)}"))
 def q_hash_sample(spark, sf):
-    """20,000-row sample (exact top-n by hash after a count-sized map-side prefilter)."""
+    """The 20,000 rows with the smallest hashes."""
     s = SM.hash_sample(scored(spark, sf), 20000)
     return s.select("row_key", "cumulative_degradation", "tyre_life", "lap_time_s")
 
